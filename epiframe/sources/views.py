@@ -92,3 +92,9 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("["), F.col("o_orderstatus"), F.lit("] step="), F.col("o_orderkey").cast("string"),
                     F.lit(" loss="), loss, F.lit(" lr=0.0001 grad_norm=1.5 data_time=0.01s"))
     return o.select(F.col("o_orderkey").alias("line_id"), text.alias("text"))
+
+
+def frames_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``frames_ev`` plus ``vel`` = [floor(value / 60)]: a coarse signal with idle runs."""
+    f = frames_ev(spark, sf_dir)
+    return f.withColumn("vel", F.array(F.floor(F.col("state")[0] / F.lit(60.0)).cast("double")))
