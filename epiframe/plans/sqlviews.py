@@ -76,3 +76,25 @@ stats_out AS (
          {r6(f'qb.b01 * ((r.hi - r.lo) / {d.format(bins)}) + r.lo')} AS q01,
          {r6(f'qb.b99 * ((r.hi - r.lo) / {d.format(bins)}) + r.lo')} AS q99
   FROM m JOIN r ON m.key = r.key AND m.dim = r.dim JOIN qb ON m.key = qb.key AND m.dim = qb.dim)"""
+
+MODALITIES = """li_last AS (SELECT episode_id, max(t) AS last_t FROM frames_li GROUP BY episode_id),
+head AS (SELECT f.episode_id, f.t FROM frames_li f JOIN li_last l ON f.episode_id = l.episode_id
+         WHERE NOT (f.t = l.last_t AND f.task = 'R')),
+mod_lengths AS (
+  SELECT episode_id, 'eef_torso' AS modality, count(*) AS n FROM frames_li GROUP BY episode_id
+  UNION ALL SELECT episode_id, 'eef_left', count(*) FROM frames_li GROUP BY episode_id
+  UNION ALL SELECT episode_id, 'eef_right', count(*) FROM frames_li GROUP BY episode_id
+  UNION ALL SELECT episode_id, 'gripper_cmd', count(*) FROM frames_li GROUP BY episode_id
+  UNION ALL SELECT episode_id, 'head', count(*) FROM head GROUP BY episode_id)"""
+
+INSTRUCTIONS = r"""conv_u AS (
+  SELECT conv_id,
+         string_agg(CASE WHEN role = 'user'
+                         THEN '{"instruction":"' || regexp_replace(text, '["\\\r\n\t]', ' ', 'g') || '"}' END,
+                    ',' ORDER BY turn) AS items,
+         max(CASE WHEN role = 'system' THEN 1 ELSE 0 END) AS sys
+  FROM conversations GROUP BY conv_id),
+instr AS (
+  SELECT conv_id AS episode_id,
+         CASE WHEN sys = 1 THEN substring(d, 1, length(d) - 2) ELSE d END AS json
+  FROM (SELECT conv_id, sys, '{"sub_instructions":[' || COALESCE(items, '') || ']}' AS d FROM conv_u))"""

@@ -98,3 +98,44 @@ def frames_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``frames_ev`` plus ``vel`` = [floor(value / 60)]: a coarse signal with idle runs."""
     f = frames_ev(spark, sf_dir)
     return f.withColumn("vel", F.array(F.floor(F.col("state")[0] / F.lit(60.0)).cast("double")))
+
+
+def modalities(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Five per-modality tables ``(episode_id, t, v)`` from ``frames_li``.
+
+    eef_torso[9] = s0 + i, head[2] = (s2, s3), eef_left[9] = s1/1000 + i,
+    gripper_cmd[2] = (10*s2, 10*s3), eef_right[9] = s0 - i. The head table
+    lacks the last frame of episodes whose last line has return flag 'R',
+    so lengths differ there.
+    """
+    li = frames_li(spark, sf_dir).select("episode_id", "t", "task", "state")
+    s = F.col("state")
+    seq9 = F.sequence(F.lit(0), F.lit(8))
+    torso = li.select("episode_id", "t", F.transform(seq9, lambda i: s[0] + i).alias("v"))
+    left = li.select("episode_id", "t", F.transform(seq9, lambda i: s[1] / F.lit(1000.0) + i).alias("v"))
+    right = li.select("episode_id", "t", F.transform(seq9, lambda i: s[0] - i).alias("v"))
+    grip = li.select("episode_id", "t", F.array(s[2] * F.lit(10.0), s[3] * F.lit(10.0)).alias("v"))
+    last = li.groupBy("episode_id").agg(F.max("t").alias("_last"))
+    head = (li.join(last, "episode_id")
+            .filter(~((F.col("t") == F.col("_last")) & (F.col("task") == "R")))
+            .select("episode_id", "t", F.array(s[2], s[3]).alias("v")))
+    return {"eef_torso": torso, "head": head, "eef_left": left, "gripper_cmd": grip, "eef_right": right}
+
+
+def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-conversation instruction JSON ``{"sub_instructions":[{"instruction": …}, …]}``.
+
+    Instructions are the user turns in order (quotes, backslashes and line
+    breaks removed); conversations with a system turn get a truncated,
+    unparsable document.
+    """
+    c = table(spark, sf_dir, "conversations")
+    clean = F.regexp_replace(F.col("text"), r'["\\\r\n\t]', " ")
+    item = F.concat(F.lit('{"instruction":"'), clean, F.lit('"}'))
+    g = c.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", item.alias("s"))))).alias("_u"),
+        F.max((F.col("role") == "system").cast("int")).alias("_sys"))
+    g = g.withColumn("_doc", F.concat(F.lit('{"sub_instructions":['),
+                                      F.array_join(F.transform("_u", lambda x: x["s"]), ","), F.lit("]}")))
+    doc = F.when(F.col("_sys") == 1, F.expr("substring(_doc, 1, length(_doc) - 2)")).otherwise(F.col("_doc"))
+    return g.select(F.col("conv_id").alias("episode_id"), doc.alias("json"))
