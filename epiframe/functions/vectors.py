@@ -162,14 +162,16 @@ def unit_to_byte(x) -> Column:
 
 
 def quat_to_axis_angle(x, y, z, w) -> Column:
-    """M21 quaternion → axis-angle (3-vector); w clipped to [-1,1], zero when sin(angle/2) ≈ 0."""
+    """M21 quaternion (x, y, z, w) → axis-angle 3-vector.
+
+    w is clipped to [-1, 1]; when ``sqrt(1 - w²)`` is exactly 0 the rotation is
+    zero; otherwise ``xyz * 2 * acos(w) / sqrt(1 - w²)``.
+    """
     wc = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _c(w)))
     den = F.sqrt(F.lit(1.0) - wc * wc)
-    ang = F.lit(2.0) * F.acos(wc)
-    small = F.abs(den) < F.lit(1e-10)
 
     def comp(v):
-        return F.when(small, F.lit(0.0)).otherwise(_c(v) * ang / den)
+        return F.when(den == F.lit(0.0), F.lit(0.0)).otherwise(_c(v) * F.lit(2.0) * F.acos(wc) / den)
 
     return F.array(comp(x), comp(y), comp(z))
 
