@@ -123,7 +123,7 @@ def q_clip_binarize(spark, sf_dir):
 # ---------------------------------------------------------------- M25 byte scaling
 @query("byte_scale", f"""WITH {FRAMES_EV}
 SELECT episode_id, t, {r6(f's1 / {d(255)} * {d(2)} - {d(1)}')} AS unit,
-       CAST(s0 / {d(490.02)} * {d(255)} AS BIGINT) AS byte FROM frames_ev""")
+       CAST(trunc(s0 / {d(490.02)} * {d(255)}) AS BIGINT) AS byte FROM frames_ev""")
 def q_byte_scale(spark, sf_dir):
     f = _ev(spark, sf_dir)
     s = F.col("state")
@@ -416,8 +416,10 @@ def q_schema_diff(spark, sf_dir):
 
 
 @query("record_summary", """
-SELECT 'vec_id' AS path, 'bigint' AS dtype, CAST(NULL AS INTEGER) AS min_size, CAST(NULL AS INTEGER) AS max_size
-UNION ALL SELECT 'embedding', 'array<float>', min(len(embedding)), max(len(embedding)) FROM embeddings
-UNION ALL SELECT 'label', 'int', NULL, NULL""")
+SELECT 'vec_id' AS path, 'bigint' AS dtype, -1 AS min_size, -1 AS max_size
+UNION ALL SELECT 'embedding', 'array<float>', CAST(min(len(embedding)) AS INTEGER), CAST(max(len(embedding)) AS INTEGER) FROM embeddings
+UNION ALL SELECT 'label', 'int', -1, -1""")
 def q_record_summary(spark, sf_dir):
-    return SC.record_summary(views.table(spark, sf_dir, "embeddings"))
+    """P28; sizes are -1 for non-array leaves."""
+    r = SC.record_summary(views.table(spark, sf_dir, "embeddings"))
+    return r.select("path", "dtype", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("min_size", "max_size")])
