@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epiframe.functions.vectors import l1_l2
 from epiframe.operators.windows import log_bucket, next_frame
+from epiframe.plans.ordered import neighbours
 
 # Latency percentiles reported per metric.
 LATENCY_PERCENTILES = (0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
@@ -124,9 +125,15 @@ def rollout_summary(df: DataFrame, success: str = "success", duration: str = "du
                   F.avg(F.when(ok, F.col(duration))).alias("mean_duration"))
 
 
-def rate_last50(df: DataFrame, channel: str = "channel", ts: str = "ts", order: str = "seq") -> DataFrame:
-    """Per reading, ``1 / mean gap`` of the last 50 timestamps of its channel."""
-    w = Window.partitionBy(channel).orderBy(order).rowsBetween(-49, 0)
-    n = F.count(F.lit(1)).over(w)
-    span = F.max(ts).over(w) - F.min(ts).over(w)
-    return df.withColumn("rate", F.when((n > 1) & (span > 0), (n - 1) / span))
+def rate_last50(df: DataFrame, channel: str = "channel", ts: str = "ts", idx: str = "seq") -> DataFrame:
+    """Per reading, ``(n - 1) / (max - min)`` of its channel's last 50 timestamps (itself included).
+
+    ``idx`` is the dense 0-based reading number per channel; the 50-row
+    look-back goes through ``neighbours`` (segments + halo), not a
+    whole-channel window.
+    """
+    nb = neighbours(df, [channel], idx, [ts], before=49, out="_w")
+    tss = F.transform("_w", lambda x: x[ts])
+    n = F.size(tss)
+    span = F.array_max(tss) - F.array_min(tss)
+    return nb.withColumn("rate", F.when((n > 1) & (span > 0), (n - 1) / span)).drop("_w")

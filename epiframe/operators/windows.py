@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from epiframe.functions import vectors as V
-from epiframe.plans.ordered import SEGMENT, neighbours
+from epiframe.plans.ordered import SEGMENT, neighbours, running_agg
 from epiframe.session import join_small
 
 
@@ -84,25 +84,30 @@ def asof_replay(steps: DataFrame, plans: DataFrame, keys: Sequence[str] = ("epis
                 chunk: str = "chunk") -> DataFrame:
     """J9 irregular replans: latest plan at or before each step, row ``s - plan_t`` of its chunk.
 
-    Union of steps and plans ordered by ``t``; ``last(..., ignorenulls)`` over
-    a running frame carries the plan forward (as-of join without pairs).
+    The plan step is a running max over steps and plans in time order
+    (range-cut, so long episodes stay parallel); the chunk then comes from
+    an equi-join on ``(keys, plan_t)`` — an as-of join without pairs.
     """
-    p = plans.select(*keys, t, F.col(t).alias("_pt"), F.col(chunk).alias("_chunk"), F.lit(0).alias("_kind"))
-    s = steps.select(*keys, t, F.lit(None).cast("bigint").alias("_pt"),
-                     F.lit(None).cast(plans.schema[chunk].dataType).alias("_chunk"), F.lit(1).alias("_kind"))
-    w = Window.partitionBy(*keys).orderBy(t, "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    u = p.unionByName(s).withColumn("plan_t", F.last("_pt", True).over(w)).withColumn(
-        "_c", F.last("_chunk", True).over(w)).filter(F.col("_kind") == 1)
-    return (u.withColumn("offset", F.col(t) - F.col("plan_t"))
+    k = list(keys)
+    p = plans.select(*k, t, F.col(t).alias("_pt"), F.lit(0).alias("_kind"))
+    s = steps.select(*k, t, F.lit(None).cast("bigint").alias("_pt"), F.lit(1).alias("_kind"))
+    u = running_agg(p.unionByName(s), "_pt", [t, "_kind"], "plan_t", keys=k, agg="max")
+    u = u.filter(F.col("_kind") == 1).drop("_pt", "_kind")
+    pc = plans.select(*k, F.col(t).alias("plan_t"), F.col(chunk).alias("_c"))
+    return (u.join(pc, [*k, "plan_t"], "left")
+            .withColumn("offset", F.col(t) - F.col("plan_t"))
             .withColumn("action", F.get(F.col("_c"), F.col("offset").cast("int")))
-            .drop("_pt", "_chunk", "_kind", "_c"))
+            .drop("_c"))
 
 
 def newest_only(df: DataFrame, channel: str = "channel", arrival: str = "arrival", ts: str = "ts") -> DataFrame:
-    """Keep a reading only if its timestamp exceeds every one taken before it."""
-    w = Window.partitionBy(channel).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.max(ts).over(w)
-    return df.filter(prev.isNull() | (F.col(ts) > prev))
+    """Keep a reading only if its timestamp exceeds every one taken before it on its channel.
+
+    "Taken before" = earlier arrival; the running max is range-cut so a busy
+    channel is not one task.
+    """
+    r = running_agg(df, ts, [arrival], "_prev", keys=[channel], agg="max", include_current=False)
+    return r.filter(F.col("_prev").isNull() | (F.col(ts) > F.col("_prev"))).drop("_prev")
 
 
 def log_bucket(step, interval: int):

@@ -33,7 +33,8 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from epiframe.plans import queries_core, queries_episodes, queries_ranges, queries_vectors  # noqa: F401
+    from epiframe.plans import (  # noqa: F401
+        queries_core, queries_episodes, queries_more, queries_ranges, queries_vectors)
 
 
 def queries() -> dict[str, QueryFn]:

@@ -70,13 +70,15 @@ def range_ids(df: DataFrame, cols: list, parts: int, out: str = "_part", seed: i
     return df.withColumn(out, tree(0, len(bounds)))
 
 
-def _block_offsets(d: DataFrame, keys: list[str], value) -> DataFrame:
-    """Per (range, key) block: sum of ``value`` in all earlier ranges of the key."""
-    blocks = d.groupBy("_part", *keys).agg(F.sum(value).alias("_blk"))
+def _block_offsets(d: DataFrame, keys: list[str], value, agg: str = "sum") -> DataFrame:
+    """Per (range, key) block: ``agg`` of ``value`` over all earlier ranges of the key."""
+    fn = {"sum": F.sum, "max": F.max, "min": F.min}[agg]
+    blocks = d.groupBy("_part", *keys).agg(fn(value).alias("_blk"))
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_part")
-    return blocks.withColumn(
-        "_off", F.coalesce(F.sum("_blk").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).drop("_blk")
+    prev = fn("_blk").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    if agg == "sum":
+        prev = F.coalesce(prev, F.lit(0))
+    return blocks.withColumn("_off", prev).drop("_blk")
 
 
 def index_within(df: DataFrame, keys: list[str], order: list, out: str = "t",
@@ -120,17 +122,33 @@ def neighbours(df: DataFrame, keys: list[str], t: str, cols: list[str], before:
             .filter("_own").drop("_seg", "_own"))
 
 
-def running_sum(df: DataFrame, value: str, order: list[str], out: str,
-                keys: list[str] | None = None, partitions: int | None = None) -> DataFrame:
-    """Add ``out`` = inclusive running sum of ``value`` in ``order`` (inside ``keys``).
+def running_agg(df: DataFrame, value, order: list[str], out: str, keys: list[str] | None = None,
+                agg: str = "sum", include_current: bool = True, partitions: int | None = None) -> DataFrame:
+    """Add ``out`` = running ``agg`` (sum/max/min) of ``value`` in ``order`` inside ``keys``.
 
-    Same range cut as ``index_within``: a running window per (range, key) plus
-    the totals of earlier ranges.
+    Same range cut as ``index_within``: a running window per (range, key),
+    combined with the aggregate of all earlier ranges of the key. With
+    ``include_current=False`` the current row is left out (null when nothing
+    precedes it, 0 for sums).
     """
     keys = keys or []
-    d = range_ids(df, [*keys, *order], _partitions(df, partitions))
-    w = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = d.withColumn("_r", F.sum(F.col(value)).over(w))
-    offsets = _block_offsets(d, keys, F.col(value))
+    val = F.col(value) if isinstance(value, str) else value
+    fn = {"sum": F.sum, "max": F.max, "min": F.min}[agg]
+    d = range_ids(df.withColumn("_v", val), [*keys, *order], _partitions(df, partitions))
+    upto = 0 if include_current else -1
+    w = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
+    local = d.withColumn("_r", fn("_v").over(w))
+    offsets = _block_offsets(d, keys, F.col("_v"), agg)
     joined = join_small(local, offsets, ["_part", *keys])
-    return joined.withColumn(out, F.col("_r") + F.col("_off")).drop("_part", "_r", "_off")
+    if agg == "sum":
+        res = F.coalesce(F.col("_r"), F.lit(0)) + F.col("_off")
+    else:
+        both = F.greatest if agg == "max" else F.least
+        res = F.coalesce(both(F.col("_r"), F.col("_off")), F.col("_r"), F.col("_off"))
+    return joined.withColumn(out, res).drop("_part", "_r", "_off", "_v")
+
+
+def running_sum(df: DataFrame, value: str, order: list[str], out: str,
+                keys: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """Inclusive running sum (see ``running_agg``)."""
+    return running_agg(df, value, order, out, keys, "sum", True, partitions)
