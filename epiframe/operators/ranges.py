@@ -93,25 +93,25 @@ def read_keep_ranges_map(df: DataFrame, col: str = "value") -> DataFrame:
 
 
 def range_semi_join(frames: DataFrame, ranges: DataFrame | None, keys: Sequence[str] = ("episode_id",),
-                    t: str = "t", max_broadcast_rows: int = 2_000_000) -> DataFrame:
+                    t: str = "t", exploded: bool = False) -> DataFrame:
     """Keep frame iff ``start <= t < end`` for a range of its episode.
 
-    No ranges table → keep all; unknown episode → dropped. Ranges are
-    broadcast when their row count is under the bound; otherwise they are
-    exploded to frame keys and semi-joined on ``(episode, t)``, which hashes
-    a hot episode over many tasks.
+    No ranges table → keep all; unknown episode → dropped. Default: equi
+    join on the episode plus the range condition; AQE broadcasts the ranges
+    when their measured size is under the threshold, else sort-merge with
+    skew splitting. ``exploded``: ranges become frame keys and the semi-join
+    is on ``(episode, t)``, which hashes even a hot episode over all tasks.
     """
     if ranges is None:
         return frames
     k = list(keys)
     r = ranges.filter(F.col("start").isNotNull()).select(*[F.col(c).alias(f"_r_{c}") for c in k],
                                                          F.col("start").alias("_s"), F.col("end").alias("_e"))
-    cond = [frames[c] == r[f"_r_{c}"] for c in k] + [frames[t] >= r["_s"], frames[t] < r["_e"]]
-    if r.count() <= max_broadcast_rows:
-        return frames.join(F.broadcast(r), cond, "left_semi")
-    keys_df = r.select(*[F.col(f"_r_{c}").alias(c) for c in k],
-                       F.explode(F.sequence("_s", F.greatest(F.col("_s"), F.col("_e") - 1))).alias(t),
-                       "_s", "_e").filter(F.col("_e") > F.col("_s")).drop("_s", "_e").distinct()
+    if not exploded:
+        cond = [frames[c] == r[f"_r_{c}"] for c in k] + [frames[t] >= r["_s"], frames[t] < r["_e"]]
+        return frames.join(r, cond, "left_semi")
+    keys_df = r.filter(F.col("_e") > F.col("_s")).select(
+        *[F.col(f"_r_{c}").alias(c) for c in k], F.explode(F.sequence("_s", F.col("_e") - 1)).alias(t)).distinct()
     return frames.join(keys_df, [*k, t], "left_semi")
 
 

@@ -24,6 +24,10 @@ from epiframe.session import join_small
 
 SEGMENT = 4096
 
+# Sampled range bounds per (semantic plan, columns): plan-time statistics, reused
+# when the same input is cut again in this session.
+_BOUNDS: dict = {}
+
 
 def _partitions(df: DataFrame, partitions: int | None) -> int:
     if partitions:
@@ -44,9 +48,13 @@ def range_ids(df: DataFrame, cols: list, parts: int, out: str = "_part", seed: i
     key = df.select(*cols)
     if parts <= 1:
         return df.withColumn(out, F.lit(0))
-    n = key.count()
-    frac = min(1.0, parts * per_part / max(n, 1))
-    sample = key.sample(False, frac, seed).orderBy(*names).collect()
+    memo = (key.semanticHash(), tuple(names), parts, seed, per_part)
+    sample = _BOUNDS.get(memo)
+    if sample is None:
+        n = key.count()
+        frac = min(1.0, parts * per_part / max(n, 1))
+        sample = key.sample(False, frac, seed).orderBy(*names).collect()
+        _BOUNDS[memo] = sample
     if len(sample) < 2:
         return df.withColumn(out, F.lit(0))
     step = len(sample) / parts

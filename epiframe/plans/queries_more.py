@@ -323,13 +323,16 @@ def q_rate_last50(spark, sf_dir):
 
 @query("newest_only", """
 WITH e AS (SELECT event_id, event_type, ts,
-                  max(ts) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+                  max(ts) OVER (PARTITION BY event_type ORDER BY user_id, event_id
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
            FROM events)
 SELECT event_id FROM e WHERE prev IS NULL OR ts > prev""")
 def q_newest_only(spark, sf_dir):
-    """channel = event type, arrival order = event id."""
-    ev = views.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("channel"), "ts")
-    return W.newest_only(ev, "channel", "event_id", "ts").select("event_id")
+    """channel = event type; readings arrive user by user (arrival = user_id, event_id)."""
+    ev = views.table(spark, sf_dir, "events").select(
+        "event_id", F.col("event_type").alias("channel"), "ts",
+        (F.col("user_id") * F.lit(10 ** 9) + F.col("event_id")).alias("arrival"))
+    return W.newest_only(ev, "channel", "arrival", "ts").select("event_id")
 
 
 # ---------------------------------------------------------------- J9 / W6 replay

@@ -62,7 +62,7 @@ WHERE EXISTS (SELECT 1 FROM ranges r WHERE r.episode_id = f.episode_id AND f.t >
 def q_range_semi_join_exploded(spark, sf_dir):
     """Same membership through the large-ranges path (ranges exploded to frame keys)."""
     f, r = _ranges(spark, sf_dir)
-    return RG.range_semi_join(f.select("episode_id", "t"), r, max_broadcast_rows=-1)
+    return RG.range_semi_join(f.select("episode_id", "t"), r, exploded=True)
 
 
 RANGES_JSON_SQL = f"""{RANGES_SQL},

@@ -61,14 +61,15 @@ def q_stream_broker(spark, sf_dir):
 
 @query("stream_newest", """
 WITH e AS (SELECT event_id, event_type, ts,
-                  max(ts) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+                  max(ts) OVER (PARTITION BY event_type ORDER BY user_id, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
            FROM events)
 SELECT event_id, event_type AS channel FROM e WHERE prev IS NULL OR ts > prev""")
 def q_stream_newest(spark, sf_dir):
-    """Keyed state (max ts per channel) over arriving readings; equals the batch newest-only."""
-    ev = views.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("channel"), "ts",
-                                                    F.col("event_id").alias("arrival"))
-    _, stream = _staged(spark, ev, "event_id", "newest")
+    """Keyed state (max ts per channel) over readings arriving user by user; equals batch newest-only."""
+    ev = views.table(spark, sf_dir, "events").select(
+        "event_id", F.col("event_type").alias("channel"), "ts",
+        (F.col("user_id") * F.lit(10 ** 9) + F.col("event_id")).alias("arrival"), "user_id")
+    _, stream = _staged(spark, ev, "user_id", "newest")
     return ST.stream_newest(spark, stream, ST.scratch(spark, "newest-out"))
 
 

@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a dimension table may hold and still be shipped to every task.
+# Rows a dimension table may hold and still be shipped to every task (explicit checks).
 BROADCAST_MAX_ROWS = 2_000_000
 
 
@@ -54,15 +54,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS, known_small: bool = False) -> DataFrame:
-    """Join ``small`` to ``big``, broadcasting it only below a checked row bound.
-
-    ``known_small`` marks sides whose size is fixed by construction (a
-    literal list, a 25-row dimension); otherwise the side is counted first
-    and, when above ``max_rows``, joined with an ordinary shuffle join.
+               max_rows: int | None = None, known_small: bool = False) -> DataFrame:
+    """Join a side expected to be small, broadcasting it only when its size is checked.
+
+    * ``known_small``: the side is bounded by construction (a literal list,
+      one row per key × dim of a stats table) → broadcast hint.
+    * ``max_rows``: count the side first; broadcast below the bound, shuffle
+      join above it.
+    * default: a plain join. AQE measures the side's real shuffle size at
+      runtime and turns the join into a broadcast join only under
+      ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise it stays a
+      sort-merge join (skew-split by AQE). No extra job.
     """
-    if known_small or small.count() <= max_rows:
+    if known_small:
         return big.join(F.broadcast(small), on, how)
+    if max_rows is not None:
+        if small.count() <= max_rows:
+            return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
 
 
