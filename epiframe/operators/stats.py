@@ -57,27 +57,30 @@ def moments(values: DataFrame) -> DataFrame:
 
 
 def histogram_quantiles(values: DataFrame, ranges: DataFrame, quantiles: Sequence[float] = QUANTILES,
-                        bins: int = NUM_BINS) -> DataFrame:
+                        bins: int = NUM_BINS, carry: Sequence[str] = ()) -> DataFrame:
     """A3 second pass: per (key, dim) the left bin edge reaching each quantile.
 
     ``ranges`` holds one row per (key, dim) with ``min``, ``max``, ``count`` —
-    at most keys × dims rows, so it is broadcast.
+    at most keys × dims rows, so it is broadcast. Columns in ``carry`` (e.g.
+    the moments) ride along on the broadcast rows and come out unchanged,
+    so the first pass is never evaluated twice.
     """
-    r = ranges.select("key", "dim", (F.col("min") - F.lit(RANGE_PAD)).alias("lo"),
+    r = ranges.select("key", "dim", *carry, (F.col("min") - F.lit(RANGE_PAD)).alias("lo"),
                       (F.col("max") + F.lit(RANGE_PAD)).alias("hi"), F.col("count").alias("n"))
     v = join_small(values, r, ["key", "dim"], known_small=True)
     b = F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("lo")) * (F.lit(float(bins)) / (F.col("hi") - F.col("lo")))))
-    hist = v.groupBy("key", "dim", "lo", "hi", "n", b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    group = ["key", "dim", *carry, "lo", "hi", "n"]
+    hist = v.groupBy(*group, b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy("key", "dim").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumn("cum", F.sum("c").over(w))
     aggs = []
     for q in quantiles:
         first = F.min(F.when(F.col("cum") >= F.lit(q) * F.col("n"), F.col("bin")))
         aggs.append(first.alias(f"_b{_qname(q)}"))
-    out = hist.groupBy("key", "dim", "lo", "hi").agg(*aggs)
+    out = hist.groupBy(*group).agg(*aggs)
     step = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    return out.select("key", "dim", *[(F.col(f"_b{_qname(q)}") * step + F.col("lo")).alias(_qname(q))
-                                      for q in quantiles])
+    return out.select("key", "dim", *carry, *[(F.col(f"_b{_qname(q)}") * step + F.col("lo")).alias(_qname(q))
+                                              for q in quantiles])
 
 
 def _qname(q: float) -> str:
@@ -86,14 +89,15 @@ def _qname(q: float) -> str:
 
 def norm_stats(values: DataFrame, quantiles: Sequence[float] = QUANTILES, bins: int = NUM_BINS,
                min_count: int = 2) -> DataFrame:
-    """A1–A3: ``(key, dim, count, mean, std, min, max, q01, q99)``.
+    """A1–A3: ``(key, dim, count, mean, std, min, max, q01, q99)`` in two passes over ``values``.
 
-    Fewer than ``min_count`` vectors for a key is an error in the result
+    Pass 1 (moments, map-side partial aggregation) is broadcast to pass 2
+    (histogram); the moments ride along, so there is no third pass. Fewer
+    than ``min_count`` vectors for a key is an error in the result
     (``raise_error`` in the plan, no driver round trip).
     """
     m = moments(values)
-    q = histogram_quantiles(values, m, quantiles, bins)
-    out = m.join(q, ["key", "dim"])
+    out = histogram_quantiles(values, m, quantiles, bins, carry=["count", "mean", "std", "min", "max"])
     return out.withColumn("count", F.when(F.col("count") >= min_count, F.col("count")).otherwise(
         F.raise_error(F.lit(f"Cannot compute statistics for less than {min_count} vectors.")).cast("bigint")))
 

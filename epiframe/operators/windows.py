@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from epiframe.functions import vectors as V
-from epiframe.plans.ordered import SEGMENT, neighbours, running_agg
+from epiframe.plans.ordered import SEGMENT, frame_window, neighbours, running_agg
 from epiframe.session import join_small
 
 
@@ -21,18 +21,24 @@ def action_chunk(df: DataFrame, horizon: int, cols: Sequence[str] = ("actions",)
     """Replace each column in ``cols`` by its next ``horizon`` values in the episode.
 
     Element ``i`` of row ``t`` is ``col[min(t+i, n-1)]``: the tail repeats the
-    episode's last value and never reaches into another episode.
+    episode's last value and never reaches into another episode. Built from
+    ``lead(col, i)`` offsets (one window pass); a missing lead falls back to
+    the previous element, which is the clamp.
     """
     if horizon < 1:
         raise ValueError("horizon must be >= 1")
     if horizon == 1:
         return df.withColumns({c: F.array(F.col(c)) for c in cols})
-    win = neighbours(df, list(keys), t, list(cols), after=horizon - 1, out="_ahead", segment=segment)
+    rows, w, finish = frame_window(df, list(keys), t, after=horizon - 1, segment=segment)
+    leads = {f"_lead_{c}_{i}": F.lead(c, i).over(w) for c in cols for i in range(1, horizon)}
+    rows = rows.withColumns(leads)
     out = {}
     for c in cols:
-        lst = F.transform("_ahead", V.field(c))
-        out[c] = F.concat(lst, F.array_repeat(F.element_at(lst, -1), F.lit(horizon) - F.size(lst)))
-    return win.withColumns(out).drop("_ahead")
+        elems = [F.col(c)]
+        for i in range(1, horizon):
+            elems.append(F.coalesce(F.col(f"_lead_{c}_{i}"), elems[-1]))
+        out[c] = F.array(*elems)
+    return finish(rows.withColumns(out).drop(*leads))
 
 
 def chunk_weights(df: DataFrame, horizon: int, keys: Sequence[str] = ("episode_id",),

@@ -4,19 +4,18 @@ A per-episode ``Window.partitionBy(episode)`` puts a whole episode in one
 task. Episodes can be very unequal (one may hold a third of all frames), so
 the helpers here never need a whole episode in one place:
 
-* ``index_within``  – dense 0-based position inside a group: rows are cut
-  into value ranges of (group, order), numbered per (range, group), and the
-  counts of earlier ranges are added (no per-group task).
-* ``neighbours``    – rows ``t-before .. t+after`` of the same episode, via
-  fixed-size segments of the frame index plus a small halo copied from the
-  adjacent segment; the window then runs per (episode, segment).
+* ``index_within``  – dense 0-based position inside a group. Groups that fit
+  a task use a plain window; hot groups are cut into value ranges of
+  (group, order), numbered per (range, group), and the counts of earlier
+  ranges are added (no group in one task).
+* ``frame_window`` / ``neighbours`` – rows ``t-before .. t+after`` of the same
+  episode; for hot episodes via fixed-size segments of the frame index plus a
+  small halo copied from the adjacent segment (window per (episode, segment)).
 * ``running_sum``   – prefix sum in a global order, same range cut.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +23,13 @@ from epiframe.session import join_small
 
 SEGMENT = 4096
 
-# Sampled range bounds per (semantic plan, columns): plan-time statistics, reused
-# when the same input is cut again in this session.
-_BOUNDS: dict = {}
+# A group with at most this many rows is ordered by a plain window in one task;
+# larger ("hot") groups are cut into value ranges. Tests lower it to force cuts.
+SPLIT_MIN_ROWS = 2_000_000
+
+# Plan-time statistics per (semantic plan, columns): hot groups and sampled
+# range bounds, reused when the same input is cut again in this session.
+_STATS: dict = {}
 
 
 def _partitions(df: DataFrame, partitions: int | None) -> int:
@@ -35,26 +38,67 @@ def _partitions(df: DataFrame, partitions: int | None) -> int:
     return min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def hot_groups(df: DataFrame, keys: list[str], parts: int, min_rows: int | None = None) -> list[tuple] | None:
+    """Groups too large for one task: ``count > max(min_rows, total / parts)``.
+
+    One aggregation job (map-side partial counts) decides; only when some
+    group is hot are their keys collected (at most ``parts`` of them).
+    Returns ``None`` for no hot group, ``[()]`` when ``keys`` is empty and the
+    whole input is hot.
+    """
+    min_rows = SPLIT_MIN_ROWS if min_rows is None else min_rows
+    memo = ("hot", df.select(*keys).semanticHash() if keys else df.semanticHash(), tuple(keys), parts, min_rows)
+    if memo in _STATS:
+        return _STATS[memo]
+    if not keys:
+        total = df.count()
+        res = [()] if total > min_rows else None
+    else:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        agg = counts.agg(F.sum("_n").alias("total"), F.max("_n").alias("mx")).first()
+        thr = max(min_rows, (agg["total"] or 0) // max(parts, 1))
+        if (agg["mx"] or 0) <= thr:
+            res = None
+        else:
+            res = [tuple(r) for r in counts.filter(F.col("_n") > thr).select(*keys).collect()]
+    _STATS[memo] = res
+    return res
+
+
+def _is_hot(keys: list[str], hot: list[tuple]):
+    if not keys:
+        return F.lit(True)
+    cond = None
+    for h in hot:
+        c = None
+        for k, v in zip(keys, h):
+            e = F.col(k) == F.lit(v)
+            c = e if c is None else (c & e)
+        cond = c if cond is None else (cond | c)
+    return cond
+
+
 def range_ids(df: DataFrame, cols: list, parts: int, out: str = "_part", seed: int = 17,
-              per_part: int = 32) -> DataFrame:
+              per_part: int = 32, only=None) -> DataFrame:
     """Add ``out`` = id of the value range of ``struct(cols)`` (``parts`` ranges).
 
-    Bounds come from one seeded sample of about ``parts * per_part`` rows and
+    Bounds come from one seeded sample of about ``parts * per_part`` rows
+    (of the rows matching ``only``, if given; other rows get range 0) and
     become literals in the plan, so every re-execution (and every branch of
     a self-join) assigns the same id. ``repartitionByRange`` cannot promise
     that: it re-samples per execution.
     """
     names = [c if isinstance(c, str) else c._jc.toString() for c in cols]
-    key = df.select(*cols)
+    key = df.select(*cols) if only is None else df.filter(only).select(*cols)
     if parts <= 1:
         return df.withColumn(out, F.lit(0))
-    memo = (key.semanticHash(), tuple(names), parts, seed, per_part)
-    sample = _BOUNDS.get(memo)
+    memo = ("bounds", key.semanticHash(), tuple(names), parts, seed, per_part)
+    sample = _STATS.get(memo)
     if sample is None:
         n = key.count()
         frac = min(1.0, parts * per_part / max(n, 1))
         sample = key.sample(False, frac, seed).orderBy(*names).collect()
-        _BOUNDS[memo] = sample
+        _STATS[memo] = sample
     if len(sample) < 2:
         return df.withColumn(out, F.lit(0))
     step = len(sample) / parts
@@ -75,7 +119,10 @@ def range_ids(df: DataFrame, cols: list, parts: int, out: str = "_part", seed: i
         mid = (lo + hi) // 2
         return F.when(row_key <= lit_struct(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return df.withColumn(out, tree(0, len(bounds)))
+    part = tree(0, len(bounds))
+    if only is not None:
+        part = F.when(only, part).otherwise(F.lit(0))
+    return df.withColumn(out, part)
 
 
 def _block_offsets(d: DataFrame, keys: list[str], value, agg: str = "sum") -> DataFrame:
@@ -94,11 +141,17 @@ def index_within(df: DataFrame, keys: list[str], order: list, out: str = "t",
     """Add ``out`` = 0-based row number inside ``keys`` by ``order``.
 
     Equal to ``row_number() over (partition by keys order by order) - 1`` when
-    ``order`` is a total order, but a hot key is cut into value ranges: the
+    ``order`` is a total order. Groups that fit one task use exactly that
+    window; hot groups (see ``hot_groups``) are cut into value ranges: the
     window runs per (range, key) and earlier ranges' counts are added from a
-    small offsets table (one row per block, broadcast after a size check).
+    small offsets table (AQE broadcasts it when its measured size allows).
     """
-    d = range_ids(df, [*keys, *order], _partitions(df, partitions))
+    parts = _partitions(df, partitions)
+    hot = hot_groups(df, keys, parts)
+    if hot is None:
+        w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*order)
+        return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
+    d = range_ids(df, [*keys, *order], parts, only=_is_hot(keys, hot))
     w = Window.partitionBy("_part", *keys).orderBy(*order)
     local = d.withColumn("_r", F.row_number().over(w) - 1)
     offsets = _block_offsets(d, keys, F.lit(1))
@@ -106,28 +159,43 @@ def index_within(df: DataFrame, keys: list[str], order: list, out: str = "t",
     return joined.withColumn(out, (F.col("_r") + F.col("_off")).cast("bigint")).drop("_part", "_r", "_off")
 
 
-def neighbours(df: DataFrame, keys: list[str], t: str, cols: list[str], before: int = 0,
-               after: int = 0, out: str = "_win", segment: int = SEGMENT) -> DataFrame:
-    """Add ``out`` = ``collect_list(struct(cols))`` over rows ``[t-before, t+after]``.
+def frame_window(df: DataFrame, keys: list[str], t: str, before: int = 0, after: int = 0,
+                 segment: int = SEGMENT, partitions: int | None = None):
+    """Rows plus a window spec that sees ``t-before .. t+after`` of the same group.
 
-    ``t`` must be the dense 0-based frame index inside ``keys``. Rows near a
-    segment border are copied into the neighbouring segment so every window
-    is complete; the copies are dropped after the window.
+    Returns ``(rows, window, finish)``: compute window expressions on
+    ``rows`` over ``window``, then call ``finish`` on the result. Groups that
+    fit one task use ``partitionBy(keys)`` (the same partitioning as the frame
+    index, so no extra shuffle). If a group is hot, rows are cut into
+    fixed-size segments of ``t``; rows within reach of a segment border are
+    emitted once more (one ``explode``, input plan not duplicated) as halo
+    copies for the neighbouring segment, and ``finish`` drops those copies.
+    ``t`` must be the dense 0-based index inside ``keys``.
     """
     if max(before, after) >= segment:
         raise ValueError("segment must exceed the window reach")
-    seg = F.floor(F.col(t) / F.lit(segment))
-    parts = [df.withColumn("_seg", seg).withColumn("_own", F.lit(True))]
+    hot = hot_groups(df, keys, _partitions(df, partitions))
+    if hot is None:
+        return df, Window.partitionBy(*keys).orderBy(t), (lambda x: x)
+    tc = F.col(t)
+    seg = F.floor(tc / F.lit(segment))
+    pos = tc % F.lit(segment)
+    copies = [F.struct(seg.alias("s"), F.lit(True).alias("own"))]
     if after:
-        parts.append(df.filter((F.col(t) >= segment) & (F.col(t) % segment < after))
-                     .withColumn("_seg", seg - 1).withColumn("_own", F.lit(False)))
+        copies.append(F.when((tc >= segment) & (pos < after), F.struct((seg - 1).alias("s"), F.lit(False).alias("own"))))
     if before:
-        parts.append(df.filter(F.col(t) % segment >= segment - before)
-                     .withColumn("_seg", seg + 1).withColumn("_own", F.lit(False)))
-    u = reduce(DataFrame.unionByName, parts)
-    w = Window.partitionBy(*keys, "_seg").orderBy(t).rowsBetween(-before, after)
-    return (u.withColumn(out, F.collect_list(F.struct(*cols)).over(w))
-            .filter("_own").drop("_seg", "_own"))
+        copies.append(F.when(pos >= segment - before, F.struct((seg + 1).alias("s"), F.lit(False).alias("own"))))
+    arr = F.filter(F.array(*copies), lambda c: c.isNotNull()) if len(copies) > 1 else F.array(*copies)
+    u = df.withColumn("_c", F.explode(arr)).withColumn("_seg", F.col("_c.s")).withColumn("_own", F.col("_c.own")).drop("_c")
+    w = Window.partitionBy(*keys, "_seg").orderBy(t)
+    return u, w, (lambda x: x.filter("_own").drop("_seg", "_own"))
+
+
+def neighbours(df: DataFrame, keys: list[str], t: str, cols: list[str], before: int = 0,
+               after: int = 0, out: str = "_win", segment: int = SEGMENT) -> DataFrame:
+    """Add ``out`` = ``collect_list(struct(cols))`` over rows ``[t-before, t+after]`` of the group."""
+    rows, w, finish = frame_window(df, keys, t, before, after, segment)
+    return finish(rows.withColumn(out, F.collect_list(F.struct(*cols)).over(w.rowsBetween(-before, after))))
 
 
 def running_agg(df: DataFrame, value, order: list[str], out: str, keys: list[str] | None = None,
@@ -142,8 +210,14 @@ def running_agg(df: DataFrame, value, order: list[str], out: str, keys: list[str
     keys = keys or []
     val = F.col(value) if isinstance(value, str) else value
     fn = {"sum": F.sum, "max": F.max, "min": F.min}[agg]
-    d = range_ids(df.withColumn("_v", val), [*keys, *order], _partitions(df, partitions))
     upto = 0 if include_current else -1
+    parts = _partitions(df, partitions)
+    hot = hot_groups(df, keys, parts)
+    if hot is None:
+        w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*order)
+        r = fn(val).over(w.rowsBetween(Window.unboundedPreceding, upto))
+        return df.withColumn(out, F.coalesce(r, F.lit(0)) if agg == "sum" else r)
+    d = range_ids(df.withColumn("_v", val), [*keys, *order], parts, only=_is_hot(keys, hot))
     w = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
     local = d.withColumn("_r", fn("_v").over(w))
     offsets = _block_offsets(d, keys, F.col("_v"), agg)
