@@ -33,3 +33,15 @@ def hash_key_sql(cols: list[str], seed: int = 0) -> str:
 
 def unit_hash_sql(cols: list[str], seed: int = 0) -> str:
     return f"({hash_key_sql(cols, seed)} / CAST({TWO_52!r} AS DOUBLE))"
+
+
+def fingerprint(key, version: int = 1, rate: int = 1, size: tuple[int, int] = (224, 224),
+                multi_view: bool = False, skip_video: bool = False) -> Column:
+    """md5 of ``v<version>|<key>|rate=<r>|size=(w, h)|multi_view=<b>|skip_video=<b>``.
+
+    Any change of a flag gives a different fingerprint (cache identity).
+    """
+    k = F.col(key) if isinstance(key, str) else key
+    return F.md5(F.concat_ws("|", F.lit(f"v{version}"), k.cast("string"), F.lit(f"rate={rate}"),
+                             F.lit(f"size={tuple(size)}"), F.lit(f"multi_view={multi_view}"),
+                             F.lit(f"skip_video={skip_video}")))

@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from epiframe.functions import vectors as V
-from epiframe.plans.ordered import SEGMENT, frame_window, neighbours, running_agg
+from epiframe.plans.ordered import frame_window, neighbours, running_agg
 from epiframe.session import join_small
 
 
 def action_chunk(df: DataFrame, horizon: int, cols: Sequence[str] = ("actions",),
-                 keys: Sequence[str] = ("episode_id",), t: str = "t", segment: int = SEGMENT) -> DataFrame:
+                 keys: Sequence[str] = ("episode_id",), t: str = "t", segment: int | None = None) -> DataFrame:
     """Replace each column in ``cols`` by its next ``horizon`` values in the episode.
 
     Element ``i`` of row ``t`` is ``col[min(t+i, n-1)]``: the tail repeats the

@@ -26,6 +26,8 @@ SEGMENT = 4096
 # A group with at most this many rows is ordered by a plain window in one task;
 # larger ("hot") groups are cut into value ranges. Tests lower it to force cuts.
 SPLIT_MIN_ROWS = 2_000_000
+# ... and only if it also exceeds this share of an even split (total / partitions).
+SPLIT_SHARE = 1.0
 
 # Plan-time statistics per (semantic plan, columns): hot groups and sampled
 # range bounds, reused when the same input is cut again in this session.
@@ -56,7 +58,7 @@ def hot_groups(df: DataFrame, keys: list[str], parts: int, min_rows: int | None
     else:
         counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         agg = counts.agg(F.sum("_n").alias("total"), F.max("_n").alias("mx")).first()
-        thr = max(min_rows, (agg["total"] or 0) // max(parts, 1))
+        thr = max(min_rows, int(SPLIT_SHARE * (agg["total"] or 0) / max(parts, 1)))
         if (agg["mx"] or 0) <= thr:
             res = None
         else:
@@ -160,7 +162,7 @@ def index_within(df: DataFrame, keys: list[str], order: list, out: str = "t",
 
 
 def frame_window(df: DataFrame, keys: list[str], t: str, before: int = 0, after: int = 0,
-                 segment: int = SEGMENT, partitions: int | None = None):
+                 segment: int | None = None, partitions: int | None = None):
     """Rows plus a window spec that sees ``t-before .. t+after`` of the same group.
 
     Returns ``(rows, window, finish)``: compute window expressions on
@@ -172,6 +174,7 @@ def frame_window(df: DataFrame, keys: list[str], t: str, before: int = 0, after:
     copies for the neighbouring segment, and ``finish`` drops those copies.
     ``t`` must be the dense 0-based index inside ``keys``.
     """
+    segment = segment or SEGMENT
     if max(before, after) >= segment:
         raise ValueError("segment must exceed the window reach")
     hot = hot_groups(df, keys, _partitions(df, partitions))
@@ -192,7 +195,7 @@ def frame_window(df: DataFrame, keys: list[str], t: str, before: int = 0, after:
 
 
 def neighbours(df: DataFrame, keys: list[str], t: str, cols: list[str], before: int = 0,
-               after: int = 0, out: str = "_win", segment: int = SEGMENT) -> DataFrame:
+               after: int = 0, out: str = "_win", segment: int | None = None) -> DataFrame:
     """Add ``out`` = ``collect_list(struct(cols))`` over rows ``[t-before, t+after]`` of the group."""
     rows, w, finish = frame_window(df, keys, t, before, after, segment)
     return finish(rows.withColumn(out, F.collect_list(F.struct(*cols)).over(w.rowsBetween(-before, after))))

@@ -219,3 +219,18 @@ def q_episode_best(spark, sf_dir):
     ev = views.table(spark, sf_dir, "events").select(
         F.col("user_id").alias("episode_id"), F.col("value").alias("reward"), (F.col("event_type") == "purchase").alias("done"))
     return E.episode_best(ev)
+
+
+@query("fingerprint", f"""WITH {OBJECT_KEYS}, {CAMS}
+SELECT bucket, prefix,
+       md5('v1|' || bucket || '/' || prefix || '|rate=2|size=(224, 224)|multi_view=True|skip_video=False') AS fp_multi,
+       md5('v1|' || bucket || '/' || prefix || '|rate=2|size=(224, 224)|multi_view=False|skip_video=False') AS fp_single
+FROM vs WHERE nv = 3""")
+def q_fingerprint(spark, sf_dir):
+    """Cache identity per discovered episode; the multi-view flag changes it."""
+    from epiframe.functions.hashing import fingerprint
+
+    eps = D.discover_multiview(views.object_keys(spark, sf_dir))
+    key = F.concat_ws("/", "bucket", "prefix")
+    return eps.select("bucket", "prefix", fingerprint(key, 1, 2, (224, 224), True).alias("fp_multi"),
+                      fingerprint(key, 1, 2, (224, 224), False).alias("fp_single"))
