@@ -151,48 +151,76 @@ def python_stats_json(stats_by_key: Mapping[str, Mapping[str, list]]) -> str:
     return json.dumps({"norm_stats": stats_by_key}, indent=2)
 
 
+def _stats_fn(mode: str, inverse: bool, s):
+    """One-argument column function (``transform`` counts lambda parameters)."""
+    if mode == "z":
+        return (lambda v: V.unnormalize_z(v, s["mean"], s["std"])) if inverse else \
+            (lambda v: V.normalize_z(v, s["mean"], s["std"]))
+    if mode == "quantile":
+        return (lambda v: V.unnormalize_q(v, s["q01"], s["q99"])) if inverse else \
+            (lambda v: V.normalize_q(v, s["q01"], s["q99"]))
+    raise ValueError(mode)
+
+
 def apply_stats(df: DataFrame, stats: DataFrame, cols: Mapping[str, str], mode: str = "z",
                 inverse: bool = False, strict: bool = False) -> DataFrame:
     """J6 + M1–M4: normalise (or invert) each column with the stats of key ``cols[col]``.
 
-    ``stats`` is long form; it is re-nested to one row per key and
-    cross-joined as a broadcast (one row per key, known small). Columns whose
-    key has no stats are left alone unless ``strict`` (then an error).
+    ``stats`` (long form) is re-nested to ``map<key, struct<mean, std, q01,
+    q99>>`` and attached as one scalar subquery: computed once, shipped to
+    every task as a value (no join, no driver round trip). A column whose key
+    has no stats is left unchanged, unless ``strict`` or ``inverse``, where
+    the job fails.
     """
     rows = stats_rows(stats)
-    present = {r["key"] for r in rows.select("key").collect()}
+    table = rows.select(F.map_from_entries(F.collect_list(F.struct(
+        "key", F.struct("mean", "std", "q01", "q99"))).alias("m"))).scalar()
     out = df
-    for col, key in cols.items():
-        if key not in present:
-            if strict or inverse:
-                raise KeyError(f"no norm stats for key {key!r}")
-            continue
-        s = rows.filter(F.col("key") == key).select(*[F.col(f).alias(f"_{f}") for f in ("mean", "std", "q01", "q99")])
-        out = out.crossJoin(F.broadcast(s))
+    for n, (col, key) in enumerate(cols.items()):
+        # the subquery value becomes a column first: lambdas cannot hold subqueries
+        out = out.withColumn(f"_stats{n}", table[F.lit(key)])
+        s = F.col(f"_stats{n}")
         x = F.col(col)
         is_chunk = isinstance(df.schema[col].dataType.elementType, ArrayType)
-        if mode == "z":
-            fn = (lambda v: V.unnormalize_z(v, F.col("_mean"), F.col("_std"))) if inverse else \
-                (lambda v: V.normalize_z(v, F.col("_mean"), F.col("_std")))
-        elif mode == "quantile":
-            fn = (lambda v: V.unnormalize_q(v, F.col("_q01"), F.col("_q99"))) if inverse else \
-                (lambda v: V.normalize_q(v, F.col("_q01"), F.col("_q99")))
+        fn = _stats_fn(mode, inverse, s)
+        new = V.on_rows(x, fn) if is_chunk else fn(x)
+        if strict or inverse:
+            missing = F.raise_error(F.lit(f"no norm stats for key {key!r}"))
+            new = F.when(s.isNull(), missing.cast(df.schema[col].dataType)).otherwise(new)
         else:
-            raise ValueError(mode)
-        out = out.withColumn(col, V.on_rows(x, fn) if is_chunk else fn(x)).drop("_mean", "_std", "_q01", "_q99")
+            new = F.when(s.isNull(), x).otherwise(new)
+        out = out.withColumn(col, new).drop(f"_stats{n}")
     return out
 
 
 def norm_stats_pipeline(frames: DataFrame, horizon: int, delta_mask: Sequence[bool] | None,
                         state: str = "state", actions: str = "actions",
                         keys: Sequence[str] = ("episode_id",), t: str = "t") -> DataFrame:
-    """A4: chunk → delta → stats of ``state`` (per frame) and ``actions`` (every chunk row)."""
+    """A4: chunk → delta → stats of ``state`` (per frame) and ``actions`` (every chunk row).
+
+    The horizon is known when the plan is built, so the chunk rows are
+    listed explicitly and the delta is applied per element after one
+    explode: plain expressions that stay in whole-stage codegen (no
+    per-row lambdas).
+    """
     from epiframe.operators.windows import action_chunk
 
     f = frames.select(*keys, t, state, actions)
     ch = action_chunk(f, horizon, cols=[actions], keys=keys, t=t)
-    ch = ch.withColumn(actions, V.delta_actions(F.col(actions), F.col(state), delta_mask))
-    return norm_stats(long_values(ch, vector_cols=[state], chunk_cols=[actions]))
+    entries = [F.struct(F.lit(state).alias("key"), F.col(state).cast("array<double>").alias("v"),
+                        F.lit(False).alias("delta"))]
+    entries += [F.struct(F.lit(actions).alias("key"), F.element_at(actions, i + 1).cast("array<double>").alias("v"),
+                         F.lit(True).alias("delta")) for i in range(horizon)]
+    e = ch.select(F.col(state).cast("array<double>").alias("_st"), F.explode(F.array(*entries)).alias("e"))
+    v = e.select(F.col("e.key").alias("key"), F.col("e.delta").alias("_d"), "_st",
+                 F.posexplode("e.v").alias("dim", "x"))
+    x = F.col("x")
+    if delta_mask is not None and any(delta_mask):
+        m = F.array(*[F.lit(bool(b)) for b in delta_mask])
+        use = F.col("_d") & (F.col("dim") < len(delta_mask)) & F.coalesce(F.get(m, F.col("dim")), F.lit(False))
+        x = F.when(use, x - F.get(F.col("_st"), F.col("dim"))).otherwise(x)
+    vals = v.select("key", F.col("dim").cast("bigint").alias("dim"), x.alias("x"))
+    return norm_stats(vals)
 
 
 def weighted_values(frames: DataFrame, horizon: int, state: str = "state", actions: str = "actions",
