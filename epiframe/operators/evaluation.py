@@ -1,8 +1,8 @@
 """Evaluation and monitoring aggregates.
 
-Exact medians/percentiles use ``percentile`` (linear interpolation, equal to
-numpy's default); ``percentile_approx`` is the bounded-memory choice for
-very large groups.
+Exact medians/percentiles are rank-based (``stats.exact_quantiles``: linear
+interpolation as numpy's default, no group held in one task);
+``percentile_approx`` is the one-pass approximate choice.
 """
 
 from __future__ import annotations
@@ -42,12 +42,18 @@ def eval_samples(pairs: DataFrame, pred: str, target: str) -> DataFrame:
 
 
 def eval_summary(samples: DataFrame) -> DataFrame:
-    """A5: mean, population std, median and max of L1 and L2."""
+    """A5: mean, population std, median and max of L1 and L2 (exact median, rank-based)."""
+    from epiframe.operators.stats import exact_quantiles
+
     aggs = []
     for m in ("l1", "l2"):
-        aggs += [F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"),
-                 F.percentile(m, 0.5).alias(f"{m}_median"), F.max(m).alias(f"{m}_max")]
-    return samples.agg(F.count(F.lit(1)).alias("n"), *aggs)
+        aggs += [F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"), F.max(m).alias(f"{m}_max")]
+    out = samples.agg(F.count(F.lit(1)).alias("n"), *aggs).withColumn("_one", F.lit(1))
+    for m in ("l1", "l2"):
+        q = exact_quantiles(samples, [], m, [0.5], prefix=f"{m}_median_").withColumnRenamed(
+            f"{m}_median_50", f"{m}_median")
+        out = out.join(q.withColumn("_one", F.lit(1)), "_one")  # one-row aggregates side by side
+    return out.drop("_one")
 
 
 def eval_per_dim(pairs: DataFrame, pred: str, target: str, labels: Sequence[str] | None = None) -> DataFrame:
@@ -61,11 +67,11 @@ def eval_per_dim(pairs: DataFrame, pred: str, target: str, labels: Sequence[str]
 
 def latency_summary(df: DataFrame, metric: str = "metric", ms: str = "ms",
                     percentiles: Sequence[float] = LATENCY_PERCENTILES) -> DataFrame:
-    """Per metric mean, population std and interpolated percentiles."""
-    p = F.percentile(ms, list(percentiles))
-    g = df.groupBy(metric).agg(F.avg(ms).alias("mean"), F.stddev_pop(ms).alias("std"), p.alias("_p"))
-    return g.select(metric, "mean", "std",
-                    *[F.get("_p", i).alias(f"p{round(q * 100)}") for i, q in enumerate(percentiles)])
+    """Per metric mean, population std and linearly interpolated percentiles (exact, rank-based)."""
+    from epiframe.operators.stats import exact_quantiles
+
+    g = df.groupBy(metric).agg(F.avg(ms).alias("mean"), F.stddev_pop(ms).alias("std"))
+    return g.join(exact_quantiles(df, [metric], ms, percentiles), metric)
 
 
 def success_rollup(df: DataFrame, task: str = "task", success: str = "success") -> DataFrame:

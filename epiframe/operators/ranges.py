@@ -68,14 +68,23 @@ def nonidle_ranges(df: DataFrame, col: str, keys: Sequence[str] = ("episode_id",
     return episodes.join(ranges, k, "left")
 
 
-def keep_ranges_json(ranges: DataFrame, keys: Sequence[str] = ("episode_id",)) -> DataFrame:
-    """K4: one JSON line per episode, ``{"episode_key": …, "ranges": [[s,e],…]}`` in start order."""
+def keep_ranges_json(ranges: DataFrame, keys: Sequence[str] = ("episode_id",), per_line: int = 1000) -> DataFrame:
+    """K4: JSON lines ``(episode_key, part, ranges=[[s,e],…])`` in start order, at most ``per_line`` ranges each.
+
+    An episode with many ranges spans several lines (``part`` 0, 1, …), so no
+    line — and no task — holds an unbounded list. Episodes without ranges
+    get one line with ``[]``.
+    """
     k = list(keys)
-    g = ranges.groupBy(*k).agg(F.sort_array(F.collect_list(
-        F.when(F.col("start").isNotNull(), F.struct("start", "end")))).alias("_r"))
+    has = ranges.filter(F.col("start").isNotNull())
+    num = index_within(has, k, ["start"], out="_i").withColumn("part", (F.col("_i") / F.lit(per_line)).cast("bigint"))
+    g = num.groupBy(*k, "part").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_r"))
+    none = ranges.filter(F.col("start").isNull()).select(*k, F.lit(0).cast("bigint").alias("part"),
+                                                         F.array().cast(g.schema["_r"].dataType).alias("_r"))
+    g = g.unionByName(none)
     arr = F.transform("_r", lambda r: F.array(r["start"], r["end"]))
     key = F.concat_ws("--", *[F.col(c).cast("string") for c in k])
-    return g.select(key.alias("episode_key"), F.to_json(arr).alias("ranges"))
+    return g.select(key.alias("episode_key"), "part", F.to_json(arr).alias("ranges"))
 
 
 def read_keep_ranges(df: DataFrame, key_col: str = "episode_key", ranges_col: str = "ranges") -> DataFrame:

@@ -34,8 +34,8 @@ SELECT conv_id AS episode_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER
 def q_src_nested_explode(spark, sf_dir):
     """Episodes nested as ``steps ARRAY<STRUCT>`` (one record each), exploded back to steps."""
     c = views.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("episode_id"), "turn", "role", "text")
-    nested = RD.nest_steps(c.withColumn("t", F.col("turn")), ["turn", "role", "text"])
-    steps = RD.explode_steps(nested)
+    nested = RD.nest_steps(c.withColumn("t", F.col("turn")), ["turn", "role", "text"], max_steps=4)
+    steps = RD.explode_steps(nested, base="first_step")
     return steps.select("episode_id", "t", "turn", "role", F.md5("text").alias("text_md5"))
 
 

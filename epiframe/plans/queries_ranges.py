@@ -67,13 +67,13 @@ def q_range_semi_join_exploded(spark, sf_dir):
 
 RANGES_JSON_SQL = f"""{RANGES_SQL},
 js AS (
-  SELECT CAST(episode_id AS VARCHAR) AS episode_key,
+  SELECT CAST(episode_id AS VARCHAR) AS episode_key, CAST(0 AS BIGINT) AS part,
          '[' || COALESCE(string_agg('[' || CAST(start AS VARCHAR) || ',' || CAST("end" AS VARCHAR) || ']', ','
                                     ORDER BY start) FILTER (WHERE start IS NOT NULL), '') || ']' AS ranges
   FROM ranges GROUP BY episode_id)"""
 
 
-@query("ranges_json", f"WITH {RANGES_JSON_SQL} SELECT episode_key, ranges FROM js")
+@query("ranges_json", f"WITH {RANGES_JSON_SQL} SELECT episode_key, part, ranges FROM js")
 def q_ranges_json(spark, sf_dir):
     return RG.keep_ranges_json(_ranges(spark, sf_dir)[1])
 

@@ -29,20 +29,29 @@ def read_frames(spark: SparkSession, path: str, tasks_path: str | None = None, c
 
 
 def explode_steps(episodes: DataFrame, steps: str = "steps", keys: Sequence[str] = ("episode_id",),
-                  t: str = "t") -> DataFrame:
-    """One record per episode with ``steps ARRAY<STRUCT>`` → one row per step with its index."""
-    e = episodes.select(*keys, F.posexplode(steps).alias(t, "_s"))
-    return e.select(*keys, F.col(t).cast("bigint").alias(t), "_s.*")
+                  t: str = "t", base: str | None = None) -> DataFrame:
+    """Nested records ``steps ARRAY<STRUCT>`` → one row per step with its index.
+
+    ``base`` (optional column) is the index of the record's first step, for
+    episodes stored as several bounded records.
+    """
+    e = episodes.select(*keys, *([base] if base else []), F.posexplode(steps).alias("_p", "_s"))
+    idx = F.col("_p") + (F.col(base) if base else F.lit(0))
+    return e.select(*keys, idx.cast("bigint").alias(t), "_s.*")
 
 
 def nest_steps(frames: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("episode_id",), t: str = "t",
-               steps: str = "steps") -> DataFrame:
-    """Inverse of ``explode_steps`` (frames → one nested record per episode, steps in order).
+               steps: str = "steps", max_steps: int = 4096) -> DataFrame:
+    """Inverse of ``explode_steps``: frames → nested records of at most ``max_steps`` steps.
 
-    Only for episode-sized outputs: one episode's steps form one row.
+    Record ``(episode, block)`` holds steps ``block*max_steps ..``; its
+    ``first_step`` column is the ``base`` for ``explode_steps``. No episode
+    is ever gathered into one row or one task.
     """
-    g = frames.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(t, *cols))).alias("_s"))
-    return g.select(*keys, F.transform("_s", lambda s: s.dropFields(t)).alias(steps))
+    blk = (F.col(t) / F.lit(max_steps)).cast("bigint")
+    g = frames.groupBy(*keys, blk.alias("block")).agg(F.array_sort(F.collect_list(F.struct(t, *cols))).alias("_s"))
+    return g.select(*keys, (F.col("block") * max_steps).alias("first_step"),
+                    F.transform("_s", lambda s: s.dropFields(t)).alias(steps))
 
 
 def optional_columns(df: DataFrame, candidates: Sequence[str]) -> list[str]:
