@@ -137,3 +137,8 @@ def latest_version(df: DataFrame, group: Sequence[str], step: str, value: str) -
 def next_seq(df: DataFrame, group: Sequence[str], n: str) -> DataFrame:
     """Next sequence number per group: ``max + 1``, 0 when empty."""
     return df.groupBy(*group).agg((F.coalesce(F.max(n), F.lit(-1)) + 1).alias("next_seq"))
+
+
+def frame_cap(df: DataFrame, max_frames: int, batch_size: int, pos: str = "pos") -> DataFrame:
+    """The first ``(max_frames // B) * B`` rows of a shuffled order (whole batches only)."""
+    return df.filter(F.col(pos) < (max_frames // batch_size) * batch_size)

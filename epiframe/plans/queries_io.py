@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from epiframe.functions.hashing import unit_hash_sql
+from epiframe.functions.hashing import hash_key_sql, unit_hash_sql
 from epiframe.operators import schema as SC
 from epiframe.operators import stats as S
 from epiframe.plans import pipeline as PL
@@ -140,3 +140,50 @@ def q_dataset_length(spark, sf_dir):
     ep = E.episode_table(E.downsample(views.frames_li(spark, sf_dir), 3))
     return ep.agg(F.sum("length").cast("bigint").alias("n"))
 
+
+
+@query("step_id", """SELECT conv_id, turn, 'rec_' || CAST(conv_id AS VARCHAR) || '--' || role || '--' || CAST(turn AS VARCHAR) AS step_id
+FROM conversations""")
+def q_step_id(spark, sf_dir):
+    """Step id from recording folder, file and step index."""
+    from epiframe.functions.robots import step_id
+
+    c = views.table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", step_id(F.concat(F.lit("rec_"), F.col("conv_id").cast("string")), "role",
+                                               "turn").alias("step_id"))
+
+
+@query("camera_roles", """
+WITH c AS (SELECT conv_id, turn, role, 'cam_' || CAST(turn AS VARCHAR) AS cam,
+                  row_number() OVER (PARTITION BY conv_id, role = 'user' ORDER BY turn) AS k FROM conversations),
+g AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT g.conv_id,
+       (SELECT cam FROM c WHERE c.conv_id = g.conv_id AND role = 'user' AND k = 1) AS wrist,
+       (SELECT cam FROM c WHERE c.conv_id = g.conv_id AND role <> 'user' AND k = 1) AS exterior_1,
+       (SELECT cam FROM c WHERE c.conv_id = g.conv_id AND role <> 'user' AND k = 2) AS exterior_2
+FROM g""")
+def q_camera_roles(spark, sf_dir):
+    """Per episode a camera→role map (user turns = wrist role 0); first wrist, first two exterior."""
+    from epiframe.functions.robots import camera_roles
+
+    c = views.table(spark, sf_dir, "conversations")
+    entry = F.struct("turn", F.concat(F.lit("cam_"), F.col("turn").cast("string")).alias("cam"),
+                     F.when(F.col("role") == "user", 0).otherwise(1).alias("role"))
+    ordered = F.array_sort(F.collect_list(entry))
+    m = c.groupBy("conv_id").agg(F.map_from_entries(
+        F.transform(ordered, lambda x: F.struct(x["cam"], x["role"]))).alias("cams"))
+    w, e1, e2 = camera_roles("cams")
+    return m.select("conv_id", w.alias("wrist"), e1.alias("exterior_1"), e2.alias("exterior_2"))
+
+
+@query("frame_cap", f"""WITH {FRAMES_EV},
+sh AS (SELECT episode_id, t, row_number() OVER (ORDER BY {hash_key_sql(['episode_id', 't', '0'], 13)}, episode_id, t) - 1 AS pos
+       FROM frames_ev)
+SELECT episode_id, t FROM sh WHERE pos < (1000 // 32) * 32""")
+def q_frame_cap(spark, sf_dir):
+    """``max_frames // B`` whole batches (max_frames=1000, B=32) of the shuffled frames; the cap is the feature."""
+    from epiframe.operators import sampling as SM
+
+    f = views.frames_ev(spark, sf_dir).select("episode_id", "t")
+    sh = SM.shuffle_order(f, ["episode_id", "t"], seed=13)
+    return SM.frame_cap(sh, 1000, 32).select("episode_id", "t")
