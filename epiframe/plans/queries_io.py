@@ -99,7 +99,8 @@ def q_to_frame_table(spark, sf_dir):
 
 
 @query("stats_json_roundtrip", f"""WITH {LI_STATS_SQL}
-SELECT key, dim, {r6('mean')} AS mean, {r6('std')} AS std, {r6('q01')} AS q01, {r6('q99')} AS q99 FROM raw""")
+SELECT key, CAST(dim AS BIGINT) AS dim, {r6('mean')} AS mean, {r6('std')} AS std, {r6('q01')} AS q01,
+       {r6('q99')} AS q99 FROM raw""")
 def q_stats_json_roundtrip(spark, sf_dir):
     """K3: stats → one JSON document → parsed back to long form."""
     _, st = _li_stats(spark, sf_dir)
