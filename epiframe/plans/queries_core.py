@@ -192,3 +192,29 @@ def q_unnormalize_q(spark, sf_dir):
     li, st = _li_stats(spark, sf_dir)
     fwd = S.apply_stats(li, st, {"state": "state"}, mode="quantile")
     return _long_vec(S.apply_stats(fwd, st, {"state": "state"}, mode="quantile", inverse=True), "state")
+
+
+# ---------------------------------------------------------------- A4 on the larger frame view
+LI_H = 10
+LI_MASK = [True, False, False, False]
+
+
+@query("norm_stats_pipeline_li", f"""
+WITH {FRAMES_LI},
+len AS (SELECT episode_id, max(t) AS last_t FROM frames_li GROUP BY episode_id),
+pairs AS (
+  SELECT episode_id, t, st0, least(t + i, last_t) AS j FROM (
+    SELECT f.episode_id, f.t, f.s0 AS st0, len.last_t, unnest(range(0, {LI_H})) AS i
+    FROM frames_li f JOIN len ON f.episode_id = len.episode_id)),
+ch AS (SELECT p.st0, a.s0, a.s1, a.s2, a.s3 FROM pairs p JOIN frames_li a ON a.episode_id = p.episode_id AND a.t = p.j),
+vals AS (
+  SELECT 'state' AS key, 0 AS dim, s0 AS x FROM frames_li UNION ALL SELECT 'state', 1, s1 FROM frames_li
+  UNION ALL SELECT 'state', 2, s2 FROM frames_li UNION ALL SELECT 'state', 3, s3 FROM frames_li
+  UNION ALL SELECT 'actions', 0, s0 - st0 FROM ch UNION ALL SELECT 'actions', 1, s1 FROM ch
+  UNION ALL SELECT 'actions', 2, s2 FROM ch UNION ALL SELECT 'actions', 3, s3 FROM ch),
+{stats_sql()}
+SELECT * FROM stats_out""")
+def q_norm_stats_li(spark, sf_dir):
+    """A4 over lineitem episodes: 10-step chunks, delta on the first dim, stats of state and actions."""
+    frames = views.frames_li(spark, sf_dir)
+    return stats_out(S.norm_stats_pipeline(frames, LI_H, LI_MASK))

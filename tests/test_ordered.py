@@ -97,3 +97,20 @@ def test_results_independent_of_partition_count(spark):
     ordered._STATS.clear()
     b = sorted(tuple(r) for r in flagship(spark, SF001).collect())
     assert a == b
+
+
+def test_nonidle_ranges_hot_equals_plain(spark, force_split):
+    from epiframe.operators import ranges as RG
+
+    f = views.frames_idle(spark, SF001)
+    hot = _rows(RG.nonidle_ranges(f, "vel").fillna(-1), ["episode_id", "start", "end"])
+    hot_flags = _rows(RG.idle_flag(f, "vel"), ["episode_id", "t", "idle"])
+    ordered._STATS.clear()
+    cfg = (ordered.SPLIT_MIN_ROWS, ordered.SPLIT_SHARE)
+    ordered.SPLIT_MIN_ROWS, ordered.SPLIT_SHARE = 10 ** 12, 1.0
+    try:
+        plain = _rows(RG.nonidle_ranges(f, "vel").fillna(-1), ["episode_id", "start", "end"])
+        plain_flags = _rows(RG.idle_flag(f, "vel"), ["episode_id", "t", "idle"])
+    finally:
+        ordered.SPLIT_MIN_ROWS, ordered.SPLIT_SHARE = cfg
+    assert hot == plain and hot_flags == plain_flags
