@@ -34,10 +34,21 @@ SPLIT_SHARE = 1.0
 _STATS: dict = {}
 
 
+# Upper bound on value ranges for one cut (the range-id expression is a binary
+# tree over this many sampled bounds).
+MAX_RANGES = 8192
+
+
 def _partitions(df: DataFrame, partitions: int | None) -> int:
     if partitions:
         return partitions
-    return min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _cut_count(hot_rows: int, threshold: int, parts: int) -> int:
+    """Ranges for a cut: enough that each holds about half a threshold of hot rows."""
+    want = -(-2 * max(hot_rows, 1) // max(threshold, 1))
+    return max(2, min(MAX_RANGES, max(want, min(parts, MAX_RANGES))))
 
 
 def hot_groups(df: DataFrame, keys: list[str], parts: int, min_rows: int | None = None) -> list[tuple] | None:
@@ -46,23 +57,37 @@ def hot_groups(df: DataFrame, keys: list[str], parts: int, min_rows: int | None
     One aggregation job (map-side partial counts) decides; only when some
     group is hot are their keys collected (at most ``parts`` of them).
     Returns ``None`` for no hot group, ``[()]`` when ``keys`` is empty and the
-    whole input is hot.
+    whole input is hot. ``hot_rows(...)`` then tells how many rows they hold.
     """
+    return _hot(df, keys, parts, min_rows)[0]
+
+
+def hot_rows(df: DataFrame, keys: list[str], parts: int, min_rows: int | None = None) -> tuple[int, int]:
+    """(rows in hot groups, threshold) of the last ``hot_groups`` decision (memoised)."""
+    _, rows, thr = _hot(df, keys, parts, min_rows)
+    return rows, thr
+
+
+def _hot(df: DataFrame, keys: list[str], parts: int, min_rows: int | None):
     min_rows = SPLIT_MIN_ROWS if min_rows is None else min_rows
-    memo = ("hot", df.select(*keys).semanticHash() if keys else df.semanticHash(), tuple(keys), parts, min_rows)
+    memo = ("hot", df.select(*keys).semanticHash() if keys else df.semanticHash(), tuple(keys), parts, min_rows,
+            SPLIT_SHARE)
     if memo in _STATS:
         return _STATS[memo]
     if not keys:
         total = df.count()
-        res = [()] if total > min_rows else None
+        thr = max(min_rows, int(SPLIT_SHARE * total / max(parts, 1)))
+        res = ([()], total, thr) if total > min_rows else (None, 0, thr)
     else:
         counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         agg = counts.agg(F.sum("_n").alias("total"), F.max("_n").alias("mx")).first()
         thr = max(min_rows, int(SPLIT_SHARE * (agg["total"] or 0) / max(parts, 1)))
         if (agg["mx"] or 0) <= thr:
-            res = None
+            res = (None, 0, thr)
         else:
-            res = [tuple(r) for r in counts.filter(F.col("_n") > thr).select(*keys).collect()]
+            hot = counts.filter(F.col("_n") > thr)
+            rows = hot.agg(F.sum("_n")).first()[0]
+            res = ([tuple(r) for r in hot.select(*keys).collect()], int(rows), thr)
     _STATS[memo] = res
     return res
 
@@ -153,7 +178,8 @@ def index_within(df: DataFrame, keys: list[str], order: list, out: str = "t",
     if hot is None:
         w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*order)
         return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
-    d = range_ids(df, [*keys, *order], parts, only=_is_hot(keys, hot))
+    n_hot, thr = hot_rows(df, keys, parts)
+    d = range_ids(df, [*keys, *order], _cut_count(n_hot, thr, parts), only=_is_hot(keys, hot))
     w = Window.partitionBy("_part", *keys).orderBy(*order)
     local = d.withColumn("_r", F.row_number().over(w) - 1)
     offsets = _block_offsets(d, keys, F.lit(1))
@@ -220,7 +246,8 @@ def running_agg(df: DataFrame, value, order: list[str], out: str, keys: list[str
         w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*order)
         r = fn(val).over(w.rowsBetween(Window.unboundedPreceding, upto))
         return df.withColumn(out, F.coalesce(r, F.lit(0)) if agg == "sum" else r)
-    d = range_ids(df.withColumn("_v", val), [*keys, *order], parts, only=_is_hot(keys, hot))
+    n_hot, thr = hot_rows(df, keys, parts)
+    d = range_ids(df.withColumn("_v", val), [*keys, *order], _cut_count(n_hot, thr, parts), only=_is_hot(keys, hot))
     w = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
     local = d.withColumn("_r", fn("_v").over(w))
     offsets = _block_offsets(d, keys, F.col("_v"), agg)

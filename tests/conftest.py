@@ -37,6 +37,7 @@ def force_split(monkeypatch):
     monkeypatch.setattr(ordered, "SPLIT_MIN_ROWS", 3)
     monkeypatch.setattr(ordered, "SPLIT_SHARE", 0.0)
     monkeypatch.setattr(ordered, "SEGMENT", 8)
+    monkeypatch.setattr(ordered, "MAX_RANGES", 16)
     ordered._STATS.clear()
     yield
     ordered._STATS.clear()

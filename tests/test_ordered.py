@@ -114,3 +114,10 @@ def test_nonidle_ranges_hot_equals_plain(spark, force_split):
     finally:
         ordered.SPLIT_MIN_ROWS, ordered.SPLIT_SHARE = cfg
     assert hot == plain and hot_flags == plain_flags
+
+
+def test_cut_count_scales_with_hot_rows():
+    # a hot third of 3e9 rows at a 2M-row threshold → ~1000 ranges of ~1M rows
+    assert ordered._cut_count(10 ** 9, 2 * 10 ** 6, 200) == 1000
+    assert ordered._cut_count(10, 2 * 10 ** 6, 1) == 2
+    assert ordered._cut_count(10 ** 13, 10 ** 6, 10) == ordered.MAX_RANGES
