@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epiframe.plans.ordered import running_sum
@@ -143,6 +143,21 @@ def episode_best(steps: DataFrame, episode: str = "episode_id", reward: str = "r
 
 
 def running_best(steps: DataFrame, episode: str = "episode_id", t: str = "t", reward: str = "reward") -> DataFrame:
-    """A16 running form: best reward so far (per-episode running max)."""
-    w = Window.partitionBy(episode).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumn("best_so_far", F.max(reward).over(w))
+    """A16 running form: best reward so far (running max; long episodes are range-cut)."""
+    from epiframe.plans.ordered import running_agg
+
+    return running_agg(steps, reward, [t], "best_so_far", keys=[episode], agg="max")
+
+
+def filter_success(episodes: DataFrame, path: str = "file_path") -> DataFrame:
+    """Keep episodes whose whole file path matches ``.*success.*``."""
+    return episodes.filter(F.col(path).rlike("^(?s).*success.*$"))
+
+
+def restructure(df: DataFrame, action_space: str = "joint_position", gripper: str = "gripper_position",
+                out: str = "actions") -> DataFrame:
+    """action = joint positions *or* joint velocities (chosen when the plan is built) ++ gripper."""
+    if action_space not in ("joint_position", "joint_velocity"):
+        raise ValueError(f"unknown action space {action_space!r}")
+    return df.withColumn(out, F.concat(F.col(action_space).cast("array<double>"),
+                                       F.col(gripper).cast("array<double>")))

@@ -188,3 +188,43 @@ def q_frame_cap(spark, sf_dir):
     f = views.frames_ev(spark, sf_dir).select("episode_id", "t")
     sh = SM.shuffle_order(f, ["episode_id", "t"], seed=13)
     return SM.frame_cap(sh, 1000, 32).select("episode_id", "t")
+
+
+@query("selector_map", """
+SELECT l_quantity * CAST(2 AS DOUBLE) AS "obs/qty", l_extendedprice AS "obs/price", l_discount * CAST(3 AS DOUBLE) AS action
+FROM lineitem""")
+def q_selector_map(spark, sf_dir):
+    """Apply a function to the leaves named in a selector tree (strict: every selector key must exist)."""
+    li = views.table(spark, sf_dir, "lineitem")
+    nested = li.select(F.struct(F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price")).alias("obs"),
+                       F.col("l_discount").alias("action"))
+    out = SC.apply_selector(nested, {"obs/qty": 2.0, "action": 3.0}, lambda c, k: c * F.lit(k), strict=True)
+    return SC.flatten_struct(out)
+
+
+@query("filter_success", """
+SELECT doc_id FROM labels WHERE regexp_matches('/recordings/' || CASE WHEN quality = 1 THEN 'success' ELSE 'failure' END
+                                               || '/episode_' || CAST(doc_id AS VARCHAR) || '.h5', '^.*success.*$')""")
+def q_filter_success(spark, sf_dir):
+    """Episodes whose recording path contains 'success' (path from the label table)."""
+    from epiframe.operators import episodes as E
+
+    lab = views.table(spark, sf_dir, "labels")
+    path = F.concat(F.lit("/recordings/"), F.when(F.col("quality") == 1, "success").otherwise("failure"),
+                    F.lit("/episode_"), F.col("doc_id").cast("string"), F.lit(".h5"))
+    return E.filter_success(lab.select("doc_id", path.alias("file_path"))).select("doc_id")
+
+
+@query("restructure", f"""WITH {FRAMES_LI}
+SELECT episode_id, t, CAST(0 AS BIGINT) AS dim, floor(s0 * 1000000 + CAST('0.49997' AS DOUBLE)) / 1000000 AS value FROM frames_li
+UNION ALL SELECT episode_id, t, CAST(1 AS BIGINT), floor(s1 / CAST(1000 AS DOUBLE) * 1000000 + CAST('0.49997' AS DOUBLE)) / 1000000 FROM frames_li
+UNION ALL SELECT episode_id, t, CAST(2 AS BIGINT), floor(s3 * 1000000 + CAST('0.49997' AS DOUBLE)) / 1000000 FROM frames_li""")
+def q_restructure(spark, sf_dir):
+    """Joint-position action space (qty, price/1000) ++ gripper (tax)."""
+    from epiframe.operators import episodes as E
+
+    li = views.frames_li(spark, sf_dir)
+    s = F.col("state")
+    li = li.select("episode_id", "t", F.array(s[0], s[1] / F.lit(1000.0)).alias("joint_position"),
+                   F.array(s[2], s[3]).alias("joint_velocity"), F.array(s[3]).alias("gripper_position"))
+    return _long_vec(E.restructure(li, "joint_position"), "actions")

@@ -380,10 +380,14 @@ def q_log_extract(spark, sf_dir):
 m AS (SELECT CAST(regexp_extract(text, 'step=(\\d+)\\s+loss=([\\d.]+)', 1) AS BIGINT) AS step,
              CAST(regexp_extract(text, 'step=(\\d+)\\s+loss=([\\d.]+)', 2) AS DOUBLE) AS loss FROM log_lines)
 SELECT CAST(ceil(step / CAST(100 AS DOUBLE)) AS BIGINT) AS "window", max(step) AS last_step, count(*) AS n,
-       {r6('avg(loss)')} AS loss_mean FROM m GROUP BY 1""")
+       {r6('avg(loss)')} AS loss_mean,
+       printf('ETA=%dh%02dm', CAST(floor((max(step) * 7) / 3600) AS BIGINT),
+              CAST(floor(((max(step) * 7) % 3600) / 60) AS BIGINT)) AS eta
+FROM m GROUP BY 1""")
 def q_log_interval(spark, sf_dir):
+    """Interval means, plus ETA text for 7 s per step over the remaining ``last_step`` steps."""
     li = EV.log_interval(EV.log_extract(views.log_lines(spark, sf_dir)), 100)
-    return li.withColumn("loss_mean", R6("loss_mean"))
+    return li.withColumn("loss_mean", R6("loss_mean")).withColumn("eta", EV.eta_text(F.col("last_step") * 7))
 
 
 # ---------------------------------------------------------------- M14–M19 text features

@@ -316,3 +316,28 @@ def test_min_length_and_truncate(spark):
                                    "episode_id long, t long, failed boolean")
     assert sorted(r.t for r in E.truncate_on_failure(frames, "failed").filter("episode_id = 1").collect()) == [0]
     assert [r.episode_id for r in E.min_length(frames, 2).select("episode_id").distinct().collect()] == [1]
+
+
+def test_pipeline_order_and_batch_step(spark):
+    from epiframe.plans.pipeline import Pipeline, map_batches
+
+    calls = []
+
+    def step(name):
+        def run(df):
+            calls.append(name)
+            return df
+        return run
+
+    p = Pipeline().push(inputs=[step("a")], outputs=[step("A")]).push(inputs=[step("b")], outputs=[step("B")])
+    df = spark.range(10)
+    p.forward(df)
+    p.inverse(df)
+    assert calls == ["a", "b", "B", "A"]  # outputs are prepended: inverse runs in reverse
+    out = map_batches(df, lambda pdf: pdf.assign(y=pdf["id"] * 2), "id long, y long")
+    assert sorted((r.id, r.y) for r in out.collect()) == [(i, 2 * i) for i in range(10)]
+
+
+def test_running_best(spark):
+    steps = spark.createDataFrame([(1, 0, 1.0), (1, 1, 3.0), (1, 2, 2.0)], "episode_id long, t long, reward double")
+    assert [r.best_so_far for r in E.running_best(steps).orderBy("t").collect()] == [1.0, 3.0, 3.0]
