@@ -102,26 +102,32 @@ def read_keep_ranges_map(df: DataFrame, col: str = "value") -> DataFrame:
 
 
 def range_semi_join(frames: DataFrame, ranges: DataFrame | None, keys: Sequence[str] = ("episode_id",),
-                    t: str = "t", exploded: bool = False) -> DataFrame:
+                    t: str = "t", exploded: bool = False, bucket: int = 1024) -> DataFrame:
     """Keep frame iff ``start <= t < end`` for a range of its episode.
 
-    No ranges table → keep all; unknown episode → dropped. Default: equi
-    join on the episode plus the range condition; AQE broadcasts the ranges
-    when their measured size is under the threshold, else sort-merge with
-    skew splitting. ``exploded``: ranges become frame keys and the semi-join
-    is on ``(episode, t)``, which hashes even a hot episode over all tasks.
+    No ranges table → keep all; unknown episode → dropped. Default: each
+    range is listed under every ``t div bucket`` it touches and frames
+    semi-join on ``(episode, t div bucket)`` plus the range condition, so a
+    frame only meets the few ranges of its own bucket (no episode-wide pair
+    scan, a hot episode spreads over its buckets); AQE broadcasts the ranges
+    when they are small. ``exploded``: ranges become frame keys and the
+    semi-join is a pure equi-join on ``(episode, t)``.
     """
     if ranges is None:
         return frames
     k = list(keys)
-    r = ranges.filter(F.col("start").isNotNull()).select(*[F.col(c).alias(f"_r_{c}") for c in k],
-                                                         F.col("start").alias("_s"), F.col("end").alias("_e"))
-    if not exploded:
-        cond = [frames[c] == r[f"_r_{c}"] for c in k] + [frames[t] >= r["_s"], frames[t] < r["_e"]]
-        return frames.join(r, cond, "left_semi")
-    keys_df = r.filter(F.col("_e") > F.col("_s")).select(
-        *[F.col(f"_r_{c}").alias(c) for c in k], F.explode(F.sequence("_s", F.col("_e") - 1)).alias(t)).distinct()
-    return frames.join(keys_df, [*k, t], "left_semi")
+    r = ranges.filter(F.col("start").isNotNull() & (F.col("end") > F.col("start"))).select(
+        *[F.col(c).alias(f"_r_{c}") for c in k], F.col("start").alias("_s"), F.col("end").alias("_e"))
+    if exploded:
+        keys_df = r.select(*[F.col(f"_r_{c}").alias(c) for c in k],
+                           F.explode(F.sequence("_s", F.col("_e") - 1)).alias(t)).distinct()
+        return frames.join(keys_df, [*k, t], "left_semi")
+    b = F.lit(bucket)
+    rb = r.withColumn("_rb", F.explode(F.sequence((F.col("_s") / b).cast("bigint"),
+                                                  ((F.col("_e") - 1) / b).cast("bigint"))))
+    fb = frames.withColumn("_fb", (F.col(t) / b).cast("bigint"))
+    cond = [fb[c] == rb[f"_r_{c}"] for c in k] + [fb["_fb"] == rb["_rb"], fb[t] >= rb["_s"], fb[t] < rb["_e"]]
+    return fb.join(rb, cond, "left_semi").drop("_fb")
 
 
 def resume_anti_join(todo: DataFrame, done: DataFrame, keys: Sequence[str] = ("episode_id",)) -> DataFrame:
