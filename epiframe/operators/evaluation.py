@@ -42,18 +42,25 @@ def eval_samples(pairs: DataFrame, pred: str, target: str) -> DataFrame:
 
 
 def eval_summary(samples: DataFrame) -> DataFrame:
-    """A5: mean, population std, median and max of L1 and L2 (exact median, rank-based)."""
+    """A5: count, mean, population std, median and max of L1 and L2 (exact median, rank-based).
+
+    L1 and L2 are stacked into ``(metric, value)`` rows, aggregated per
+    metric, joined to their medians on the metric and pivoted to one row.
+    """
     from epiframe.operators.stats import exact_quantiles
 
-    aggs = []
-    for m in ("l1", "l2"):
-        aggs += [F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"), F.max(m).alias(f"{m}_max")]
-    out = samples.agg(F.count(F.lit(1)).alias("n"), *aggs).withColumn("_one", F.lit(1))
-    for m in ("l1", "l2"):
-        q = exact_quantiles(samples, [], m, [0.5], prefix=f"{m}_median_").withColumnRenamed(
-            f"{m}_median_50", f"{m}_median")
-        out = out.join(q.withColumn("_one", F.lit(1)), "_one")  # one-row aggregates side by side
-    return out.drop("_one")
+    long = samples.select(F.explode(F.array(
+        F.struct(F.lit("l1").alias("metric"), F.col("l1").alias("value")),
+        F.struct(F.lit("l2").alias("metric"), F.col("l2").alias("value")))).alias("m")).select("m.*")
+    agg = long.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"),
+                                     F.stddev_pop("value").alias("std"), F.max("value").alias("max"))
+    med = exact_quantiles(long, ["metric"], "value", [0.5], prefix="median_")
+    per = agg.join(med, "metric")
+    wide = per.groupBy().pivot("metric", ["l1", "l2"]).agg(
+        F.first("n").alias("n"), F.first("mean").alias("mean"), F.first("std").alias("std"),
+        F.first("median_50").alias("median"), F.first("max").alias("max"))
+    return wide.select(F.col("l1_n").alias("n"), *[f"{m}_{s}" for m in ("l1", "l2")
+                                                     for s in ("mean", "std", "median", "max")])
 
 
 def eval_per_dim(pairs: DataFrame, pred: str, target: str, labels: Sequence[str] | None = None) -> DataFrame:
