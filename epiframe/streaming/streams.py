@@ -10,6 +10,7 @@ query keeps its checkpoint in the shared checkpoint folder.
 from __future__ import annotations
 
 import os
+import sys
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -21,6 +22,12 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from epiframe.session import checkpoint_dir
 
+# The stateful functions below run in Python workers; ship them by value so
+# executors need no copy of this package on their path.
+from pyspark import cloudpickle  # noqa: E402
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint dir (never a machine-local temp dir on a cluster)."""
