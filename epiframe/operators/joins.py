@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from epiframe.session import join_small
 
+# Fixed value: prompt used when an episode has no annotation.
 DEFAULT_PROMPT = "Do something"
 
 

@@ -23,6 +23,7 @@ from pyspark.sql.types import ArrayType
 from epiframe.functions import vectors as V
 from epiframe.session import join_small
 
+# Fixed values of the histogram quantiles: bins, range padding, reported quantiles.
 NUM_BINS = 5000
 RANGE_PAD = 1e-10
 QUANTILES = (0.01, 0.99)

@@ -138,7 +138,7 @@ class DatasetSpec:
     action_dim: int
     delta_mask: tuple[bool, ...] | None = None
     default_prompt: str | None = None
-    model: str = "pi0"
+    model: str = "flow"
     repack: dict | None = None
     robot_in: Step | None = None
     robot_out: Step | None = None
@@ -148,9 +148,9 @@ class DatasetSpec:
 def model_steps(spec: DatasetSpec) -> tuple[list[Step], list[Step]]:
     """Per model family, the ordered model-side steps (prompt → features → pad)."""
     fwd: list[Step] = [step_default_prompt(spec.default_prompt)]
-    if spec.model in ("pi0", "pi05"):
+    if spec.model in ("flow", "flow_q"):
         fwd.append(step_pad(spec.action_dim))
-    elif spec.model == "pi0_fast":
+    elif spec.model == "tokens":
         fwd.append(step_discretize_state())
     else:
         raise ValueError(f"unknown model family {spec.model!r}")
@@ -160,7 +160,7 @@ def model_steps(spec: DatasetSpec) -> tuple[list[Step], list[Step]]:
 def build_pipeline(spec: DatasetSpec, stats: DataFrame | None) -> Pipeline:
     """Fold repack → robot mapping → chunk → delta → normalise → model steps (and their inverses).
 
-    Quantile normalisation for every family except the first (``pi0``).
+    Quantile normalisation for every family except the first (``flow``).
     """
     p = Pipeline()
     if spec.repack:
@@ -168,7 +168,7 @@ def build_pipeline(spec: DatasetSpec, stats: DataFrame | None) -> Pipeline:
     p = p.push(inputs=[s for s in (spec.robot_in,) if s], outputs=[s for s in (spec.robot_out,) if s])
     p = p.push(inputs=[step_chunk(spec.horizon)])
     p = p.push(inputs=[step_delta(spec.delta_mask)], outputs=[step_absolute(spec.delta_mask)])
-    q = spec.model != "pi0"
+    q = spec.model != "flow"
     p = p.push(inputs=[step_normalize(stats, q)], outputs=[step_normalize(stats, q, inverse=True)])
     fwd, inv = model_steps(spec)
     p = p.push(inputs=fwd, outputs=inv)
@@ -193,12 +193,14 @@ def drop_string_columns(df: DataFrame) -> DataFrame:
     return df.select(*[c for c, t in df.dtypes if t != "string"])
 
 
-# F8: dataset presets over the test views (same shapes as the reference's recipes).
+# Model families: "flow" (continuous actions, z-score stats), "flow_q" (continuous,
+# quantile stats), "tokens" (discretised state, no padding mask).
+# F8: dataset presets over the test views.
 PRESETS = {
-    "events_pi0": DatasetSpec("events_pi0", horizon=4, action_dim=8, delta_mask=(True, False),
-                              default_prompt="Do something", model="pi0", output_dims=2),
-    "events_fast": DatasetSpec("events_fast", horizon=4, action_dim=8, delta_mask=(True, False),
-                               default_prompt="Do something", model="pi0_fast", output_dims=2),
-    "lineitem_pi05": DatasetSpec("lineitem_pi05", horizon=4, action_dim=6, delta_mask=None, model="pi05",
+    "events_flow": DatasetSpec("events_flow", horizon=4, action_dim=8, delta_mask=(True, False),
+                              default_prompt="Do something", model="flow", output_dims=2),
+    "events_tokens": DatasetSpec("events_tokens", horizon=4, action_dim=8, delta_mask=(True, False),
+                               default_prompt="Do something", model="tokens", output_dims=2),
+    "lineitem_flow_q": DatasetSpec("lineitem_flow_q", horizon=4, action_dim=6, delta_mask=None, model="flow_q",
                                  output_dims=4),
 }

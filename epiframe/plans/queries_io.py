@@ -116,10 +116,10 @@ SELECT fl.episode_id, fl.t, CAST(fl.dim AS BIGINT) AS dim,
 FROM fl JOIN raw ON raw.dim = fl.dim AND raw.key = 'state'
 UNION ALL SELECT episode_id, t, CAST(p.dim AS BIGINT), CAST(0 AS DOUBLE) FROM frames_li, (VALUES (4), (5)) p(dim)""")
 def q_sample_assembly(spark, sf_dir):
-    """The lineitem recipe (pi05 family → quantile normalisation, pad to 6) folded as a pipeline."""
+    """The lineitem recipe (flow_q family → quantile normalisation, pad to 6) folded as a pipeline."""
     li, st = _li_stats(spark, sf_dir)
-    spec = PL.PRESETS["lineitem_pi05"]
-    pipe = PL.Pipeline().push(inputs=[PL.step_normalize(st, spec.model != "pi0", cols={"state": "state"})]).push(
+    spec = PL.PRESETS["lineitem_flow_q"]
+    pipe = PL.Pipeline().push(inputs=[PL.step_normalize(st, spec.model != "flow", cols={"state": "state"})]).push(
         inputs=PL.model_steps(spec)[0])
     out = pipe.forward(li.select("episode_id", "t", "state"))
     return _long_vec(out, "state")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from epiframe.plans.ordered import index_within
 from epiframe.session import join_small
 
-# Camera names of a complete multi-view episode, in order.
+# Camera names of a complete multi-view episode, in order; default task text.
 CAMERA_VIEWS = ("cam_high", "cam_left_wrist", "cam_right_wrist")
 DEFAULT_TASK = "Do something"
 
