@@ -11,6 +11,7 @@ from epiframe.plans import pipeline as PL
 from epiframe.plans.catalog import query
 from epiframe.plans.queries_core import LI_STATS_SQL, _li_stats, _long_vec
 from epiframe.plans.sqlviews import FRAMES_EV, FRAMES_LI, r6
+from epiframe.session import join_small
 from epiframe.session import r6 as R6
 from epiframe.sinks import writers as WR
 from epiframe.sources import readers as RD
@@ -25,7 +26,7 @@ def q_src_frames(spark, sf_dir):
     li = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity",
                                                       F.col("l_linenumber").alias("task_index"))
     tasks = views.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("task_index"), F.col("n_name").alias("prompt"))
-    return li.join(F.broadcast(tasks), "task_index", "left").drop("task_index")
+    return join_small(li, tasks, ["task_index"], "left").drop("task_index")
 
 
 @query("src_nested_explode", """

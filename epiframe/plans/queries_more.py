@@ -14,6 +14,7 @@ from epiframe.operators import windows as W
 from epiframe.plans.catalog import query
 from epiframe.plans.ordered import index_within
 from epiframe.plans.sqlviews import FRAMES_EV, FRAMES_LI, LOG_LINES, r6
+from epiframe.session import join_small
 from epiframe.session import r6 as R6
 from epiframe.sources import views
 
@@ -91,7 +92,7 @@ def q_stats_catalogue(spark, sf_dir):
     v = views.vectors(spark, sf_dir).select("vec_id", F.col("task_index").alias("asset_id"), "state")
     cat = v.groupBy("asset_id").agg(F.avg(F.col("state")[0]).alias("mean0"))
     checked = J.stats_catalogue(v.select("vec_id", "asset_id"), cat)
-    return checked.join(F.broadcast(cat), "asset_id").select("vec_id", "asset_id", R6("mean0").alias("mean0"))
+    return join_small(checked, cat, ["asset_id"]).select("vec_id", "asset_id", R6("mean0").alias("mean0"))
 
 
 # ---------------------------------------------------------------- T2 / T4 / T5 / T6 / T7 / T8 / P13 / T3
