@@ -93,16 +93,12 @@ def _hot(df: DataFrame, keys: list[str], parts: int, min_rows: int | None):
 
 
 def _is_hot(keys: list[str], hot: list[tuple]):
+    """Membership in the hot-group list (``isin`` → a hash-set lookup for long lists)."""
     if not keys:
         return F.lit(True)
-    cond = None
-    for h in hot:
-        c = None
-        for k, v in zip(keys, h):
-            e = F.col(k) == F.lit(v)
-            c = e if c is None else (c & e)
-        cond = c if cond is None else (cond | c)
-    return cond
+    if len(keys) == 1:
+        return F.col(keys[0]).isin([h[0] for h in hot])
+    return F.struct(*keys).isin([F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, h)]) for h in hot])
 
 
 def range_ids(df: DataFrame, cols: list, parts: int, out: str = "_part", seed: int = 17,
