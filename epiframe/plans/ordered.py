@@ -102,7 +102,7 @@ def _is_hot(keys: list[str], hot: list[tuple]):
 
 
 def range_ids(df: DataFrame, cols: list, parts: int, out: str = "_part", seed: int = 17,
-              per_part: int = 32, only=None) -> DataFrame:
+              per_part: int = 32, only=None, n_rows: int | None = None) -> DataFrame:
     """Add ``out`` = id of the value range of ``struct(cols)`` (``parts`` ranges).
 
     Bounds come from one seeded sample of about ``parts * per_part`` rows
@@ -118,7 +118,7 @@ def range_ids(df: DataFrame, cols: list, parts: int, out: str = "_part", seed: i
     memo = ("bounds", key.semanticHash(), tuple(names), parts, seed, per_part)
     sample = _STATS.get(memo)
     if sample is None:
-        n = key.count()
+        n = key.count() if n_rows is None else n_rows
         frac = min(1.0, parts * per_part / max(n, 1))
         sample = key.sample(False, frac, seed).orderBy(*names).collect()
         _STATS[memo] = sample
@@ -175,7 +175,7 @@ def index_within(df: DataFrame, keys: list[str], order: list, out: str = "t",
         w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*order)
         return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
     n_hot, thr = hot_rows(df, keys, parts)
-    d = range_ids(df, [*keys, *order], _cut_count(n_hot, thr, parts), only=_is_hot(keys, hot))
+    d = range_ids(df, [*keys, *order], _cut_count(n_hot, thr, parts), only=_is_hot(keys, hot), n_rows=n_hot)
     w = Window.partitionBy("_part", *keys).orderBy(*order)
     local = d.withColumn("_r", F.row_number().over(w) - 1)
     offsets = _block_offsets(d, keys, F.lit(1))
@@ -243,7 +243,8 @@ def running_agg(df: DataFrame, value, order: list[str], out: str, keys: list[str
         r = fn(val).over(w.rowsBetween(Window.unboundedPreceding, upto))
         return df.withColumn(out, F.coalesce(r, F.lit(0)) if agg == "sum" else r)
     n_hot, thr = hot_rows(df, keys, parts)
-    d = range_ids(df.withColumn("_v", val), [*keys, *order], _cut_count(n_hot, thr, parts), only=_is_hot(keys, hot))
+    d = range_ids(df.withColumn("_v", val), [*keys, *order], _cut_count(n_hot, thr, parts),
+                  only=_is_hot(keys, hot), n_rows=n_hot)
     w = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
     local = d.withColumn("_r", fn("_v").over(w))
     offsets = _block_offsets(d, keys, F.col("_v"), agg)
