@@ -150,3 +150,13 @@ def rate_last50(df: DataFrame, channel: str = "channel", ts: str = "ts", idx: st
     n = F.size(tss)
     span = F.array_max(tss) - F.array_min(tss)
     return nb.withColumn("rate", F.when((n > 1) & (span > 0), (n - 1) / span)).drop("_w")
+
+
+def success_running(df: DataFrame, task: str = "task", order: str = "episode", success: str = "success") -> DataFrame:
+    """A7 running form: per task, successes and episodes so far and their ratio, in ``order``."""
+    from epiframe.plans.ordered import running_agg
+
+    d = df.withColumn("_s", F.col(success).cast("bigint")).withColumn("_one", F.lit(1).cast("bigint"))
+    d = running_agg(d, "_s", [order], "successes", keys=[task], agg="sum")
+    d = running_agg(d, "_one", [order], "episodes", keys=[task], agg="sum")
+    return d.withColumn("rate", F.col("successes") / F.col("episodes")).drop("_s", "_one")

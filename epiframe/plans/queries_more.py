@@ -466,3 +466,18 @@ def q_extract_action_text(spark, sf_dir):
     t = F.when(F.col("role") == "assistant", F.concat(F.col("role"), F.lit(" Action: "), F.col("text"),
                                                        F.lit(" | tail Action: more"))).otherwise(F.col("text"))
     return c.select("conv_id", "turn", F.md5(TX.extract_action_text(t)).alias("action_text"))
+
+
+@query("success_running", f"""
+SELECT event_id, event_type AS task,
+       CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS successes,
+       CAST(count(*) OVER w AS BIGINT) AS episodes,
+       {r6('sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) OVER w / CAST(count(*) OVER w AS DOUBLE)')} AS rate
+FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+def q_success_running(spark, sf_dir):
+    """A7 running totals: success = value > 50, episodes in event order per task."""
+    ev = views.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("task"),
+                                                    (F.col("value") > 50).alias("success"))
+    r = EV.success_running(ev, "task", "event_id", "success")
+    return r.select("event_id", "task", F.col("successes").cast("bigint"), F.col("episodes").cast("bigint"),
+                    R6("rate").alias("rate"))

@@ -28,6 +28,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
+        .config("spark.sql.files.maxPartitionBytes", "128m")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
         .config("spark.driver.memory", "16g")
@@ -39,6 +41,20 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def size_shuffle_partitions(spark: SparkSession, input_bytes: int, per_partition: int = 128 << 20,
+                            expansion: float = 1.0) -> int:
+    """Set ``spark.sql.shuffle.partitions`` so each shuffle partition holds about
+    ``per_partition`` bytes (``expansion`` > 1 for steps that widen rows, e.g.
+    chunks of H actions). Never lowers an explicit larger setting; AQE then
+    coalesces small partitions and splits skewed ones at runtime.
+    """
+    want = max(1, int(input_bytes * expansion // per_partition) + 1)
+    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(current, want)
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    return n
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder: the cluster's ``spark.checkpoint.dir`` if set.
 
