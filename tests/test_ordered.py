@@ -121,3 +121,33 @@ def test_cut_count_scales_with_hot_rows():
     assert ordered._cut_count(10 ** 9, 2 * 10 ** 6, 200) == 1000
     assert ordered._cut_count(10, 2 * 10 ** 6, 1) == 2
     assert ordered._cut_count(10 ** 13, 10 ** 6, 10) == ordered.MAX_RANGES
+
+
+def test_exact_quantiles_hot_match_numpy(spark, force_split):
+    import numpy as np
+
+    from epiframe.operators.stats import exact_quantiles
+
+    ev = _events(spark).select("episode_id", "v")
+    qs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r["episode_id"]: r for r in exact_quantiles(ev, ["episode_id"], "v", qs).collect()}
+    pdf = ev.toPandas()
+    for ep, grp in pdf.groupby("episode_id"):
+        want = np.quantile(grp["v"].to_numpy(), qs)
+        assert np.allclose([got[ep][f"p{round(q * 100)}"] for q in qs], want)
+
+
+def test_weighted_mix_hot_equals_plain(spark, force_split):
+    from epiframe.operators import sampling as SM
+
+    a = spark.range(40).withColumnRenamed("id", "k")
+    b = spark.range(7).withColumnRenamed("id", "k")
+    hot = sorted(tuple(r) for r in SM.weighted_mix(spark, {"a": a, "b": b}, {"a": 0.8, "b": 0.2}, 300, ["k"], 3).collect())
+    ordered._STATS.clear()
+    cfg = (ordered.SPLIT_MIN_ROWS, ordered.SPLIT_SHARE)
+    ordered.SPLIT_MIN_ROWS, ordered.SPLIT_SHARE = 10 ** 12, 1.0
+    try:
+        plain = sorted(tuple(r) for r in SM.weighted_mix(spark, {"a": a, "b": b}, {"a": 0.8, "b": 0.2}, 300, ["k"], 3).collect())
+    finally:
+        ordered.SPLIT_MIN_ROWS, ordered.SPLIT_SHARE = cfg
+    assert hot == plain and len(hot) == 300
