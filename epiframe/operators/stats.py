@@ -229,7 +229,8 @@ def apply_stats(df: DataFrame, stats: DataFrame, cols: Mapping[str, str], mode:
 
 def norm_stats_pipeline(frames: DataFrame, horizon: int, delta_mask: Sequence[bool] | None,
                         state: str = "state", actions: str = "actions",
-                        keys: Sequence[str] = ("episode_id",), t: str = "t") -> DataFrame:
+                        keys: Sequence[str] = ("episode_id",), t: str = "t", max_frames: int | None = None,
+                        batch_size: int = 1, seed: int = 0) -> DataFrame:
     """A4: chunk → delta → stats of ``state`` (per frame) and ``actions`` (every chunk row).
 
     The horizon is known when the plan is built, so the chunk rows are
@@ -241,6 +242,12 @@ def norm_stats_pipeline(frames: DataFrame, horizon: int, delta_mask: Sequence[bo
 
     f = frames.select(*keys, t, state, actions)
     ch = action_chunk(f, horizon, cols=[actions], keys=keys, t=t)
+    if max_frames is not None:
+        # trap 3: chunks are built on all frames, then only whole shuffled batches up to
+        # max_frames are counted (seeded hash order, partition-independent)
+        from epiframe.operators.sampling import frame_cap, shuffle_order
+
+        ch = frame_cap(shuffle_order(ch, [*keys, t], seed=seed), max_frames, batch_size).drop("pos")
     entries = [F.struct(F.lit(state).alias("key"), F.col(state).cast("array<double>").alias("v"),
                         F.lit(False).alias("delta"))]
     entries += [F.struct(F.lit(actions).alias("key"), F.element_at(actions, i + 1).cast("array<double>").alias("v"),

@@ -92,3 +92,24 @@ def q_resume_anti_join(spark, sf_dir):
     f, r = _ranges(spark, sf_dir)
     done = r.filter(F.col("start").isNotNull())
     return RG.resume_anti_join(f.select("episode_id").distinct(), done)
+
+
+@query("chunk_then_filter", f"""WITH {RANGES_SQL},
+len AS (SELECT episode_id, max(t) AS last_t FROM frames_ev GROUP BY episode_id),
+kf AS (SELECT f.episode_id, f.t FROM frames_ev f
+       WHERE EXISTS (SELECT 1 FROM ranges r WHERE r.episode_id = f.episode_id AND f.t >= r.start AND f.t < r."end")),
+pairs AS (SELECT episode_id, t, i, least(t + i, last_t) AS j FROM (
+  SELECT k.episode_id, k.t, len.last_t, unnest(range(0, 4)) AS i FROM kf k JOIN len ON k.episode_id = len.episode_id))
+SELECT p.episode_id, p.t, CAST(p.i AS BIGINT) AS i, floor(a.s0 * 1000000 + CAST('0.49997' AS DOUBLE)) / 1000000 AS value
+FROM pairs p JOIN frames_ev a ON a.episode_id = p.episode_id AND a.t = p.j""")
+def q_chunk_then_filter(spark, sf_dir):
+    """Read-path order (trap 2): chunks are built on all frames, then the keep-range filter runs,
+    so a kept frame's chunk may reach into dropped idle frames."""
+    from epiframe.operators import windows as W
+    from epiframe.session import r6 as R6
+
+    f, r = _ranges(spark, sf_dir)
+    ch = W.action_chunk(f.select("episode_id", "t", "actions"), 4)
+    kept = RG.range_semi_join(ch, r)
+    e = kept.select("episode_id", "t", F.posexplode("actions").alias("i", "a"))
+    return e.select("episode_id", "t", F.col("i").cast("bigint"), R6(F.col("a")[0]).alias("value"))
