@@ -116,10 +116,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: S
     """Exact linearly interpolated quantiles per group (numpy's default), without one task per group.
 
     Position ``q * (n - 1)`` in sorted order is found by rank: rows are
-    numbered with ``index_within`` (hot groups are range-cut), only the two
-    rows around each position are kept, and the value is interpolated.
-    Spark's ``percentile`` would hold every distinct value of a group in one
-    task; this never does.
+    numbered with ``index_within`` (hot groups are range-cut), group sizes
+    are attached (AQE broadcasts them when small), only rows at the needed
+    ranks survive, and each contributes ``value * weight`` (``1 - frac`` at
+    the lower rank, ``frac`` at the upper) to its quantile's sum. One pass
+    over the ranked rows; Spark's ``percentile`` would hold every distinct
+    value of a group in one task.
     """
     from epiframe.plans.ordered import index_within
 
@@ -127,20 +129,21 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: S
     base = df.select(*k, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
     n = base.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
     ranked = index_within(base, k, ["_x"], out="_rank")
-    want = []
+    # group sizes: a join on the keys, or one scalar subquery for the whole input
+    ranked = join_small(ranked, n, k) if k else ranked.withColumn("_n", n.select("_n").scalar())
+    parts = []
     for q in quantiles:
         pos = F.lit(float(q)) * (F.col("_n") - 1).cast("double")
-        want.append(F.struct(F.lit(float(q)).alias("q"), F.floor(pos).cast("bigint").alias("lo"),
-                             F.ceil(pos).cast("bigint").alias("hi"), (pos - F.floor(pos)).alias("frac")))
-    targets = n.select(*k, F.explode(F.array(*want)).alias("w")).select(*k, "w.*")
-    picks = targets.select(*k, "q", F.col("lo").alias("_rank")).unionByName(
-        targets.select(*k, "q", F.col("hi").alias("_rank"))).distinct()
-    vals = ranked.join(picks, [*k, "_rank"]).select(*k, "q", "_rank", "_x")
-    lo = vals.select(*k, "q", F.col("_rank").alias("lo"), F.col("_x").alias("_vlo"))
-    hi = vals.select(*k, "q", F.col("_rank").alias("hi"), F.col("_x").alias("_vhi"))
-    j = targets.join(lo, [*k, "q", "lo"]).join(hi, [*k, "q", "hi"])
-    j = j.withColumn("_v", F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("frac"))
-    out = j.groupBy(*k).pivot("q", [float(q) for q in quantiles]).agg(F.first("_v"))
+        lo, hi = F.floor(pos), F.ceil(pos)
+        frac = pos - lo
+        w = (F.when(F.col("_rank") == lo, F.when(lo == hi, F.lit(1.0)).otherwise(F.lit(1.0) - frac))
+             .otherwise(F.lit(0.0))
+             + F.when((F.col("_rank") == hi) & (hi != lo), frac).otherwise(F.lit(0.0)))
+        parts.append(F.struct(F.lit(float(q)).alias("q"), w.alias("w")))
+    e = ranked.select(*k, "_x", F.filter(F.array(*parts), lambda p: p["w"] > 0).alias("_c"))
+    e = e.filter(F.size("_c") > 0).select(*k, "_x", F.explode("_c").alias("c"))
+    sums = e.groupBy(*k, F.col("c.q").alias("q")).agg(F.sum(F.col("_x") * F.col("c.w")).alias("_v"))
+    out = sums.groupBy(*k).pivot("q", [float(q) for q in quantiles]).agg(F.first("_v"))
     return out.select(*k, *[F.col(f"`{float(q)}`").alias(f"{prefix}{round(q * 100)}") for q in quantiles])
 
 
