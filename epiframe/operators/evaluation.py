@@ -89,21 +89,20 @@ def success_rollup(df: DataFrame, task: str = "task", success: str = "success")
 
 
 def frame_qa(df: DataFrame, views: Sequence[str], allowed_sizes: Sequence[int]) -> DataFrame:
-    """A10: per view counts of constant images, allowed sizes, plus min/max/std of all pixels."""
-    out = None
-    for v in views:
-        x = F.col(v)
-        const = F.array_min(x) == F.array_max(x)
-        ok_size = F.size(x).isin(*allowed_sizes)
-        e = df.select(F.lit(v).alias("view"), const.alias("_const"), ok_size.alias("_ok"),
-                      F.array_min(x).alias("_mn"), F.array_max(x).alias("_mx"), x.alias("_x"))
-        out = e if out is None else out.unionByName(e)
-    px = out.select("view", F.explode("_x").alias("_p"))
-    a = out.groupBy("view").agg(F.count(F.lit(1)).alias("n"), F.count_if("_const").alias("n_constant"),
-                                F.count_if(~F.col("_ok")).alias("n_bad_size"),
-                                F.min("_mn").alias("min"), F.max("_mx").alias("max"))
-    s = px.groupBy("view").agg(F.stddev_pop("_p").alias("std"))
-    return a.join(s, "view")
+    """A10: per view counts of constant images and disallowed sizes, plus min/max/std of all pixels.
+
+    Views are stacked with one ``explode`` (no union of per-view scans);
+    per-image flags and pixel moments are aggregated map-side.
+    """
+    stacked = df.select(F.explode(F.array(*[F.struct(F.lit(v).alias("view"), F.col(v).alias("x"))
+                                            for v in views])).alias("e")).select("e.view", "e.x")
+    per_image = stacked.groupBy("view").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.array_min("x") == F.array_max("x")).alias("n_constant"),
+        F.count_if(~F.size("x").isin(*allowed_sizes)).alias("n_bad_size"),
+        F.min(F.array_min("x")).alias("min"), F.max(F.array_max("x")).alias("max"))
+    pixels = stacked.select("view", F.explode("x").alias("_p")).groupBy("view").agg(F.stddev_pop("_p").alias("std"))
+    return per_image.join(pixels, "view")
 
 
 def log_extract(lines: DataFrame, text: str = "text") -> DataFrame:
