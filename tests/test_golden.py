@@ -341,3 +341,14 @@ def test_pipeline_order_and_batch_step(spark):
 def test_running_best(spark):
     steps = spark.createDataFrame([(1, 0, 1.0), (1, 1, 3.0), (1, 2, 2.0)], "episode_id long, t long, reward double")
     assert [r.best_so_far for r in E.running_best(steps).orderBy("t").collect()] == [1.0, 3.0, 3.0]
+
+
+def test_eval_pairs_within_episode_and_strict_reference(spark):
+    from epiframe.operators import evaluation as EV
+
+    frames = spark.createDataFrame([(1, 0, 0, [1.0]), (1, 1, 1, [2.0]), (2, 0, 2, [5.0]), (2, 1, 3, [6.0])],
+                                   "episode_id long, t long, gidx long, state array<double>")
+    inside = sorted((r.episode_id, r.t, r.next_state[0]) for r in EV.eval_pairs(frames, ["state"]).collect())
+    assert inside == [(1, 0, 2.0), (2, 0, 6.0)]  # the last frame of an episode has no partner
+    strict = sorted((r.gidx, r.next_state[0]) for r in EV.eval_pairs(frames, ["state"], strict_reference=True).collect())
+    assert strict == [(0, 2.0), (1, 5.0), (2, 6.0)]  # idx + 1 crosses into the next episode
