@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epiframe.plans.ordered import index_within, neighbours
+from epiframe.plans.ordered import frame_window, index_within
 from epiframe.session import join_small
 
 # Fixed values of the idle filter.
@@ -25,11 +25,11 @@ TRIM_END = 10          # kept range end is shortened by this many frames
 def idle_flag(df: DataFrame, col: str, keys: Sequence[str] = ("episode_id",), t: str = "t",
               eps: float = IDLE_EPS, out: str = "idle") -> DataFrame:
     """``all(|v(t) - v(t-1)| < eps)``; the first frame is never idle."""
-    nb = neighbours(df, list(keys), t, [t, col], before=1, out="_nb")
-    prev = F.get(F.col("_nb"), 0)
-    has_prev = (F.size("_nb") == 2)
-    still = F.forall(F.zip_with(F.col(col), prev[col], lambda a, b: F.abs(a - b) < F.lit(eps)), lambda x: x)
-    return nb.withColumn(out, F.when(has_prev, F.coalesce(still, F.lit(False))).otherwise(F.lit(False))).drop("_nb")
+    rows, w, finish = frame_window(df, list(keys), t, before=1)
+    rows = rows.withColumn("_prev", F.lag(col, 1).over(w))
+    still = F.forall(F.zip_with(F.col(col), F.col("_prev"), lambda a, b: F.abs(a - b) < F.lit(eps)), lambda x: x)
+    flag = F.when(F.col("_prev").isNull(), F.lit(False)).otherwise(F.coalesce(still, F.lit(False)))
+    return finish(rows.withColumn(out, flag).drop("_prev"))
 
 
 def runs(df: DataFrame, flag: str, keys: Sequence[str] = ("episode_id",), t: str = "t") -> DataFrame:

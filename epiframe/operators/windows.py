@@ -60,10 +60,9 @@ def chunk_weights(df: DataFrame, horizon: int, keys: Sequence[str] = ("episode_i
 
 def next_frame(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("episode_id",), t: str = "t",
                prefix: str = "next_") -> DataFrame:
-    """Values of the following frame in the same episode (null on the last)."""
-    win = neighbours(df, list(keys), t, [t, *cols], after=1, out="_nb")
-    nxt = F.get(F.col("_nb"), 1)
-    return win.withColumns({f"{prefix}{c}": nxt[c] for c in cols}).drop("_nb")
+    """Values of the following frame in the same episode (null on the last), via ``lead``."""
+    rows, w, finish = frame_window(df, list(keys), t, after=1)
+    return finish(rows.withColumns({f"{prefix}{c}": F.lead(c, 1).over(w) for c in cols}))
 
 
 def block_assign(df: DataFrame, horizon: int, t: str = "t") -> DataFrame:
