@@ -95,14 +95,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _byte_values() -> np.ndarray:
+def _byte_values(fold: bool) -> np.ndarray:
     values = mix64(np.arange(1, 257, dtype=np.uint64) * _ODD)
-    for upper in range(65, 91):  # A-Z count as a-z
+    for upper in range(65, 91) if fold else ():  # A-Z count as a-z
         values[upper] = values[upper + 32]
     return values
 
 
-_VALUES = _byte_values()
+_FOLDED, _EXACT = _byte_values(True), _byte_values(False)
 _POWERS = np.ones(1, dtype=np.uint64)
 _INVERSES = np.ones(1, dtype=np.uint64)
 _STEP = _U(0xD1342543DE82EF95)
@@ -125,9 +125,10 @@ class Words:
 
     ``hashes``, ``starts``, ``ends`` (bytes in the joined buffer) and ``docs`` (row)
     hold one entry per word, in text order; ``first[i]:first[i+1]`` are row i's.
+    With ``fold``, A-Z hash as a-z.
     """
 
-    def __init__(self, texts: pa.Array, is_word: np.ndarray):
+    def __init__(self, texts: pa.Array, is_word: np.ndarray, fold: bool = True):
         data, offsets = text_bytes(texts)
         self.data, self.offsets = data, offsets
         n = len(data)
@@ -145,7 +146,7 @@ class Words:
         self.ends = np.flatnonzero(ends) + 1
         powers, inverses = _powers(n + 1)
         self._sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_VALUES[data] * powers[:n], out=self._sums[1:])
+        np.cumsum((_FOLDED if fold else _EXACT)[data] * powers[:n], out=self._sums[1:])
         self._inverses = inverses
         self.hashes = self.span_hash(self.starts, self.ends)
         self.first = np.searchsorted(self.starts, offsets)
