@@ -182,34 +182,48 @@ SPACED = not_bytes(ASCII_SPACE)
 ALNUM = not_bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 
 
+#: Rows of one batch, and bits of a shingle's hash: together they are one sortable word.
+MAX_ROWS, HASH_BITS = 4096, 52
+
+
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each row's distinct ``size``-word shingles, and rows' bounds in them.
+    """Hashes of each row's distinct ``size``-word shingles, sorted, and rows' bounds in them.
 
     A row of fewer words has its whole sequence as one shingle; without words, none.
+    Hashes have 52 bits; a batch has at most 4096 rows.
     """
     h, first = words.hashes, words.first
     counts = np.diff(first)
     n = len(h)
-    acc = np.zeros(n, dtype=np.uint64)
-    for j in range(size):
-        acc[:n - j] = mix64(acc[:n - j] + h[j:] + _U(j + 1)) if j else mix64(h + _U(1))
-    left = first[words.docs + 1] - np.arange(n)
-    keep = left >= size
+    acc = mix64(h + _U(1))
+    for j in range(1, size):
+        acc[:n - j] = mix64(acc[:n - j] + h[j:] * _ODD + _U(j))
+    keep = first[words.docs + 1] - np.arange(n) >= size
     short = np.flatnonzero((counts > 0) & (counts < size))
     docs, values = words.docs[keep], acc[keep]
     if len(short):
-        extra = []
-        for i in short:
-            x = _U(counts[i])
-            for w in h[first[i]:first[i + 1]]:
-                x = mix64(np.array([x + w], dtype=np.uint64) * _ODD)[0]
-            extra.append(x)
-        docs = np.concatenate([docs, short])
-        values = np.concatenate([values, np.array(extra, dtype=np.uint64)])
-    order = np.lexsort((values, docs))
-    docs, values = docs[order], values[order]
-    if len(values):
-        new = np.ones(len(values), dtype=bool)
-        new[1:] = (values[1:] != values[:-1]) | (docs[1:] != docs[:-1])
-        docs, values = docs[new], values[new]
-    return values, np.searchsorted(docs, np.arange(len(counts) + 1))
+        value = np.zeros(len(short), dtype=np.uint64)
+        for j in range(size - 1):
+            there = counts[short] > j
+            value[there] = mix64(value[there] + h[first[short[there]] + j] * _ODD + _U(j + 1000 * size))
+        docs, values = np.concatenate([docs, short]), np.concatenate([values, value])
+    key = (docs.astype(np.uint64) << _U(HASH_BITS)) | (values >> _U(64 - HASH_BITS))
+    key.sort()
+    if len(key):
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    bounds = np.searchsorted(key, np.arange(len(counts) + 1, dtype=np.uint64) << _U(HASH_BITS)) if len(counts) < MAX_ROWS else \
+        np.append(np.searchsorted(key, np.arange(len(counts), dtype=np.uint64) << _U(HASH_BITS)), len(key))
+    return key & _U((1 << HASH_BITS) - 1), bounds
+
+
+def row_runs(texts: pa.Array, limit: int = 3_000_000):
+    """Runs of rows of about ``limit`` bytes and at most ``MAX_ROWS`` rows: (first, past the last)."""
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, "right"))
+        end = min(max(at + 1, end), at + MAX_ROWS)
+        yield at, end
+        at = end

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import number_rows, stored, whole_text
-from .tokens import append_id, batches, default_vocabulary, encoder
+from .common import number_rows, row_runs, stored, whole_text
+from .tokens import append_id, default_vocabulary, encoder
 
 
 def exact_patterns(hist: np.ndarray, capacity: int) -> np.ndarray:
@@ -225,7 +225,7 @@ def pieces_of(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary
         own = encoder(path)
         for b in batch_iter:
             texts = b.column("text")
-            for lo, hi in batches(texts):
+            for lo, hi in row_runs(texts):
                 ids, bounds = append_id(*own.encode(texts.slice(lo, hi - lo)), end_id)
                 sizes = np.diff(bounds)
                 first = (sizes - 1) % capacity + 1

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from .common import running_total, stored, whole_text
-from .tokens import append_id, batches, default_vocabulary, encoder
+from .common import row_runs, running_total, stored, whole_text
+from .tokens import append_id, default_vocabulary, encoder
 
 _CRC_POLY = 0xEDB88320
 
@@ -146,7 +146,7 @@ def crc_shift(crc: int, n_bytes: int) -> int:
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 0, max_bits: int = 18,
-                 block_ids: int = 65_536, checkpoint_ids: int = 128, docs_per_file: int = 200_000,
+                 block_ids: int = 65_536, checkpoint_ids: int = 128, docs_per_file: int = 32_000,
                  id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of whole texts, each with ``end_id`` behind it, below ``path``.
 
@@ -166,7 +166,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
         counts = np.zeros(max(own.vocabulary, end_id + 1), dtype=np.int64)
         for b in batch_iter:
             texts = b.column("text")
-            for lo, hi in batches(texts):
+            for lo, hi in row_runs(texts):
                 ids, bounds = append_id(*own.encode(texts.slice(lo, hi - lo)), end_id)
                 counts += np.bincount(ids, minlength=len(counts))
                 raw = ids.astype(kind).tobytes()
