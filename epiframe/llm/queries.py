@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, packing, sharding, token_files, toxicity
+from . import licenses, near_dup, packing, sharding, token_files, toxicity
 from .common import table
 
 
@@ -33,11 +33,16 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_components(table(spark, sf_dir, "documents"), size=2, share=(80, 100))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_token_files": op4_token_files,
     "op5_toxicity": op5_toxicity,
     "op8_sharding": op8_sharding,
     "op9_licenses": op9_licenses,
+    "op10_near_dedup": op10_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
