@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import number_rows, stored
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -33,3 +36,88 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         mark = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def bucket_pairs(shared: DataFrame, small: int) -> DataFrame:
+    """Candidate pairs (a < b) of bucket members: all with the centre, in small buckets every two.
+
+    ``shared`` has band, node, m (members of the bucket) and c (its centre).
+    """
+    star = shared.filter("node <> c").select(F.col("c").alias("a"), F.col("node").alias("b"))
+    few = (shared.filter(F.col("m").between(3, small)).groupBy("band").agg(F.sort_array(F.collect_set("node")).alias("all"))
+           .select("all", F.posexplode("all").alias("i", "a")).select("a", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("b")))
+    return star.unionByName(few).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different components."""
+    a = found.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    b = found.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    rows = pairs.join(a, "a", "left").join(b, "b", "left")
+    return rows.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
+def several_roots(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(band, node, root) of the buckets whose members lie in more than one component."""
+    wide = members.select("band", "node").distinct().join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    bands = wide.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
+    return wide.join(bands, "band", "left_semi")
+
+
+def link_across(buckets: DataFrame, payload: DataFrame, prepare: Callable, block: int) -> DataFrame:
+    """Links between different components inside large buckets, compared block by block.
+
+    ``buckets``: band, node, root; ``payload``: node and what the test needs. Members
+    are dealt into blocks of about ``block``; a task compares two blocks of a bucket
+    and returns at most the links that join components it still sees apart, so what
+    comes out is no more than what went in. ``prepare(batch)`` gives two functions:
+    likely(i), the later rows worth a test, and same(i, j), the test.
+    """
+    rows = stored(buckets, "wide")
+    dealt = number_rows(rows, ["band"], ["node"], "_nth").withColumn("block", (F.col("_nth") / block).cast("int"))
+    dealt = stored(dealt.select("band", "block", "node", "root"), "dealt")
+    sizes = dealt.groupBy("band").agg(F.max("block").alias("last"))
+    full = dealt.join(sizes, "band").join(payload, "node")
+    full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    full = full.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("block", "other", "last")
+
+    def compare(batch):
+        likely, same = prepare(batch)
+        nodes, own, links = batch["node"].tolist(), batch["root"].tolist(), []
+        root = {r: r for r in own}
+
+        def top(r):
+            while root[r] != r:
+                root[r] = r = root[root[r]]
+            return r
+
+        for i in range(len(nodes) - 1):
+            for j in likely(i):
+                if top(own[i]) != top(own[j]) and same(i, j):
+                    root[top(own[i])] = top(own[j])
+                    links.append((nodes[i], nodes[j]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return full.groupBy("band", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def closure(near: DataFrame, best: DataFrame, large: DataFrame, payload: DataFrame, confirm: Callable,
+            prepare: Callable, block: int) -> DataFrame:
+    """Components (node, root) of all links among candidates, confirming as few as needed.
+
+    First the ``best`` pairs, then the other ``near`` pairs that lie across components,
+    last the members of the ``large`` buckets (band, node) that still hold several
+    components, block by block. ``confirm(pairs)`` keeps the true links.
+    """
+    links = stored(confirm(best), "links")
+    found = stored(components(links), "components")
+    more = stored(confirm(apart(near.join(best, ["a", "b"], "left_anti").select("a", "b"), found)), "links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        found = stored(components(links), "components")
+    open_buckets = stored(several_roots(large, found), "open")
+    if not open_buckets.isEmpty():
+        more = stored(link_across(open_buckets, payload, prepare, block), "links")
+        if not more.isEmpty():
+            found = stored(components(links.unionByName(more)), "components")
+    return found

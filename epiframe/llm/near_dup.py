@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, mix64, number_rows, row_runs, shingles, stored, whole_text
-from .graph import components
+from .common import SPACED, Words, mix64, row_runs, shingles, stored, whole_text
+from .graph import bucket_pairs, closure
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
@@ -157,44 +157,19 @@ def confirm(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFr
     return rows.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _across(buckets: DataFrame, sets: DataFrame, sketches: DataFrame, most: int, share: tuple[int, int], block: int) -> DataFrame:
-    """Links between different components inside large buckets, compared block by block.
+def _compare_sets(most: int, share: tuple[int, int]):
+    """Test of two rows of a block: sketches first, then full sets."""
+    def prepare(batch):
+        sketch = np.stack([batch[f"s{i}"].to_numpy() for i in range(SKETCH)], axis=1).view(np.uint64)
+        members = [np.frombuffer(m, np.uint64) for m in batch["members"]]
 
-    ``buckets``: band, node, root. Members are dealt into blocks of about ``block``; a
-    task compares two blocks of a bucket by their sketches, confirms on the full sets,
-    and returns at most the links that join components it still sees apart.
-    """
-    rows = stored(buckets, "wide")
-    dealt = number_rows(rows, ["band"], ["node"], "_nth").withColumn("block", (F.col("_nth") / block).cast("int"))
-    dealt = stored(dealt.select("band", "block", "node", "root"), "dealt")
-    sizes = dealt.groupBy("band").agg(F.max("block").alias("last"))
-    full = dealt.join(sizes, "band").join(sets, "node").join(sketches, "node")
-    words = F.array(*[f"s{i}" for i in range(SKETCH)]).alias("sketch")
-    full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    full = full.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", words, "members")
-
-    def compare(batch):
-        import pandas as pd
-
-        nodes, members = batch["node"].tolist(), [np.frombuffer(m, np.uint64) for m in batch["members"]]
-        sketch = np.array(batch["sketch"].tolist(), dtype=np.int64).view(np.uint64).reshape(len(nodes), SKETCH)
-        root = {r: r for r in batch["root"]}
-
-        def top(r):
-            while root[r] != r:
-                root[r] = r = root[root[r]]
-            return r
-
-        own, links = batch["root"].tolist(), []
-        for i in range(len(nodes) - 1):
+        def likely(i):
             bits = np.bitwise_count(sketch[i + 1:] ^ sketch[i]).sum(axis=1)
-            for j in (np.flatnonzero(bits <= most) + i + 1).tolist():
-                if top(own[i]) != top(own[j]) and alike(members[i], members[j], share):
-                    root[top(own[i])] = top(own[j])
-                    links.append((nodes[i], nodes[j]))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+            return (np.flatnonzero(bits <= most) + i + 1).tolist()
+
+        return likely, lambda i, j: alike(members[i], members[j], share)
 
-    return full.groupBy("band", "i", "j").applyInPandas(compare, "a long, b long")
+    return prepare
 
 
 def near_components(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id",
@@ -221,10 +196,7 @@ def near_components(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80
     centre = F.min(F.struct(F.xxhash64("band", "node").alias("h"), F.col("node").alias("c"))).alias("centre")
     buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("m"), centre).filter("m > 1").select(F.col("band").alias("_band"), "m", F.col("centre.c").alias("c"))
     shared = stored(rows.join(buckets, F.col("band") == F.col("_band")).select("band", "node", "m", "c"), "buckets")
-    star = shared.filter("node <> c").select(F.col("c").alias("a"), F.col("node").alias("b"))
-    few = (shared.filter(F.col("m").between(3, small_bucket)).groupBy("band").agg(F.sort_array(F.collect_list("node")).alias("all"))
-           .select("all", F.posexplode("all").alias("i", "a")).select("a", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("b")))
-    pairs = star.unionByName(few).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = bucket_pairs(shared, small_bucket)
     sketches = classes.select("node", *[f"s{i}" for i in range(SKETCH)])
     most = most_bits(share[0] / share[1] - 0.3)
     x = sketches.select(F.col("node").alias("a"), *[F.col(f"s{i}").alias(f"x{i}") for i in range(SKETCH)])
@@ -238,18 +210,8 @@ def near_components(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80
     sets = stored(sets_of(docs, classes.select("node", "doc_id", "k1", "k2").join(wanted, "node", "left_semi"), size, id_col, text_col), "sets")
 
     best = near.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    links = stored(confirm(best, sets, share), "links")
-    found = stored(components(links), "components")
-    apart = _apart(near.join(best, ["a", "b"], "left_anti").select("a", "b"), found)
-    more = stored(confirm(apart, sets, share), "links")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        found = stored(components(links), "components")
-    wide = (large.select("band", "node").join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")))
-    several = wide.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-    more = stored(_across(wide.join(several, "band", "left_semi"), sets, sketches, most, share, block), "links")
-    if not more.isEmpty():
-        found = stored(components(links.unionByName(more)), "components")
+    found = closure(near.select("a", "b"), best, large, sets.join(sketches, "node"), lambda p: confirm(p, sets, share),
+                    _compare_sets(most, share), block)
 
     roots = classes.select("node", "doc_id", "k1", "k2").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -260,14 +222,6 @@ def near_components(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components."""
-    a = found.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-    b = found.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    rows = pairs.join(a, "a", "left").join(b, "b", "left")
-    return rows.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-
-
 def drop_near_duplicates(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id",
                          text_col: str = "text", **options) -> DataFrame:
     """Documents with all their columns; of each component the one of the smallest id stays."""

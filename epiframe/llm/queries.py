@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, near_dup, packing, sharding, token_files, toxicity
+from . import licenses, line_dedup, near_dup, packing, sharding, token_files, toxicity
 from .common import table
 
 
@@ -23,6 +23,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "lines_in", "lines_out", "first_docs")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -41,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_token_files": op4_token_files,
     "op5_toxicity": op5_toxicity,
+    "op7_line_dedup": op7_line_dedup,
     "op8_sharding": op8_sharding,
     "op9_licenses": op9_licenses,
     "op10_near_dedup": op10_near_dedup,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -199,14 +200,12 @@ def _exotic_rows(texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> list
     return [r for r in rows if _EXOTIC.search(texts[r].as_py())]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """This Python worker's encoder for a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """This Python worker's encoder for a vocabulary file; it outlives the task."""
+    own = vars(sys).setdefault("_epiframe_encoders", {})
+    if path not in own:
+        own[path] = Encoder(path)
+    return own[path]
 
 
 def append_id(ids: np.ndarray, bounds: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray]:
