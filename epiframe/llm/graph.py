@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,14 +31,27 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
         small = large.join(least, F.col("u") == F.col("x")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.countDistinct("u")).first()
-        if now[0] == 0 or (now == mark and now[0] == now[2]):
+        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if now[0] == 0 or now == mark:  # a round that changes nothing: only stars are left
             break
         mark = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def forest(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(node, root) for links in which every b has one a, smaller than b: pointer jumping."""
+    tree = stored(links.select(F.col("b").alias("node"), F.col("a").alias("root")), "forest")
+    for _ in range(max_rounds):
+        up = tree.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+        step = tree.join(up, F.col("root") == F.col("_n"), "left")
+        tree = stored(step.select("node", F.coalesce("_r", "root").alias("root"), F.col("_r").isNotNull().alias("moved")), "forest")
+        if tree.filter("moved").isEmpty():
+            break
+    roots = tree.select(F.col("root").alias("node"), "root").distinct()
+    return tree.select("node", "root").unionByName(roots)
+
+
 def bucket_pairs(shared: DataFrame, small: int) -> DataFrame:
     """Candidate pairs (a < b) of bucket members: all with the centre, in small buckets every two.
 
@@ -58,44 +72,49 @@ def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def several_roots(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(band, node, root) of the buckets whose members lie in more than one component."""
-    wide = members.select("band", "node").distinct().join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    bands = wide.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-    return wide.join(bands, "band", "left_semi")
+    """(band, node, root, left) of the buckets whose members lie in more than one component.
+
+    ``left`` marks members outside the bucket's largest component.
+    """
+    wide = members.select("band", "node").join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    sizes = wide.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = (sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+            .filter("roots > 1").select(F.col("band").alias("_band"), F.col("main.root").alias("_main")))
+    return wide.join(main, F.col("band") == F.col("_band")).select("band", "node", "root", (F.col("root") != F.col("_main")).alias("left"))
 
 
 def link_across(buckets: DataFrame, payload: DataFrame, prepare: Callable, block: int) -> DataFrame:
     """Links between different components inside large buckets, compared block by block.
 
-    ``buckets``: band, node, root; ``payload``: node and what the test needs. Members
-    are dealt into blocks of about ``block``; a task compares two blocks of a bucket
+    ``buckets``: band, node, root, left; ``payload``: node and what the test needs. The
+    members outside a bucket's largest component are compared with all its members:
+    both are dealt into blocks of about ``block``, a task compares one block with another
     and returns at most the links that join components it still sees apart, so what
     comes out is no more than what went in. ``prepare(batch)`` gives two functions:
-    likely(i), the later rows worth a test, and same(i, j), the test.
+    likely(i), an array of the rows worth a test with row i, and same(i, j), the test.
     """
-    rows = stored(buckets, "wide")
-    dealt = number_rows(rows, ["band"], ["node"], "_nth").withColumn("block", (F.col("_nth") / block).cast("int"))
-    dealt = stored(dealt.select("band", "block", "node", "root"), "dealt")
-    sizes = dealt.groupBy("band").agg(F.max("block").alias("last"))
-    full = dealt.join(sizes, "band").join(payload, "node")
-    full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    full = full.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("block", "other", "last")
+    def dealt(rows: DataFrame, name: str) -> DataFrame:
+        rows = number_rows(rows, ["band"], ["node"], "_nth").withColumn(name, (F.col("_nth") / block).cast("int"))
+        return stored(rows.select("band", "node", "root", name), "dealt")
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("band").agg(F.sequence(F.lit(0), F.max(name)).alias("_blocks"))
+
+    every, left = dealt(buckets, "j"), dealt(stored(buckets.filter("left"), "left"), "i")
+    a = every.join(blocks(left, "i"), "band").select("band", F.explode("_blocks").alias("i"), "j", "node", "root", F.lit(False).alias("left"))
+    b = left.join(blocks(every, "j"), "band").select("band", "i", F.explode("_blocks").alias("j"), "node", "root", F.lit(True).alias("left"))
+    full = a.unionByName(b).join(payload, "node")
 
     def compare(batch):
         likely, same = prepare(batch)
-        nodes, own, links = batch["node"].tolist(), batch["root"].tolist(), []
-        root = {r: r for r in own}
-
-        def top(r):
-            while root[r] != r:
-                root[r] = r = root[root[r]]
-            return r
-
-        for i in range(len(nodes) - 1):
-            for j in likely(i):
-                if top(own[i]) != top(own[j]) and same(i, j):
-                    root[top(own[i])] = top(own[j])
+        nodes, links = batch["node"].to_numpy(), []
+        root = np.unique(batch["root"].to_numpy(), return_inverse=True)[1]
+        for i in np.flatnonzero(batch["left"].to_numpy()).tolist():
+            other = likely(i)
+            for j in other[root[other] != root[i]].tolist():
+                if root[j] != root[i] and same(i, j):
                     links.append((nodes[i], nodes[j]))
+                    root[root == root[j]] = root[i]
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return full.groupBy("band", "i", "j").applyInPandas(compare, "a long, b long")
@@ -105,19 +124,23 @@ def closure(near: DataFrame, best: DataFrame, large: DataFrame, payload: DataFra
             prepare: Callable, block: int) -> DataFrame:
     """Components (node, root) of all links among candidates, confirming as few as needed.
 
-    First the ``best`` pairs, then the other ``near`` pairs that lie across components,
-    last the members of the ``large`` buckets (band, node) that still hold several
-    components, block by block. ``confirm(pairs)`` keeps the true links.
+    ``near`` has candidate pairs a < b, ``best`` one of them for every b. The best pairs
+    are confirmed first and make a forest; then the other pairs that lie across its
+    trees, and the members of the ``large`` buckets (band, node) that hold several trees,
+    block by block. ``confirm(pairs)`` keeps the true links.
     """
-    links = stored(confirm(best), "links")
-    found = stored(components(links), "components")
-    more = stored(confirm(apart(near.join(best, ["a", "b"], "left_anti").select("a", "b"), found)), "links")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        found = stored(components(links), "components")
+    found = stored(forest(confirm(best)), "trees")
+    more = confirm(apart(near.join(best, ["a", "b"], "left_anti").select("a", "b"), found))
     open_buckets = stored(several_roots(large, found), "open")
     if not open_buckets.isEmpty():
-        more = stored(link_across(open_buckets, payload, prepare, block), "links")
-        if not more.isEmpty():
-            found = stored(components(links.unionByName(more)), "components")
-    return found
+        more = more.unionByName(link_across(open_buckets, payload, prepare, block))
+    more = stored(more, "links")
+    if more.isEmpty():
+        return found
+    a = found.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    b = found.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    between = more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    merged = stored(components(between), "merged")
+    top = merged.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    moved = found.join(top, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"))
+    return stored(moved.unionByName(merged.join(found, "node", "left_anti")), "components")
