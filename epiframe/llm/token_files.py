@@ -16,6 +16,7 @@ from .common import row_runs, running_total, stored, whole_text
 from .tokens import append_id, default_vocabulary, encoder
 
 _CRC_POLY = 0xEDB88320
+_BLOCKS = "doc_id long, doc long, block int, n_ids long, ids_after long, payload binary, checkpoints binary"
 
 
 def code_lengths(counts: np.ndarray, max_bits: int) -> np.ndarray:
@@ -225,7 +226,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
                     "payload": pa.array(payload, pa.binary()), "checkpoints": pa.array(marks, pa.binary())})
 
     blocks = documents.select("doc_id", "doc", "wide", "ids").mapInArrow(
-        to_blocks, "doc_id long, doc long, block int, n_ids long, ids_after long, payload binary, checkpoints binary")
+        to_blocks, _BLOCKS)
     number = F.lit(0)
     for e in edges:
         number = number + (F.coalesce(F.col("doc_id") > F.lit(int(e)), F.lit(False))).cast("int")
@@ -267,7 +268,7 @@ def read_tokens(spark, path: str, digest: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "doc", "block", "n_ids", "ids_after")), last],
                                                  ["doc_id", "doc", "block", "n_ids", "ids_after", "crc_share" if digest else "ids"])
 
-    blocks = spark.read.parquet(f"{path}/blocks").drop("file")
+    blocks = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")  # of an empty table there are no files to infer it from
     return blocks.mapInArrow(decode, "doc_id long, doc long, block int, n_ids long, ids_after long, " + ("crc_share long" if digest else "ids binary"))
 
 
