@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from epiframe.functions.vectors import _c, discretize
 
-# Fixed value: the whitespace set stripped at both ends (space, tab, LF, CR, VT, FF).
-WS_CHARS = " \t\n\r\x0b\x0c"
+# Fixed value: every character that ``str.strip()`` strips at both ends.
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+            "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def strip_ws(x) -> Column:

@@ -35,17 +35,26 @@ def _at(arr: Column, i: Column) -> Column:
     return F.get(arr, i)
 
 
+def _long_enough(x: Column, stats: dict[str, Column], new: Column) -> Column:
+    """``new``, or an error if one of the stats is missing or shorter than ``x``."""
+    short = F.lit(False)
+    for arr in stats.values():
+        short = short | arr.isNull() | (F.size(arr) < F.size(x))
+    error = F.raise_error(F.lit(f"{' or '.join(stats)} missing or shorter than the vector"))
+    return F.when(x.isNotNull() & short, error.cast("array<double>")).otherwise(new)
+
+
 def normalize_z(x, mean, std) -> Column:
-    """M1 ``(x - mean) / (std + 1e-6)``; stats cut to len(x)."""
-    m, s = _c(mean), _c(std)
-    return F.transform(_c(x), lambda v, i: (v - _at(m, i)) / (_at(s, i) + F.lit(EPS)))
+    """M1 ``(x - mean) / (std + 1e-6)``; stats cut to len(x), shorter ones are an error."""
+    xc, m, s = _c(x), _c(mean), _c(std)
+    return _long_enough(xc, {"mean": m, "std": s}, F.transform(xc, lambda v, i: (v - _at(m, i)) / (_at(s, i) + F.lit(EPS))))
 
 
 def normalize_q(x, q01, q99) -> Column:
-    """M2 ``(x - q01) / (q99 - q01 + 1e-6) * 2 - 1``."""
-    lo, hi = _c(q01), _c(q99)
-    return F.transform(_c(x), lambda v, i: (v - _at(lo, i)) / (_at(hi, i) - _at(lo, i) + F.lit(EPS))
-                       * F.lit(2.0) - F.lit(1.0))
+    """M2 ``(x - q01) / (q99 - q01 + 1e-6) * 2 - 1``; stats cut to len(x), shorter ones are an error."""
+    xc, lo, hi = _c(x), _c(q01), _c(q99)
+    return _long_enough(xc, {"q01": lo, "q99": hi}, F.transform(
+        xc, lambda v, i: (v - _at(lo, i)) / (_at(hi, i) - _at(lo, i) + F.lit(EPS)) * F.lit(2.0) - F.lit(1.0)))
 
 
 def unnormalize_z(x, mean, std) -> Column:
@@ -124,7 +133,7 @@ def discretize(x, bins: int = 256) -> Column:
     """M13 ``digitize(x, linspace(-1, 1, bins+1)[:-1]) - 1``: -1 below, bins-1 at/above top, NaN → bins-1."""
     half = bins / 2.0
     return F.transform(_c(x), lambda v: F.when(F.isnan(v), F.lit(bins - 1)).otherwise(
-        F.greatest(F.lit(-1), F.least(F.lit(bins - 1), F.floor((v + F.lit(1.0)) * F.lit(half)).cast("int")))))
+        F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(bins - 1.0), (v + F.lit(1.0)) * F.lit(half)))).cast("int")))
 
 
 def bin_decode(tokens, horizon: int, dim: int, n_bins: int = 256) -> Column:

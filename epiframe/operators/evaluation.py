@@ -76,9 +76,10 @@ def latency_summary(df: DataFrame, metric: str = "metric", ms: str = "ms",
                     percentiles: Sequence[float] = LATENCY_PERCENTILES) -> DataFrame:
     """Per metric mean, population std and linearly interpolated percentiles (exact, rank-based)."""
     from epiframe.operators.stats import exact_quantiles
+    from epiframe.plans.ordered import join_null_safe
 
     g = df.groupBy(metric).agg(F.avg(ms).alias("mean"), F.stddev_pop(ms).alias("std"))
-    return g.join(exact_quantiles(df, [metric], ms, percentiles), metric)
+    return join_null_safe(g, exact_quantiles(df, [metric], ms, percentiles), [metric], "left")
 
 
 def success_rollup(df: DataFrame, task: str = "task", success: str = "success") -> DataFrame:

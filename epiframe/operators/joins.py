@@ -58,10 +58,14 @@ def keyed_merge(loaded: DataFrame, reference: DataFrame, missing_regex: str, key
     return kept.unionByName(fill)
 
 
-def stats_catalogue(frames: DataFrame, catalogue: DataFrame, asset: str = "asset_id") -> DataFrame:
-    """Attach the stats of each row's asset; an asset without stats fails the job."""
-    keys = catalogue.select(asset, F.lit(True).alias("_has"))
-    j = join_small(frames, keys.distinct(), [asset], "left")
-    return j.withColumn("_has", F.when(F.col("_has").isNull(), F.raise_error(
-        F.concat(F.lit("no norm stats for asset "), F.col(asset).cast("string"))))
-        .otherwise(F.col("_has"))).drop("_has")
+def stats_catalogue(frames: DataFrame, catalogue: DataFrame, asset: str = "asset_id", out: str = "stats") -> DataFrame:
+    """Attach the stats of each row's asset as struct ``out``; one without stats fails the job.
+
+    The check is part of the struct, so whoever reads the stats meets it.
+    """
+    fields = [c for c in catalogue.columns if c != asset]
+    cat = catalogue.select(F.col(asset).alias("_asset"), F.struct(*fields).alias("_found"))
+    j = join_small(frames.withColumn("_asset", F.col(asset)), cat, ["_asset"], "left").drop("_asset")
+    none = F.raise_error(F.concat(F.lit("no norm stats for asset "), F.coalesce(F.col(asset).cast("string"), F.lit("null"))))
+    return j.withColumn(out, F.when(F.col("_found").isNull(), none.cast(cat.schema["_found"].dataType))
+                        .otherwise(F.col("_found"))).drop("_found")

@@ -1,6 +1,6 @@
 """Sampling, mixing, batching.
 
-Global positions come from ``index_within`` (range-cut numbering, no single
+Global positions come from ``index_within`` (block-cut numbering, no single
 task); random choices come from ``functions.hashing`` (partition-independent).
 """
 
@@ -21,7 +21,7 @@ WEIGHT_TOLERANCE = 1e-9
 def shuffle_order(df: DataFrame, keys: Sequence[str], seed: int = 0, epoch: int = 0, out: str = "pos") -> DataFrame:
     """A true global shuffle as a position ``pos`` = rank of ``hash(keys, seed, epoch)``."""
     h = df.withColumn("_h", hash_key(*keys, F.lit(epoch), seed=seed))
-    return index_within(h, [], ["_h", *keys], out=out).drop("_h")
+    return index_within(h, [], ["_h", *keys], out=out, hashed=True).drop("_h")
 
 
 def batch_rows(df: DataFrame, batch_size: int, pos: str = "pos") -> DataFrame:
@@ -66,7 +66,7 @@ def sample_k_per_episode(df: DataFrame, k: int, keys: Sequence[str] = ("episode_
     """
     keep = int(k * overdraw)
     h = df.withColumn("_h", hash_key(*keys, t, seed=seed))
-    r = index_within(h, list(keys), ["_h", t], out="_r")
+    r = index_within(h, list(keys), ["_h", t], out="_r", hashed=True)
     return r.filter(F.col("_r") < keep).drop("_h", "_r")
 
 
@@ -137,8 +137,3 @@ def latest_version(df: DataFrame, group: Sequence[str], step: str, value: str) -
 def next_seq(df: DataFrame, group: Sequence[str], n: str) -> DataFrame:
     """Next sequence number per group: ``max + 1``, 0 when empty."""
     return df.groupBy(*group).agg((F.coalesce(F.max(n), F.lit(-1)) + 1).alias("next_seq"))
-
-
-def frame_cap(df: DataFrame, max_frames: int, batch_size: int, pos: str = "pos") -> DataFrame:
-    """The first ``(max_frames // B) * B`` rows of a shuffled order (whole batches only)."""
-    return df.filter(F.col(pos) < (max_frames // batch_size) * batch_size)

@@ -7,6 +7,7 @@ the driver from the schema only (no data is read) and become one ``select``.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -44,9 +45,9 @@ def _nest(flat: Mapping[str, Column]) -> list[Column]:
         for p in parts[:-1]:
             node = node.setdefault(p, {})
             if not isinstance(node, dict):
-                raise ValueError(f"Leaf aliases a node at '{path}'")
+                raise ValueError(f"both leaf and struct on the way to {path}")
         if parts[-1] in node:
-            raise ValueError(f"Key '{path}' already exists in output")
+            raise ValueError(f"{path} is given twice")
         node[parts[-1]] = col
 
     def build(name: str, node) -> Column:
@@ -83,42 +84,43 @@ def inject_default(df: DataFrame, col: str, value) -> DataFrame:
     return df.withColumn(col, F.lit(value))
 
 
+def _new_name(path: str, rules: Mapping[str, str | None]) -> str | None:
+    """Name given by the first rule whose pattern covers the whole path; None drops the leaf."""
+    for pattern, name in rules.items():
+        found = re.fullmatch(pattern, path)
+        if found:
+            return None if name is None else found.expand(name)
+    return path
+
+
 def regex_rename(df: DataFrame, patterns: Mapping[str, str | None]) -> DataFrame:
     """Full-match regex rename of leaf paths; first pattern wins, ``None`` drops.
 
-    Back-references use Python ``re`` syntax (``\\1``). A duplicate output
-    path or a leaf that aliases a node raises before any job runs.
+    Back-references use Python ``re`` syntax (``\\1``). Two leaves of one name, or
+    a name that is a leaf and a struct at once, raise before any job runs.
     """
-    compiled = [(re.compile(k), v) for k, v in patterns.items()]
-    out: dict[str, Column] = {}
-    for path, _ in leaf_paths(df.schema):
-        new = path
-        for pat, repl in compiled:
-            if pat.fullmatch(path):
-                new = None if repl is None else pat.sub(repl, path, count=1)
-                break
-        if new is None:
-            continue
-        if new in out:
-            raise ValueError(f"Key '{new}' already exists in output")
-        out[new] = path_col(path)
-    names = sorted(out)
-    for a, b in zip(names, names[1:]):
-        if b.startswith(a + SEP):
-            raise ValueError(f"Leaf '{a}' aliases a node of '{b}'")
-    return df.select(*_nest(out))
+    moves = [(path, _new_name(path, patterns)) for path, _ in leaf_paths(df.schema)]
+    moves = [(path, name) for path, name in moves if name is not None]
+    uses = Counter(name for _, name in moves)
+    repeated = sorted(name for name, n in uses.items() if n > 1)
+    if repeated:
+        raise ValueError(f"leaf name already exists: {', '.join(repeated)}")
+    leaves = {tuple(name.split(SEP)) for name in uses}
+    structs = {leaf[:depth] for leaf in leaves for depth in range(1, len(leaf))}
+    if leaves & structs:
+        raise ValueError(f"both leaf and struct: {', '.join(sorted(SEP.join(x) for x in leaves & structs))}")
+    return df.select(*_nest({name: path_col(path) for path, name in moves}))
 
 
 def apply_selector(df: DataFrame, selector: Mapping[str, object], fn: Callable[[Column, object], Column],
                    strict: bool = False) -> DataFrame:
     """Apply ``fn(col, selector[path])`` to leaves named in ``selector``."""
-    paths = [p for p, _ in leaf_paths(df.schema)]
-    if strict:
-        for k in selector:
-            if k not in paths:
-                raise ValueError(f"Selector key {k} not found in tree")
-    flat = {p: (fn(path_col(p), selector[p]) if p in selector else path_col(p)) for p in paths}
-    return df.select(*_nest(flat))
+    columns = {path: path_col(path) for path, _ in leaf_paths(df.schema)}
+    unknown = selector.keys() - columns.keys()
+    if strict and unknown:
+        raise ValueError(f"no leaf of the table: {', '.join(sorted(unknown))}")
+    columns.update({path: fn(columns[path], arg) for path, arg in selector.items() if path in columns})
+    return df.select(*_nest(columns))
 
 
 def flatten_struct(df: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ single-pass re-binning approximation.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -99,49 +98,46 @@ def norm_stats(values: DataFrame, quantiles: Sequence[float] = QUANTILES, bins:
     """
     m = moments(values)
     out = histogram_quantiles(values, m, quantiles, bins, carry=["count", "mean", "std", "min", "max"])
-    return out.withColumn("count", F.when(F.col("count") >= min_count, F.col("count")).otherwise(
-        F.raise_error(F.lit(f"Cannot compute statistics for less than {min_count} vectors.")).cast("bigint")))
+    error = F.raise_error(F.lit(f"Cannot compute statistics for less than {min_count} vectors."))
 
+    def checked(c: str):  # in every value: a column nobody reads is pruned with its check
+        return F.when(F.col("count") >= min_count, F.col(c)).otherwise(error.cast(out.schema[c].dataType)).alias(c)
 
-def approx_quantile_stats(values: DataFrame, quantiles: Sequence[float] = QUANTILES,
-                          accuracy: int = 10000) -> DataFrame:
-    """One-pass alternative: ``percentile_approx`` (bounded memory per group)."""
-    qs = F.percentile_approx("x", list(quantiles), accuracy)
-    out = values.groupBy("key", "dim").agg(qs.alias("_q"))
-    return out.select("key", "dim", *[F.get(F.col("_q"), i).alias(_qname(q)) for i, q in enumerate(quantiles)])
+    return out.select("key", "dim", *[checked(c) for c in out.columns if c not in ("key", "dim")])
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float],
                     prefix: str = "p") -> DataFrame:
     """Exact linearly interpolated quantiles per group (numpy's default), without one task per group.
 
-    Position ``q * (n - 1)`` in sorted order is found by rank: rows are
-    numbered with ``index_within`` (hot groups are range-cut), group sizes
-    are attached (AQE broadcasts them when small), only rows at the needed
-    ranks survive, and each contributes ``value * weight`` (``1 - frac`` at
-    the lower rank, ``frac`` at the upper) to its quantile's sum. One pass
-    over the ranked rows; Spark's ``percentile`` would hold every distinct
-    value of a group in one task.
+    Equal values are counted first, so ties are one row. A running sum of the
+    counts in value order tells which ranks a value covers; the values at the
+    ranks below and above position ``q * (n - 1)`` each contribute ``value *
+    weight`` (``1 - frac`` and ``frac``). A null key is a group like others.
     """
-    from epiframe.plans.ordered import index_within
+    from epiframe.plans.ordered import join_null_safe, running_agg
 
     k = list(keys)
     base = df.select(*k, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    counts = base.groupBy(*k, "_x").agg(F.count(F.lit(1)).alias("_c"))
     n = base.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = index_within(base, k, ["_x"], out="_rank")
+    ranked = running_agg(counts, "_c", ["_x"], "_upto", keys=k)
     # group sizes: a join on the keys, or one scalar subquery for the whole input
-    ranked = join_small(ranked, n, k) if k else ranked.withColumn("_n", n.select("_n").scalar())
+    ranked = join_null_safe(ranked, n, k) if k else ranked.withColumn("_n", n.select("_n").scalar())
+
+    def covers(rank):
+        return (rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto"))
+
     parts = []
     for q in quantiles:
         pos = F.lit(float(q)) * (F.col("_n") - 1).cast("double")
         lo, hi = F.floor(pos), F.ceil(pos)
         frac = pos - lo
-        w = (F.when(F.col("_rank") == lo, F.when(lo == hi, F.lit(1.0)).otherwise(F.lit(1.0) - frac))
-             .otherwise(F.lit(0.0))
-             + F.when((F.col("_rank") == hi) & (hi != lo), frac).otherwise(F.lit(0.0)))
+        w = (F.when(covers(lo), F.lit(1.0) - frac).otherwise(F.lit(0.0))
+             + F.when(covers(hi) & (hi != lo), frac).otherwise(F.lit(0.0)))
         parts.append(F.struct(F.lit(float(q)).alias("q"), w.alias("w")))
-    e = ranked.select(*k, "_x", F.filter(F.array(*parts), lambda p: p["w"] > 0).alias("_c"))
-    e = e.filter(F.size("_c") > 0).select(*k, "_x", F.explode("_c").alias("c"))
+    e = ranked.select(*k, "_x", F.filter(F.array(*parts), lambda p: p["w"] > 0).alias("_w"))
+    e = e.filter(F.size("_w") > 0).select(*k, "_x", F.explode("_w").alias("c"))
     sums = e.groupBy(*k, F.col("c.q").alias("q")).agg(F.sum(F.col("_x") * F.col("c.w")).alias("_v"))
     out = sums.groupBy(*k).pivot("q", [float(q) for q in quantiles]).agg(F.first("_v"))
     return out.select(*k, *[F.col(f"`{float(q)}`").alias(f"{prefix}{round(q * 100)}") for q in quantiles])
@@ -183,11 +179,6 @@ def load_stats(spark, path: str) -> DataFrame:
     return stats_from_json(spark.read.text(path).withColumnRenamed("value", "json"))
 
 
-def python_stats_json(stats_by_key: Mapping[str, Mapping[str, list]]) -> str:
-    """Plain JSON text of a small stats dict (for configs and tests)."""
-    return json.dumps({"norm_stats": stats_by_key}, indent=2)
-
-
 def _stats_fn(mode: str, inverse: bool, s):
     """One-argument column function (``transform`` counts lambda parameters)."""
     if mode == "z":
@@ -232,8 +223,7 @@ def apply_stats(df: DataFrame, stats: DataFrame, cols: Mapping[str, str], mode:
 
 def norm_stats_pipeline(frames: DataFrame, horizon: int, delta_mask: Sequence[bool] | None,
                         state: str = "state", actions: str = "actions",
-                        keys: Sequence[str] = ("episode_id",), t: str = "t", max_frames: int | None = None,
-                        batch_size: int = 1, seed: int = 0) -> DataFrame:
+                        keys: Sequence[str] = ("episode_id",), t: str = "t") -> DataFrame:
     """A4: chunk → delta → stats of ``state`` (per frame) and ``actions`` (every chunk row).
 
     The horizon is known when the plan is built, so the chunk rows are
@@ -245,12 +235,6 @@ def norm_stats_pipeline(frames: DataFrame, horizon: int, delta_mask: Sequence[bo
 
     f = frames.select(*keys, t, state, actions)
     ch = action_chunk(f, horizon, cols=[actions], keys=keys, t=t)
-    if max_frames is not None:
-        # trap 3: chunks are built on all frames, then only whole shuffled batches up to
-        # max_frames are counted (seeded hash order, partition-independent)
-        from epiframe.operators.sampling import frame_cap, shuffle_order
-
-        ch = frame_cap(shuffle_order(ch, [*keys, t], seed=seed), max_frames, batch_size).drop("pos")
     entries = [F.struct(F.lit(state).alias("key"), F.col(state).cast("array<double>").alias("v"),
                         F.lit(False).alias("delta"))]
     entries += [F.struct(F.lit(actions).alias("key"), F.element_at(actions, i + 1).cast("array<double>").alias("v"),

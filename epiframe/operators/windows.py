@@ -23,21 +23,22 @@ def action_chunk(df: DataFrame, horizon: int, cols: Sequence[str] = ("actions",)
     Element ``i`` of row ``t`` is ``col[min(t+i, n-1)]``: the tail repeats the
     episode's last value and never reaches into another episode. Built from
     ``lead(col, i)`` offsets (one window pass); a missing lead falls back to
-    the previous element, which is the clamp.
+    the previous element, which is the clamp. A null action is an action.
     """
     if horizon < 1:
         raise ValueError("horizon must be >= 1")
     if horizon == 1:
         return df.withColumns({c: F.array(F.col(c)) for c in cols})
     rows, w, finish = frame_window(df, list(keys), t, after=horizon - 1, segment=segment)
-    leads = {f"_lead_{c}_{i}": F.lead(c, i).over(w) for c in cols for i in range(1, horizon)}
+    # wrapped values: a missing lead is null, a lead that holds a null is not
+    leads = {f"_lead_{c}_{i}": F.lead(F.struct(F.col(c).alias("v")), i).over(w) for c in cols for i in range(1, horizon)}
     rows = rows.withColumns(leads)
     out = {}
     for c in cols:
-        elems = [F.col(c)]
+        elems = [F.struct(F.col(c).alias("v"))]
         for i in range(1, horizon):
             elems.append(F.coalesce(F.col(f"_lead_{c}_{i}"), elems[-1]))
-        out[c] = F.array(*elems)
+        out[c] = F.array(*[e["v"] for e in elems])
     return finish(rows.withColumns(out).drop(*leads))
 
 

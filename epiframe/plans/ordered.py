@@ -2,206 +2,166 @@
 
 A per-episode ``Window.partitionBy(episode)`` puts a whole episode in one
 task. Episodes can be very unequal (one may hold a third of all frames), so
-the helpers here never need a whole episode in one place:
-
-* ``index_within``  – dense 0-based position inside a group. Groups that fit
-  a task use a plain window; hot groups are cut into value ranges of
-  (group, order), numbered per (range, group), and the counts of earlier
-  ranges are added (no group in one task).
+the helpers here never need a whole episode in one place. There is one plan
+for all sizes, decided by the order column's type alone (no sample, no count,
+no threshold):
+
+* rows are cut into blocks by a coarse, order-preserving value of the first
+  order column (``order_block``), windows run per (group, block), and what lies
+  in earlier blocks comes from prefix sums over the small table of blocks,
+  which is itself cut into ranges of blocks;
+* ``index_within`` – dense 0-based position inside a group;
+* ``running_agg`` / ``running_sum`` – prefix sum, maximum or minimum;
 * ``frame_window`` / ``neighbours`` – rows ``t-before .. t+after`` of the same
-  episode; for hot episodes via fixed-size segments of the frame index plus a
-  small halo copied from the adjacent segment (window per (episode, segment)).
-* ``running_sum``   – prefix sum in a global order, same range cut.
+  episode, via fixed-size segments of the frame index plus a small halo
+  copied from the adjacent segment (window per (episode, segment)).
+
+Group keys may be null: all joins on them are null-safe.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from epiframe.session import join_small
-
+#: Frames in a segment of ``frame_window``.
 SEGMENT = 4096
+#: Whole numbers per block, as bits; blocks per range of blocks, as bits.
+BLOCK_BITS = 12
+RANGE_BITS = 18
+#: Blocks of a uniformly hashed 64-bit order, as bits.
+HASH_BITS = 18
 
-# A group with at most this many rows is ordered by a plain window in one task;
-# larger ("hot") groups are cut into value ranges. Tests lower it to force cuts.
-SPLIT_MIN_ROWS = 2_000_000
-# ... and only if it also exceeds this share of an even split (total / partitions).
-SPLIT_SHARE = 1.0
 
-# Plan-time statistics per (semantic plan, columns): hot groups and sampled
-# range bounds, reused when the same input is cut again in this session.
-_STATS: dict = {}
+def order_block(df: DataFrame, col: str, hashed: bool = False) -> Column:
+    """Block number of ``col``: never decreases as the value grows; nulls come first.
 
+    Whole numbers: 4096 to a block. Timestamps: about 72 minutes. Dates: 16
+    days. Fractions: steps of 2^(1/64) of the absolute value. Texts: their
+    first four bytes. ``hashed``: the top 18 bits of a 64-bit hash.
+    """
+    kind, c = df.schema[col].dataType, F.col(f"`{col}`")
+    if isinstance(kind, T.BooleanType):
+        block = c.cast("bigint")
+    elif isinstance(kind, T.IntegralType):
+        block = F.shiftright(c.cast("bigint"), 64 - HASH_BITS if hashed else BLOCK_BITS)
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        block = F.shiftright(F.unix_micros(c.cast("timestamp")), 32)
+    elif isinstance(kind, T.DateType):
+        block = F.shiftright(F.unix_date(c).cast("bigint"), 4)
+    elif isinstance(kind, (T.FractionalType, T.DecimalType)):
+        x = c.cast("double")
+        size = F.least(F.log2(F.abs(x) + 1.0) * 64, F.lit(1e6))
+        block = F.when(F.isnan(x), F.lit(2_000_000)).otherwise(F.floor(F.signum(x) * size)).cast("bigint")
+    elif isinstance(kind, (T.StringType, T.BinaryType)):
+        head = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 4)), 8, "0")
+        block = F.conv(head, 16, 10).cast("bigint")
+    else:
+        block = F.lit(0).cast("bigint")
+    return F.coalesce(block, F.lit(-(1 << 62)))
 
-# Upper bound on value ranges for one cut (the range-id expression is a binary
-# tree over this many sampled bounds).
-MAX_RANGES = 8192
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on same-named columns in which null matches null; the left's columns stay."""
+    names = {c: f"_r_{c}" for c in on}
+    r = right.select(*[F.col(f"`{c}`").alias(names[c]) if c in names else F.col(f"`{c}`") for c in right.columns])
+    cond = [F.col(f"`{c}`").eqNullSafe(F.col(f"`{n}`")) for c, n in names.items()]
+    out = left.join(r, cond, how)
+    return out.drop(*names.values())
 
-def _partitions(df: DataFrame, partitions: int | None) -> int:
-    if partitions:
-        return partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+_AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
-def _cut_count(hot_rows: int, threshold: int, parts: int) -> int:
-    """Ranges for a cut: enough that each holds about half a threshold of hot rows."""
-    want = -(-2 * max(hot_rows, 1) // max(threshold, 1))
-    return max(2, min(MAX_RANGES, max(want, min(parts, MAX_RANGES))))
 
+def _merge(a: Column, b: Column, agg: str) -> Column:
+    if agg == "sum":
+        return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+    both = F.greatest if agg == "max" else F.least
+    return both(a, b)  # skips nulls
 
-def hot_groups(df: DataFrame, keys: list[str], parts: int, min_rows: int | None = None) -> list[tuple] | None:
-    """Groups too large for one task: ``count > max(min_rows, total / parts)``.
 
-    One aggregation job (map-side partial counts) decides; only when some
-    group is hot are their keys collected (at most ``parts`` of them).
-    Returns ``None`` for no hot group, ``[()]`` when ``keys`` is empty and the
-    whole input is hot. ``hot_rows(...)`` then tells how many rows they hold.
-    """
-    return _hot(df, keys, parts, min_rows)[0]
+def _ranges_before(ranges: DataFrame, keys: list[str], agg: str) -> DataFrame:
+    """Per (key, range of blocks): the aggregate of all earlier ranges (few rows per key)."""
+    if keys:
+        w = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        return ranges.withColumn("_far", _AGG[agg]("_all").over(w)).drop("_all")
+    kind = ranges.schema["_all"].dataType
+    rows = ranges.agg(F.sort_array(F.collect_list(F.struct("_range", "_all"))).alias("_rows"))
+    nothing = F.lit(None).cast(kind)
+    before = F.transform("_rows", lambda r, i: F.struct(
+        r["_range"].alias("_range"),
+        F.aggregate(F.slice("_rows", 1, i), nothing, lambda acc, x: F.when(acc.isNull(), x["_all"]).otherwise(
+            (acc + x["_all"]).cast(kind) if agg == "sum" else _merge(acc, x["_all"], agg))).alias("_far")))
+    return rows.select(F.inline(before))
 
 
-def hot_rows(df: DataFrame, keys: list[str], parts: int, min_rows: int | None = None) -> tuple[int, int]:
-    """(rows in hot groups, threshold) of the last ``hot_groups`` decision (memoised)."""
-    _, rows, thr = _hot(df, keys, parts, min_rows)
-    return rows, thr
+def _block_offsets(d: DataFrame, keys: list[str], value: Column, agg: str) -> DataFrame:
+    """Per (key, block): ``agg`` of ``value`` over all earlier blocks of the key, as ``_off``."""
+    blocks = d.groupBy(*keys, "_range", "_block").agg(_AGG[agg](value).alias("_all"))
+    w = Window.partitionBy(*keys, "_range").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    near = blocks.withColumn("_near", _AGG[agg]("_all").over(w)).drop("_all")
+    ranges = blocks.groupBy(*keys, "_range").agg(_AGG[agg]("_all").alias("_all"))
+    out = join_null_safe(near, _ranges_before(ranges, keys, agg), [*keys, "_range"])
+    return out.withColumn("_off", _merge(F.col("_near"), F.col("_far"), agg)).select(*keys, "_block", "_off")
 
 
-def _hot(df: DataFrame, keys: list[str], parts: int, min_rows: int | None):
-    min_rows = SPLIT_MIN_ROWS if min_rows is None else min_rows
-    memo = ("hot", df.select(*keys).semanticHash() if keys else df.semanticHash(), tuple(keys), parts, min_rows,
-            SPLIT_SHARE)
-    if memo in _STATS:
-        return _STATS[memo]
-    if not keys:
-        total = df.count()
-        thr = max(min_rows, int(SPLIT_SHARE * total / max(parts, 1)))
-        res = ([()], total, thr) if total > min_rows else (None, 0, thr)
-    else:
-        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        agg = counts.agg(F.sum("_n").alias("total"), F.max("_n").alias("mx")).first()
-        thr = max(min_rows, int(SPLIT_SHARE * (agg["total"] or 0) / max(parts, 1)))
-        if (agg["mx"] or 0) <= thr:
-            res = (None, 0, thr)
-        else:
-            hot = counts.filter(F.col("_n") > thr)
-            rows = hot.agg(F.sum("_n")).first()[0]
-            res = ([tuple(r) for r in hot.select(*keys).collect()], int(rows), thr)
-    _STATS[memo] = res
-    return res
-
-
-def _is_hot(keys: list[str], hot: list[tuple]):
-    """Membership in the hot-group list (``isin`` → a hash-set lookup for long lists)."""
-    if not keys:
-        return F.lit(True)
-    if len(keys) == 1:
-        return F.col(keys[0]).isin([h[0] for h in hot])
-    return F.struct(*keys).isin([F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, h)]) for h in hot])
-
-
-def range_ids(df: DataFrame, cols: list, parts: int, out: str = "_part", seed: int = 17,
-              per_part: int = 32, only=None, n_rows: int | None = None) -> DataFrame:
-    """Add ``out`` = id of the value range of ``struct(cols)`` (``parts`` ranges).
-
-    Bounds come from one seeded sample of about ``parts * per_part`` rows
-    (of the rows matching ``only``, if given; other rows get range 0) and
-    become literals in the plan, so every re-execution (and every branch of
-    a self-join) assigns the same id. ``repartitionByRange`` cannot promise
-    that: it re-samples per execution.
-    """
-    names = [c if isinstance(c, str) else c._jc.toString() for c in cols]
-    key = df.select(*cols) if only is None else df.filter(only).select(*cols)
-    if parts <= 1:
-        return df.withColumn(out, F.lit(0))
-    memo = ("bounds", key.semanticHash(), tuple(names), parts, seed, per_part)
-    sample = _STATS.get(memo)
-    if sample is None:
-        n = key.count() if n_rows is None else n_rows
-        frac = min(1.0, parts * per_part / max(n, 1))
-        sample = key.sample(False, frac, seed).orderBy(*names).collect()
-        _STATS[memo] = sample
-    if len(sample) < 2:
-        return df.withColumn(out, F.lit(0))
-    step = len(sample) / parts
-    bounds = []
-    for i in range(1, parts):
-        row = sample[min(len(sample) - 1, int(i * step))]
-        if not bounds or tuple(row) != tuple(bounds[-1]):
-            bounds.append(row)
-    types = {f.name: f.dataType for f in key.schema.fields}
-    row_key = F.struct(*[F.col(c) for c in names])
-
-    def lit_struct(r):
-        return F.struct(*[F.lit(r[i]).cast(types[c]).alias(c) for i, c in enumerate(names)])
-
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(row_key <= lit_struct(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    part = tree(0, len(bounds))
-    if only is not None:
-        part = F.when(only, part).otherwise(F.lit(0))
-    return df.withColumn(out, part)
-
-
-def _block_offsets(d: DataFrame, keys: list[str], value, agg: str = "sum") -> DataFrame:
-    """Per (range, key) block: ``agg`` of ``value`` over all earlier ranges of the key."""
-    fn = {"sum": F.sum, "max": F.max, "min": F.min}[agg]
-    blocks = d.groupBy("_part", *keys).agg(fn(value).alias("_blk"))
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_part")
-    prev = fn("_blk").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    if agg == "sum":
-        prev = F.coalesce(prev, F.lit(0))
-    return blocks.withColumn("_off", prev).drop("_blk")
+def _cut(df: DataFrame, order: list[str], hashed: bool) -> DataFrame:
+    return (df.withColumn("_block", order_block(df, order[0], hashed))
+            .withColumn("_range", F.shiftright("_block", RANGE_BITS)))
 
 
-def index_within(df: DataFrame, keys: list[str], order: list, out: str = "t",
-                 partitions: int | None = None) -> DataFrame:
-    """Add ``out`` = 0-based row number inside ``keys`` by ``order``.
+def index_within(df: DataFrame, keys: list[str], order: list[str], out: str = "t", hashed: bool = False) -> DataFrame:
+    """Add ``out`` = 0-based row number inside ``keys`` by ``order`` (nulls first).
 
     Equal to ``row_number() over (partition by keys order by order) - 1`` when
-    ``order`` is a total order. Groups that fit one task use exactly that
-    window; hot groups (see ``hot_groups``) are cut into value ranges: the
-    window runs per (range, key) and earlier ranges' counts are added from a
-    small offsets table (AQE broadcasts it when its measured size allows).
+    ``order`` is a total order. ``hashed``: the first order column is a uniform
+    64-bit hash.
     """
-    parts = _partitions(df, partitions)
-    hot = hot_groups(df, keys, parts)
-    if hot is None:
-        w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*order)
-        return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
-    n_hot, thr = hot_rows(df, keys, parts)
-    d = range_ids(df, [*keys, *order], _cut_count(n_hot, thr, parts), only=_is_hot(keys, hot), n_rows=n_hot)
-    w = Window.partitionBy("_part", *keys).orderBy(*order)
-    local = d.withColumn("_r", F.row_number().over(w) - 1)
-    offsets = _block_offsets(d, keys, F.lit(1))
-    joined = join_small(local, offsets, ["_part", *keys])
-    return joined.withColumn(out, (F.col("_r") + F.col("_off")).cast("bigint")).drop("_part", "_r", "_off")
+    d = _cut(df, order, hashed)
+    w = Window.partitionBy(*keys, "_block").orderBy(*order)
+    local = d.withColumn("_r", F.row_number().over(w) - 1).drop("_range")
+    joined = join_null_safe(local, _block_offsets(d, keys, F.lit(1), "sum"), [*keys, "_block"])
+    return joined.withColumn(out, (F.col("_r") + F.col("_off")).cast("bigint")).drop("_block", "_r", "_off")
+
+
+def running_agg(df: DataFrame, value, order: list[str], out: str, keys: list[str] | None = None,
+                agg: str = "sum", include_current: bool = True, hashed: bool = False) -> DataFrame:
+    """Add ``out`` = running ``agg`` (sum/max/min) of ``value`` in ``order`` inside ``keys``.
+
+    A running window per (key, block), combined with the aggregate of all
+    earlier blocks of the key. With ``include_current=False`` the current row is
+    left out (null when nothing precedes it, 0 for sums).
+    """
+    keys = keys or []
+    val = F.col(value) if isinstance(value, str) else value
+    d = _cut(df.withColumn("_v", val), order, hashed)
+    upto = 0 if include_current else -1
+    w = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
+    local = d.withColumn("_r", _AGG[agg]("_v").over(w)).drop("_range")
+    joined = join_null_safe(local, _block_offsets(d, keys, F.col("_v"), agg), [*keys, "_block"])
+    return joined.withColumn(out, _merge(F.col("_r"), F.col("_off"), agg)).drop("_block", "_r", "_off", "_v")
+
+
+def running_sum(df: DataFrame, value: str, order: list[str], out: str, keys: list[str] | None = None) -> DataFrame:
+    """Inclusive running sum (see ``running_agg``)."""
+    return running_agg(df, value, order, out, keys, "sum", True)
 
 
 def frame_window(df: DataFrame, keys: list[str], t: str, before: int = 0, after: int = 0,
-                 segment: int | None = None, partitions: int | None = None):
+                 segment: int | None = None):
     """Rows plus a window spec that sees ``t-before .. t+after`` of the same group.
 
     Returns ``(rows, window, finish)``: compute window expressions on
-    ``rows`` over ``window``, then call ``finish`` on the result. Groups that
-    fit one task use ``partitionBy(keys)`` (the same partitioning as the frame
-    index, so no extra shuffle). If a group is hot, rows are cut into
-    fixed-size segments of ``t``; rows within reach of a segment border are
-    emitted once more (one ``explode``, input plan not duplicated) as halo
+    ``rows`` over ``window``, then call ``finish`` on the result. Rows are cut
+    into fixed-size segments of ``t``; rows within reach of a segment border
+    are emitted once more (one ``explode``, input plan not duplicated) as halo
     copies for the neighbouring segment, and ``finish`` drops those copies.
     ``t`` must be the dense 0-based index inside ``keys``.
     """
     segment = segment or SEGMENT
     if max(before, after) >= segment:
         raise ValueError("segment must exceed the window reach")
-    hot = hot_groups(df, keys, _partitions(df, partitions))
-    if hot is None:
-        return df, Window.partitionBy(*keys).orderBy(t), (lambda x: x)
     tc = F.col(t)
     seg = F.floor(tc / F.lit(segment))
     pos = tc % F.lit(segment)
@@ -221,43 +181,3 @@ def neighbours(df: DataFrame, keys: list[str], t: str, cols: list[str], before:
     """Add ``out`` = ``collect_list(struct(cols))`` over rows ``[t-before, t+after]`` of the group."""
     rows, w, finish = frame_window(df, keys, t, before, after, segment)
     return finish(rows.withColumn(out, F.collect_list(F.struct(*cols)).over(w.rowsBetween(-before, after))))
-
-
-def running_agg(df: DataFrame, value, order: list[str], out: str, keys: list[str] | None = None,
-                agg: str = "sum", include_current: bool = True, partitions: int | None = None) -> DataFrame:
-    """Add ``out`` = running ``agg`` (sum/max/min) of ``value`` in ``order`` inside ``keys``.
-
-    Same range cut as ``index_within``: a running window per (range, key),
-    combined with the aggregate of all earlier ranges of the key. With
-    ``include_current=False`` the current row is left out (null when nothing
-    precedes it, 0 for sums).
-    """
-    keys = keys or []
-    val = F.col(value) if isinstance(value, str) else value
-    fn = {"sum": F.sum, "max": F.max, "min": F.min}[agg]
-    upto = 0 if include_current else -1
-    parts = _partitions(df, partitions)
-    hot = hot_groups(df, keys, parts)
-    if hot is None:
-        w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*order)
-        r = fn(val).over(w.rowsBetween(Window.unboundedPreceding, upto))
-        return df.withColumn(out, F.coalesce(r, F.lit(0)) if agg == "sum" else r)
-    n_hot, thr = hot_rows(df, keys, parts)
-    d = range_ids(df.withColumn("_v", val), [*keys, *order], _cut_count(n_hot, thr, parts),
-                  only=_is_hot(keys, hot), n_rows=n_hot)
-    w = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
-    local = d.withColumn("_r", fn("_v").over(w))
-    offsets = _block_offsets(d, keys, F.col("_v"), agg)
-    joined = join_small(local, offsets, ["_part", *keys])
-    if agg == "sum":
-        res = F.coalesce(F.col("_r"), F.lit(0)) + F.col("_off")
-    else:
-        both = F.greatest if agg == "max" else F.least
-        res = F.coalesce(both(F.col("_r"), F.col("_off")), F.col("_r"), F.col("_off"))
-    return joined.withColumn(out, res).drop("_part", "_r", "_off", "_v")
-
-
-def running_sum(df: DataFrame, value: str, order: list[str], out: str,
-                keys: list[str] | None = None, partitions: int | None = None) -> DataFrame:
-    """Inclusive running sum (see ``running_agg``)."""
-    return running_agg(df, value, order, out, keys, "sum", True, partitions)

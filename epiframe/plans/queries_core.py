@@ -220,27 +220,3 @@ def q_norm_stats_li(spark, sf_dir):
     return stats_out(S.norm_stats_pipeline(frames, LI_H, LI_MASK))
 
 
-@query("norm_stats_capped", f"""
-WITH {FRAMES_EV},
-sh AS (SELECT episode_id, t, row_number() OVER (
-         ORDER BY CAST('0x' || substr(md5(CAST(episode_id AS VARCHAR) || '|' || CAST(t AS VARCHAR) || '|0|0'), 1, 13) AS BIGINT),
-                  episode_id, t) - 1 AS pos FROM frames_ev),
-kept AS (SELECT episode_id, t FROM sh WHERE pos < (5000 // 32) * 32),
-len AS (SELECT episode_id, max(t) AS last_t FROM frames_ev GROUP BY episode_id),
-pairs AS (
-  SELECT episode_id, t, st0, least(t + i, last_t) AS j FROM (
-    SELECT f.episode_id, f.t, f.s0 AS st0, len.last_t, unnest(range(0, {FLAGSHIP_H})) AS i
-    FROM frames_ev f JOIN len ON f.episode_id = len.episode_id
-    WHERE EXISTS (SELECT 1 FROM kept k WHERE k.episode_id = f.episode_id AND k.t = f.t))),
-kf AS (SELECT f.* FROM frames_ev f JOIN kept k ON f.episode_id = k.episode_id AND f.t = k.t),
-vals AS (
-  SELECT 'state' AS key, 0 AS dim, s0 AS x FROM kf
-  UNION ALL SELECT 'state', 1, s1 FROM kf
-  UNION ALL SELECT 'actions', 0, a.s0 - p.st0 FROM pairs p JOIN frames_ev a ON a.episode_id = p.episode_id AND a.t = p.j
-  UNION ALL SELECT 'actions', 1, a.s1 FROM pairs p JOIN frames_ev a ON a.episode_id = p.episode_id AND a.t = p.j),
-{stats_sql()}
-SELECT * FROM stats_out""")
-def q_norm_stats_capped(spark, sf_dir):
-    """A4 + T9: stats over the first max_frames // B whole batches (max_frames=5000, B=32) of shuffled samples."""
-    frames = views.frames_ev(spark, sf_dir)
-    return stats_out(S.norm_stats_pipeline(frames, FLAGSHIP_H, FLAGSHIP_MASK, max_frames=5000, batch_size=32))

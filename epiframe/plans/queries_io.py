@@ -61,19 +61,6 @@ def q_nested_drop_fields(spark, sf_dir):
     return SC.flatten_struct(out)
 
 
-@query("fake_rows", f"""
-SELECT i, CAST(d AS BIGINT) AS dim,
-       {r6(f"{unit_hash_sql(['i', "'state'", 'd'], 1)} * CAST(2 AS DOUBLE) - CAST(1 AS DOUBLE)")} AS state,
-       CAST(floor({unit_hash_sql(['i', "'tokens'", 'd'], 1)} * 2048) AS INTEGER) AS token
-FROM (SELECT unnest(range(0, (SELECT count(*) FROM embeddings))) AS i), (SELECT unnest(range(0, 4)) AS d)""")
-def q_fake_rows(spark, sf_dir):
-    """As many synthetic rows as ``embeddings``; row i is a pure function of i."""
-    n = views.table(spark, sf_dir, "embeddings").count()
-    f = RD.fake_rows(spark, n, {"state": ("float", 4), "tokens": ("int", 4)}, seed=1)
-    z = f.select("i", F.posexplode(F.arrays_zip("state", "tokens")).alias("dim", "z"))
-    return z.select("i", F.col("dim").cast("bigint"), R6("z.state").alias("state"), F.col("z.tokens").alias("token"))
-
-
 @query("records_pivot", f"""WITH {FRAMES_EV}
 SELECT t + 10000 * episode_id AS step, CAST(0 AS BIGINT) AS dim, {r6('s0')} AS inputs, {r6('s0 * CAST(2 AS DOUBLE)')} AS outputs FROM frames_ev
 UNION ALL SELECT t + 10000 * episode_id, CAST(1 AS BIGINT), {r6('s1')}, {r6('s1 * CAST(2 AS DOUBLE)')} FROM frames_ev""")
@@ -178,19 +165,6 @@ def q_camera_roles(spark, sf_dir):
     return m.select("conv_id", w.alias("wrist"), e1.alias("exterior_1"), e2.alias("exterior_2"))
 
 
-@query("frame_cap", f"""WITH {FRAMES_EV},
-sh AS (SELECT episode_id, t, row_number() OVER (ORDER BY {hash_key_sql(['episode_id', 't', '0'], 13)}, episode_id, t) - 1 AS pos
-       FROM frames_ev)
-SELECT episode_id, t FROM sh WHERE pos < (1000 // 32) * 32""")
-def q_frame_cap(spark, sf_dir):
-    """``max_frames // B`` whole batches (max_frames=1000, B=32) of the shuffled frames; the cap is the feature."""
-    from epiframe.operators import sampling as SM
-
-    f = views.frames_ev(spark, sf_dir).select("episode_id", "t")
-    sh = SM.shuffle_order(f, ["episode_id", "t"], seed=13)
-    return SM.frame_cap(sh, 1000, 32).select("episode_id", "t")
-
-
 @query("selector_map", """
 SELECT l_quantity * CAST(2 AS DOUBLE) AS "obs/qty", l_extendedprice AS "obs/price", l_discount * CAST(3 AS DOUBLE) AS action
 FROM lineitem""")

@@ -85,14 +85,18 @@ def q_keyed_merge(spark, sf_dir):
 
 
 @query("stats_catalogue", """
-WITH cat AS (SELECT label AS asset_id, avg(CAST(embedding[1] AS DOUBLE)) AS mean0 FROM embeddings GROUP BY label)
-SELECT e.vec_id, e.label AS asset_id, floor(c.mean0 * 1000000 + CAST('0.49997' AS DOUBLE)) / 1000000 AS mean0
-FROM embeddings e JOIN cat c ON c.asset_id = e.label""")
+WITH e AS (SELECT vec_id, label AS asset_id, unnest(range(0, 64)) AS dim, unnest(embedding) AS x FROM embeddings),
+cat AS (SELECT asset_id, dim, avg(CAST(x AS DOUBLE)) AS mean FROM e GROUP BY asset_id, dim)
+SELECT e.vec_id, e.asset_id, e.dim, floor(c.mean * 1000000 + CAST('0.49997' AS DOUBLE)) / 1000000 AS mean
+FROM e JOIN cat c ON c.asset_id = e.asset_id AND c.dim = e.dim""")
 def q_stats_catalogue(spark, sf_dir):
     v = views.vectors(spark, sf_dir).select("vec_id", F.col("task_index").alias("asset_id"), "state")
-    cat = v.groupBy("asset_id").agg(F.avg(F.col("state")[0]).alias("mean0"))
-    checked = J.stats_catalogue(v.select("vec_id", "asset_id"), cat)
-    return join_small(checked, cat, ["asset_id"]).select("vec_id", "asset_id", R6("mean0").alias("mean0"))
+    each = v.select("asset_id", F.posexplode("state").alias("dim", "x"))
+    means = each.groupBy("asset_id", "dim").agg(F.avg("x").alias("m"))
+    cat = means.groupBy("asset_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("mean"))
+    out = J.stats_catalogue(v.select("vec_id", "asset_id"), cat)
+    return out.select("vec_id", "asset_id", F.posexplode("stats.mean").alias("dim", "mean")).select(
+        "vec_id", "asset_id", F.col("dim").cast("bigint").alias("dim"), R6("mean").alias("mean"))
 
 
 # ---------------------------------------------------------------- T2 / T4 / T5 / T6 / T7 / T8 / P13 / T3
@@ -481,3 +485,12 @@ def q_success_running(spark, sf_dir):
     r = EV.success_running(ev, "task", "event_id", "success")
     return r.select("event_id", "task", F.col("successes").cast("bigint"), F.col("episodes").cast("bigint"),
                     R6("rate").alias("rate"))
+
+
+@query("unexpected_names", """
+SELECT role, count(*) AS n FROM conversations WHERE role IS NULL OR role NOT IN ('assistant', 'user') GROUP BY role""")
+def q_unexpected_names(spark, sf_dir):
+    """Roles of conversations outside the two that have a slot."""
+    from epiframe.functions.robots import unexpected_rows
+
+    return unexpected_rows(views.table(spark, sf_dir, "conversations"), "role", ("assistant", "user"))

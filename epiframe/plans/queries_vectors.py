@@ -404,17 +404,6 @@ def q_unique_check(spark, sf_dir):
     return SC.unique_check(views.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("schema_diff", """
-SELECT * FROM (VALUES ('n_name', 'string', NULL), ('n_nationkey', 'int', 'bigint'), ('r_name', NULL, 'string'))
-  AS t(path, left_dtype, right_dtype)""")
-def q_schema_diff(spark, sf_dir):
-    """P27 on two driver tables: nation (left) vs region with its key widened (right)."""
-    a = views.table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    b = views.table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("bigint").alias("n_nationkey"),
-                                                    "r_name", F.col("r_regionkey").alias("n_regionkey"))
-    return SC.schema_diff(spark, a, b)
-
-
 @query("record_summary", """
 SELECT 'vec_id' AS path, 'bigint' AS dtype, -1 AS min_size, -1 AS max_size
 UNION ALL SELECT 'embedding', 'array<float>', CAST(min(len(embedding)) AS INTEGER), CAST(max(len(embedding)) AS INTEGER) FROM embeddings

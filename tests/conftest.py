@@ -30,14 +30,10 @@ def spark():
 
 
 @pytest.fixture()
-def force_split(monkeypatch):
-    """Make every group 'hot' so the range-cut and segment/halo paths run."""
+def small_blocks(monkeypatch):
+    """Tiny blocks, ranges and segments, so that every border lies inside the test data."""
     from epiframe.plans import ordered
 
-    monkeypatch.setattr(ordered, "SPLIT_MIN_ROWS", 3)
-    monkeypatch.setattr(ordered, "SPLIT_SHARE", 0.0)
+    monkeypatch.setattr(ordered, "BLOCK_BITS", 2)
+    monkeypatch.setattr(ordered, "RANGE_BITS", 2)
     monkeypatch.setattr(ordered, "SEGMENT", 8)
-    monkeypatch.setattr(ordered, "MAX_RANGES", 16)
-    ordered._STATS.clear()
-    yield
-    ordered._STATS.clear()

@@ -1,4 +1,4 @@
-"""Skew-safe ordering helpers: the hot-group paths must equal the plain windows."""
+"""Skew-safe ordering helpers: the block-cut results must equal the plain windows."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ def _events(spark):
         F.col("user_id").alias("episode_id"), "event_id", "ts", F.col("value").alias("v"))
 
 
-def test_index_within_hot_equals_row_number(spark, force_split):
+def test_index_within_blocks_equal_row_number(spark, small_blocks):
     ev = _events(spark)
     hot = ordered.index_within(ev, ["episode_id"], ["ts", "event_id"], out="t")
     w = Window.partitionBy("episode_id").orderBy("ts", "event_id")
@@ -28,14 +28,14 @@ def test_index_within_hot_equals_row_number(spark, force_split):
     assert _rows(hot, ["event_id", "t"]) == _rows(ref, ["event_id", "t"])
 
 
-def test_index_within_global_hot(spark, force_split):
+def test_index_within_global_blocks(spark, small_blocks):
     ev = _events(spark)
     hot = ordered.index_within(ev, [], ["event_id"], out="g")
     ref = ev.withColumn("g", (F.row_number().over(Window.orderBy("event_id")) - 1).cast("bigint"))
     assert _rows(hot, ["event_id", "g"]) == _rows(ref, ["event_id", "g"])
 
 
-def test_running_agg_hot_equals_window(spark, force_split):
+def test_running_agg_blocks_equal_window(spark, small_blocks):
     ev = _events(spark)
     for agg, fn in (("sum", F.sum), ("max", F.max)):
         hot = ordered.running_agg(ev, "v", ["event_id"], "r", keys=["episode_id"], agg=agg)
@@ -46,7 +46,7 @@ def test_running_agg_hot_equals_window(spark, force_split):
         assert a == b
 
 
-def test_running_agg_excluding_current(spark, force_split):
+def test_running_agg_excluding_current(spark, small_blocks):
     ev = _events(spark)
     hot = ordered.running_agg(ev, "v", ["event_id"], "r", keys=["episode_id"], agg="max", include_current=False)
     w = Window.partitionBy("episode_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -54,18 +54,12 @@ def test_running_agg_excluding_current(spark, force_split):
     assert _rows(hot, ["event_id", "r"]) == _rows(ref, ["event_id", "r"])
 
 
-def test_chunk_hot_segments_equal_plain(spark, force_split):
+def test_chunk_small_segments_equal_one_segment(spark, small_blocks):
     f = views.frames_ev(spark, SF001).select("episode_id", "t", "actions")
-    hot = W.action_chunk(f, 5)  # SEGMENT = 8: many segment borders with halo copies
-    ordered._STATS.clear()
-    plain_cfg = (ordered.SPLIT_MIN_ROWS, ordered.SPLIT_SHARE)
-    ordered.SPLIT_MIN_ROWS, ordered.SPLIT_SHARE = 10 ** 12, 1.0
-    try:
-        plain = W.action_chunk(f, 5)
-        a = _rows(hot.select("episode_id", "t", F.to_json("actions").alias("a")), ["episode_id", "t", "a"])
-        b = _rows(plain.select("episode_id", "t", F.to_json("actions").alias("a")), ["episode_id", "t", "a"])
-    finally:
-        ordered.SPLIT_MIN_ROWS, ordered.SPLIT_SHARE = plain_cfg
+    cut = W.action_chunk(f, 5)  # SEGMENT = 8: many segment borders with halo copies
+    whole = W.action_chunk(f, 5, segment=10 ** 9)
+    a = _rows(cut.select("episode_id", "t", F.to_json("actions").alias("a")), ["episode_id", "t", "a"])
+    b = _rows(whole.select("episode_id", "t", F.to_json("actions").alias("a")), ["episode_id", "t", "a"])
     assert a == b and len(a) == f.count()
 
 
@@ -91,39 +85,81 @@ def test_results_independent_of_partition_count(spark):
     from epiframe.plans.queries_core import flagship
 
     spark.conf.set("spark.sql.shuffle.partitions", "3")
-    ordered._STATS.clear()
     a = sorted(tuple(r) for r in flagship(spark, SF001).collect())
     spark.conf.set("spark.sql.shuffle.partitions", "8")
-    ordered._STATS.clear()
     b = sorted(tuple(r) for r in flagship(spark, SF001).collect())
     assert a == b
 
 
-def test_nonidle_ranges_hot_equals_plain(spark, force_split):
+def test_nonidle_ranges_independent_of_block_size(spark, monkeypatch):
     from epiframe.operators import ranges as RG
 
     f = views.frames_idle(spark, SF001)
-    hot = _rows(RG.nonidle_ranges(f, "vel").fillna(-1), ["episode_id", "start", "end"])
-    hot_flags = _rows(RG.idle_flag(f, "vel"), ["episode_id", "t", "idle"])
-    ordered._STATS.clear()
-    cfg = (ordered.SPLIT_MIN_ROWS, ordered.SPLIT_SHARE)
-    ordered.SPLIT_MIN_ROWS, ordered.SPLIT_SHARE = 10 ** 12, 1.0
-    try:
-        plain = _rows(RG.nonidle_ranges(f, "vel").fillna(-1), ["episode_id", "start", "end"])
-        plain_flags = _rows(RG.idle_flag(f, "vel"), ["episode_id", "t", "idle"])
-    finally:
-        ordered.SPLIT_MIN_ROWS, ordered.SPLIT_SHARE = cfg
-    assert hot == plain and hot_flags == plain_flags
-
-
-def test_cut_count_scales_with_hot_rows():
-    # a hot third of 3e9 rows at a 2M-row threshold → ~1000 ranges of ~1M rows
-    assert ordered._cut_count(10 ** 9, 2 * 10 ** 6, 200) == 1000
-    assert ordered._cut_count(10, 2 * 10 ** 6, 1) == 2
-    assert ordered._cut_count(10 ** 13, 10 ** 6, 10) == ordered.MAX_RANGES
-
-
-def test_exact_quantiles_hot_match_numpy(spark, force_split):
+
+    def result():
+        return (_rows(RG.nonidle_ranges(f, "vel").fillna(-1), ["episode_id", "start", "end"]),
+                _rows(RG.idle_flag(f, "vel"), ["episode_id", "t", "idle"]))
+
+    want = result()
+    for bits, segment in ((2, 8), (3, 16)):
+        monkeypatch.setattr(ordered, "BLOCK_BITS", bits)
+        monkeypatch.setattr(ordered, "RANGE_BITS", 2)
+        monkeypatch.setattr(ordered, "SEGMENT", segment)
+        assert result() == want
+
+
+def test_null_keys_ties_and_one_giant_group(spark, small_blocks):
+    rows = ([(1, i, float(i % 7)) for i in range(300)] + [(None, i, float(i % 5)) for i in range(60)]
+            + [(2, None, 1.0), (None, None, 2.0), (3, 5, 9.0)])
+    df = spark.createDataFrame(rows, "k long, o long, v double")
+    w = Window.partitionBy("k").orderBy("o")
+    ref = df.withColumn("t", (F.row_number().over(w) - 1).cast("bigint"))
+    got = ordered.index_within(df, ["k"], ["o"], out="t")
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, ref.collect()), key=key)
+    for agg, fn in (("sum", F.sum), ("max", F.max), ("min", F.min)):
+        run = w.rowsBetween(Window.unboundedPreceding, 0)
+        a = ordered.running_agg(df, "v", ["o"], "r", keys=["k"], agg=agg).select("k", "o", "r")
+        b = df.withColumn("r", fn("v").over(run)).select("k", "o", "r")
+        assert sorted(map(tuple, a.collect()), key=key) == sorted(map(tuple, b.collect()), key=key)
+    ties = spark.createDataFrame([("a", 1, i) for i in range(50)], "k string, o int, i int")
+    got = ordered.index_within(ties, ["k"], ["o", "i"], out="t")
+    assert sorted((r.i, r.t) for r in got.collect()) == [(i, i) for i in range(50)]
+
+
+def test_blocks_keep_the_order_of_every_type(spark):
+    import datetime as d
+
+    columns = {
+        "long": [-2 ** 63, -5000, -1, 0, 1, 4095, 4096, 2 ** 63 - 1],
+        "double": [float("-inf"), -1e300, -2.5, -0.0, 1e-9, 0.5, 3.25, 1e18, float("inf"), float("nan")],
+        "string": ["", "a", "aa", "ab", "abcd", "abcde", "b", "é"],
+        "timestamp": [d.datetime(1960, 1, 1), d.datetime(1970, 1, 1), d.datetime(2024, 5, 5)],
+        "date": [d.date(1960, 1, 1), d.date(1970, 1, 1), d.date(2024, 5, 5)],
+    }
+    for kind, values in columns.items():
+        df = spark.createDataFrame([(None,)] + [(v,) for v in values], f"c {kind}")
+        got = [r[0] for r in df.withColumn("b", ordered.order_block(df, "c")).orderBy("c").select("b").collect()]
+        assert got == sorted(got), kind
+        idx = ordered.index_within(df, [], ["c"], out="t").orderBy("t").select("c").collect()
+        assert [str(r[0]) for r in idx] == [str(r[0]) for r in df.orderBy("c").collect()], kind
+
+
+def test_no_keyless_window_in_plans(spark):
+    import contextlib
+    import io
+
+    df = spark.range(100).withColumn("k", F.col("id") % 3)
+    for plan in (ordered.index_within(df, [], ["id"], out="t"), ordered.running_agg(df, "k", ["id"], "r"),
+                 ordered.index_within(df, ["k"], ["id"], out="t")):
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            plan.explain("formatted")
+        for part in buf.getvalue().split("Window")[1:]:
+            assert "Exchange SinglePartition" not in part.split("Exchange")[0]
+
+
+def test_exact_quantiles_blocks_match_numpy(spark, small_blocks):
     import numpy as np
 
     from epiframe.operators.stats import exact_quantiles
@@ -137,17 +173,24 @@ def test_exact_quantiles_hot_match_numpy(spark, force_split):
         assert np.allclose([got[ep][f"p{round(q * 100)}"] for q in qs], want)
 
 
-def test_weighted_mix_hot_equals_plain(spark, force_split):
+def test_weighted_mix_independent_of_block_size(spark, monkeypatch):
     from epiframe.operators import sampling as SM
 
     a = spark.range(40).withColumnRenamed("id", "k")
     b = spark.range(7).withColumnRenamed("id", "k")
-    hot = sorted(tuple(r) for r in SM.weighted_mix(spark, {"a": a, "b": b}, {"a": 0.8, "b": 0.2}, 300, ["k"], 3).collect())
-    ordered._STATS.clear()
-    cfg = (ordered.SPLIT_MIN_ROWS, ordered.SPLIT_SHARE)
-    ordered.SPLIT_MIN_ROWS, ordered.SPLIT_SHARE = 10 ** 12, 1.0
-    try:
-        plain = sorted(tuple(r) for r in SM.weighted_mix(spark, {"a": a, "b": b}, {"a": 0.8, "b": 0.2}, 300, ["k"], 3).collect())
-    finally:
-        ordered.SPLIT_MIN_ROWS, ordered.SPLIT_SHARE = cfg
-    assert hot == plain and len(hot) == 300
+
+    def result():
+        return sorted(tuple(r) for r in SM.weighted_mix(spark, {"a": a, "b": b}, {"a": 0.8, "b": 0.2}, 300, ["k"], 3).collect())
+
+    want = result()
+    monkeypatch.setattr(ordered, "BLOCK_BITS", 2)
+    monkeypatch.setattr(ordered, "RANGE_BITS", 1)
+    assert result() == want and len(want) == 300
+
+
+def test_null_group_has_percentiles(spark):
+    from epiframe.operators import evaluation as EV
+
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "metric string, ms double")
+    got = {r.metric: r.asDict() for r in EV.latency_summary(df).collect()}
+    assert got[None]["p50"] == 2.0 and got["a"]["p50"] == 5.0

@@ -18,14 +18,14 @@ def _plan(df) -> str:
 
 
 def _batch_queries():
-    from __spark_entry__ import queries
+    from epiframe.plans.catalog import queries
 
     return sorted(n for n in queries() if not n.startswith("stream_"))
 
 
 @pytest.mark.parametrize("name", _batch_queries())
 def test_no_cartesian_or_nested_loop(spark, name):
-    from __spark_entry__ import queries
+    from epiframe.plans.catalog import queries
 
     plan = _plan(queries()[name](spark, SF001))
     assert "CartesianProduct" not in plan
@@ -33,10 +33,12 @@ def test_no_cartesian_or_nested_loop(spark, name):
 
 
 def test_flagship_scan_is_pruned(spark):
-    from __spark_entry__ import queries
+    from epiframe.plans.catalog import queries
 
     plan = _plan(queries()["norm_stats_pipeline"](spark, SF001))
     schemas = [line for line in plan.splitlines() if line.startswith("ReadSchema")]
     assert schemas and all("event_type" not in s for s in schemas)
-    # the two windows (frame index, chunk leads) share one exchange per pass
-    assert plan.count("Exchange hashpartitioning(episode_id") <= 2
+    # windows run per (episode, block) or (episode, segment), never per whole episode
+    exchanges = [line for line in plan.splitlines() if line.startswith("Arguments: hashpartitioning(episode_id")]
+    assert any("_block" in e for e in exchanges) and any("_seg" in e for e in exchanges)
+    assert "Arguments: SinglePartition" not in plan

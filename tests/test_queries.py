@@ -24,7 +24,7 @@ DEFAULT = [
 
 
 def _names():
-    from __spark_entry__ import queries
+    from epiframe.plans.catalog import queries
 
     if os.environ.get("EPIFRAME_FULL_ORACLE"):
         return sorted(queries())
@@ -55,14 +55,14 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle_or_is_rows_only():
-    from __spark_entry__ import oracle_sql, queries
+    from epiframe.plans.catalog import oracle_sql, queries
 
     assert set(oracle_sql()) <= set(queries())
 
 
 @pytest.mark.parametrize("name", _names())
 def test_query_matches_oracle(spark, duck, name):
-    from __spark_entry__ import oracle_sql, queries
+    from epiframe.plans.catalog import oracle_sql, queries
 
     got = queries()[name](spark, SF001).toPandas()
     sql = oracle_sql().get(name)
