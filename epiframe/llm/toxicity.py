@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, mix64, stored, whole_text
+from .common import ALNUM, Words, mix64, row_runs, stored, whole_text
 
 _SCHEMA = "doc_id long, held_out boolean, terms binary, counts binary"
 
@@ -142,13 +142,18 @@ def choose_terms(sample: DataFrame, stems: tuple[int, ...], max_terms: int, leas
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
-            row, term = text_terms(b.column("text"), stems)
-            pair = np.unique(np.stack([term, row.astype(np.uint64)], axis=1), axis=0) if len(row) else np.zeros((0, 2), np.uint64)
-            toxic = b.column("toxic").to_numpy(zero_copy_only=False)[pair[:, 1].astype(np.int64)] == 1
-            unique, where = np.unique(pair[:, 0], return_inverse=True)
-            yield pa.RecordBatch.from_pydict({
-                "term": pa.array(unique.view(np.int64)), "pos": pa.array(np.bincount(where, weights=toxic, minlength=len(unique)).astype(np.int64)),
-                "n": pa.array(np.bincount(where, minlength=len(unique)).astype(np.int64))})
+            toxic = b.column("toxic").to_numpy(zero_copy_only=False) == 1
+            for lo, hi in row_runs(b.column("text")):
+                row, term = text_terms(b.column("text").slice(lo, hi - lo), stems)
+                order = np.lexsort((row, term))
+                row, term = row[order], term[order]
+                new = np.ones(len(row), dtype=bool)  # once per document
+                new[1:] = (row[1:] != row[:-1]) | (term[1:] != term[:-1])
+                row, term = row[new], term[new]
+                unique, where = np.unique(term, return_inverse=True)
+                yield pa.RecordBatch.from_pydict({
+                    "term": pa.array(unique.view(np.int64)), "pos": pa.array(np.bincount(where, weights=toxic[lo + row], minlength=len(unique)).astype(np.int64)),
+                    "n": pa.array(np.bincount(where, minlength=len(unique)).astype(np.int64))})
 
     n, pos = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < pos < n:
@@ -176,19 +181,20 @@ def vectors_of(docs: DataFrame, terms: np.ndarray, stems: tuple[int, ...], id_co
         low = np.uint64((1 << 20) - 1)
         mark[(terms & low).astype(np.int64)] = True
         for b in batch_iter:
-            row, term = text_terms(b.column("text"), stems)
-            maybe = mark[(term & low).astype(np.int64)]
-            row, term = row[maybe], term[maybe]
-            place = np.minimum(np.searchsorted(terms, term), max(0, len(terms) - 1))
-            sure = terms[place] == term if len(terms) else np.zeros(0, bool)
-            key, counts = np.unique(row[sure] * (len(terms) + 1) + place[sure], return_counts=True)
-            doc, place = key // (len(terms) + 1), key % (len(terms) + 1)
-            edges = np.searchsorted(doc, np.arange(b.num_rows + 1)).tolist()
-            raw_t, raw_c = place.astype("<i4").tobytes(), counts.astype("<i4").tobytes()
-            yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), b.column("held_out"),
-                pa.array([raw_t[4 * a:4 * e] for a, e in zip(edges, edges[1:])], pa.binary()),
-                pa.array([raw_c[4 * a:4 * e] for a, e in zip(edges, edges[1:])], pa.binary())], ["doc_id", "held_out", "terms", "counts"])
+            for lo, hi in row_runs(b.column("text")):
+                row, term = text_terms(b.column("text").slice(lo, hi - lo), stems)
+                maybe = mark[(term & low).astype(np.int64)]
+                row, term = row[maybe], term[maybe]
+                place = np.minimum(np.searchsorted(terms, term), max(0, len(terms) - 1))
+                sure = terms[place] == term if len(terms) else np.zeros(0, bool)
+                key, counts = np.unique(row[sure] * (len(terms) + 1) + place[sure], return_counts=True)
+                doc, place = key // (len(terms) + 1), key % (len(terms) + 1)
+                edges = np.searchsorted(doc, np.arange(hi - lo + 1)).tolist()
+                raw_t, raw_c = place.astype("<i4").tobytes(), counts.astype("<i4").tobytes()
+                yield pa.RecordBatch.from_arrays([
+                    b.column("doc_id").slice(lo, hi - lo), b.column("held_out").slice(lo, hi - lo),
+                    pa.array([raw_t[4 * x:4 * y] for x, y in zip(edges, edges[1:])], pa.binary()),
+                    pa.array([raw_c[4 * x:4 * y] for x, y in zip(edges, edges[1:])], pa.binary())], ["doc_id", "held_out", "terms", "counts"])
 
     return rows.mapInArrow(look_up, _SCHEMA)
 
