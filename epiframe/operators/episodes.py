@@ -22,19 +22,21 @@ MODALITY_LAYOUT = (("eef_torso", 0, 9), ("head", 0, 2), ("eef_left", 0, 9), ("gr
 
 def modality_concat(tables: Mapping[str, DataFrame], keys: Sequence[str] = ("episode_id", "t"),
                     layout=MODALITY_LAYOUT, out: str = "state") -> DataFrame:
-    """Inner-join per-modality tables ``(episode_id, t, v)`` and concatenate slices.
+    """Bring per-modality tables ``(episode_id, t, v)`` together and concatenate slices.
 
-    All joins share the key ``(episode_id, t)``, so Spark shuffles each input
-    once and every join after the first is co-partitioned.
+    Frames that lack a modality are left out. The tables are stacked with a tag and
+    grouped once by the keys: one shuffle for all of them, no join.
     """
     k = list(keys)
     names = list(dict.fromkeys(m for m, _, _ in layout))
-    joined = None
+    stacked = None
     for m in names:
-        df = tables[m].select(*k, F.col("v").alias(f"_{m}"))
-        joined = df if joined is None else joined.join(df, k)
-    parts = [F.slice(F.col(f"_{m}"), start + 1, size) for m, start, size in layout]
-    return joined.select(*k, F.concat(*parts).alias(out))
+        df = tables[m].select(*k, F.lit(m).alias("_tag"), F.struct("v").alias("_v"))
+        stacked = df if stacked is None else stacked.unionByName(df)
+    per = stacked.groupBy(*k).agg(*[F.first(F.when(F.col("_tag") == m, F.col("_v")), ignorenulls=True).alias(f"_{m}") for m in names])
+    for m in names:
+        per = per.filter(F.col(f"_{m}").isNotNull())
+    return per.select(*k, F.concat(*[F.slice(F.col(f"_{m}.v"), start + 1, size) for m, start, size in layout]).alias(out))
 
 
 def modality_lengths(tables: Mapping[str, DataFrame], episode: str = "episode_id") -> DataFrame:
@@ -143,7 +145,7 @@ def episode_best(steps: DataFrame, episode: str = "episode_id", reward: str = "r
 
 
 def running_best(steps: DataFrame, episode: str = "episode_id", t: str = "t", reward: str = "reward") -> DataFrame:
-    """A16 running form: best reward so far (running max; long episodes are range-cut)."""
+    """A16 running form: best reward so far (running max; episodes are block-cut)."""
     from epiframe.plans.ordered import running_agg
 
     return running_agg(steps, reward, [t], "best_so_far", keys=[episode], agg="max")

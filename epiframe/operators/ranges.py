@@ -2,7 +2,7 @@
 
 Runs (gaps-and-islands) are found without a per-episode scan: inside each
 (episode, flag) group the island of a frame is ``t - index_within(...)``,
-and ``index_within`` splits hot episodes into value ranges.
+and ``index_within`` cuts episodes into blocks.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epiframe.plans.ordered import frame_window, index_within
+from epiframe.plans.ordered import frame_window, index_within, join_null_safe, running_agg
 from epiframe.session import join_small
 
 # Fixed values of the idle filter.
@@ -60,12 +60,13 @@ def nonidle_ranges(df: DataFrame, col: str, keys: Sequence[str] = ("episode_id",
     """
     k = list(keys)
     fl = idle_flag(df.select(*k, t, col), col, k, t, eps)
-    r1 = with_run_length(fl.select(*k, t, "idle"), "idle", k, t, out="_idle_len")
-    keep = r1.withColumn("keep", ~(F.col("idle") & (F.col("_idle_len") >= min_idle))).select(*k, t, "keep")
-    r2 = runs(keep, "keep", k, t).filter(F.col("keep") & (F.col("len") >= min_keep))
-    ranges = r2.select(*k, F.col("start").cast("bigint"), (F.col("end") - trim_end).cast("bigint").alias("end"))
-    episodes = df.select(*k).distinct()
-    return episodes.join(ranges, k, "left")
+    r = runs(fl.select(*k, t, "idle"), "idle", k, t).withColumn("_out", F.col("idle") & (F.col("len") >= min_idle))
+    # runs tile the episode: what lies between two removed runs is one range
+    r = running_agg(r, F.col("_out").cast("bigint"), ["start"], "_cut", keys=k)
+    r = r.filter(~F.col("_out")).groupBy(*k, "_cut").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    r = r.filter(F.col("end") - F.col("start") >= min_keep)
+    ranges = r.select(*k, F.col("start").cast("bigint"), (F.col("end") - trim_end).cast("bigint").alias("end"))
+    return join_null_safe(df.select(*k).distinct(), ranges, k, "left")
 
 
 def keep_ranges_json(ranges: DataFrame, keys: Sequence[str] = ("episode_id",), per_line: int = 1000) -> DataFrame:

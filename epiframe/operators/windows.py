@@ -91,7 +91,7 @@ def asof_replay(steps: DataFrame, plans: DataFrame, keys: Sequence[str] = ("epis
     """J9 irregular replans: latest plan at or before each step, row ``s - plan_t`` of its chunk.
 
     The plan step is a running max over steps and plans in time order
-    (range-cut, so long episodes stay parallel); the chunk then comes from
+    (block-cut, so long episodes stay parallel); the chunk then comes from
     an equi-join on ``(keys, plan_t)`` — an as-of join without pairs.
     """
     k = list(keys)
@@ -106,13 +106,15 @@ def asof_replay(steps: DataFrame, plans: DataFrame, keys: Sequence[str] = ("epis
             .drop("_c"))
 
 
-def newest_only(df: DataFrame, channel: str = "channel", arrival: str = "arrival", ts: str = "ts") -> DataFrame:
+def newest_only(df: DataFrame, channel: str = "channel", arrival: str | Sequence[str] = "arrival",
+                ts: str = "ts") -> DataFrame:
     """Keep a reading only if its timestamp exceeds every one taken before it on its channel.
 
-    "Taken before" = earlier arrival; the running max is range-cut so a busy
-    channel is not one task.
+    "Taken before" = earlier arrival (one column or several); the running max
+    is block-cut so a busy channel is not one task.
     """
-    r = running_agg(df, ts, [arrival], "_prev", keys=[channel], agg="max", include_current=False)
+    order = [arrival] if isinstance(arrival, str) else list(arrival)
+    r = running_agg(df, ts, order, "_prev", keys=[channel], agg="max", include_current=False)
     return r.filter(F.col("_prev").isNull() | (F.col(ts) > F.col("_prev"))).drop("_prev")
 
 

@@ -62,15 +62,14 @@ def q_nested_drop_fields(spark, sf_dir):
 
 
 @query("records_pivot", f"""WITH {FRAMES_EV}
-SELECT t + 10000 * episode_id AS step, CAST(0 AS BIGINT) AS dim, {r6('s0')} AS inputs, {r6('s0 * CAST(2 AS DOUBLE)')} AS outputs FROM frames_ev
-UNION ALL SELECT t + 10000 * episode_id, CAST(1 AS BIGINT), {r6('s1')}, {r6('s1 * CAST(2 AS DOUBLE)')} FROM frames_ev""")
+SELECT episode_id, t, CAST(0 AS BIGINT) AS dim, {r6('s0')} AS inputs, {r6('s0 * CAST(2 AS DOUBLE)')} AS outputs FROM frames_ev
+UNION ALL SELECT episode_id, t, CAST(1 AS BIGINT), {r6('s1')}, {r6('s1 * CAST(2 AS DOUBLE)')} FROM frames_ev""")
 def q_records_pivot(spark, sf_dir):
     """Per-step records (inputs/state, outputs/actions) → per-dimension series."""
     f = views.frames_ev(spark, sf_dir)
-    rec = f.select((F.col("t") + F.col("episode_id") * 10000).alias("step"), F.col("state").alias("inputs"),
-                   F.transform("state", lambda x: x * F.lit(2.0)).alias("outputs"))
-    p = RD.records_pivot(rec, {"inputs": "inputs", "outputs": "outputs"})
-    return p.select("step", "dim", R6("inputs").alias("inputs"), R6("outputs").alias("outputs"))
+    rec = f.select("episode_id", "t", F.col("state").alias("inputs"), F.transform("state", lambda x: x * F.lit(2.0)).alias("outputs"))
+    p = RD.records_pivot(rec, {"inputs": "inputs", "outputs": "outputs"}, ["episode_id", "t"])
+    return p.select("episode_id", "t", "dim", R6("inputs").alias("inputs"), R6("outputs").alias("outputs"))
 
 
 @query("to_frame_table", f"""WITH {FRAMES_EV},

@@ -335,9 +335,8 @@ SELECT event_id FROM e WHERE prev IS NULL OR ts > prev""")
 def q_newest_only(spark, sf_dir):
     """channel = event type; readings arrive user by user (arrival = user_id, event_id)."""
     ev = views.table(spark, sf_dir, "events").select(
-        "event_id", F.col("event_type").alias("channel"), "ts",
-        (F.col("user_id") * F.lit(10 ** 9) + F.col("event_id")).alias("arrival"))
-    return W.newest_only(ev, "channel", "arrival", "ts").select("event_id")
+        "event_id", "user_id", F.col("event_type").alias("channel"), "ts")
+    return W.newest_only(ev, "channel", ["user_id", "event_id"], "ts").select("event_id")
 
 
 # ---------------------------------------------------------------- J9 / W6 replay

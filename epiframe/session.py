@@ -8,9 +8,6 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a dimension table may hold and still be shipped to every task (explicit checks).
-BROADCAST_MAX_ROWS = 2_000_000
-
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """Session tuned for episode tables: AQE on, UTC, UI off.
@@ -57,12 +54,15 @@ def size_shuffle_partitions(spark: SparkSession, input_bytes: int, per_partition
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder: the cluster's ``spark.checkpoint.dir`` if set.
 
-    Only when nothing is configured (local tests) a scratch folder is made.
+    Only when nothing is configured and the master is local (tests) a scratch
+    folder is made; on a cluster that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="epiframe-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)
@@ -70,13 +70,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int | None = None, known_small: bool = False) -> DataFrame:
+               known_small: bool = False) -> DataFrame:
     """Join a side expected to be small, broadcasting it only when its size is checked.
 
     * ``known_small``: the side is bounded by construction (a literal list,
       one row per key × dim of a stats table) → broadcast hint.
-    * ``max_rows``: count the side first; broadcast below the bound, shuffle
-      join above it.
     * default: a plain join. AQE measures the side's real shuffle size at
       runtime and turns the join into a broadcast join only under
       ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise it stays a
@@ -84,9 +82,6 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     """
     if known_small:
         return big.join(F.broadcast(small), on, how)
-    if max_rows is not None:
-        if small.count() <= max_rows:
-            return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
 
 

@@ -107,19 +107,12 @@ def fake_rows(spark: SparkSession, n: int, spec: Mapping[str, tuple[str, int]],
     return base.withColumns(cols)
 
 
-def records_pivot(records: DataFrame, series: Mapping[str, str], step: str = "step") -> DataFrame:
-    """Policy records → per-dimension series ``(step, dim, <name>…)``, one column per record field."""
-    parts = None
-    for name, col in series.items():
-        p = records.select(step, F.posexplode(col).alias("dim", "v")).withColumn("name", F.lit(name))
-        parts = p if parts is None else parts.unionByName(p)
-    out = parts.groupBy(step, "dim").pivot("name", list(series)).agg(F.first("v"))
-    return out.withColumn("dim", F.col("dim").cast("bigint"))
+def records_pivot(records: DataFrame, series: Mapping[str, str], step: str | Sequence[str] = "step") -> DataFrame:
+    """Policy records → per-dimension series ``(step, dim, <name>…)``, one column per record field.
 
-
-def frames_from_text(spark: SparkSession, path: str) -> DataFrame:
-    """Text source (one line per row) for log files."""
-    return spark.read.text(path).withColumnRenamed("value", "text")
-
-
-STATE_SCHEMA = T.ArrayType(T.DoubleType())
+    The fields of a record are zipped and exploded in place: no shuffle.
+    """
+    steps = [step] if isinstance(step, str) else list(step)
+    zipped = F.arrays_zip(*[F.col(col).alias(name) for name, col in series.items()])
+    rows = records.select(*steps, F.posexplode(zipped).alias("dim", "v"))
+    return rows.select(*steps, F.col("dim").cast("bigint").alias("dim"), *[F.col(f"v.{name}").alias(name) for name in series])
