@@ -86,6 +86,29 @@ def running_total(df: DataFrame, order: list[str], value: str, out: str,
             .withColumn(out, F.col("_b") + F.col("_i")).drop("_range", "_r", "_b", "_i"))
 
 
+SIEVE_BITS = 22
+
+
+def sieve(df: DataFrame, col: str) -> np.ndarray:
+    """Bitmap (2^22 bits, always) of the low bits of a hash column: what it lacks, ``col`` lacks.
+
+    It grows with neither rows nor values; a full one lets everything pass.
+    """
+    low = F.col(col).bitwiseAND(F.lit((1 << SIEVE_BITS) - 1))
+    bit = F.expr(f"shiftleft(1L, cast(`{col}` & 63 as int))")
+    words = df.groupBy(F.shiftright(low, 6).alias("w")).agg(F.bit_or(bit).alias("b")).collect()
+    out = np.zeros(1 << (SIEVE_BITS - 6), dtype=np.int64)
+    for r in words:
+        out[r["w"]] = r["b"]
+    return out.view(np.uint64)
+
+
+def sift(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the hashes may be in the sieve."""
+    low = values.view(np.uint64) & _U((1 << SIEVE_BITS) - 1)
+    return ((bits[(low >> _U(6)).astype(np.int64)] >> (low & _U(63))) & _U(1)).astype(bool)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
     x = x ^ (x >> _U(30))

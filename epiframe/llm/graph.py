@@ -103,7 +103,9 @@ def link_across(buckets: DataFrame, payload: DataFrame, prepare: Callable, block
     every, left = dealt(buckets, "j"), dealt(stored(buckets.filter("left"), "left"), "i")
     a = every.join(blocks(left, "i"), "band").select("band", F.explode("_blocks").alias("i"), "j", "node", "root", F.lit(False).alias("left"))
     b = left.join(blocks(every, "j"), "band").select("band", "i", F.explode("_blocks").alias("j"), "node", "root", F.lit(True).alias("left"))
-    full = a.unionByName(b).join(payload, "node")
+    # a number of partitions of its own: small groups cost time, not bytes, and are not to be merged
+    parts = int(every.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = a.unionByName(b).join(payload, "node").repartition(parts, "band", "i", "j")
 
     def compare(batch):
         likely, same = prepare(batch)

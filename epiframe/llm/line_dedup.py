@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _powers, mix64, row_runs, stored, whole_text
+from .common import _powers, mix64, row_runs, sieve, sift, stored, whole_text
 from .graph import bucket_pairs, closure
 
 _U = np.uint64
+#: Hash values of the code points below U+4000; others are computed.
+_POINTS = mix64(np.arange(1, (1 << 14) + 1, dtype=np.uint64))
 
 
 def segments(length: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +99,10 @@ class _Lines:
         n = len(points)
         powers, self._inverses = _powers(n + 1)
         self._sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(mix64(points.astype(np.uint64) + _U(1)) * powers[:n], out=self._sums[1:])
+        values = _POINTS[np.minimum(points, len(_POINTS) - 1)]
+        high = np.flatnonzero(points >= len(_POINTS) - 1)
+        values[high] = mix64(points[high].astype(np.uint64) + _U(1))
+        np.cumsum(values * powers[:n], out=self._sums[1:])
         breaks = np.flatnonzero(points == 10)
         start = np.concatenate([bounds[:-1], breaks + 1])
         row = np.concatenate([np.arange(len(texts)), np.searchsorted(bounds, breaks, "right") - 1])
@@ -113,7 +119,10 @@ class _Lines:
 
 
 def lines_of(docs: DataFrame, edits: int, least: int, least_near: int, id_col: str, text_col: str) -> DataFrame:
-    """Lines of at least ``least`` characters: doc_id, digest, line, h1, h2, keys (null for short ones)."""
+    """Lines of at least ``least`` characters: doc_id, digest, line, h1, h2, keys.
+
+    keys is null for lines that are too short, and for repeats within a batch.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("digest"), "text")
     width = segment_keys(lambda a, b: a.astype(np.uint64), np.zeros(1, np.int64), np.full(1, 9 * edits + 9), edits).shape[1]
@@ -128,6 +137,9 @@ def lines_of(docs: DataFrame, edits: int, least: int, least_near: int, id_col: s
                 h1 = own.span_hash(own.start, own.start + own.length)
                 h2 = mix64(own.span_hash(own.start, own.start + own.length // 2) + h1 * _U(3))
                 near = own.length >= least_near
+                first = np.zeros(len(h1), dtype=bool)
+                first[np.unique(h1, return_index=True)[1]] = True
+                near &= first
                 keys = segment_keys(own.span_hash, own.start[near], own.length[near], edits)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * width), pa.array(keys.ravel().view(np.int64)))
                 take = pa.array(np.where(near, np.cumsum(near) - 1, 0), mask=~near)
@@ -140,10 +152,20 @@ def lines_of(docs: DataFrame, edits: int, least: int, least_near: int, id_col: s
     return rows.mapInArrow(cut, "doc_id long, digest long, line int, h1 long, h2 long, keys array<long>")
 
 
+def _may_hold(bits: np.ndarray):
+    """Column function: whether a 64-bit digest may be in the sieve."""
+    @F.pandas_udf("boolean")
+    def test(digest):
+        return pd.Series(sift(bits, digest.to_numpy()))
+
+    return test
+
+
 def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Line texts of classes: node, text. ``wanted`` has node, doc_id, digest, line."""
+    """Line texts: node, text. ``wanted`` has node, doc_id, digest, line; only texts that may hold one move."""
+    per_doc = stored(wanted.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("line", "node")).alias("places")), "line-places")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), whole_text(text_col).alias("_text")).withColumn("_digest", F.xxhash64("_text"))
-    per_doc = wanted.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("line", "node")).alias("places"))
+    rows = rows.filter(_may_hold(sieve(per_doc, "digest"))("_digest"))
     found = per_doc.join(rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
     found = found.select(F.split("_text", "\n").alias("lines"), F.explode("places").alias("p"))
     return (found.select(F.col("p.node").alias("node"), F.get("lines", F.col("p.line")).alias("text"))
@@ -164,10 +186,17 @@ def confirm(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 
 
 def _compare_lines(edits: int):
+    """Test of two rows of a block: lengths and letter counts first, then the distance."""
     def prepare(batch):
         texts = batch["text"].tolist()
-        length = batch["text"].str.len().to_numpy()
-        return (lambda i: (np.flatnonzero(np.abs(length[i + 1:] - length[i]) <= edits) + i + 1).tolist()), (lambda i, j: within(texts[i], texts[j], edits))
+        length = np.array([len(t) for t in texts])
+        bags = np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) & 31, minlength=32) for t in texts]).astype(np.int32)
+
+        def likely(i):  # an edit changes the counts of two letters at most
+            near = np.flatnonzero(np.abs(length - length[i]) <= edits)
+            return near[np.abs(bags[near] - bags[i]).sum(axis=1) <= 2 * edits]
+
+        return likely, lambda i, j: within(texts[i], texts[j], edits)
 
     return prepare
 
@@ -181,23 +210,41 @@ def repeated_lines(docs: DataFrame, edits: int = 2, least: int = 10, least_near:
     line in order of (doc_id, digest, line) stays. class_id is the doc_id of that line.
     """
     lines = stored(lines_of(docs, edits, least, least_near, id_col, text_col), "lines")
-    classes = (lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "digest", "line")).alias("first"), F.count(F.lit(1)).alias("copies"),
-                                             F.first("keys").alias("keys")).withColumn("node", F.monotonically_increasing_id()))
-    classes = stored(classes, "line-classes")
-    rows = classes.filter("keys is not null").select("node", F.posexplode("keys").alias("i", "band"))
-    rows = rows.select("band", "node", (F.col("i") <= edits).alias("own"))
-    centre = F.min(F.struct((~F.col("own")).alias("o"), F.xxhash64("band", "node").alias("h"), F.col("node").alias("c"))).alias("centre")
-    buckets = (rows.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi"), centre)
-               .filter("m > 1 and lo <> hi and not centre.o").select(F.col("band").alias("_band"), "m", F.col("centre.c").alias("c")))
-    shared = stored(rows.join(buckets, F.col("band") == F.col("_band")).select("band", "node", "m", "c"), "line-buckets")
+    classes = stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "digest", "line")).alias("first"),
+                                                   F.count(F.lit(1)).alias("copies")), "line-classes")
+    keyed = lines.filter("keys is not null").select(F.col("h1").alias("node"), "keys")
+    rows = keyed.select("node", F.posexplode("keys").alias("i", "band"))
+    bands = (rows.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("i").alias("i"))
+             .filter((F.col("lo") != F.col("hi")) & (F.col("i") <= edits)).select(F.col("band").alias("_band")))
+    bands = stored(bands, "line-bands")
+    bits = sieve(bands, "_band")  # most keys are met once: these need not move again
+
+    def met(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batch_iter:
+            keys = b.column("keys").flatten().to_numpy(zero_copy_only=False)
+            keep = np.flatnonzero(sift(bits, keys))
+            number = max(1, len(keys) // max(1, b.num_rows))  # as many for every line
+            yield pa.RecordBatch.from_pydict({"band": pa.array(keys[keep]), "node": b.column("node").take(pa.array(keep // number)),
+                                              "probe": pa.array(keep % number > edits)})
+
+    members = keyed.mapInArrow(met, "band long, node long, probe boolean").groupBy("band", "node").agg(F.min("probe").alias("probe"))
+    members = stored(members.join(bands, F.col("band") == F.col("_band"), "left_semi"), "line-members")
+    centre = F.min(F.struct("probe", F.xxhash64("band", "node").alias("h"), F.col("node").alias("c"))).alias("centre")
+    buckets = (members.groupBy("band").agg(F.count(F.lit(1)).alias("m"), centre).filter("m > 1")
+               .select(F.col("band").alias("_band"), "m", F.col("centre.c").alias("c")))
+    shared = stored(members.join(buckets, F.col("band") == F.col("_band")).select("band", "node", "m", "c"), "line-shared")
     pairs = stored(bucket_pairs(shared, small_bucket), "line-pairs")
-    large = shared.filter(F.col("m") > small_bucket)
+    large = shared.filter(F.col("m") > small_bucket).select("band", "node")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
-    texts = stored(texts_of(docs, classes.join(wanted, "node", "left_semi").select("node", "first.*"), id_col, text_col), "line-texts")
-    found = closure(pairs, pairs, large, texts, lambda p: confirm(p, texts, edits), _compare_lines(edits), block)
-    whole = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    stays = whole.groupBy("root").agg(F.min("first").alias("stays"), F.sum("copies").alias("n")).filter("n > 1")
-    whole = whole.select("h1", "h2", "root").join(stays, "root").select(F.col("h1").alias("_1"), F.col("h2").alias("_2"), "stays")
+    places = classes.select(F.col("h1").alias("node"), "first").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("first").alias("first"))
+    texts = stored(texts_of(docs, places.select("node", "first.*"), id_col, text_col), "line-texts")
+    best = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    found = closure(pairs, best, large, texts, lambda p: confirm(p, texts, edits), _compare_lines(edits), block)
+    # a line without links is told by both its hashes
+    whole = classes.join(found, F.col("h1") == F.col("node"), "left").withColumn("other", F.when(F.col("root").isNull(), F.col("h2")).otherwise(F.lit(0)))
+    whole = whole.withColumn("root", F.coalesce("root", "h1")).select("h1", "h2", "root", "other", "first", "copies")
+    stays = whole.groupBy("root", "other").agg(F.min("first").alias("stays"), F.sum("copies").alias("n")).filter("n > 1")
+    whole = whole.join(stays, ["root", "other"]).select(F.col("h1").alias("_1"), F.col("h2").alias("_2"), "stays")
     return (lines.select("doc_id", "digest", "line", "h1", "h2").join(whole, (F.col("h1") == F.col("_1")) & (F.col("h2") == F.col("_2")))
             .filter(~F.struct("doc_id", "digest", "line").eqNullSafe(F.col("stays")))
             .select("doc_id", "digest", "line", F.col("stays.doc_id").alias("class_id")))
@@ -216,22 +263,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = stored(gone.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "_lines", "first_docs"), "line-gone")
     rows = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(whole_text(text_col)) == F.col("_digest")), "left")
 
-    @F.pandas_udf("struct<text:string,lines_in:int,lines_out:int>")
-    def without(text, lines):
-        import pandas as pd
-
-        out = []
-        for t, drop in zip(text, lines):
-            parts = [] if t is None else t.split("\n")
-            left = parts
-            if drop is not None and len(parts):
-                keep = np.ones(len(parts), dtype=bool)
-                keep[np.asarray(drop, dtype=np.int64)] = False
-                left = [p for p, k in zip(parts, keep.tolist()) if k]
-            out.append((None if t is None else "\n".join(left), len(parts), len(left)))
-        return pd.DataFrame(out, columns=["text", "lines_in", "lines_out"])
-
-    rows = rows.withColumn("_new", without(F.col(text_col), F.col("_lines")))
-    return rows.select(*[F.col("_new.text").alias(c) if c == text_col else F.col(c) for c in docs.columns],
-                       F.col("_new.lines_in").alias("lines_in"), F.col("_new.lines_out").alias("lines_out"),
+    def left(d):  # each text is split once; the lines that stay are looked up by their numbers
+        numbers = F.array_except(F.sequence(F.lit(0), F.size(d["parts"]) - 1), d["gone"])
+        return F.transform(numbers, lambda i: F.get(d["parts"], i))
+
+    parts = F.split(F.col(text_col), "\n")
+    stays = F.get(F.transform(F.array(F.struct(parts.alias("parts"), F.col("_lines").alias("gone"))), left), 0)
+    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(parts))
+    n_gone = F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(F.size("_lines"))
+    rows = rows.withColumn("_new", F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(F.array_join(stays, "\n")))
+    return rows.select(*[F.col("_new").alias(c) if c == text_col else F.col(c) for c in docs.columns],
+                       n_lines.alias("lines_in"), (n_lines - n_gone).alias("lines_out"),
                        F.coalesce("first_docs", F.array().cast("array<bigint>")).alias("first_docs"))
