@@ -239,7 +239,7 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return key & _U((1 << HASH_BITS) - 1), bounds
 
 
-def row_runs(texts: pa.Array, limit: int = 3_000_000):
+def row_runs(texts: pa.Array, limit: int = 1_000_000):
     """Runs of rows of about ``limit`` bytes and at most ``MAX_ROWS`` rows: (first, past the last)."""
     import pyarrow.compute as pc
 

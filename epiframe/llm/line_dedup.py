@@ -130,7 +130,7 @@ def lines_of(docs: DataFrame, edits: int, least: int, least_near: int, id_col: s
     def cut(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batch_iter:
             texts = b.column("text")
-            for lo, hi in row_runs(texts, 1_500_000):
+            for lo, hi in row_runs(texts, 600_000):
                 own = _Lines(texts.slice(lo, hi - lo).to_pylist(), least)
                 if not len(own.start):
                     continue
