@@ -1,4 +1,4 @@
-"""Operator 3: benchmark decontamination by rare n-gram seeds and local alignment."""
+"""Operator 3: benchmark decontamination by n-gram seeds and local alignment."""
 
 from __future__ import annotations
 
@@ -46,8 +46,11 @@ class _Lookup:
         return at[sure], where[sure]
 
 
-def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """Smith-Waterman over word hashes: best local score and the end (past the last word) in text."""
+def align(item: np.ndarray, text: np.ndarray, middle: bool = False) -> tuple[int, int]:
+    """Smith-Waterman over word hashes: best local score and the end (past the last word) in text.
+
+    Of several ends in one row of the table the first counts, or the middle one.
+    """
     at = np.arange(len(text) + 1) * -GAP
     row, best, end = np.zeros(len(text) + 1, dtype=np.int64), 0, 0
     for w in item:
@@ -57,14 +60,15 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
         row = np.maximum.accumulate(new + at) - at  # gaps along the row
         top = int(row.argmax())
         if row[top] > best:
-            best, end = int(row[top]), top
+            ties = np.flatnonzero(row == row[top]) if middle else [top]
+            best, end = int(row[top]), int(ties[len(ties) // 2])
     return best, end
 
 
 class Seeds:
     """The seeds of one block of items: gram -> (item, place in item), and the items' words."""
 
-    def __init__(self, item_ids: list, items: list[np.ndarray], size: int, frequency: dict[int, int], share: float, least: int):
+    def __init__(self, item_ids: list, items: list[np.ndarray], size: int):
         self.ids, self.items = item_ids, items
         key, item, place = [], [], []
         self.needed = np.zeros(len(items), dtype=np.int64)
@@ -72,12 +76,10 @@ class Seeds:
             own = gram_hashes(words, size)
             if not len(own):
                 continue
-            rarity = np.array([frequency.get(int(g), 0) for g in own])
-            chosen = np.sort(np.lexsort((np.arange(len(own)), rarity))[:max(least, math.ceil(share * len(own)))])
-            key.append(own[chosen])
-            item.append(np.full(len(chosen), n))
-            place.append(chosen)
-            self.needed[n] = min(2, len(np.unique(own[chosen])))
+            key.append(own)
+            item.append(np.full(len(own), n))
+            place.append(np.arange(len(own)))
+            self.needed[n] = min(2, len(np.unique(own)))
         empty = np.zeros(0, dtype=np.int64)
         key = np.concatenate(key) if key else empty.astype(np.uint64)
         order = np.argsort(key, kind="stable")
@@ -112,41 +114,47 @@ def leaks(words: Words, seeds: Seeds, size: int, least_score: float) -> list[tup
     new = np.ones(len(where), dtype=bool)  # a run of hits: one row, one item, no gap longer than the item
     new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (where[1:] - where[:-1] > length[item[1:]])
     edges = np.append(np.flatnonzero(new), len(where)).tolist()
+    run = np.unique((np.cumsum(new) - 1) * len(seeds.first) + gram) // len(seeds.first)  # once per seed
+    enough = np.bincount(run, minlength=len(edges) - 1) >= seeds.needed[item[edges[:-1]]]
     out = []
-    for a, b in zip(edges, edges[1:]):
-        n = int(item[a])
-        if b - a < seeds.needed[n] or len(np.unique(gram[a:b])) < seeds.needed[n]:
-            continue
-        own, r = seeds.items[n], int(row[a])
+    for k in np.flatnonzero(enough).tolist():
+        a, b = edges[k], edges[k + 1]
+        n, r = int(item[a]), int(row[a])
+        own, at, from_row = seeds.items[n], where[a:b], int(words.first[r])
         slack = len(own) // 2 + 2
-        lo = max(int(words.first[r]), int((where[a:b] - offset[a:b]).min()) - slack)
-        hi = min(int(words.first[r + 1]), int((where[a:b] - offset[a:b]).max()) + len(own) + slack)
-        text = words.hashes[lo:hi]
-        best, end = align(own, text)
-        if best < least_score * MATCH * len(own):
-            continue
-        back, length_back = align(own[::-1], text[:end][::-1])
-        start = end - length_back
-        matched = int(np.isin(own, text[start:end]).sum())
-        out.append((r, n, best / (MATCH * len(own)), matched, lo + start - int(words.first[r]), lo + end - int(words.first[r])))
+        todo = [(max(from_row, int((at - offset[a:b]).min()) - slack),
+                 min(int(words.first[r + 1]), int((at - offset[a:b]).max()) + len(own) + slack))]
+        while todo:  # what stands before and behind a passage may hold another
+            lo, hi = todo.pop()
+            if len(np.unique(gram[a:b][(at >= lo) & (at <= hi - size)])) < seeds.needed[n]:
+                continue
+            text = words.hashes[lo:hi]
+            best, end = align(own, text, middle=True)
+            if best < least_score * MATCH * len(own):
+                continue
+            longest = (MATCH + 1) * len(own) - best  # every word more costs a gap
+            back, length_back = align(own[::-1], text[max(0, end - longest):end][::-1])
+            start = end - length_back
+            matched = int(np.isin(own, text[start:end]).sum())
+            out.append((r, n, best / (MATCH * len(own)), matched, lo + start - from_row, lo + end - from_row))
+            todo += [(lo, lo + start), (lo + end, hi)]
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 3, share: float = 0.6, least_seeds: int = 12,
+def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 3,
                least_score: float = 0.4, words_per_block: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Passages of documents that copy a benchmark item, also edited or paraphrased.
 
-    Words are runs of digits, letters and bytes beyond ASCII, A-Z lower-cased. The
-    corpus frequency of every ``size``-gram of the items is counted over all documents;
-    an item's seeds are its rarest ``share`` of them (``least_seeds`` at least). Where two
-    different seeds of an item stand close together in a document, the item is aligned
-    with the words around (match +2, mismatch -1, gap -1); passages of at least
-    ``least_score`` of an unchanged copy's score are returned: doc_id, item_id, score,
-    matched, item_words, start_word, end_word (words from 0), passage (the text).
+    Words are runs of digits, letters and bytes beyond ASCII, A-Z lower-cased. Every
+    ``size``-gram of an item is a seed: an edit leaves none that could be told by its
+    frequency. Where two different seeds of an item stand close together in a document,
+    the item is aligned with the words around (match +2, mismatch -1, gap -1); passages of
+    at least ``least_score`` of an unchanged copy's score are returned: doc_id, item_id,
+    score, matched, item_words, start_word, end_word (words from 0), passage (the text).
 
     Items are taken in blocks of about ``words_per_block`` words, the bound on what is
-    sent to the tasks; each block is two passes over the documents, in which no text is
+    sent to the tasks; each block is one pass over the documents, in which no text is
     moved. Null and empty texts and items, and items of fewer than ``size`` words, match
     nothing. Repeated rows give repeated results; null ids are kept.
     """
@@ -154,35 +162,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 3, share: floa
     blocks = max(1, math.ceil((items.agg(F.sum(F.length("text"))).first()[0] or 0) / 5 / words_per_block))
     items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    found = [_leaks_of_block(rows, items.filter(F.col("block") == n), size, share, least_seeds, least_score) for n in range(blocks)]
+    found = [_leaks_of_block(rows, items.filter(F.col("block") == n), size, least_score) for n in range(blocks)]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     return out
 
 
-def _leaks_of_block(rows: DataFrame, block: DataFrame, size: int, share: float, least_seeds: int, least_score: float) -> DataFrame:
+def _leaks_of_block(rows: DataFrame, block: DataFrame, size: int, least_score: float) -> DataFrame:
     own = sorted(((r["item_id"] is None, r["item_id"] or 0, r["text"]) for r in block.select("item_id", "text").collect()))
     words = Words(pa.array([t for _, _, t in own], pa.string()), ALNUM)
     items = [words.hashes[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
     ids = [None if empty else i for empty, i, _ in own]
-    known = np.unique(np.concatenate([gram_hashes(w, size) for w in items])) if items else np.zeros(0, np.uint64)
-
-    def count(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, total = _Lookup(known), np.zeros(len(known), dtype=np.int64)
-        for b in batch_iter:
-            for lo, hi in row_runs(b.column("text")):
-                text = Words(b.column("text").slice(lo, hi - lo), ALNUM)
-                place, hashes = grams(text, size)
-                at, key = lookup.find(hashes)
-                pairs = np.unique(text.docs[place[at]] * len(known) + key)  # documents, not places
-                total += np.bincount(pairs % max(1, len(known)), minlength=len(known))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(known[used].view(np.int64)), "n": pa.array(total[used])})
-
-    counts = rows.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    frequency = {r["gram"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in counts}
-    seeds = Seeds(ids, items, size, frequency, share, least_seeds)
+    seeds = Seeds(ids, items, size)
 
     def search(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batch_iter:

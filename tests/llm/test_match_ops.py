@@ -207,6 +207,37 @@ def test_leaks_exact_edited_and_none(spark, corpus):
     assert {r.doc_id for r in clean.collect()} == {i for i, _ in corpus} - {i for i, _ in exact}
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_leaks_of_heavily_edited_copies(spark, exact):
+    """Every copy of score 0.4 that shares two 3-grams is found, whatever other documents hold."""
+    rng = np.random.default_rng(11)
+    item = [f"item{i}" for i in range(39)]
+    rows, want = [], set()
+    for k in range(160):
+        w = list(item)
+        for p in rng.choice(39, round(39 * (0.2, 0.25, 0.3, 0.35)[k % 4]), replace=False):
+            w[p] = f"other{k}x{p}"
+        rows.append((k, f"before {' '.join(w)} behind"))
+        shared = sum(w[j:j + 3] == item[j:j + 3] for j in range(37))
+        number = {x: n for n, x in enumerate(sorted(set(item + w)))}
+        best, _ = decontaminate.align(*(np.array([number[x] for x in y], np.uint64) for y in (item, w)))
+        if shared >= 2 and best >= 0.4 * 2 * 39:
+            want.add(k)
+    assert len(want) > 120
+    df = spark.createDataFrame(rows + [(1000, " ".join(item))] * exact, "doc_id long, text string")
+    got = decontaminate.find_leaks(df, spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id for r in got} - {1000} == want and exact == any(r.score == 1 for r in got)
+
+
+def test_several_passages_of_one_item(spark):
+    item = [f"item{i}" for i in range(20)]
+    edited = ["x"] + item[1:12] + ["y"] + item[13:]
+    text = " ".join(item + item + ["z"] * 5 + item[4:9] + ["z"] * 5 + edited)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = decontaminate.find_leaks(df, spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((r.start_word, r.end_word) for r in got) == [(0, 20), (20, 40), (56, 75)]
+
+
 def test_alignment_against_the_full_table():
     rng = np.random.default_rng(3)
     for _ in range(200):
