@@ -18,7 +18,8 @@ ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrases every scan reports, with their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Licence names as word patterns: label, keyword that must be present, pattern, short identifier.
+#: Licence names as word patterns: label, words that must be present (the first from its
+#: beginning), pattern, short identifier (if not that of another line).
 NAMES = (
     ("mit", "mit", "mit (?:software )?licen[cs]e", "mit"),
     ("mit", "expat", "expat licen[cs]e", "expat"),
@@ -35,10 +36,12 @@ NAMES = (
     ("lgpl", "lesser general", "(?:gnu )?lesser general public licen[cs]e", "lgpl"),
     ("agpl-3.0", "affero", "(?:gnu )?affero general public licen[cs]e(?: version| v)?(?: v?3(?: 0)?)?", "agpl 3 0"),
     ("fdl-1.3", "free documentation", "(?:gnu )?free documentation licen[cs]e(?: version| v)?(?: 1 [0-9])?", "gfdl 1 3"),
-    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?", "bsd 2 clause"),
+    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: licen[cs]e)?", "bsd 2 clause"),
+    ("bsd-2-clause", "freebsd", "freebsd(?: licen[cs]e)?", ""),
     ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: licen[cs]e)?", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[cs]e)?", "bsd 4 clause"),
-    ("bsd-0-clause", "bsd", "(?:0bsd|zero clause bsd|0 clause bsd)(?: licen[cs]e)?", "0bsd"),
+    ("bsd-0-clause", "bsd", "(?:zero clause bsd|0 clause bsd)(?: licen[cs]e)?", "0bsd"),
+    ("bsd-0-clause", "0bsd", "0bsd(?: licen[cs]e)?", ""),
     ("bsd", "bsd", "bsd(?: style)? licen[cs]e", "bsd"),
     ("mpl-1.1", "mozilla", "mozilla public licen[cs]e(?: version| v)? v?1 1", "mpl 1 1"),
     ("mpl-2.0", "mozilla", "mozilla public licen[cs]e(?: version| v)?(?: v?2(?: 0)?)?", "mpl 2 0"),
@@ -100,8 +103,9 @@ TEXTS = (
     ("see-license-file", "license", "see (?:the )?(?:accompanying )?license (?:file|txt|md)(?: for details)?", 25, 0.5),
 )
 
-#: A text in which none of these stands cannot match any rule.
-GATE = r"(?i)licen[cs]e|spdx|rights.{1,20}reserved|(?:cc|commons)[^a-z]{1,20}by|cc0|public.{1,20}domain|wtfpl|0bsd|bsd|confidential|provided|permission|redistribut|software|advertising|endorse|plainly|apache|boost"
+#: A text in which none of these stands cannot match any rule. Single words only: what lies between words is free.
+GATE = (r"(?i)licen[cs]e|spdx|reserved|commons|domain|wtfpl|bsd|cc0|attribution|confidential|provided|permission|redistribut"
+        r"|software|advertising|endorse|plainly|apache|boost|(?:^|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])cc(?:$|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])")
 
 
 @dataclass(frozen=True)
@@ -121,7 +125,8 @@ def default_rules() -> list[Rule]:
     rules = [Rule(label, (phrase, phrase), phrase, 5, 0.4, True) for phrase, label in BASE]
     for label, keyword, pattern, short in NAMES:
         rules += [Rule(label, (keyword, form), before + pattern, priority, weight) for form, before, priority, weight in FORMS]
-        rules.append(Rule(label, ("spdx", short), f"spdx license identifier {short}(?: only| or later)?", 70, 0.98))
+        if short:
+            rules.append(Rule(label, ("spdx", short), f"spdx license identifier {short}(?: only| or later)?", 70, 0.98))
     rules += [Rule(label, (keyword, keyword), pattern, priority, weight) for label, keyword, pattern, priority, weight in TEXTS]
     return rules
 

@@ -252,6 +252,51 @@ def test_suppression_by_containment_and_priority(spark):
     assert r.labels == "same" and r.n_kept == 1  # inside, same span with less priority, overlapping with less priority
 
 
+def spelled(parsed):
+    """Every word sequence of a parsed pattern; the shortest of a repeated class."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            ways = [chr(arg)]
+        elif name == "IN":
+            ways = [chr(v if str(k) == "LITERAL" else v[0]) for k, v in arg]
+            ways = ways if all(str(k) == "LITERAL" for k, _ in arg) else ways[:1]
+        elif name == "BRANCH":
+            ways = [x for branch in arg[1] for x in spelled(branch)]
+        elif name == "SUBPATTERN":
+            ways = spelled(arg[3])
+        else:
+            assert name == "MAX_REPEAT" and arg[0] in (0, 1)
+            ways = spelled(arg[2]) + [""] * (arg[0] == 0)
+        out = [a + b for a in out for b in ways]
+    return out
+
+
+def test_gate_and_keywords_pass_every_spelling():
+    from re import _parser
+
+    seen = 0
+    for rule in licenses.default_rules():
+        for text in set(spelled(_parser.parse(rule.pattern))):
+            assert re.fullmatch(rule.pattern, text)
+            words = f" {text} "
+            assert f" {rule.keywords[0]}" in words and (not rule.keywords[1] or f" {rule.keywords[1]}" in words), (rule, text)
+            for gap in ("\n", " \t\r\n" + "* " * 30, " - "):
+                assert re.search(licenses.GATE, text.upper().replace(" ", gap)), (rule, text)
+            seen += 1
+    assert seen > 2000
+
+
+def test_licences_across_line_feeds(spark):
+    texts = ["All rights\nreserved", "into the public\ndomain", "cc" + " " * 40 + "by 4.0", "licensed under 0BSD", "under a FreeBSD variant",
+             "FreeBSD license", "(CC)\nBY-SA", "MIT No\nAttribution", "accby nothing", "creative commons" + "\n" * 30 + "by nc"]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert [r.labels for r in sorted(rows, key=lambda r: r.doc_id)] == [
+        "proprietary", "public-domain", "cc-by-4.0", "bsd-0-clause", "bsd-2-clause", "bsd-2-clause", "cc-by-sa-4.0", "mit-0", "", "cc-by-nc-4.0"]
+    assert all((r.score > 0) == (r.labels != "") for r in rows)
+
+
 def test_rules_are_hundreds():
     assert len(licenses.default_rules()) > 250
 
