@@ -21,7 +21,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with repeated lines cut; those left without any line go, n_chars is renewed."""
-    out = line_dedup.dedup_lines(docs).filter((F.col("lines_out") > 0) | (F.col("lines_in") == 0))
+    out = line_dedup.dedup_lines(docs, **line_dedup.EVERY_LINE).filter((F.col("lines_out") > 0) | (F.col("lines_in") == 0))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

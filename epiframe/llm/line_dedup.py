@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,9 @@ from .graph import bucket_pairs, closure
 _U = np.uint64
 #: Hash values of the code points below U+4000; others are computed.
 _POINTS = mix64(np.arange(1, (1 << 14) + 1, dtype=np.uint64))
+_SPACES = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], dtype=np.uint32)
+#: Options of the queries: equal lines of every length; an edit for every ten characters, two at most.
+EVERY_LINE = {"least": 1, "steps": ((20, 2), (10, 1))}
 
 
 def segments(length: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +52,11 @@ def segment_keys(span_hash, start: np.ndarray, length: np.ndarray, edits: int) -
     return np.stack(own + probes, axis=1)
 
 
+def allowed(length: int, steps: tuple) -> int:
+    """Edits between a line of ``length`` and one as long or longer."""
+    return next((edits for least, edits in steps if length >= least), 0)
+
+
 def within(a: str, b: str, edits: int) -> bool:
     """Whether the edit distance is at most ``edits``; bit-parallel inside the diagonal band.
 
@@ -111,21 +120,31 @@ class _Lines:
         last = np.append(row[1:] != row[:-1], True)
         end = np.where(last, bounds[row + 1], np.append(start[1:], 0) - 1)
         number = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = end - start >= least
+        inked = np.concatenate([[0], np.cumsum(~np.isin(points, _SPACES))])
+        keep = (end - start >= least) & (inked[end] > inked[start])
         self.start, self.length, self.row, self.number = start[keep], (end - start)[keep], row[keep], number[keep]
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self._sums[end] - self._sums[start]) * self._inverses[start] + (end - start).astype(np.uint64))
 
 
-def lines_of(docs: DataFrame, edits: int, least: int, least_near: int, id_col: str, text_col: str) -> DataFrame:
-    """Lines of at least ``least`` characters: doc_id, digest, line, h1, h2, keys.
+def lines_of(docs: DataFrame, steps: tuple, least: int, id_col: str, text_col: str) -> DataFrame:
+    """Lines of at least ``least`` characters, none blank: doc_id, digest, line, h1, h2, keys0, keys1, ...
 
-    keys is null for lines that are too short, and for repeats within a batch.
+    There are keys for each of the ``steps``: of the lines it holds for, and of those longer
+    by no more than its edits. They are null for other lines, and for repeats within a batch.
     """
+    tops = [None] + [longer + edits for (longer, _), (_, edits) in zip(steps, steps[1:])]  # lengths below these
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("digest"), "text")
-    width = segment_keys(lambda a, b: a.astype(np.uint64), np.zeros(1, np.int64), np.full(1, 9 * edits + 9), edits).shape[1]
+
+    def lists(own: _Lines, near: np.ndarray, n: int, edits: int) -> pa.Array:
+        if not near.any():
+            return pa.nulls(len(near), pa.list_(pa.int64()))
+        keys = segment_keys(own.span_hash, own.start[near], own.length[near], edits)
+        keys = mix64(keys + _U(n)) if n else keys
+        found = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel().view(np.int64)))
+        return found.take(pa.array(np.where(near, np.cumsum(near) - 1, 0), mask=~near))
 
     def cut(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batch_iter:
@@ -136,20 +155,16 @@ def lines_of(docs: DataFrame, edits: int, least: int, least_near: int, id_col: s
                     continue
                 h1 = own.span_hash(own.start, own.start + own.length)
                 h2 = mix64(own.span_hash(own.start, own.start + own.length // 2) + h1 * _U(3))
-                near = own.length >= least_near
                 first = np.zeros(len(h1), dtype=bool)
                 first[np.unique(h1, return_index=True)[1]] = True
-                near &= first
-                keys = segment_keys(own.span_hash, own.start[near], own.length[near], edits)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * width), pa.array(keys.ravel().view(np.int64)))
-                take = pa.array(np.where(near, np.cumsum(near) - 1, 0), mask=~near)
+                near = [first & (own.length >= shortest) & (own.length < (top or own.length + 1)) for (shortest, _), top in zip(steps, tops)]
                 where = pa.array(own.row + lo)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": b.column("doc_id").take(where), "digest": b.column("digest").take(where),
                     "line": pa.array(own.number.astype(np.int32)), "h1": pa.array(h1.view(np.int64)), "h2": pa.array(h2.view(np.int64)),
-                    "keys": lists.take(take) if len(keys) else pa.nulls(len(take), pa.list_(pa.int64()))})
+                    **{f"keys{n}": lists(own, near[n], n, edits) for n, (_, edits) in enumerate(steps)}})
 
-    return rows.mapInArrow(cut, "doc_id long, digest long, line int, h1 long, h2 long, keys array<long>")
+    return rows.mapInArrow(cut, "doc_id long, digest long, line int, h1 long, h2 long" + "".join(f", keys{n} array<long>" for n in range(len(steps))))
 
 
 def _may_hold(bits: np.ndarray):
@@ -172,21 +187,23 @@ def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
             .groupBy("node").agg(F.first("text").alias("text")))  # a row that repeats gives its lines twice
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
-    """Those of the pairs (a, b) whose texts are within ``edits`` edits."""
+def confirm(pairs: DataFrame, texts: DataFrame, steps: tuple) -> DataFrame:
+    """Those of the pairs (a, b) whose texts are within the edits of the shorter one."""
     x = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
     y = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
 
     def check(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batch_iter:
-            keep = [within(p, q, edits) for p, q in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
+            keep = [within(p, q, allowed(min(len(p), len(q)), steps)) for p, q in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _compare_lines(edits: int):
+def _compare_lines(steps: tuple):
     """Test of two rows of a block: lengths and letter counts first, then the distance."""
+    edits = max(e for _, e in steps)
+
     def prepare(batch):
         texts = batch["text"].tolist()
         length = np.array([len(t) for t in texts])
@@ -196,38 +213,45 @@ def _compare_lines(edits: int):
             near = np.flatnonzero(np.abs(length - length[i]) <= edits)
             return near[np.abs(bags[near] - bags[i]).sum(axis=1) <= 2 * edits]
 
-        return likely, lambda i, j: within(texts[i], texts[j], edits)
+        return likely, lambda i, j: within(texts[i], texts[j], allowed(min(length[i], length[j]), steps))
 
     return prepare
 
 
 def repeated_lines(docs: DataFrame, edits: int = 2, least: int = 10, least_near: int = 40, id_col: str = "doc_id",
-                   text_col: str = "text", small_bucket: int = 12, block: int = 512) -> DataFrame:
+                   text_col: str = "text", small_bucket: int = 12, block: int = 512, steps: tuple[tuple[int, int], ...] | None = None) -> DataFrame:
     """Lines that go: doc_id, digest (xxhash64 of the text), line (from 0), class_id.
 
     Lines of ``least`` characters or more that are equal, and those of ``least_near`` or
     more that at most ``edits`` edits link (also over others), are one class; its first
     line in order of (doc_id, digest, line) stays. class_id is the doc_id of that line.
+    ``steps``, (least length, edits) from the longest on, go instead of the one step
+    (``least_near``, ``edits``); of two lines the shorter one's step holds.
     """
-    lines = stored(lines_of(docs, edits, least, least_near, id_col, text_col), "lines")
+    steps = steps or ((least_near, edits),)
+    lines = stored(lines_of(docs, steps, least, id_col, text_col), "lines")
     classes = stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "digest", "line")).alias("first"),
                                                    F.count(F.lit(1)).alias("copies")), "line-classes")
-    keyed = lines.filter("keys is not null").select(F.col("h1").alias("node"), "keys")
-    rows = keyed.select("node", F.posexplode("keys").alias("i", "band"))
-    bands = (rows.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("i").alias("i"))
-             .filter((F.col("lo") != F.col("hi")) & (F.col("i") <= edits)).select(F.col("band").alias("_band")))
+    keyed = [(lines.filter(f"keys{n} is not null").select(F.col("h1").alias("node"), F.col(f"keys{n}").alias("keys")), e) for n, (_, e) in enumerate(steps)]
+    rows = [k.select("node", F.posexplode("keys").alias("i", "band")).select("node", "band", (F.col("i") > e).alias("probe")) for k, e in keyed]
+    bands = (reduce(DataFrame.unionByName, rows).groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("probe").alias("probe"))
+             .filter((F.col("lo") != F.col("hi")) & ~F.col("probe")).select(F.col("band").alias("_band")))
     bands = stored(bands, "line-bands")
     bits = sieve(bands, "_band")  # most keys are met once: these need not move again
 
-    def met(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batch_iter:
-            keys = b.column("keys").flatten().to_numpy(zero_copy_only=False)
-            keep = np.flatnonzero(sift(bits, keys))
-            number = max(1, len(keys) // max(1, b.num_rows))  # as many for every line
-            yield pa.RecordBatch.from_pydict({"band": pa.array(keys[keep]), "node": b.column("node").take(pa.array(keep // number)),
-                                              "probe": pa.array(keep % number > edits)})
+    def met(edits: int):
+        def sifted(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batch_iter:
+                keys = b.column("keys").flatten().to_numpy(zero_copy_only=False)
+                keep = np.flatnonzero(sift(bits, keys))
+                number = max(1, len(keys) // max(1, b.num_rows))  # as many for every line
+                yield pa.RecordBatch.from_pydict({"band": pa.array(keys[keep]), "node": b.column("node").take(pa.array(keep // number)),
+                                                  "probe": pa.array(keep % number > edits)})
+
+        return sifted
 
-    members = keyed.mapInArrow(met, "band long, node long, probe boolean").groupBy("band", "node").agg(F.min("probe").alias("probe"))
+    members = reduce(DataFrame.unionByName, [k.mapInArrow(met(e), "band long, node long, probe boolean") for k, e in keyed])
+    members = members.groupBy("band", "node").agg(F.min("probe").alias("probe"))
     members = stored(members.join(bands, F.col("band") == F.col("_band"), "left_semi"), "line-members")
     centre = F.min(F.struct("probe", F.xxhash64("band", "node").alias("h"), F.col("node").alias("c"))).alias("centre")
     buckets = (members.groupBy("band").agg(F.count(F.lit(1)).alias("m"), centre).filter("m > 1")
@@ -239,7 +263,7 @@ def repeated_lines(docs: DataFrame, edits: int = 2, least: int = 10, least_near:
     places = classes.select(F.col("h1").alias("node"), "first").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("first").alias("first"))
     texts = stored(texts_of(docs, places.select("node", "first.*"), id_col, text_col), "line-texts")
     best = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    found = closure(pairs, best, large, texts, lambda p: confirm(p, texts, edits), _compare_lines(edits), block)
+    found = closure(pairs, best, large, texts, lambda p: confirm(p, texts, steps), _compare_lines(steps), block)
     # a line without links is told by both its hashes
     whole = classes.join(found, F.col("h1") == F.col("node"), "left").withColumn("other", F.when(F.col("root").isNull(), F.col("h2")).otherwise(F.lit(0)))
     whole = whole.withColumn("root", F.coalesce("root", "h1")).select("h1", "h2", "root", "other", "first", "copies")
@@ -254,7 +278,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """All rows of ``docs`` with their columns, repeated lines cut out of the text.
 
     Adds lines_in, lines_out and first_docs (ids of the documents that keep the lines).
-    Lines are what stands between line feeds; blank and short lines stay. Null text
+    Lines are what stands between line feeds; blank lines, and those under ``least``, stay. Null text
     stays null. Rows of the same id and text are treated alike: all keep the same
     lines. A null id comes before all others.
     """

@@ -39,7 +39,7 @@ def op6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), **line_dedup.EVERY_LINE)
     return out.select("doc_id", "text", "lines_in", "lines_out", "first_docs")
 
 

@@ -156,6 +156,39 @@ def test_repeated_lines_equal_brute_force(spark, corpus):
         assert r.text == (None if text is None else "\n".join(x for n, x in enumerate(text.split("\n")) if (r.doc_id, n) not in gone))
 
 
+def brute_short_lines(rows):
+    lines = [(i, n, x) for i, t in rows for n, x in enumerate(t.split("\n")) if x.strip()]
+    unique = sorted({x for _, _, x in lines}, key=len)
+    parent, top = _union(len(unique))
+    for a, x in enumerate(unique):
+        for b in range(a + 1, len(unique)):
+            y = unique[b]
+            if distance(x, y) <= min(2, len(x) // 10):
+                parent[top(a)] = top(b)
+    keep = {}
+    for a, x in enumerate(unique):
+        first = min((i, n) for i, n, y in lines if y == x)
+        keep[top(a)] = min(keep.get(top(a), first), first)
+    where = {x: keep[top(a)] for a, x in enumerate(unique)}
+    return sorted((i, n, where[x][0]) for i, n, x in lines if where[x] != (i, n))
+
+
+def test_lines_of_every_length(spark):
+    rng = np.random.default_rng(12)
+    rows = [(k, f"Copyright {2000 + k} Example Ltd.\nHome\n \n\nMenu {k}\npage {k} of 90\n" + "own words " * (k + 9)) for k in range(12)]
+    for k in range(60):  # lengths around the steps: 9 to 11 and 19 to 22
+        base = ("abcdefghijk", "the quick brown fox ju")[k % 2][:(9 + k // 2 % 3 if k % 2 == 0 else 19 + k // 2 % 4)]
+        w = list(base)
+        for p in rng.choice(len(w), k % 3, replace=False):
+            w[p] = "#" if p % 2 else ""
+        rows.append((100 + k, f"{''.join(w)}\nt"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.line, r.class_id) for r in line_dedup.repeated_lines(df, small_bucket=4, block=8, **line_dedup.EVERY_LINE).collect())
+    assert got == brute_short_lines(rows)
+    gone = {(i, n) for i, n, _ in got}
+    assert all((k, 0) in gone and (k, 1) in gone and (k, 2) not in gone and (k, 3) not in gone and (k, 4) not in gone for k in range(1, 12))
+
+
 def test_line_dedup_of_odd_tables(odd, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
     out = line_dedup.dedup_lines(odd)
