@@ -148,15 +148,16 @@ class Words:
 
     ``hashes``, ``starts``, ``ends`` (bytes in the joined buffer) and ``docs`` (row)
     hold one entry per word, in text order; ``first[i]:first[i+1]`` are row i's.
-    With ``fold``, A-Z hash as a-z.
+    With ``fold``, A-Z hash as a-z. ``is_word``: a table of bytes, or a function that
+    says of all bytes at once which belong to words.
     """
 
-    def __init__(self, texts: pa.Array, is_word: np.ndarray, fold: bool = True):
+    def __init__(self, texts: pa.Array, is_word, fold: bool = True):
         data, offsets = text_bytes(texts)
         self.data, self.offsets = data, offsets
         n = len(data)
         inside = np.zeros(n + 2, dtype=np.int8)
-        inside[1:-1] = is_word[data]
+        inside[1:-1] = is_word(data) if callable(is_word) else is_word[data]
         turn = np.diff(inside)
         begins, ends = turn[:-1] == 1, turn[1:] == -1
         cuts = offsets[1:-1]

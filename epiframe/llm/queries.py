@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, licenses, line_dedup, near_dup, packing, search, sharding, token_files, toxicity
+from . import (chat_format, decontaminate, licenses, line_dedup, near_dup, packing, ranked_search, search, sharding, spelling,
+               token_counts, token_files, toxicity)
 from .common import table
 
 
@@ -57,6 +58,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_components(table(spark, sf_dir, "documents"), size=2, share=(80, 100))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 10)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_packing": op2_packing,
@@ -68,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_licenses": op9_licenses,
     "op10_near_dedup": op10_near_dedup,
+    "op11_token_counts": op11_token_counts,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_spelling": op13_spelling,
 }
 _LOWER = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
 
@@ -101,6 +117,18 @@ ORACLE_SQL: dict[str, str] = {
               WHERE q.doc_id % 20 = 0 GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s)
         SELECT query_id, doc_id, round(score, 3) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""",
+    "op12_ranked_search": rf"""
+        WITH w AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '{licenses.WORD}')) AS t FROM documents),
+        tf AS (SELECT doc_id, t, count(*) AS c FROM w GROUP BY ALL),
+        dl AS (SELECT doc_id, CAST(sum(c) AS BIGINT) AS n FROM tf GROUP BY ALL),
+        st AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM dl),
+        q AS (SELECT DISTINCT item_id, text, unnest(regexp_extract_all({_LOWER}, '{licenses.WORD}')) AS t FROM benchmark),
+        df AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, st GROUP BY t),
+        s AS (SELECT q.item_id, q.text, tf.doc_id,
+                     CAST(sum(weight * ((1000000000 * c) // (1000 * c + 8 * (10 + (90 * n * docs) // total)))) AS BIGINT) AS score
+              FROM q JOIN df USING (t) JOIN tf USING (t) JOIN dl ON dl.doc_id = tf.doc_id, st GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10""",
     "op10_near_dedup": rf"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w
