@@ -71,16 +71,15 @@ class Encoder:
     Texts are cut where this byte-level BPE always ends a word: around white space
     (the last space of a run belongs to what follows) and between an ASCII letter
     and a stop or comma. Texts with white space beyond ASCII go to the tokenizer
-    whole. Special tokens' strings in a text are ordinary text. Pieces are known by
-    a 64-bit hash of their bytes. The cache is bounded and starts anew when full.
+    whole, and so do texts with a special token's string, which the library then makes
+    that token. Pieces are known by a 64-bit hash of their bytes. The cache is bounded and starts anew when full.
     """
 
     def __init__(self, path: str, bits: int = 22):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.model._resize_cache(0)  # every piece comes once
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.bits = bits
         self._clear()
@@ -138,7 +137,8 @@ class Encoder:
         if self.known + len(keys) // 2 > len(self.edges) - 1 and self.known:
             self._clear()
         first = np.searchsorted(starts, offsets)
-        whole = _exotic_rows(texts, data, offsets)
+        raw = data.tobytes()
+        whole = sorted({*_exotic_rows(texts, data, offsets), *_rows_with(self.special, raw, offsets)})
         index = self.places.find(keys)
         new = index < 0
         for r in whole:
@@ -147,7 +147,7 @@ class Encoder:
         new = np.flatnonzero(new)
         if len(new):
             unique, where = np.unique(keys[new], return_index=True)
-            at, raw = new[where], data.tobytes()
+            at = new[where]
             room = len(self.edges) - 1 - self.known
             if len(unique) > room:  # more new pieces in one batch than the cache holds
                 return self._uncached(texts)
@@ -200,6 +200,18 @@ def _exotic_rows(texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> list
     return [r for r in rows if _EXOTIC.search(texts[r].as_py())]
 
 
+def _rows_with(strings: list[bytes], raw: bytes, offsets: np.ndarray) -> list[int]:
+    rows = []
+    for s in strings:
+        at = raw.find(s)
+        while at >= 0:
+            row = int(np.searchsorted(offsets, at, "right")) - 1
+            if at + len(s) <= offsets[row + 1]:
+                rows.append(row)
+            at = raw.find(s, at + 1)
+    return rows
+
+
 def encoder(path: str) -> Encoder:
     """This Python worker's encoder for a vocabulary file; it outlives the task."""
     own = vars(sys).setdefault("_epiframe_encoders", {})
