@@ -44,6 +44,11 @@ def prompt_with_state(prompt, state, with_action_marker: bool = True) -> Column:
     return F.concat(F.lit("Task: "), clean, F.lit(", State: "), state_string(state), F.lit(tail))
 
 
+def code_points(x) -> Column:
+    """One id per character: the stand-in where no learned tokenizer is given."""
+    return F.transform(F.filter(F.split(_c(x), ""), lambda c: c != ""), lambda c: F.ascii(c))
+
+
 def pad_tokens(tokens, max_len: int) -> tuple[Column, Column, Column]:
     """(tokens padded with 0 / truncated to ``max_len``, mask, truncated flag)."""
     t = _c(tokens)

@@ -34,7 +34,7 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from epiframe.plans import (  # noqa: F401
-        queries_core, queries_episodes, queries_io, queries_more, queries_ranges, queries_streams,
+        queries_core, queries_episodes, queries_io, queries_more, queries_ranges, queries_recipes, queries_streams,
         queries_vectors)
 
 

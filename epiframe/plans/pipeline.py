@@ -1,4 +1,4 @@
-"""Composable pipelines and dataset recipes.
+"""Composable pipelines (F1–F4); the recipes built on them are in ``plans.recipes``.
 
 A step is any ``DataFrame -> DataFrame`` callable. A ``Pipeline`` holds a
 forward list and an inverse list; pushing a group appends its inputs and
@@ -16,10 +16,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from epiframe.functions import vectors as V
-from epiframe.operators import schema as SC
-from epiframe.operators import stats as S
-from epiframe.operators import windows as W
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -48,6 +44,10 @@ class Pipeline:
     def forward(self, df: DataFrame) -> DataFrame:
         return compose(self.inputs)(df)
 
+    def then(self, other: "Pipeline") -> "Pipeline":
+        """This pipeline's inputs first; its outputs last."""
+        return self.push(other.inputs, other.outputs)
+
     def inverse(self, df: DataFrame) -> DataFrame:
         return compose(self.outputs)(df)
 
@@ -64,143 +64,3 @@ def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schem
             yield fn(pdf)
 
     return df.mapInPandas(run, schema)
-
-
-# ---------------------------------------------------------------- steps used by recipes
-def step_default_prompt(prompt: str | None) -> Step:
-    return lambda df: SC.inject_default(df, "prompt", prompt)
-
-
-def step_repack(structure: dict) -> Step:
-    return lambda df: SC.repack(df, structure)
-
-
-def step_chunk(horizon: int, cols: Sequence[str] = ("actions",)) -> Step:
-    return lambda df: W.action_chunk(df, horizon, cols)
-
-
-def step_delta(mask: Sequence[bool] | None) -> Step:
-    def run(df):
-        if mask is None or "actions" not in df.columns:
-            return df
-        return df.withColumn("actions", V.delta_actions("actions", "state", mask))
-
-    return run
-
-
-def step_absolute(mask: Sequence[bool] | None) -> Step:
-    def run(df):
-        if mask is None or "actions" not in df.columns:
-            return df
-        return df.withColumn("actions", V.absolute_actions("actions", "state", mask))
-
-    return run
-
-
-def step_normalize(stats: DataFrame | None, use_quantiles: bool, inverse: bool = False,
-                   cols: dict[str, str] | None = None) -> Step:
-    cols = cols or {"state": "state", "actions": "actions"}
-
-    def run(df):
-        if stats is None:
-            return df
-        present = {c: k for c, k in cols.items() if c in df.columns}
-        return S.apply_stats(df, stats, present, mode="quantile" if use_quantiles else "z", inverse=inverse)
-
-    return run
-
-
-def step_pad(dim: int) -> Step:
-    def run(df):
-        out = df.withColumn("state", V.pad_to_dim("state", dim))
-        if "actions" in df.columns:
-            out = out.withColumn("actions", V.on_rows("actions", lambda r: V.pad_to_dim(r, dim)))
-        return out
-
-    return run
-
-
-def step_first_k(k: int) -> Step:
-    return lambda df: df.withColumn("actions", V.chunk_first_k("actions", k))
-
-
-def step_discretize_state(out: str = "state_tokens") -> Step:
-    return lambda df: df.withColumn(out, V.discretize("state"))
-
-
-# ---------------------------------------------------------------- F7/F8/P23 recipes
-@dataclasses.dataclass(frozen=True)
-class DatasetSpec:
-    """what a dataset needs: repack map, robot mapping, delta mask, horizon, model family."""
-
-    name: str
-    horizon: int
-    action_dim: int
-    delta_mask: tuple[bool, ...] | None = None
-    default_prompt: str | None = None
-    model: str = "flow"
-    repack: dict | None = None
-    robot_in: Step | None = None
-    robot_out: Step | None = None
-    output_dims: int | None = None
-
-
-def model_steps(spec: DatasetSpec) -> tuple[list[Step], list[Step]]:
-    """Per model family, the ordered model-side steps (prompt → features → pad)."""
-    fwd: list[Step] = [step_default_prompt(spec.default_prompt)]
-    if spec.model in ("flow", "flow_q"):
-        fwd.append(step_pad(spec.action_dim))
-    elif spec.model == "tokens":
-        fwd.append(step_discretize_state())
-    else:
-        raise ValueError(f"unknown model family {spec.model!r}")
-    return fwd, []
-
-
-def build_pipeline(spec: DatasetSpec, stats: DataFrame | None) -> Pipeline:
-    """Fold repack → robot mapping → chunk → delta → normalise → model steps (and their inverses).
-
-    Quantile normalisation for every family except the first (``flow``).
-    """
-    p = Pipeline()
-    if spec.repack:
-        p = p.push(inputs=[step_repack(spec.repack)])
-    p = p.push(inputs=[s for s in (spec.robot_in,) if s], outputs=[s for s in (spec.robot_out,) if s])
-    p = p.push(inputs=[step_chunk(spec.horizon)])
-    p = p.push(inputs=[step_delta(spec.delta_mask)], outputs=[step_absolute(spec.delta_mask)])
-    q = spec.model != "flow"
-    p = p.push(inputs=[step_normalize(stats, q)], outputs=[step_normalize(stats, q, inverse=True)])
-    fwd, inv = model_steps(spec)
-    p = p.push(inputs=fwd, outputs=inv)
-    if spec.output_dims:
-        p = p.push(outputs=[step_first_k(spec.output_dims)])
-    return p
-
-
-def stats_pipeline(spec: DatasetSpec) -> Step:
-    """A4 input side: repack + robot mapping + chunk + delta, no normalise/model steps."""
-    steps: list[Step] = []
-    if spec.repack:
-        steps.append(step_repack(spec.repack))
-    if spec.robot_in:
-        steps.append(spec.robot_in)
-    steps += [step_chunk(spec.horizon), step_delta(spec.delta_mask), drop_string_columns]
-    return compose(steps)
-
-
-def drop_string_columns(df: DataFrame) -> DataFrame:
-    """P6 on the top level."""
-    return df.select(*[c for c, t in df.dtypes if t != "string"])
-
-
-# Model families: "flow" (continuous actions, z-score stats), "flow_q" (continuous,
-# quantile stats), "tokens" (discretised state, no padding mask).
-# F8: dataset presets over the test views.
-PRESETS = {
-    "events_flow": DatasetSpec("events_flow", horizon=4, action_dim=8, delta_mask=(True, False),
-                              default_prompt="Do something", model="flow", output_dims=2),
-    "events_tokens": DatasetSpec("events_tokens", horizon=4, action_dim=8, delta_mask=(True, False),
-                               default_prompt="Do something", model="tokens", output_dims=2),
-    "lineitem_flow_q": DatasetSpec("lineitem_flow_q", horizon=4, action_dim=6, delta_mask=None, model="flow_q",
-                                 output_dims=4),
-}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from epiframe.functions.hashing import hash_key_sql, unit_hash_sql
 from epiframe.operators import schema as SC
 from epiframe.operators import stats as S
-from epiframe.plans import pipeline as PL
+from epiframe.plans import recipes as RC
 from epiframe.plans.catalog import query
 from epiframe.plans.queries_core import LI_STATS_SQL, _li_stats, _long_vec
 from epiframe.plans.sqlviews import FRAMES_EV, FRAMES_LI, r6
@@ -95,21 +95,24 @@ def q_stats_json_roundtrip(spark, sf_dir):
     return back.select("key", "dim", *[R6(c).alias(c) for c in ("mean", "std", "q01", "q99")])
 
 
+_LI_Q = "(x - q01) / (q99 - q01 + CAST('1e-6' AS DOUBLE)) * CAST(2 AS DOUBLE) - CAST(1 AS DOUBLE)"
+
+
 @query("sample_assembly", f"""WITH {LI_STATS_SQL},
 fl AS (SELECT episode_id, t, 0 AS dim, s0 AS x FROM frames_li UNION ALL SELECT episode_id, t, 1, s1 FROM frames_li
        UNION ALL SELECT episode_id, t, 2, s2 FROM frames_li UNION ALL SELECT episode_id, t, 3, s3 FROM frames_li)
-SELECT fl.episode_id, fl.t, CAST(fl.dim AS BIGINT) AS dim,
-       {r6("(fl.x - raw.q01) / (raw.q99 - raw.q01 + CAST('1e-6' AS DOUBLE)) * CAST(2 AS DOUBLE) - CAST(1 AS DOUBLE)")} AS value
-FROM fl JOIN raw ON raw.dim = fl.dim AND raw.key = 'state'
-UNION ALL SELECT episode_id, t, CAST(p.dim AS BIGINT), CAST(0 AS DOUBLE) FROM frames_li, (VALUES (4), (5)) p(dim)""")
+SELECT f.key, fl.episode_id, fl.t, CAST(fl.dim AS BIGINT) AS dim, {r6(_LI_Q)} AS value
+FROM fl JOIN raw ON raw.dim = fl.dim AND raw.key = 'state', (VALUES ('state'), ('actions')) f(key)
+UNION ALL SELECT f.key, episode_id, t, CAST(p.dim AS BIGINT), CAST(0 AS DOUBLE) FROM frames_li, (VALUES (4), (5)) p(dim), (VALUES ('state'), ('actions')) f(key)""")
 def q_sample_assembly(spark, sf_dir):
-    """The lineitem recipe (flow_q family → quantile normalisation, pad to 6) folded as a pipeline."""
-    li, st = _li_stats(spark, sf_dir)
-    spec = PL.PRESETS["lineitem_flow_q"]
-    pipe = PL.Pipeline().push(inputs=[PL.step_normalize(st, spec.model != "flow", cols={"state": "state"})]).push(
-        inputs=PL.model_steps(spec)[0])
-    out = pipe.forward(li.select("episode_id", "t", "state"))
-    return _long_vec(out, "state")
+    """The lineitem frames through a whole recipe (quantile family, one-row chunks, padding to 6): state and actions."""
+    li, _ = _li_stats(spark, sf_dir)
+    spec = RC.Recipe("lineitem", "plain", "flow_q", horizon=1, dims=4, width=6, prompt="Do something", token_len=64,
+                     fields={"state": "state", "actions": "actions"})
+    out = RC.build_recipe(spec, RC.recipe_stats(spec, li)).forward(li.select("episode_id", "t", "state", "actions"))
+    both = F.array(F.struct(F.lit("state").alias("key"), F.col("state").alias("v")), F.struct(F.lit("actions").alias("key"), F.col("actions")[0].alias("v")))
+    e = out.select("episode_id", "t", F.explode(both).alias("e")).select("e.key", "episode_id", "t", F.posexplode("e.v").alias("dim", "value"))
+    return e.withColumn("dim", F.col("dim").cast("bigint")).withColumn("value", R6("value"))
 
 
 @query("contract_check", """SELECT vec_id, true AS image_mask, CAST(len(embedding) AS INTEGER) AS state_len FROM embeddings""")

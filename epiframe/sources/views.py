@@ -100,6 +100,23 @@ def frames_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.withColumn("vel", F.array(F.floor(F.col("state")[0] / F.lit(60.0)).cast("double")))
 
 
+def arm_frames(spark: SparkSession, sf_dir: str, dims: int) -> DataFrame:
+    """``frames_ev`` as a robot's frames: (episode_id, t, prompt, state[dims], actions[dims], views).
+
+    Even dims are value / 1000 + 0.01 j, odd ones k / 1000 - 0.01 j; an action is 2 state
+    - 0.1. Views are three small integers a frame; the left wrist view lacks on every
+    third event; there is no right wrist view.
+    """
+    f = frames_ev(spark, sf_dir)
+    s = F.col("state")
+    state = F.array(*[(s[0] / F.lit(1000.0) + F.lit(0.01 * j)) if j % 2 == 0 else (s[1] / F.lit(1000.0) - F.lit(0.01 * j))
+                      for j in range(dims)])
+    view = F.array(F.pmod(F.floor(s[0]), F.lit(256)), F.pmod(F.floor(s[1]), F.lit(256)), F.pmod("t", F.lit(256))).cast("array<int>")
+    return f.select("episode_id", "t", F.col("task").alias("prompt"), state.alias("state"),
+                    view.alias("cam_high"), F.when(F.col("event_id") % 3 != 0, view).alias("cam_left_wrist")).withColumn(
+        "actions", F.transform("state", lambda x: x * F.lit(2.0) - F.lit(0.1)))
+
+
 def modalities(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Five per-modality tables ``(episode_id, t, v)`` from ``frames_li``.
 
