@@ -226,29 +226,11 @@ def norm_stats_pipeline(frames: DataFrame, horizon: int, delta_mask: Sequence[bo
                         keys: Sequence[str] = ("episode_id",), t: str = "t") -> DataFrame:
     """A4: chunk → delta → stats of ``state`` (per frame) and ``actions`` (every chunk row).
 
-    The horizon is known when the plan is built, so the chunk rows are
-    listed explicitly and the delta is applied per element after one
-    explode: plain expressions that stay in whole-stage codegen (no
-    per-row lambdas).
+    Chunks never become rows: see ``vector_stats.chunk_stats``.
     """
-    from epiframe.operators.windows import action_chunk
-
-    f = frames.select(*keys, t, state, actions)
-    ch = action_chunk(f, horizon, cols=[actions], keys=keys, t=t)
-    entries = [F.struct(F.lit(state).alias("key"), F.col(state).cast("array<double>").alias("v"),
-                        F.lit(False).alias("delta"))]
-    entries += [F.struct(F.lit(actions).alias("key"), F.element_at(actions, i + 1).cast("array<double>").alias("v"),
-                         F.lit(True).alias("delta")) for i in range(horizon)]
-    e = ch.select(F.col(state).cast("array<double>").alias("_st"), F.explode(F.array(*entries)).alias("e"))
-    v = e.select(F.col("e.key").alias("key"), F.col("e.delta").alias("_d"), "_st",
-                 F.posexplode("e.v").alias("dim", "x"))
-    x = F.col("x")
-    if delta_mask is not None and any(delta_mask):
-        m = F.array(*[F.lit(bool(b)) for b in delta_mask])
-        use = F.col("_d") & (F.col("dim") < len(delta_mask)) & F.coalesce(F.get(m, F.col("dim")), F.lit(False))
-        x = F.when(use, x - F.get(F.col("_st"), F.col("dim"))).otherwise(x)
-    vals = v.select("key", F.col("dim").cast("bigint").alias("dim"), x.alias("x"))
-    return norm_stats(vals)
+    from epiframe.operators.vector_stats import chunk_stats
+
+    return chunk_stats(frames, horizon, delta_mask, state, actions, keys, t)
 
 
 def weighted_values(frames: DataFrame, horizon: int, state: str = "state", actions: str = "actions",

@@ -85,7 +85,11 @@ def object_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(line_id, text) training-log lines from orders: step = o_orderkey, loss from price."""
-    o = table(spark, sf_dir, "orders")
+    return log_lines_of(table(spark, sf_dir, "orders"))
+
+
+def log_lines_of(o: DataFrame) -> DataFrame:
+    """``log_lines`` of any orders rows (batch or stream)."""
     whole = F.floor(F.col("o_totalprice")).cast("bigint")
     loss = F.concat((whole / F.lit(100000)).cast("bigint").cast("string"), F.lit("."),
                     F.lpad((whole % F.lit(100000)).cast("string"), 5, "0"))

@@ -1,32 +1,32 @@
 """Structured Streaming operators (R1–R5), each with a batch twin.
 
-Sources are file streams (parquet folders); state is keyed by episode or
-channel, so ordering only matters inside a key (files must land in time
-order for the order-driven R2/R3). Sinks are idempotent per micro-batch
-(``foreachBatch`` writes ``batch=<id>`` folders with overwrite), and every
-query keeps its checkpoint in the shared checkpoint folder.
+A stream is any streaming DataFrame (file sources in the queries and tests). Every
+micro-batch is handled with the batch operators, so a hot episode or channel is cut into
+blocks there as well; nothing holds a group in one task. What has to outlive a
+micro-batch is a small table of its own, kept as one snapshot per batch (``Versions``):
+a retried batch reads the snapshot before it and overwrites its own output and snapshot,
+so that every row counts exactly once, also across restarts.
+
+Arrival order is the order of the micro-batches, then the order columns given.
 """
 
 from __future__ import annotations
 
 import os
-import sys
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
+from epiframe.operators import vector_stats as VS
+from epiframe.operators import windows as W
+from epiframe.plans.ordered import index_within, join_null_safe, neighbours, running_agg
 from epiframe.session import checkpoint_dir
 
-# The stateful functions below run in Python workers; ship them by value so
-# executors need no copy of this package on their path.
-from pyspark import cloudpickle  # noqa: E402
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+#: Timestamps of a channel's rate.
+RATE_READINGS = 50
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -34,155 +34,246 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
 
 
-def stage_in_order(df: DataFrame, path: str, bucket) -> int:
-    """Write ``df`` as one file group per ``bucket`` value, in increasing order (simulates arrival)."""
-    b = F.col(bucket) if isinstance(bucket, str) else bucket
-    keyed = df.withColumn("_bucket", b)
-    buckets = [r[0] for r in keyed.select("_bucket").distinct().orderBy("_bucket").collect()]
-    for v in buckets:
-        keyed.filter(F.col("_bucket") == v).drop("_bucket").coalesce(1).write.mode("append").parquet(path)
-    return len(buckets)
+def file_stream(spark: SparkSession, path: str, schema: T.StructType | str | None = None, files_per_trigger: int | None = None) -> DataFrame:
+    """A Parquet file or folder as a stream; new files in it arrive in order of their time."""
+    reader = spark.readStream.schema(schema or spark.read.parquet(path).schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path)
 
 
-def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def run_to_end(stream: DataFrame, each: Callable[[DataFrame, int], None], out: str) -> None:
+    """Handle what has arrived, batch by batch, and stop; the next run goes on after it."""
+    q = (stream.writeStream.foreachBatch(each).option("checkpointLocation", out + "_ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
 
 
-def run_to_end(writer, checkpoint: str) -> None:
-    q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+class Batches:
+    """An append-only table in one folder per micro-batch; a retried batch replaces its own."""
 
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str | None = None):
+        self.spark, self.path, self.schema = spark, path, schema
 
-# ---------------------------------------------------------------- R1 incremental norm stats
-def stream_stats(spark: SparkSession, stream: DataFrame, vector: str, key: str, out: str) -> DataFrame:
-    """Per micro-batch mergeable moments ``(count, mean, m2, min, max)`` per dim, merged at the end.
+    def put(self, batch_id: int, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
-    Each batch writes its partial moments to ``out/batch=<id>`` (overwrite:
-    a retried batch replaces its own output). The merge uses the parallel
-    variance formula, so the result equals the batch statistics.
-    """
-    vals = stream.select(F.lit(key).alias("key"), F.posexplode(F.col(vector).cast("array<double>")).alias("dim", "x"))
+    def read(self) -> DataFrame:
+        reader = self.spark.read.schema(self.schema) if self.schema else self.spark.read
+        return reader.parquet(self.path).drop("batch")
 
-    def merge_batch(batch: DataFrame, batch_id: int) -> None:
-        part = batch.groupBy("key", "dim").agg(
-            F.count("x").alias("n"), F.avg("x").alias("mean"), (F.var_pop("x") * F.count("x")).alias("m2"),
-            F.min("x").alias("min"), F.max("x").alias("max"))
-        part.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+    def numbers(self) -> list[int]:
+        fs, root = _folder(self.spark, self.path)
+        if not fs.exists(root):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(root)]
+        return sorted(int(n.split("=")[1]) for n in names if n.startswith("batch="))
 
-    run_to_end(vals.writeStream.foreachBatch(merge_batch), out + "_ckpt")
-    return merge_moments(spark.read.parquet(out))
 
+class Versions(Batches):
+    """A state table as one snapshot per micro-batch; two finished ones are kept."""
 
-def merge_moments(parts: DataFrame) -> DataFrame:
-    """Combine partial ``(n, mean, m2, min, max)`` rows into final count/mean/std/min/max."""
-    tot = parts.groupBy("key", "dim").agg(F.sum("n").alias("_tn"),
-                                          (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_tm"))
-    j = parts.join(tot, ["key", "dim"])
-    dev = F.col("mean") - F.col("_tm")
-    g = j.groupBy("key", "dim").agg(
-        F.first("_tn").alias("count"), F.first("_tm").alias("mean"),
-        F.sum(F.col("m2") + F.col("n") * dev * dev).alias("_m2"),
-        F.min("min").alias("min"), F.max("max").alias("max"))
-    return g.select("key", F.col("dim").cast("bigint"), F.col("count").cast("bigint"), "mean",
-                    F.sqrt(F.greatest(F.lit(0.0), F.col("_m2") / F.col("count"))).alias("std"), "min", "max")
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str):
+        super().__init__(spark, path, schema)
 
+    def before(self, batch_id: int) -> DataFrame:
+        """The state the batch starts from."""
+        older = [n for n in self.numbers() if n < batch_id]
+        if not older:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={older[-1]}")
 
-# ---------------------------------------------------------------- R2 stateful chunk broker
-BROKER_OUT = T.StructType([T.StructField("episode_id", T.LongType()), T.StructField("t", T.LongType()),
-                           T.StructField("action", T.DoubleType())])
-BROKER_STATE = T.StructType([T.StructField("start", T.LongType()),
-                             T.StructField("chunk", T.ArrayType(T.DoubleType()))])
-
-
-def _broker(horizon: int):
-    def step(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(pdfs)).sort_values("t")
-        start, chunk = (int(state.get[0]), [float(x) for x in state.get[1]]) if state.exists else (None, None)
-        out_t, out_a = [], []
-        for t, plan in zip(rows["t"].tolist(), rows["plan"].tolist()):
-            if chunk is None or t == 0 or t - start >= horizon:
-                start, chunk = int(t), [float(x) for x in plan]
-            out_t.append(t)
-            out_a.append(float(chunk[t - start]))
-        state.update((start, chunk))
-        yield pd.DataFrame({"episode_id": [key[0]] * len(out_t), "t": out_t, "action": out_a})
-
-    return step
-
-
-def stream_broker(spark: SparkSession, stream: DataFrame, horizon: int, out: str) -> DataFrame:
-    """R2: per episode hold the current chunk, play row ``t - start``, replan after ``horizon`` steps
-    (and at episode start). ``plan`` is the chunk the policy would return at that step."""
-    res = stream.groupBy("episode_id").applyInPandasWithState(
-        _broker(horizon), BROKER_OUT, BROKER_STATE, "append", GroupStateTimeout.NoTimeout)
-    run_to_end(res.writeStream.format("parquet").option("path", out), out + "_ckpt")
-    return spark.read.parquet(out)
-
-
-# ---------------------------------------------------------------- R3 newest-only monitor
-NEWEST_OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("channel", T.StringType())])
-NEWEST_STATE = T.StructType([T.StructField("last_ts", T.TimestampNTZType())])
-
-
-def _newest(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(pdfs)).sort_values("arrival")
-    last = state.get[0] if state.exists else None
-    keep = []
-    for eid, ts in zip(rows["event_id"].tolist(), rows["ts"].tolist()):
-        if last is None or ts > last:
-            keep.append(int(eid))
-        last = ts if last is None or ts > last else last
-    state.update((None if last is None else pd.Timestamp(last).to_pydatetime(),))
-    yield pd.DataFrame({"event_id": pd.Series(keep, dtype="int64"), "channel": [key[0]] * len(keep)})
-
-
-def stream_newest(spark: SparkSession, stream: DataFrame, out: str) -> DataFrame:
-    """Per channel keep a reading only if newer than every reading taken before (state = max ts)."""
-    res = stream.groupBy("channel").applyInPandasWithState(
-        _newest, NEWEST_OUT, NEWEST_STATE, "append", GroupStateTimeout.NoTimeout)
-    run_to_end(res.writeStream.format("parquet").option("path", out), out + "_ckpt")
-    return spark.read.parquet(out)
+    def latest(self) -> DataFrame:
+        return self.before(1 << 62)
 
+    def put(self, batch_id: int, df: DataFrame) -> None:
+        super().put(batch_id, df)
+        fs, _ = _folder(self.spark, self.path)
+        for n in self.numbers():
+            if n < batch_id - 1:
+                fs.delete(_folder(self.spark, f"{self.path}/batch={n}")[1], True)
 
-# ---------------------------------------------------------------- R4 interval log means
-def stream_log(spark: SparkSession, stream: DataFrame, interval: int, out: str) -> DataFrame:
-    """Per log window (``ceil(step / L)``) running means, complete mode into a table."""
-    from epiframe.operators.evaluation import log_extract
-    from epiframe.operators.windows import log_bucket
 
-    m = log_extract(stream)
-    agg = m.groupBy(log_bucket("step", interval).alias("window")).agg(
-        F.max("step").alias("last_step"), F.count(F.lit(1)).alias("n"), F.sum("loss").alias("_sum"))
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)  # complete mode: each batch holds the whole table
 
-    run_to_end(agg.writeStream.outputMode("complete").foreachBatch(write), out + "_ckpt")
-    res = spark.read.parquet(out)
-    return res.select("window", "last_step", "n", (F.col("_sum") / F.col("n")).alias("loss_mean"))
+# ---------------------------------------------------------------- R1 incremental norm stats
+def stream_stats(spark: SparkSession, stream: DataFrame, vectors: dict[str, str], out: str) -> DataFrame:
+    """Count, mean, std, min, max and q01, q99 of the stream's vectors so far.
 
+    Every batch leaves its tasks' mergeable moments and growing histograms
+    (``vector_stats``), a few rows; they merge exactly whatever the batches were.
+    """
+    parts = Batches(spark, out)
+    run_to_end(stream.select(*dict.fromkeys(vectors.values())), lambda b, n: parts.put(n, VS.growing_parts(b, vectors)), out)
+    return VS.merged_growing(parts.read())
 
-# ---------------------------------------------------------------- R5 ingest with rejects
-def stream_ingest(spark: SparkSession, stream: DataFrame, min_frames: int, out: str,
-                  episode: str = "episode_id") -> tuple[DataFrame, DataFrame]:
-    """Each micro-batch (whole episodes per file) is validated; good frames and
-    ``rejects(episode, reason)`` go to separate folders; the run continues past bad episodes."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        lens = batch.groupBy(episode).agg(F.count(F.lit(1)).alias("n"))
-        bad = lens.filter(F.col("n") < min_frames).select(episode, F.lit("too_short").alias("reason"))
-        good = batch.join(bad.select(episode), episode, "left_anti")
-        bad.write.mode("overwrite").parquet(os.path.join(out, "rejects", f"batch={batch_id}"))
-        good.write.mode("overwrite").parquet(os.path.join(out, "good", f"batch={batch_id}"))
+# ---------------------------------------------------------------- R2 stateful chunk broker
+def stream_broker(spark: SparkSession, stream: DataFrame, horizon: int, out: str, keys: Sequence[str] = ("episode_id",),
+                  t: str = "t", plan: str = "plan") -> DataFrame:
+    """R2: per session hold the current chunk, play its next row at each call, replan when it is used up.
+
+    ``plan`` is the chunk (rows of actions) a policy would return at that call; only
+    every ``horizon``-th call of a session looks at it. State: calls so far and the open
+    chunk of each session. Returns keys, t, call, action (all dims).
+    """
+    k = list(keys)
+    kinds = stream.schema
+    plan_type = kinds[plan].dataType
+    state = Versions(spark, out + "_state", T.StructType([kinds[c] for c in k] + [T.StructField("calls", T.LongType()), T.StructField("open", plan_type)]))
+    result = Batches(spark, out, T.StructType([kinds[c] for c in k] + [kinds[t], T.StructField("call", T.LongType()),
+                                                                       T.StructField("action", plan_type.elementType)]))
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        old = state.before(batch_id)
+        rows = index_within(batch.select(*k, t, plan), k, [t], out="_i")
+        rows = join_null_safe(rows, old.select(*k, "calls"), k, "left")
+        rows = rows.withColumn("call", F.coalesce("calls", F.lit(0)) + F.col("_i")).withColumn("block", F.expr(f"call div {horizon}"))
+        plans = rows.filter(F.col("call") % horizon == 0).select(*k, "block", F.col(plan).alias("_chunk"))
+        open_ = old.filter(F.col("calls") % horizon != 0).select(*k, F.expr(f"calls div {horizon}").alias("block"), F.col("open").alias("_chunk"))
+        rows = join_null_safe(rows.select(*k, t, "call", "block"), plans.unionByName(open_), [*k, "block"], "left")
+        result.put(batch_id, rows.select(*k, t, "call", F.get("_chunk", (F.col("call") % horizon).cast("int")).alias("action")))
+        new = rows.groupBy(*k).agg((F.max("call") + 1).alias("calls"), F.max_by("_chunk", "call").alias("open"))
+        kept = join_null_safe(old, new.select(*k, F.lit(True).alias("_new")), k, "left").filter(F.col("_new").isNull()).drop("_new")
+        state.put(batch_id, new.unionByName(kept))
+
+    run_to_end(stream, each, out)
+    return result.read()
+
+
+# ---------------------------------------------------------------- R3 newest-only and rate monitors
+def stream_newest(spark: SparkSession, stream: DataFrame, out: str, channel: str = "channel", ts: str = "ts",
+                  arrival: Sequence[str] = ("arrival",)) -> DataFrame:
+    """A reading is taken if it is newer than all its channel's readings that arrived before. State: newest time."""
+    state = Versions(spark, out + "_state", T.StructType([stream.schema[channel], T.StructField("newest", stream.schema[ts].dataType)]))
+    taken = Batches(spark, out, stream.schema)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        old = state.before(batch_id)
+        rows = running_agg(batch, ts, list(arrival), "_prev", keys=[channel], agg="max", include_current=False)
+        rows = join_null_safe(rows, old, [channel], "left").withColumn("_prev", F.greatest("_prev", "newest"))
+        taken.put(batch_id, rows.filter(F.col("_prev").isNull() | (F.col(ts) > F.col("_prev"))).select(*batch.columns))
+        both = batch.select(channel, F.col(ts).alias("newest")).unionByName(old)
+        state.put(batch_id, both.groupBy(channel).agg(F.max("newest").alias("newest")))
+
+    run_to_end(stream, each, out)
+    return taken.read()
+
+
+def stream_rate(spark: SparkSession, stream: DataFrame, out: str, channel: str = "channel", ts: str = "ts",
+                arrival: Sequence[str] = ("arrival",), readings: int = RATE_READINGS) -> DataFrame:
+    """Per reading, (n - 1) / (span) of its channel's last ``readings`` times (numbers), itself included.
+
+    State: each channel's last ``readings`` - 1 times with their numbers; a batch's
+    readings are numbered on and look back over both through ``ordered.neighbours``.
+    Returns the stream's columns, seq and rate (null for one time or no span).
+    """
+    kinds = stream.schema
+    state = Versions(spark, out + "_state", T.StructType([kinds[channel], T.StructField("seq", T.LongType()), T.StructField("_ts", kinds[ts].dataType)]))
+    rates = Batches(spark, out, T.StructType([*kinds.fields, T.StructField("seq", T.LongType()), T.StructField("rate", T.DoubleType())]))
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        old = state.before(batch_id)
+        seen = old.groupBy(channel).agg((F.max("seq") + 1).alias("_seen"))
+        rows = join_null_safe(index_within(batch, [channel], list(arrival), out="_i"), seen, [channel], "left")
+        rows = rows.withColumn("seq", F.coalesce("_seen", F.lit(0)) + F.col("_i")).withColumn("_ts", F.col(ts)).drop("_seen", "_i")
+        both = rows.withColumn("_now", F.lit(True)).unionByName(old.withColumn("_now", F.lit(False)), allowMissingColumns=True)
+        both = neighbours(both, [channel], "seq", ["_ts"], before=readings - 1, out="_w")
+        times = F.transform("_w", lambda x: x["_ts"])
+        n, span = F.size(times), F.array_max(times) - F.array_min(times)
+        rated = both.withColumn("rate", F.when((n > 1) & (span > 0), (n - 1) / span)).filter("_now")
+        rates.put(batch_id, rated.select(*batch.columns, "seq", "rate"))
+        every = rows.select(channel, "seq", "_ts").unionByName(old)
+        top = every.groupBy(channel).agg(F.max("seq").alias("_top"))
+        last = join_null_safe(every, top, [channel]).filter(F.col("seq") > F.col("_top") - (readings - 1)).drop("_top")
+        state.put(batch_id, last)
+
+    run_to_end(stream, each, out)
+    return rates.read()
+
+
+# ---------------------------------------------------------------- R4 interval log means
+def stream_log(spark: SparkSession, stream: DataFrame, interval: int, out: str) -> DataFrame:
+    """Means per log window (``ceil(step / L)``); a batch adds its own sums, they are added up when read."""
+    from epiframe.operators.evaluation import log_extract
 
-    run_to_end(stream.writeStream.foreachBatch(write), out + "_ckpt")
-    return spark.read.parquet(os.path.join(out, "good")), spark.read.parquet(os.path.join(out, "rejects"))
+    parts = Batches(spark, out, "window long, last_step long, n long, total double")
 
+    def each(batch: DataFrame, batch_id: int) -> None:
+        m = log_extract(batch)
+        parts.put(batch_id, m.groupBy(W.log_bucket("step", interval).alias("window")).agg(
+            F.max("step").alias("last_step"), F.count(F.lit(1)).alias("n"), F.sum("loss").alias("total")))
 
-def explode_plan(df: DataFrame, chunk: str, out: str = "plan") -> DataFrame:
-    """First dim of every chunk row as the broker's plan vector."""
-    return df.withColumn(out, F.transform(chunk, lambda r: r[0]))
+    run_to_end(stream, each, out)
+    return parts.read().groupBy("window").agg(
+        F.max("last_step").alias("last_step"), F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("loss_mean"))
 
 
-__all__: Sequence[str] = ("stream_stats", "stream_broker", "stream_newest", "stream_log", "stream_ingest",
-                          "stage_in_order", "file_stream", "scratch", "merge_moments")
+# ---------------------------------------------------------------- R5 ingest with rejects
+class Ingest:
+    """Episodes whose frames arrive over any number of micro-batches.
+
+    An episode is open until a frame with a true ``end`` arrives (``idle_batches``: or
+    until so many batches brought nothing for it; ``close``: or until told). Frames of
+    open episodes wait in a state table. On closing, the episode is judged as a whole:
+    its frames go to ``good``, each once, or the episode to ``rejects(episode, reason,
+    n)``: ``too_short``, or ``after_end`` for frames of an episode already closed.
+    """
+
+    def __init__(self, spark: SparkSession, schema: T.StructType, min_frames: int, out: str, episode: str = "episode_id",
+                 end: str | None = None, idle_batches: int | None = None):
+        self.min_frames, self.out, self.episode, self.end, self.idle = min_frames, out, episode, end, idle_batches
+        self.schema, kind = schema, schema[episode]
+        self.pending = Versions(spark, f"{out}/pending", T.StructType([*schema.fields, T.StructField("_at", T.LongType())]))
+        self.closed = Batches(spark, f"{out}/closed", T.StructType([kind]))
+        self.good_ = Batches(spark, f"{out}/good", schema)
+        self.rejects_ = Batches(spark, f"{out}/rejects", T.StructType([kind, T.StructField("reason", T.StringType()), T.StructField("n", T.LongType())]))
+
+    def run(self, stream: DataFrame) -> "Ingest":
+        run_to_end(stream, lambda b, n: self._batch(b, n, False), self.out)
+        return self
+
+    def close(self) -> "Ingest":
+        """Close every open episode (the source has ended). A batch of its own: running it again changes nothing."""
+        last = max(self.pending.numbers(), default=-1)
+        if last >= 0:
+            self._batch(self.pending.spark.createDataFrame([], self.schema), last + 1, True)
+        return self
+
+    def _batch(self, batch: DataFrame, batch_id: int, everything: bool) -> None:
+        e, n_before = self.episode, [n for n in self.closed.numbers() if n < batch_id]
+        spark, schema = self.closed.spark, self.closed.schema
+        done = (spark.read.schema(schema).parquet(*[f"{self.closed.path}/batch={n}" for n in n_before]) if n_before
+                else spark.createDataFrame([], schema))
+        known = done.select(e, F.lit(True).alias("_done"))
+        new = join_null_safe(batch.select(*self.schema.names), known, [e], "left")
+        late = new.filter("_done").groupBy(e).agg(F.lit("after_end").alias("reason"), F.count(F.lit(1)).alias("n"))
+        fresh = new.filter(F.col("_done").isNull()).drop("_done").withColumn("_at", F.lit(batch_id).cast("long"))
+        frames = self.pending.before(batch_id).unionByName(fresh)
+        ended = F.max(F.coalesce(F.col(self.end), F.lit(False))) if self.end else F.lit(False)
+        shut = ended if not everything else F.lit(True)
+        per = frames.groupBy(e).agg(shut.alias("_end"), F.max("_at").alias("_last"), F.count(F.lit(1)).alias("_n"))
+        if self.idle is not None:
+            per = per.withColumn("_end", F.col("_end") | (F.lit(batch_id) - F.col("_last") >= self.idle))
+        judged = join_null_safe(frames, per, [e])
+        self.good_.put(batch_id, judged.filter(F.col("_end") & (F.col("_n") >= self.min_frames)).select(*self.schema.names))
+        short = per.filter(F.col("_end") & (F.col("_n") < self.min_frames)).select(e, F.lit("too_short").alias("reason"), F.col("_n").alias("n"))
+        self.rejects_.put(batch_id, short.unionByName(late))
+        self.closed.put(batch_id, per.filter("_end").select(e))
+        self.pending.put(batch_id, judged.filter(~F.col("_end")).drop("_end", "_last", "_n"))
+
+    def good(self) -> DataFrame:
+        return self.good_.read()
+
+    def rejects(self) -> DataFrame:
+        return self.rejects_.read()
+
+    def open(self) -> DataFrame:
+        """Frames of episodes that still wait."""
+        return self.pending.latest().drop("_at")
+
+
+__all__: Sequence[str] = ("Batches", "Ingest", "Versions", "file_stream", "run_to_end", "scratch", "stream_broker", "stream_log",
+                          "stream_newest", "stream_rate", "stream_stats")
