@@ -89,21 +89,28 @@ def success_rollup(df: DataFrame, task: str = "task", success: str = "success")
     return g
 
 
-def frame_qa(df: DataFrame, views: Sequence[str], allowed_sizes: Sequence[int]) -> DataFrame:
-    """A10: per view counts of constant images and disallowed sizes, plus min/max/std of all pixels.
+def frame_qa(df: DataFrame, views: Sequence[str], allowed_sizes: Sequence[int], masks: Sequence[str] = ()) -> DataFrame:
+    """A10: per view, images that are constant, of a wrong size, equal to an earlier view, or masked out; pixel moments; ``ok``.
 
-    Views are stacked with one ``explode`` (no union of per-view scans);
-    per-image flags and pixel moments are aggregated map-side.
+    ``masks``: a boolean column per view (none: all there). A view is ``ok`` if nothing
+    is wrong with any of its images. Views are stacked with one ``explode``; flags and
+    pixel moments are aggregated map-side.
     """
-    stacked = df.select(F.explode(F.array(*[F.struct(F.lit(v).alias("view"), F.col(v).alias("x"))
-                                            for v in views])).alias("e")).select("e.view", "e.x")
+    def twin(i: int):
+        return F.coalesce(F.greatest(F.lit(False), F.lit(False), *[F.col(views[i]).eqNullSafe(F.col(v)) for v in views[:i]]), F.lit(False))
+
+    there = [F.coalesce(F.col(m), F.lit(False)) for m in masks] or [F.lit(True)] * len(views)
+    stacked = df.select(F.explode(F.array(*[F.struct(F.lit(v).alias("view"), F.col(v).alias("x"), twin(i).alias("twin"), there[i].alias("there"))
+                                            for i, v in enumerate(views)])).alias("e")).select("e.*")
     per_image = stacked.groupBy("view").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.array_min("x") == F.array_max("x")).alias("n_constant"),
-        F.count_if(~F.size("x").isin(*allowed_sizes)).alias("n_bad_size"),
+        F.count_if(F.col("x").isNull() | ~F.size("x").isin(*allowed_sizes)).alias("n_bad_size"),
+        F.count_if("twin").alias("n_same"), F.count_if(~F.col("there")).alias("n_masked"),
         F.min(F.array_min("x")).alias("min"), F.max(F.array_max("x")).alias("max"))
     pixels = stacked.select("view", F.explode("x").alias("_p")).groupBy("view").agg(F.stddev_pop("_p").alias("std"))
-    return per_image.join(pixels, "view")
+    out = per_image.join(pixels, "view", "left")
+    return out.withColumn("ok", F.col("n_constant") + F.col("n_bad_size") + F.col("n_same") + F.col("n_masked") == 0)
 
 
 def log_extract(lines: DataFrame, text: str = "text") -> DataFrame:

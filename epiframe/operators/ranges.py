@@ -102,6 +102,56 @@ def read_keep_ranges_map(df: DataFrame, col: str = "value") -> DataFrame:
     return e.select("episode_key", F.get("_r", 0).cast("bigint").alias("start"), F.get("_r", 1).cast("bigint").alias("end"))
 
 
+def keep_ranges_document(ranges: DataFrame, keys: Sequence[str] = ("episode_id",), per_line: int = 1000) -> DataFrame:
+    """K4: the one JSON document ``{"<episode>": [[s,e], ...], ...}`` as lines ``(place, episode_key, part, value)``.
+
+    The lines in order of (place, episode_key, part), one after another, are the document:
+    a head, the episodes by key, a tail. An episode of many ranges goes on over several lines,
+    so that no row and no task holds more than ``per_line`` ranges; ``write_document`` keeps the order.
+    """
+    lines = keep_ranges_json(ranges, keys, per_line)
+    last = lines.groupBy("episode_key").agg(F.max("part").alias("_last"))
+    first = lines.agg(F.min(F.struct("episode_key", "part")).alias("f"))
+    d = lines.join(last, "episode_key").withColumn("_first", first.scalar())
+    start = F.when(F.struct("episode_key", "part") == F.col("_first"), F.lit("")).otherwise(F.lit(","))
+    name = F.to_json(F.array("episode_key"))
+    opening = F.when(F.col("part") == 0, F.concat(F.substr(name, F.lit(2), F.length(name) - 2), F.lit(": ["))).otherwise(F.lit(""))
+    inner = F.substr("ranges", F.lit(2), F.length("ranges") - 2)
+    closing = F.when(F.col("part") == F.col("_last"), F.lit("]")).otherwise(F.lit(""))
+    body = d.select(F.lit(1).alias("place"), "episode_key", "part", F.concat(start, opening, inner, closing).alias("value"))
+    ends = ranges.sparkSession.createDataFrame([(0, None, None, "{"), (2, None, None, "}")],
+                                               "place int, episode_key string, part long, value string")
+    return body.unionByName(ends)
+
+
+def coalesce_ranges(ranges: DataFrame, keys: Sequence[str] = ("episode_id",)) -> DataFrame:
+    """Overlapping and touching ranges of a key as one: ``(keys, start, end)``, by a sweep over the starts.
+
+    A range begins a new one if it starts after every end before it (a running maximum,
+    cut into blocks, so that a key of very many ranges is not one task). Empty ranges go.
+    """
+    k = list(keys)
+    r = ranges.filter(F.col("start").isNotNull() & (F.col("end") > F.col("start"))).select(*k, "start", "end")
+    r = running_agg(r, "end", ["start", "end"], "_reach", keys=k, agg="max", include_current=False)
+    r = r.withColumn("_new", (F.col("_reach").isNull() | (F.col("start") > F.col("_reach"))).cast("bigint"))
+    r = running_agg(r, "_new", ["start", "end"], "_group", keys=k)
+    return r.groupBy(*k, "_group").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_group")
+
+
+def range_sweep_join(frames: DataFrame, ranges: DataFrame, keys: Sequence[str] = ("episode_id",), t: str = "t") -> DataFrame:
+    """J2 for ranges of any length and overlap: keep frame iff ``start <= t < end`` for a range of its episode.
+
+    Starts and frames stand in one order; a frame is kept iff the furthest end among the
+    starts up to it lies beyond it. No range is listed, cut or repeated. Null keys match null.
+    """
+    k = list(keys)
+    r = ranges.filter(F.col("start").isNotNull() & (F.col("end") > F.col("start"))).select(
+        *k, F.col("start").cast(frames.schema[t].dataType).alias(t), F.col("end").cast("bigint").alias("_end"), F.lit(0).alias("_kind"))
+    both = frames.withColumns({"_end": F.lit(None).cast("bigint"), "_kind": F.lit(1)}).unionByName(r, allowMissingColumns=True)
+    swept = running_agg(both, "_end", [t, "_kind"], "_reach", keys=k, agg="max")
+    return swept.filter((F.col("_kind") == 1) & (F.col(t) < F.col("_reach"))).select(*frames.columns)
+
+
 def range_semi_join(frames: DataFrame, ranges: DataFrame | None, keys: Sequence[str] = ("episode_id",),
                     t: str = "t", exploded: bool = False, bucket: int = 1024) -> DataFrame:
     """Keep frame iff ``start <= t < end`` for a range of its episode.

@@ -147,10 +147,10 @@ def q_align_shortest(spark, sf_dir):
 
 
 @query("downsample", f"""WITH {FRAMES_LI}
-SELECT episode_id, CAST(t // 3 AS BIGINT) AS t, {r6('s0')} AS s0 FROM frames_li WHERE t % 3 = 0""")
+SELECT episode_id, CAST(t // 3 AS BIGINT) AS t, {r6('s0')} AS s0, {r6('s1')} AS s1, {r6('s2')} AS s2, {r6('s3')} AS s3 FROM frames_li WHERE t % 3 = 0""")
 def q_downsample(spark, sf_dir):
     li = views.frames_li(spark, sf_dir)
-    return E.downsample(li, 3).select("episode_id", "t", R6(F.col("state")[0]).alias("s0"))
+    return E.downsample(li, 3).select("episode_id", "t", *[R6(F.col("state")[j]).alias(f"s{j}") for j in range(4)])
 
 
 @query("min_length", f"""WITH {FRAMES_LI}

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from epiframe.functions.hashing import hash_key_sql, unit_hash_sql
+from epiframe.functions.vectors import make_bool_mask
 from epiframe.operators import schema as SC
 from epiframe.operators import stats as S
 from epiframe.plans import recipes as RC
 from epiframe.plans.catalog import query
+from epiframe.plans.pipeline import Pipeline, map_batches
 from epiframe.plans.queries_core import LI_STATS_SQL, _li_stats, _long_vec
 from epiframe.plans.sqlviews import FRAMES_EV, FRAMES_LI, r6
 from epiframe.session import join_small
@@ -16,6 +18,7 @@ from epiframe.session import r6 as R6
 from epiframe.sinks import writers as WR
 from epiframe.sources import readers as RD
 from epiframe.sources import views
+from epiframe.streaming.streams import scratch
 
 
 @query("src_frames", """
@@ -205,3 +208,82 @@ def q_restructure(spark, sf_dir):
     li = li.select("episode_id", "t", F.array(s[0], s[1] / F.lit(1000.0)).alias("joint_position"),
                    F.array(s[2], s[3]).alias("joint_velocity"), F.array(s[3]).alias("gripper_position"))
     return _long_vec(E.restructure(li, "joint_position"), "actions")
+
+
+# ---------------------------------------------------------------- K2, K5, K6, M11, F2, F4
+@query("resume_write", f"""WITH {FRAMES_EV} SELECT episode_id, t, event_id FROM frames_ev""")
+def q_resume_write(spark, sf_dir):
+    """K2: half of the episodes written and committed, then all of them: every frame is there once."""
+    f = views.frames_ev(spark, sf_dir).select("episode_id", "t", "event_id")
+    out = WR.Resumable(spark, scratch(spark, "resume"))
+    out.write(f.filter("episode_id % 2 = 0"), batches=2)
+    out.write(f, batches=2, sort_within=["episode_id", "t"])
+    return out.read()
+
+
+@query("records_roundtrip", f"""WITH {FRAMES_EV}
+SELECT episode_id, t, {r6('s0')} AS s0, {r6('s1')} AS s1, task AS prompt, {r6("s0 * CAST(2 AS DOUBLE)")} AS a0 FROM frames_ev""")
+def q_records_roundtrip(spark, sf_dir):
+    """K5: nested records to flat a/b/c columns in files and back."""
+    f = views.frames_ev(spark, sf_dir)
+    rec = f.select(F.struct("episode_id", "t").alias("step"), F.struct("state", F.struct(F.col("task").alias("prompt")).alias("text")).alias("inputs"),
+                   F.struct(F.transform("state", lambda x: x * 2.0).alias("actions")).alias("outputs"))
+    path = scratch(spark, "records")
+    WR.write_records(rec, path)
+    b = WR.read_records(spark, path)
+    return b.select("step.episode_id", "step.t", R6(F.col("inputs.state")[0]).alias("s0"), R6(F.col("inputs.state")[1]).alias("s1"),
+                    F.col("inputs.text.prompt").alias("prompt"), R6(F.col("outputs.actions")[0]).alias("a0"))
+
+
+@query("report_tables", """SELECT event_type AS metric, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total, f.fmt
+FROM events, (VALUES ('parquet'), ('csv')) f(fmt) GROUP BY event_type, f.fmt""")
+def q_report_tables(spark, sf_dir):
+    """K6: a report written as Parquet and as CSV with a header, read back."""
+    ev = views.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("metric")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("total"))
+    out = None
+    for fmt in ("parquet", "csv"):
+        path = scratch(spark, "report")
+        WR.write_table(ev, path, fmt)
+        back = spark.read.schema("metric string, n long, total long").option("header", "true").format(fmt).load(path)
+        back = back.withColumn("fmt", F.lit(fmt))
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@query("masked_dims", """SELECT vec_id, CAST(i - 1 AS BIGINT) AS dim, CAST(embedding[i] AS DOUBLE) AS value
+FROM embeddings, (SELECT unnest(range(1, 65)) AS i) WHERE (i - 1) % 7 < 6 AND i <= 63""")
+def q_masked_dims(spark, sf_dir):
+    """The dims that a mask of signed run lengths (6, -1, nine times; 0 adds nothing) covers."""
+    mask = make_bool_mask(*[6, -1, 0] * 9)
+    v = views.vectors(spark, sf_dir).select("vec_id", F.posexplode("state").alias("dim", "value"))
+    m = F.array(*[F.lit(b) for b in mask])
+    return v.filter(F.coalesce(F.get(m, F.col("dim")), F.lit(False))).withColumn("dim", F.col("dim").cast("bigint"))
+
+
+@query("pipeline_push", f"""WITH {FRAMES_EV} SELECT episode_id, t, {r6("(s0 + CAST(1 AS DOUBLE)) * CAST(3 AS DOUBLE)")} AS forward, {r6('s0')} AS back,
+  'added,scaled' AS did, 'unscaled,subtracted' AS undid FROM frames_ev""")
+def q_pipeline_push(spark, sf_dir):
+    """user steps in groups; inputs are appended, outputs prepended, so the inverse runs backwards."""
+    def step(fn, col, note, name):
+        return lambda df: df.withColumn(col, fn(F.col(col))).withColumn(note, F.concat_ws(",", note, F.lit(name)))
+
+    p = Pipeline().push([step(lambda x: x + 1.0, "x", "did", "added")], [step(lambda x: x - 1.0, "x", "undid", "subtracted")])
+    p = p.push([step(lambda x: x * 3.0, "x", "did", "scaled")], [step(lambda x: x / 3.0, "x", "undid", "unscaled")])
+    f = views.frames_ev(spark, sf_dir).select("episode_id", "t", F.col("state")[0].alias("x"), F.lit(None).cast("string").alias("did"),
+                                              F.lit(None).cast("string").alias("undid"))
+    made = p.forward(f).withColumn("forward", R6("x"))
+    return p.inverse(made).select("episode_id", "t", "forward", R6("x").alias("back"), "did", "undid")
+
+
+@query("map_batches", f"""SELECT vec_id, {r6("sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))")} AS norm FROM embeddings""")
+def q_map_batches(spark, sf_dir):
+    """a function on whole batches of rows."""
+    import numpy as np
+
+    def norms(pdf):
+        x = np.stack(pdf["state"].to_numpy())
+        return pdf[["vec_id"]].assign(norm=np.sqrt((x * x).sum(axis=1)))
+
+    out = map_batches(views.vectors(spark, sf_dir).select("vec_id", "state"), norms, "vec_id long, norm double")
+    return out.withColumn("norm", R6("norm"))

@@ -50,13 +50,13 @@ def _pair_sql(a: int, b: int) -> str:
 
 
 @query("view_pairs", f"""
-SELECT vec_id, {_pair_sql(0, 1)}, {_pair_sql(0, 2)}, {_pair_sql(1, 2)}
+SELECT vec_id, {', '.join(_pair_sql(a, b) for a in range(4) for b in range(a + 1, 4))}
 FROM embeddings, (SELECT unnest(range(1, 17)) AS i) GROUP BY vec_id""")
 def q_view_pairs(spark, sf_dir):
-    v = views.vectors(spark, sf_dir).select("vec_id", *[F.slice("state", 1 + 16 * k, 16).alias(f"v{k}") for k in range(3)])
-    out = J.view_pairs(v, ["v0", "v1", "v2"])
+    v = views.vectors(spark, sf_dir).select("vec_id", *[F.slice("state", 1 + 16 * k, 16).alias(f"v{k}") for k in range(4)])
+    out = J.view_pairs(v, ["v0", "v1", "v2", "v3"])
     mads = [c for c in out.columns if c.endswith("__mad")]
-    return out.drop("v0", "v1", "v2").withColumns({c: R6(c) for c in mads})
+    return out.drop("v0", "v1", "v2", "v3").withColumns({c: R6(c) for c in mads})
 
 
 KEYED_SQL = f"""ref AS (
@@ -118,7 +118,7 @@ def q_shuffle_hash(spark, sf_dir):
 @query("batch_rows", f"""WITH {SHUF_SQL}
 SELECT vec_id, pos, CAST(pos // 32 AS BIGINT) AS batch FROM sh, cnt WHERE pos < (n // 32) * 32""")
 def q_batch_rows(spark, sf_dir):
-    return SM.batch_rows(_shuffled(spark, sf_dir), 32)
+    return SM.batch_rows(_shuffled(spark, sf_dir), 32, rows=views.table(spark, sf_dir, "embeddings"))
 
 
 @query("epoch_loop", f"""WITH {SHUF_SQL},
@@ -129,16 +129,14 @@ SELECT CAST(slots.slot AS BIGINT) AS slot, CAST(epoch AS BIGINT) AS epoch, sh.ve
 FROM slots JOIN sh ON sh.pos = slots.pos""")
 def q_epoch_loop(spark, sf_dir):
     """T5: 2 epochs + 1 batch of 32, wrapping over the shuffled table."""
-    sh = _shuffled(spark, sf_dir)
-    n = sh.count()
-    out = SM.epoch_loop(spark, sh, 32, 2 * (n // 32) + 1)
-    return out.select(F.col("slot").cast("bigint"), F.col("epoch").cast("bigint"), "vec_id", "batch")
+    out = SM.epoch_loop(_shuffled(spark, sf_dir), 32, epochs=2, rows=views.table(spark, sf_dir, "embeddings"))
+    return out.select("slot", "epoch", "vec_id", "batch")
 
 
 @query("rank_split", f"""WITH {SHUF_SQL}
 SELECT vec_id, pos FROM sh, cnt WHERE pos < (n // 3) * 3 AND pos % 3 = 1""")
 def q_rank_split(spark, sf_dir):
-    return SM.rank_split(_shuffled(spark, sf_dir), 3, 1)
+    return SM.rank_split(_shuffled(spark, sf_dir), 3, 1, rows=views.table(spark, sf_dir, "embeddings"))
 
 
 @query("sample_k", f"""
@@ -158,6 +156,46 @@ def q_sample_k_per_episode(spark, sf_dir):
     return SM.sample_k_per_episode(f, 5, seed=5, overdraw=1.5)
 
 
+@query("sample_k_filtered", f"""WITH {FRAMES_EV},
+r AS (SELECT episode_id, t, s1, row_number() OVER (PARTITION BY episode_id ORDER BY {hash_key_sql(['episode_id', 't'], 5)}, t) AS rn FROM frames_ev),
+p AS (SELECT episode_id, t, row_number() OVER (PARTITION BY episode_id ORDER BY rn) AS kept FROM r WHERE rn <= 12 AND s1 >= 30)
+SELECT episode_id, t FROM p WHERE kept <= 5""")
+def q_sample_k_filtered(spark, sf_dir):
+    """12 frames drawn per episode, those of a low second dim left out, the first 5 of the rest."""
+    f = views.frames_ev(spark, sf_dir).select("episode_id", "t", "state")
+    return SM.sample_k_per_episode(f, 5, seed=5, overdraw=2.4, keep=F.col("state")[1] >= 30).select("episode_id", "t")
+
+
+def _feistel_sql(n: str, keys: list[int], index: str) -> str:
+    """One pass of the rounds over ``index`` with digits of base ceil(sqrt(n))."""
+    a = f"CAST(ceil(sqrt(CAST({n} AS DOUBLE))) AS BIGINT)"
+    m1, m2 = SM._MULTIPLY
+
+    def spread(x: str, key: int) -> str:
+        h = f"({x} * {m1} + {key})"
+        h = f"((xor({h}, {h} >> 17) & 2147483647) * {m2})"
+        return f"(xor({h}, {h} >> 15) & 2147483647)"
+
+    sql = f"SELECT *, {index} % {a} AS l0, {index} // {a} AS r0 FROM src"
+    for i, key in enumerate(keys):
+        sql = f"SELECT *, r{i} AS l{i + 1}, (l{i} + {spread(f'r{i}', key)}) % {a} AS r{i + 1} FROM ({sql})"
+    return f"SELECT id, n, r{len(keys)} * {a} + l{len(keys)} AS x FROM ({sql})"
+
+
+_WALK = _feistel_sql("n", SM.round_keys(9, 0), "x")
+
+
+@query("shuffle_dense", f"""WITH RECURSIVE cnt AS (SELECT count(*) AS n FROM embeddings),
+start AS (SELECT vec_id AS id, n, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS x FROM embeddings, cnt),
+walk AS (SELECT * FROM ({_WALK.replace('FROM src', 'FROM start src')})
+         UNION ALL SELECT * FROM ({_WALK.replace('FROM src', 'FROM (SELECT id, n, x FROM walk WHERE x >= n) src')}))
+SELECT id AS vec_id, x AS pos FROM walk WHERE x < n""")
+def q_shuffle_dense(spark, sf_dir):
+    """Shuffled places of a dense index by a keyed permutation."""
+    v = index_within(views.table(spark, sf_dir, "embeddings").select("vec_id"), [], ["vec_id"], out="idx")
+    return SM.shuffle_dense(v, "idx", views.table(spark, sf_dir, "embeddings"), seed=9).select("vec_id", "pos")
+
+
 @query("choose_instruction", f"""WITH c AS (
   SELECT conv_id, max(CASE WHEN role = 'user' THEN turn END) AS a, max(CASE WHEN role = 'assistant' THEN turn END) AS b,
          max(turn) AS c FROM conversations GROUP BY conv_id)
@@ -286,16 +324,21 @@ def q_success_rollup(spark, sf_dir):
 
 
 @query("frame_qa", f"""WITH px AS (
-  SELECT vec_id, 'v' || CAST((i - 1) // 16 AS VARCHAR) AS view, CAST(embedding[i] AS DOUBLE) AS x
-  FROM embeddings, (SELECT unnest(range(1, 49)) AS i)),
-per AS (SELECT vec_id, view, min(x) AS mn, max(x) AS mx FROM px GROUP BY vec_id, view)
-SELECT per.view, count(*) AS n, count(*) FILTER (WHERE mn = mx) AS n_constant, CAST(0 AS BIGINT) AS n_bad_size,
-       {r6('min(mn)')} AS min, {r6('max(mx)')} AS max, {r6('(SELECT stddev_pop(x) FROM px WHERE px.view = per.view)')} AS std
-FROM per GROUP BY per.view""")
+  SELECT vec_id, label, (i - 1) // 16 AS k, i, CAST(embedding[i] AS DOUBLE) AS x
+  FROM embeddings, (SELECT unnest(range(1, 65)) AS i)),
+per AS (SELECT vec_id, any_value(label) AS label, k, min(x) AS mn, max(x) AS mx, list(x ORDER BY i) AS v FROM px GROUP BY vec_id, k),
+f AS (SELECT *, EXISTS (SELECT 1 FROM per e WHERE e.vec_id = per.vec_id AND e.k < per.k AND e.v = per.v) AS twin FROM per)
+SELECT 'v' || CAST(k AS VARCHAR) AS view, count(*) AS n, count(*) FILTER (WHERE mn = mx) AS n_constant, CAST(0 AS BIGINT) AS n_bad_size,
+       count(*) FILTER (WHERE twin) AS n_same, count(*) FILTER (WHERE k = 3 AND label % 5 = 0) AS n_masked,
+       {r6('min(mn)')} AS min, {r6('max(mx)')} AS max, {r6('(SELECT stddev_pop(x) FROM px WHERE px.k = f.k)')} AS std,
+       count(*) FILTER (WHERE mn = mx OR twin OR (k = 3 AND label % 5 = 0)) = 0 AS ok
+FROM f GROUP BY k""")
 def q_frame_qa(spark, sf_dir):
-    v = views.vectors(spark, sf_dir).select(*[F.slice("state", 1 + 16 * k, 16).alias(f"v{k}") for k in range(3)])
-    q = EV.frame_qa(v, ["v0", "v1", "v2"], [16])
-    return q.select("view", "n", "n_constant", "n_bad_size", *[R6(c).alias(c) for c in ("min", "max", "std")])
+    """A10 over four 16-dim views; the last is masked out where the label is a multiple of 5."""
+    v = views.vectors(spark, sf_dir).select(*[F.slice("state", 1 + 16 * k, 16).alias(f"v{k}") for k in range(4)],
+                                            *[(F.lit(k != 3) | (F.col("task_index") % 5 != 0)).alias(f"m{k}") for k in range(4)])
+    q = EV.frame_qa(v, [f"v{k}" for k in range(4)], [16], [f"m{k}" for k in range(4)])
+    return q.select("view", "n", "n_constant", "n_bad_size", "n_same", "n_masked", *[R6(c).alias(c) for c in ("min", "max", "std")], "ok")
 
 
 @query("rollout_summary", f"""
@@ -345,29 +388,33 @@ len AS (SELECT episode_id, max(t) AS last_t FROM frames_ev GROUP BY episode_id)"
 
 
 @query("chunk_replay", f"""WITH {REPLAY_SQL}
-SELECT f.episode_id, f.t, CAST(f.t // 4 AS BIGINT) AS block, CAST(f.t % 4 AS BIGINT) AS "offset", {r6('a.s0')} AS action
+SELECT f.episode_id, f.t, CAST(f.t // 4 AS BIGINT) AS block, CAST(f.t % 4 AS BIGINT) AS "offset", CAST(d.dim AS BIGINT) AS dim,
+       CASE d.dim WHEN 0 THEN {r6('a.s0')} ELSE {r6('a.s1')} END AS action
 FROM frames_ev f JOIN len ON f.episode_id = len.episode_id
-JOIN frames_ev a ON a.episode_id = f.episode_id AND a.t = least((f.t // 4) * 4 + f.t % 4, len.last_t)""")
+JOIN frames_ev a ON a.episode_id = f.episode_id AND a.t = least((f.t // 4) * 4 + f.t % 4, len.last_t), (VALUES (0), (1)) d(dim)""")
 def q_chunk_replay(spark, sf_dir):
     """Replan every 4 steps with the 4-step chunk; step s plays row s % 4."""
     f = views.frames_ev(spark, sf_dir).select("episode_id", "t", "actions")
-    ch = W.action_chunk(f, 4).withColumn("chunk", F.transform("actions", lambda r: r[0])).drop("actions")
+    ch = W.action_chunk(f, 4).withColumnRenamed("actions", "chunk")
     plans = ch.filter(F.col("t") % 4 == 0)
     r = W.chunk_replay(f.select("episode_id", "t"), plans, 4)
-    return r.select("episode_id", "t", "block", "offset", R6("action").alias("action"))
+    e = r.select("episode_id", "t", "block", "offset", F.posexplode("action").alias("dim", "action"))
+    return e.withColumn("dim", F.col("dim").cast("bigint")).withColumn("action", R6("action"))
 
 
 @query("asof_replay", f"""WITH {REPLAY_SQL}
-SELECT f.episode_id, f.t, CAST((f.t // 7) * 7 AS BIGINT) AS plan_t, CAST(f.t % 7 AS BIGINT) AS "offset", {r6('a.s0')} AS action
+SELECT f.episode_id, f.t, CAST((f.t // 7) * 7 AS BIGINT) AS plan_t, CAST(f.t % 7 AS BIGINT) AS "offset", CAST(d.dim AS BIGINT) AS dim,
+       CASE d.dim WHEN 0 THEN {r6('a.s0')} ELSE {r6('a.s1')} END AS action
 FROM frames_ev f JOIN len ON f.episode_id = len.episode_id
-JOIN frames_ev a ON a.episode_id = f.episode_id AND a.t = least(f.t, len.last_t)""")
+JOIN frames_ev a ON a.episode_id = f.episode_id AND a.t = least(f.t, len.last_t), (VALUES (0), (1)) d(dim)""")
 def q_asof_replay(spark, sf_dir):
     """J9 as-of: plans every 7 steps with 7-step chunks; each step takes the latest plan."""
     f = views.frames_ev(spark, sf_dir).select("episode_id", "t", "actions")
-    ch = W.action_chunk(f, 7).withColumn("chunk", F.transform("actions", lambda r: r[0])).drop("actions")
+    ch = W.action_chunk(f, 7).withColumnRenamed("actions", "chunk")
     plans = ch.filter(F.col("t") % 7 == 0)
     r = W.asof_replay(f.select("episode_id", "t"), plans)
-    return r.select("episode_id", "t", "plan_t", "offset", R6("action").alias("action"))
+    e = r.select("episode_id", "t", "plan_t", "offset", F.posexplode("action").alias("dim", "action"))
+    return e.withColumn("dim", F.col("dim").cast("bigint")).withColumn("action", R6("action"))
 
 
 # ---------------------------------------------------------------- S15 / A11 logs

@@ -100,8 +100,9 @@ kf AS (SELECT f.episode_id, f.t FROM frames_ev f
        WHERE EXISTS (SELECT 1 FROM ranges r WHERE r.episode_id = f.episode_id AND f.t >= r.start AND f.t < r."end")),
 pairs AS (SELECT episode_id, t, i, least(t + i, last_t) AS j FROM (
   SELECT k.episode_id, k.t, len.last_t, unnest(range(0, 4)) AS i FROM kf k JOIN len ON k.episode_id = len.episode_id))
-SELECT p.episode_id, p.t, CAST(p.i AS BIGINT) AS i, floor(a.s0 * 1000000 + CAST('0.49997' AS DOUBLE)) / 1000000 AS value
-FROM pairs p JOIN frames_ev a ON a.episode_id = p.episode_id AND a.t = p.j""")
+SELECT p.episode_id, p.t, CAST(p.i AS BIGINT) AS i, CAST(d.dim AS BIGINT) AS dim,
+       floor(CASE d.dim WHEN 0 THEN a.s0 ELSE a.s1 END * 1000000 + CAST('0.49997' AS DOUBLE)) / 1000000 AS value
+FROM pairs p JOIN frames_ev a ON a.episode_id = p.episode_id AND a.t = p.j, (VALUES (0), (1)) d(dim)""")
 def q_chunk_then_filter(spark, sf_dir):
     """Read-path order (trap 2): chunks are built on all frames, then the keep-range filter runs,
     so a kept frame's chunk may reach into dropped idle frames."""
@@ -112,4 +113,53 @@ def q_chunk_then_filter(spark, sf_dir):
     ch = W.action_chunk(f.select("episode_id", "t", "actions"), 4)
     kept = RG.range_semi_join(ch, r)
     e = kept.select("episode_id", "t", F.posexplode("actions").alias("i", "a"))
-    return e.select("episode_id", "t", F.col("i").cast("bigint"), R6(F.col("a")[0]).alias("value"))
+    e = e.select("episode_id", "t", F.col("i").cast("bigint"), F.posexplode("a").alias("dim", "value"))
+    return e.withColumn("dim", F.col("dim").cast("bigint")).withColumn("value", R6("value"))
+
+
+#: Overlapping, touching, nested and very long ranges, from the events' own values.
+OVERLAP_SQL = """ov AS (SELECT episode_id, t - 3 AS start, t - 3 + CAST(CASE WHEN t % 10 = 0 THEN 5000000000 ELSE floor(s1 / 10) END AS BIGINT) AS "end"
+  FROM frames_ev WHERE t % 5 = 2 OR (t % 10 = 0 AND episode_id % 7 = 0))"""
+
+
+def _overlapping(spark, sf_dir):
+    f = views.frames_ev(spark, sf_dir)
+    t, s1 = F.col("t"), F.col("state")[1]
+    some = f.filter((t % 5 == 2) | ((t % 10 == 0) & (F.col("episode_id") % 7 == 0)))
+    length = F.when(t % 10 == 0, F.lit(5_000_000_000.0)).otherwise(s1 / F.lit(10.0))
+    return f, some.select("episode_id", (t - 3).alias("start"), (t - 3 + F.floor(length).cast("bigint")).alias("end"))
+
+
+@query("coalesce_ranges", f"""WITH {FRAMES_EV}, {OVERLAP_SQL},
+r AS (SELECT *, max("end") OVER (PARTITION BY episode_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+      FROM ov WHERE "end" > start),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY episode_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS grp FROM r)
+SELECT episode_id, min(start) AS start, max("end") AS "end" FROM g GROUP BY episode_id, grp""")
+def q_coalesce_ranges(spark, sf_dir):
+    """Overlapping and touching ranges made one by a sweep."""
+    return RG.coalesce_ranges(_overlapping(spark, sf_dir)[1])
+
+
+@query("range_sweep_join", f"""WITH {FRAMES_EV}, {OVERLAP_SQL}
+SELECT f.episode_id, f.t FROM frames_ev f
+WHERE EXISTS (SELECT 1 FROM ov r WHERE r.episode_id = f.episode_id AND f.t >= r.start AND f.t < r."end")""")
+def q_range_sweep_join(spark, sf_dir):
+    """Membership in ranges of any length and overlap, no range listed or repeated."""
+    f, r = _overlapping(spark, sf_dir)
+    return RG.range_sweep_join(f.select("episode_id", "t"), r)
+
+
+@query("ranges_document", f"WITH {RANGES_SQL}" + """,
+per AS (SELECT CAST(episode_id AS VARCHAR) AS k, '[' || coalesce(string_agg('[' || start || ',' || "end" || ']', ',' ORDER BY start) FILTER (start IS NOT NULL), '') || ']' AS r
+        FROM ranges GROUP BY episode_id)
+SELECT '{' || string_agg('"' || k || '": ' || r, ',' ORDER BY k) || '}' AS doc FROM per""")
+def q_ranges_document(spark, sf_dir):
+    """K4: the lines written and read back; joined here only to compare them with the one document."""
+    from epiframe.sinks import writers as WR
+    from epiframe.streaming.streams import scratch
+
+    path = scratch(spark, "ranges-doc")
+    WR.write_document(RG.keep_ranges_document(_ranges(spark, sf_dir)[1], per_line=2), path)
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+                                         F.monotonically_increasing_id().alias("i"), "value")
+    return lines.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("f", "b", "i", "value"))), lambda x: x["value"]), "").alias("doc"))

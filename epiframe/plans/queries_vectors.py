@@ -66,12 +66,11 @@ def q_absolute_actions(spark, sf_dir):
 len AS (SELECT episode_id, max(t) AS last_t FROM frames_ev GROUP BY episode_id),
 pairs AS (SELECT episode_id, t, i, least(t + i, last_t) AS j FROM (
   SELECT f.episode_id, f.t, len.last_t, unnest(range(0, 8)) AS i FROM frames_ev f JOIN len ON f.episode_id = len.episode_id))
-SELECT p.episode_id, p.t, CAST(p.i // 3 AS BIGINT) AS i, CAST(0 AS BIGINT) AS dim, {r6('a.s0')} AS value
-FROM pairs p JOIN frames_ev a ON a.episode_id = p.episode_id AND a.t = p.j WHERE p.i % 3 = 0""")
+SELECT p.episode_id, p.t, CAST(p.i // 3 AS BIGINT) AS i, CAST(d.dim AS BIGINT) AS dim, CASE d.dim WHEN 0 THEN {r6('a.s0')} ELSE {r6('a.s1')} END AS value
+FROM pairs p JOIN frames_ev a ON a.episode_id = p.episode_id AND a.t = p.j, (VALUES (0), (1)) d(dim) WHERE p.i % 3 = 0""")
 def q_chunk_stride(spark, sf_dir):
     f = _ev(spark, sf_dir).select("episode_id", "t", "actions")
     ch = W.action_chunk(f, 8).withColumn("actions", V.chunk_stride("actions", 3))
-    ch = ch.withColumn("actions", F.transform("actions", lambda r: F.slice(r, 1, 1)))
     return explode_chunk(ch, "actions", ["episode_id", "t"]).withColumn("value", R6("value"))
 
 
@@ -239,7 +238,7 @@ def _arm14(spark, sf_dir, n=14):
                                                    lambda i: s[0] / F.lit(1000.0) + i * F.lit(0.01)).alias("state"))
 
 
-FLIP = "[1, -1, -1, 1, 1, 1, 1, 1, -1, -1, 1, 1, 1, 1]"
+FLIP = str(list(RB.JOINT_FLIP))
 
 
 def _arm14_sql(n: int, fn) -> str:

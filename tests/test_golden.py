@@ -199,14 +199,14 @@ def test_uri_split(spark):
 # ---------------------------------------------------------------- batching, mixture, replay
 def test_batches_and_epoch_loop(spark):
     df = spark.range(16).withColumnRenamed("id", "pos")
-    out = SM.epoch_loop(spark, df, 4, 2)
+    out = SM.epoch_loop(df, 4, 2)
     assert sorted(r.batch for r in out.select("batch").distinct().collect()) == [0, 1]
     assert out.count() == 8
     small = spark.range(4).withColumnRenamed("id", "pos")
-    out = SM.epoch_loop(spark, small, 4, 10)
+    out = SM.epoch_loop(small, 4, 10)
     assert out.select("batch").distinct().count() == 10 and out.count() == 40
-    with pytest.raises(ValueError):
-        SM.batch_rows(spark.range(3).withColumnRenamed("id", "pos"), 4)
+    with pytest.raises(Exception, match="3 rows, fewer than batch size 4"):
+        SM.batch_rows(spark.range(3).withColumnRenamed("id", "pos"), 4).collect()
 
 
 def test_mixture_weights(spark):

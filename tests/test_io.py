@@ -31,7 +31,7 @@ def test_frame_table_write_modes(spark):
     assert back.agg(F.max("timestamp")).first()[0] == pytest.approx(back.agg(F.max("frame_index")).first()[0] / 10)
     with pytest.raises(Exception):
         WR.write_frame_table(ft, path, mode="fail")  # fail-if-exists
-    WR.write_frame_table(ft, path, mode="resume")  # append
+    WR.write_frame_table(ft, path, mode="append")
     assert spark.read.parquet(path).count() == 2 * f.count()
     WR.write_frame_table(ft, path, mode="overwrite")
     assert spark.read.parquet(path).count() == f.count()
@@ -65,8 +65,8 @@ def test_flattened_records_and_reports(spark):
     path = _path(spark, "records")
     WR.write_records(rec, path)
     WR.write_records(rec, path)  # appended per step
-    back = spark.read.parquet(path)
-    assert back.count() == 2 and sorted(back.columns) == ["inputs__state", "outputs__actions"]
+    assert sorted(spark.read.parquet(path).columns) == ["inputs/state", "outputs/actions"]
+    assert WR.read_records(spark, path).collect() == 2 * rec.collect()
     rollouts = spark.createDataFrame([(1.0, 10, "a.mp4"), (0.5, 12, "b.mp4")], "success double, duration int, video string")
     csv = _path(spark, "rollouts")
     WR.write_table(rollouts, csv, fmt="csv")
@@ -89,3 +89,46 @@ def test_fake_rows_deterministic(spark):
     rb = sorted((r.i, tuple(r.state), tuple(r.tok)) for r in b.collect())
     assert ra == rb
     assert all(-1 <= x < 1 for r in ra for x in r[1]) and all(0 <= x < 2048 for r in ra for x in r[2])
+
+
+def test_resumed_write_adds_each_episode_once(spark, monkeypatch):
+    rows = [(None if e == 3 else e, t) for e in range(9) for t in range(4)]
+    df = spark.createDataFrame(rows, "episode_id long, t long")
+    out = WR.Resumable(spark, _path(spark, "resume"))
+    with pytest.raises(FileNotFoundError):
+        out.read()
+    commits, commit = [], WR.Resumable._commit
+
+    def dies(self, entry):
+        if len(commits) == 2:
+            raise RuntimeError("killed")  # the third batch's files are there, its entry is not
+        commits.append(1)
+        commit(self, entry)
+
+    monkeypatch.setattr(WR.Resumable, "_commit", dies)
+    with pytest.raises(RuntimeError):
+        out.write(df, batches=4)
+    half = out.read().count()
+    assert 0 < half < len(rows)
+    monkeypatch.setattr(WR.Resumable, "_commit", commit)
+    out.write(df, batches=4)
+    assert sorted(map(str, out.read().collect())) == sorted(map(str, df.collect()))
+    out.write(df.unionByName(spark.createDataFrame([(50, 0)], df.schema)), batches=2, sort_within=["t"])
+    assert out.read().count() == len(rows) + 1
+
+
+def test_keep_ranges_document_is_one_json_document(spark):
+    import json
+
+    ranges = spark.createDataFrame([(1, 10 * i, 10 * i + 5) for i in range(7)] + [(2, None, None), (3, 1, 2)], "episode_id long, start long, end long")
+    ranges = ranges.withColumn("folder", F.concat(F.lit('a"b/'), F.col("episode_id")))
+    path = _path(spark, "doc")
+    WR.write_document(RG.keep_ranges_document(ranges, ["folder", "episode_id"], per_line=2), path)
+    folder = path.removeprefix("file:")
+    text = "".join(open(os.path.join(folder, f)).read() for f in sorted(os.listdir(folder)) if f.startswith("part-"))
+    want = {'a"b/1--1': [[10 * i, 10 * i + 5] for i in range(7)], 'a"b/2--2': [], 'a"b/3--3': [[1, 2]]}
+    assert json.loads(text) == want
+    doc = spark.createDataFrame([(text.replace("\n", " "),)], "value string")
+    assert sorted(tuple(r) for r in RG.read_keep_ranges_map(doc).collect()) == sorted((k, a, b) for k, v in want.items() for a, b in v)
+    empty = RG.keep_ranges_document(ranges.limit(0), ["episode_id"])
+    assert [r["value"] for r in empty.orderBy("place").collect()] == ["{", "}"]
