@@ -58,15 +58,18 @@ def permuted(index: Column, n: Column, seed: int = 0, epoch: int = 0) -> Column:
             s["r"].alias("l"), ((s["l"] + _spread(s["r"], key)) % s["a"]).alias("r"), s["a"].alias("a")))
         return done["r"] * a + done["l"]
 
-    state = F.struct(index.cast("bigint").alias("x"), F.greatest(n, F.lit(1)).cast("bigint").alias("n"),
-                     F.ceil(F.sqrt(F.greatest(n, F.lit(1)).cast("double"))).cast("bigint").alias("a"), F.lit(False).alias("in"))
-
-    def step(s: Column, _: Column) -> Column:
-        x = F.when(s["in"], s["x"]).otherwise(rounds(s["x"], s["a"]))
-        return F.struct(x.alias("x"), s["n"].alias("n"), s["a"].alias("a"), (s["in"] | (x < s["n"])).alias("in"))
-
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(64)), state, step)
-    return F.when(done["in"], done["x"]).otherwise(F.raise_error(F.lit("no place found")).cast("bigint"))
+    size = F.greatest(n, F.lit(1)).cast("bigint")
+    start = F.struct(index.cast("bigint").alias("x"), size.alias("n"), F.ceil(F.sqrt(size.cast("double"))).cast("bigint").alias("a"))
+
+    def again(p: Column) -> Column:
+        """Few come here: on until below n."""
+        step = F.aggregate(F.sequence(F.lit(1), F.lit(64)), p, lambda s, _: F.when(s["x"] < s["n"], s).otherwise(
+            F.struct(rounds(s["x"], s["a"]).alias("x"), s["n"].alias("n"), s["a"].alias("a"))))
+        return F.when(step["x"] < step["n"], step["x"]).otherwise(F.raise_error(F.lit("no place found")).cast("bigint"))
+
+    # a transform of one element names the first result
+    first = F.transform(F.array(start), lambda s: F.struct(rounds(s["x"], s["a"]).alias("x"), s["n"].alias("n"), s["a"].alias("a")))
+    return F.get(F.transform(first, lambda p: F.when(p["x"] < p["n"], p["x"]).otherwise(again(p))), 0)
 
 
 def shuffle_dense(df: DataFrame, index: str, n: int | DataFrame, seed: int = 0, epoch: int = 0, buffer: int | None = None,

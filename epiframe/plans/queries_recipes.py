@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epiframe.functions import robots as RB
+from epiframe.functions.hashing import unit_hash_sql
+from epiframe.operators import sampling as SM
+from epiframe.plans import read_path as RP
 from epiframe.plans import recipes as RC
 from epiframe.plans.catalog import query
+from epiframe.plans.queries_more import _feistel_sql
+from epiframe.plans.queries_ranges import RANGES_SQL, _ranges
 from epiframe.plans.queries_vectors import _from_ang, _g, d
 from epiframe.plans.sqlviews import FRAMES_EV, r6, stats_sql
 from epiframe.session import r6 as R6
@@ -287,3 +292,36 @@ def q_map_arm31(spark, sf_dir):
     f = views.arm_frames(spark, sf_dir, 31)
     f = f.withColumn("image", F.col("cam_high")).withColumn("cam_high", F.when(F.col("t") % 2 == 0, F.col("cam_high")))
     return _slots(RB.map_arm31_in(f), "arm31")
+
+
+# ---------------------------------------------------------------- the read path
+SAMPLES = 20_000
+_WALK = _feistel_sql("n", SM.round_keys(4, 1), "x")
+
+
+@query("read_path", f"""WITH RECURSIVE {RANGES_SQL},
+len AS (SELECT episode_id, max(t) AS last_t FROM frames_ev GROUP BY episode_id),
+kept AS (SELECT 'filtered' AS source, episode_id, t FROM frames_ev f WHERE episode_id % 2 = 0
+           AND EXISTS (SELECT 1 FROM ranges r WHERE r.episode_id = f.episode_id AND f.t >= r.start AND f.t < r."end")
+         UNION ALL SELECT 'whole', episode_id, t FROM frames_ev WHERE episode_id % 2 = 1),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY episode_id, t) - 1 AS rw, count(*) OVER (PARTITION BY source) AS size FROM kept),
+slots AS (SELECT slot, CASE WHEN {unit_hash_sql(['slot'], 4)} < CAST('0.7' AS DOUBLE) THEN 'filtered' ELSE 'whole' END AS source
+          FROM (SELECT unnest(range(0, {SAMPLES})) AS slot)),
+ks AS (SELECT slot, source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS k FROM slots),
+first AS (SELECT CAST(slot AS BIGINT) AS id, CAST({SAMPLES} AS BIGINT) AS n, CAST(slot AS BIGINT) AS x FROM slots),
+walk AS (SELECT * FROM ({_WALK.replace('FROM src', 'FROM first src')})
+         UNION ALL SELECT * FROM ({_WALK.replace('FROM src', 'FROM (SELECT id, n, x FROM walk WHERE x >= n) src')})),
+placed AS (SELECT id AS slot, x AS pos FROM walk WHERE x < n)
+SELECT CAST(p.pos // 64 AS BIGINT) AS batch, p.pos, ks.source, m.episode_id, m.t, CAST(i.i AS BIGINT) AS i, {r6('a.s0')} AS a0, {r6('a.s1')} AS a1
+FROM ks JOIN placed p ON p.slot = ks.slot JOIN numbered m ON m.source = ks.source AND m.rw = ks.k % m.size
+JOIN len ON len.episode_id = m.episode_id, (SELECT unnest(range(0, 3)) AS i) i
+JOIN frames_ev a ON a.episode_id = m.episode_id AND a.t = least(m.t + i.i, len.last_t) WHERE p.pos < {SAMPLES // 64 * 64}""")
+def q_read_path(spark, sf_dir):
+    """Chunk, keep-range filter, mix (0.7 / 0.3), shuffle of epoch 1, batches of 64, over {SAMPLES} samples."""
+    f, r = _ranges(spark, sf_dir)
+    f = f.select("episode_id", "t", "actions")
+    even = RP.Source(f.filter("episode_id % 2 = 0"), 0.7, r)
+    odd = RP.Source(f.filter("episode_id % 2 = 1"), 0.3)
+    out = RP.read_path(spark, {"filtered": even, "whole": odd}, 3, SAMPLES, 64, seed=4, epoch=1)
+    e = out.select("batch", "pos", "source", "episode_id", "t", F.posexplode("actions").alias("i", "a"))
+    return e.select("batch", "pos", "source", "episode_id", "t", F.col("i").cast("bigint").alias("i"), R6(F.col("a")[0]).alias("a0"), R6(F.col("a")[1]).alias("a1"))
