@@ -202,7 +202,6 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
 
     documents = encoded.filter("ids is not null")
     files = max(1, -(-documents.count() // docs_per_file))
-    edges = documents.approxQuantile("doc_id", [i / files for i in range(1, files)], 0.1 / files) if files > 1 else []
 
     def to_blocks(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = canonical_codes(lengths)
@@ -225,14 +224,11 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
                     "ids_after": pa.array(sizes[row] - block * block_ids - size),
                     "payload": pa.array(payload, pa.binary()), "checkpoints": pa.array(marks, pa.binary())})
 
-    blocks = documents.select("doc_id", "doc", "wide", "ids").mapInArrow(
-        to_blocks, _BLOCKS)
-    number = F.lit(0)
-    for e in edges:
-        number = number + (F.coalesce(F.col("doc_id") > F.lit(int(e)), F.lit(False))).cast("int")
-    order = [F.col("file"), F.col("doc_id").asc_nulls_first(), F.col("doc"), F.col("block")]
-    (blocks.withColumn("file", number).repartition(files, "file").sortWithinPartitions(*order)
-     .write.partitionBy("file").parquet(f"{path}/blocks"))
+    # a file is a range of (doc_id, doc) and one task's
+    order = [F.col("doc_id").asc_nulls_first(), F.col("doc")]
+    dealt = documents.select("doc_id", "doc", "wide", "ids").repartitionByRange(files, *order)
+    blocks = dealt.mapInArrow(to_blocks, _BLOCKS).withColumn("file", F.spark_partition_id())
+    blocks.sortWithinPartitions("file", *order, "block").write.partitionBy("file").parquet(f"{path}/blocks")
 
 
 def _by_bytes(column: pa.Array, limit: int = 4_000_000) -> Iterator[slice]:
