@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,65 @@ def stored(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+#: Paths of the tables stored in each open ``temporary_tables`` block.
+_SCOPES: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession):
+    """Tables stored inside go at the end, but for the one given to ``keep``: nothing else may be read after."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        _delete(spark, made)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Let a stored table outlive its ``temporary_tables`` block (it falls to the block around, if any)."""
+    path = df._stored_at
+    for n in range(len(_SCOPES) - 1, -1, -1):
+        if path in _SCOPES[n]:
+            _SCOPES[n].remove(path)
+            if n:
+                _SCOPES[n - 1].append(path)
+            break
+    return df
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that later ones stand for."""
+    for df in tables:
+        for made in _SCOPES:
+            if df._stored_at in made:
+                made.remove(df._stored_at)
+        _delete(df.sparkSession, [df._stored_at])
+
+
+def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like ``wanted`` that ``df`` does not have (in any case of letters)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def whole_text(col: str | Column) -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, mix64, row_runs, stored, whole_text
+from .common import ALNUM, fresh_names, keep, mix64, row_runs, stored, temporary_tables, whole_text, Words
 
 _U = np.uint64
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -200,7 +200,11 @@ def _leaks_of_block(rows: DataFrame, block: DataFrame, size: int, least_score: f
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Documents without any leaked passage, with all their columns. An id has one fate:
-    it goes if any of its rows has a leak; rows without id are never matched and stay."""
+    it goes if any of its rows has a leak; rows without id are never matched and stay.
+    Names of columns never clash."""
     id_col = options.get("id_col", "doc_id")
-    bad = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).filter("_bad is not null").distinct()
-    return docs.join(stored(bad, "leaked"), F.col(id_col) == F.col("_bad"), "left_anti")
+    bad_id = fresh_names(docs, "_bad")[0]
+    with temporary_tables(docs.sparkSession):
+        bad = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias(bad_id)).filter(F.col(bad_id).isNotNull()).distinct()
+        bad = keep(stored(bad, "leaked"))
+    return docs.join(bad, F.col(f"`{id_col}`") == F.col(bad_id), "left_anti")

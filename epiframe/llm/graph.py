@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import number_rows, stored
+from .common import discard, number_rows, stored
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -30,11 +30,14 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
         small = large.join(least, F.col("u") == F.col("x")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+        before, edges = edges, stored(small.unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+        discard(before)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now[0] == 0 or now == mark:  # a round that changes nothing: only stars are left
             break
         mark = now
+    else:
+        raise RuntimeError(f"components not closed after {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
@@ -45,9 +48,12 @@ def forest(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         up = tree.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
         step = tree.join(up, F.col("root") == F.col("_n"), "left")
-        tree = stored(step.select("node", F.coalesce("_r", "root").alias("root"), F.col("_r").isNotNull().alias("moved")), "forest")
+        before, tree = tree, stored(step.select("node", F.coalesce("_r", "root").alias("root"), F.col("_r").isNotNull().alias("moved")), "forest")
+        discard(before)
         if tree.filter("moved").isEmpty():
             break
+    else:
+        raise RuntimeError(f"forest not closed after {max_rounds} rounds")
     roots = tree.select(F.col("root").alias("node"), "root").distinct()
     return tree.select("node", "root").unionByName(roots)
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _powers, mix64, row_runs, sieve, sift, stored, whole_text
+from .common import _powers, discard, fresh_names, keep, mix64, row_runs, sieve, sift, stored, temporary_tables, whole_text
 from .graph import bucket_pairs, closure
 
 _U = np.uint64
@@ -253,10 +253,14 @@ def repeated_lines(docs: DataFrame, edits: int = 2, least: int = 10, least_near:
     members = reduce(DataFrame.unionByName, [k.mapInArrow(met(e), "band long, node long, probe boolean") for k, e in keyed])
     members = members.groupBy("band", "node").agg(F.min("probe").alias("probe"))
     members = stored(members.join(bands, F.col("band") == F.col("_band"), "left_semi"), "line-members")
+    slim = stored(lines.select("doc_id", "digest", "line", "h1", "h2"), "line-places-of")  # the keys are no longer needed
+    discard(lines, bands)
+    lines = slim
     centre = F.min(F.struct("probe", F.xxhash64("band", "node").alias("h"), F.col("node").alias("c"))).alias("centre")
     buckets = (members.groupBy("band").agg(F.count(F.lit(1)).alias("m"), centre).filter("m > 1")
                .select(F.col("band").alias("_band"), "m", F.col("centre.c").alias("c")))
     shared = stored(members.join(buckets, F.col("band") == F.col("_band")).select("band", "node", "m", "c"), "line-shared")
+    discard(members)
     pairs = stored(bucket_pairs(shared, small_bucket), "line-pairs")
     large = shared.filter(F.col("m") > small_bucket).select("band", "node")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
@@ -277,25 +281,46 @@ def repeated_lines(docs: DataFrame, edits: int = 2, least: int = 10, least_near:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """All rows of ``docs`` with their columns, repeated lines cut out of the text.
 
-    Adds lines_in, lines_out and first_docs (ids of the documents that keep the lines).
-    Lines are what stands between line feeds; blank lines, and those under ``least``, stay. Null text
+    Adds lines_in, lines_out and first_docs (ids of the documents that keep the lines);
+    columns of ``docs`` with these names are replaced. Other names never clash. Lines are
+    what stands between line feeds; blank lines, and those under ``least``, stay. Null text
     stays null. Rows of the same id and text are treated alike: all keep the same
     lines. A null id comes before all others.
     """
-    gone = (repeated_lines(docs, id_col=id_col, text_col=text_col, **options).groupBy("doc_id", "digest")
-            .agg(F.collect_set("line").alias("_lines"), F.sort_array(F.collect_set("class_id")).alias("first_docs")))
-    gone = stored(gone.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "_lines", "first_docs"), "line-gone")
-    rows = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(whole_text(text_col)) == F.col("_digest")), "left")
+    lines_col, first_col, id_, digest, new = fresh_names(docs, "_lines", "_first", "_id", "_digest", "_new")
+    with temporary_tables(docs.sparkSession):
+        gone = (repeated_lines(docs, id_col=id_col, text_col=text_col, **options).groupBy("doc_id", "digest")
+                .agg(F.collect_set("line").alias(lines_col), F.sort_array(F.collect_set("class_id")).alias(first_col)))
+        gone = keep(stored(gone.select(F.col("doc_id").alias(id_), F.col("digest").alias(digest), lines_col, first_col), "line-gone"))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(whole_text(F.col(f"`{text_col}`"))) == F.col(digest))
+    rows = docs.join(gone, same, "left")
+    text, cut = F.col(f"`{text_col}`"), F.col(lines_col)
 
     def left(d):  # each text is split once; the lines that stay are looked up by their numbers
         numbers = F.array_except(F.sequence(F.lit(0), F.size(d["parts"]) - 1), d["gone"])
         return F.transform(numbers, lambda i: F.get(d["parts"], i))
 
-    parts = F.split(F.col(text_col), "\n")
-    stays = F.get(F.transform(F.array(F.struct(parts.alias("parts"), F.col("_lines").alias("gone"))), left), 0)
-    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(parts))
-    n_gone = F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(F.size("_lines"))
-    rows = rows.withColumn("_new", F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(F.array_join(stays, "\n")))
-    return rows.select(*[F.col("_new").alias(c) if c == text_col else F.col(c) for c in docs.columns],
-                       n_lines.alias("lines_in"), (n_lines - n_gone).alias("lines_out"),
-                       F.coalesce("first_docs", F.array().cast("array<bigint>")).alias("first_docs"))
+    parts = F.split(text, "\n")
+    stays = F.get(F.transform(F.array(F.struct(parts.alias("parts"), cut.alias("gone"))), left), 0)
+    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size(parts))
+    n_gone = F.when(cut.isNull(), F.lit(0)).otherwise(F.size(cut))
+    rows = rows.withColumn(new, F.when(cut.isNull(), text).otherwise(F.array_join(stays, "\n")))
+    own = [c for c in docs.columns if c not in ADDED]
+    return rows.select(*[F.col(new).alias(c) if c == text_col else F.col(f"`{c}`") for c in own],
+                       n_lines.alias(ADDED[0]), (n_lines - n_gone).alias(ADDED[1]),
+                       F.coalesce(F.col(first_col), F.array().cast("array<bigint>")).alias(ADDED[2]))
+
+
+#: Columns that ``dedup_lines`` adds.
+ADDED = ("lines_in", "lines_out", "first_docs")
+
+
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Documents with repeated lines cut and their own columns only; those left without any line go.
+
+    A column of ``docs`` named like one that ``dedup_lines`` adds keeps its values.
+    """
+    names = dict(zip(ADDED, fresh_names(docs, *[f"_own_{c}" for c in ADDED])))
+    hidden = docs.withColumnsRenamed({c: names[c] for c in ADDED if c in docs.columns})
+    out = dedup_lines(hidden, id_col, text_col, **options).filter((F.col("lines_out") > 0) | (F.col("lines_in") == 0)).drop(*ADDED)
+    return out.withColumnsRenamed({n: c for c, n in names.items() if n in out.columns}).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, mix64, row_runs, shingles, stored, whole_text
+from .common import fresh_names, keep, mix64, row_runs, shingles, SPACED, stored, temporary_tables, whole_text, Words
 from .graph import bucket_pairs, closure
 
 BANDS, ROWS = 32, 4
@@ -77,9 +77,9 @@ _SIGNED = ", ".join(f"s{i} long" for i in range(SKETCH))
 
 
 def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: doc_id, row, n (set size), k1, k2 (digest), sketch s0.., bands (null for empty sets)."""
+    """Per row: doc_id, row, digest (xxhash64 of the text), n (set size), k1, k2 (digest), sketch s0.., bands (null for empty sets)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
-                       whole_text(text_col).alias("text"))
+                       whole_text(text_col).alias("text")).withColumn("digest", F.xxhash64("text"))
 
     def sign(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batch_iter:
@@ -90,7 +90,8 @@ def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFr
                 full = np.flatnonzero(n)
                 place = np.cumsum(n > 0) - 1
                 take = pa.array(np.where(n > 0, place, 0), mask=n == 0)
-                columns = {"doc_id": b.column("doc_id").slice(lo, hi - lo), "row": b.column("row").slice(lo, hi - lo), "n": pa.array(n)}
+                columns = {"doc_id": b.column("doc_id").slice(lo, hi - lo), "row": b.column("row").slice(lo, hi - lo),
+                           "digest": b.column("digest").slice(lo, hi - lo), "n": pa.array(n)}
                 if len(full):
                     edges = np.append(bounds[full], len(values))
                     samples = min_hashes(values, edges)
@@ -104,16 +105,16 @@ def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFr
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_pydict(columns | {"bands": lists.take(take)})
 
-    return rows.mapInArrow(sign, f"doc_id long, row long, n long, k1 long, k2 long, {_SIGNED}, bands array<long>")
+    return rows.mapInArrow(sign, f"doc_id long, row long, digest long, n long, k1 long, k2 long, {_SIGNED}, bands array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """Full sets (binary, sorted 64-bit hashes) of the classes in ``wanted``: node, n, members.
 
-    ``wanted`` has node, doc_id (of one document of the class), k1, k2.
+    ``wanted`` has node, doc_id and digest (of one document of the class), k1, k2.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), whole_text(text_col).alias("text"))
-    rows = wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "k1", "k2", "text")
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), whole_text(text_col).alias("text")).withColumn("_digest", F.xxhash64("text"))
+    rows = wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).select("node", "k1", "k2", "text")
 
     def collect(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batch_iter:
@@ -219,9 +220,18 @@ def near_components(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80
     components of their own; null ids are rows like others; rows that repeat an id are
     judged one by one.
     """
+    out = _judged(docs, size, share, id_col, text_col, small_bucket, block)
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _judged(docs: DataFrame, size: int, share: tuple[int, int], id_col: str, text_col: str, small_bucket: int, block: int) -> DataFrame:
+    """Per row: doc_id, digest, n_shingles, component_id and root (one number a component; null for empty sets)."""
     signed = stored(signatures(docs, size, id_col, text_col), "signed")
     first = [F.first(c).alias(c) for c in [*(f"s{i}" for i in range(SKETCH)), "bands"]]
-    classes = stored(signed.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), *first), "classes")
+    one = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "digest"))), F.min(F.struct("doc_id", "digest"))).alias("one")
+    classes = signed.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("row").alias("node"), one, *first)
+    classes = stored(classes.select("k1", "k2", "n", "node", "one.doc_id", "one.digest", *(f"s{i}" for i in range(SKETCH)), "bands"), "classes")
     rows = classes.select(F.explode("bands").alias("band"), "node")
     centre = F.min(F.struct(F.xxhash64("band", "node").alias("h"), F.col("node").alias("c"))).alias("centre")
     buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("m"), centre).filter("m > 1").select(F.col("band").alias("_band"), "m", F.col("centre.c").alias("c"))
@@ -237,7 +247,7 @@ def near_components(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80
     nodes = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node")))
     large = shared.filter(F.col("m") > small_bucket)
     wanted = nodes.unionByName(large.select("node")).distinct()
-    sets = stored(sets_of(docs, classes.select("node", "doc_id", "k1", "k2").join(wanted, "node", "left_semi"), size, id_col, text_col), "sets")
+    sets = stored(sets_of(docs, classes.select("node", "doc_id", "digest", "k1", "k2").join(wanted, "node", "left_semi"), size, id_col, text_col), "sets")
 
     best = near.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     found = closure(near.select("a", "b"), best, large, sets, lambda p: confirm(p, sets, share),
@@ -245,15 +255,33 @@ def near_components(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80
 
     roots = classes.select("node", "doc_id", "k1", "k2").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = roots.join(least, "root").select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), "component_id")
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2")
-    out = out.join(of_class, (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")), "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    of_class = roots.join(least, "root").select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), "component_id", "root")
+    out = signed.select("doc_id", "digest", F.col("n").alias("n_shingles"), "k1", "k2")
+    return out.join(of_class, (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")), "left").drop("_1", "_2", "k1", "k2")
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id",
-                         text_col: str = "text", **options) -> DataFrame:
-    """Documents with all their columns; of each component the one of the smallest id stays."""
-    gone = near_components(docs, size, share, id_col, text_col, **options).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(stored(gone, "near-gone"), F.col(id_col) == F.col("_gone"), "left_anti")
+                         text_col: str = "text", small_bucket: int = 12, block: int = 256) -> DataFrame:
+    """Documents with all their columns, one row of each component.
+
+    Rows are told by (id, text): of a component the one of the smallest id stays (null
+    after all others; of one id the smallest hash of the text), so that an id that
+    repeats with another text loses only the text that is a copy. Of rows repeated with
+    id and text one stays. Rows without words are no copies of each other: all stay.
+    Names of columns never clash.
+    """
+    id_, digest, row = fresh_names(docs, "_id", "_digest", "_row")
+    with temporary_tables(docs.sparkSession):
+        judged = stored(_judged(docs, size, share, id_col, text_col, small_bucket, block).filter("n_shingles > 0"), "judged")
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+        first = judged.groupBy("root").agg(F.min(order).alias("f")).select(F.col("root").alias("_root"), "f")
+        rows = judged.join(first, F.col("root") == F.col("_root")).groupBy("doc_id", "digest").agg(
+            F.first(order.eqNullSafe(F.col("f"))).alias("stays"), F.count(F.lit(1)).alias("n"))
+        gone = keep(stored(rows.filter("not stays").select(F.col("doc_id").alias(id_), F.col("digest").alias(digest)), "near-gone"))
+        many = keep(stored(rows.filter("stays and n > 1").select(F.col("doc_id").alias(id_), F.col("digest").alias(digest)), "near-repeated"))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(whole_text(F.col(f"`{text_col}`"))) == F.col(digest))
+    kept = docs.join(gone, same, "left_anti")
+    if many.isEmpty():
+        return kept
+    repeated = kept.join(many, same).groupBy(id_, digest).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(row))
+    return kept.join(many, same, "left_anti").unionByName(repeated.select(f"{row}.*"))

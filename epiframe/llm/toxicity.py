@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, mix64, row_runs, stored, whole_text
+from .common import ALNUM, fresh_names, keep, mix64, row_runs, stored, temporary_tables, whole_text, Words
 
 _SCHEMA = "doc_id long, held_out boolean, terms binary, counts binary"
 
@@ -256,7 +256,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = 20_00
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Documents whose predicted label is 0, with all their columns. An id has one fate:
-    it goes if any of its rows is predicted toxic; rows without id are never matched and stay."""
+    it goes if any of its rows is predicted toxic; rows without id are never matched and stay.
+    Names of columns never clash."""
     id_col = options.get("id_col", "doc_id")
-    bad = score_toxicity(docs, labels, **options).filter("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(stored(bad, "rejected"), F.col(id_col) == F.col("_bad"), "left_anti")
+    bad_id = fresh_names(docs, "_bad")[0]
+    with temporary_tables(docs.sparkSession):
+        bad = score_toxicity(docs, labels, **options).filter("predicted = 1").select(F.col("doc_id").alias(bad_id)).distinct()
+        bad = keep(stored(bad, "rejected"))
+    return docs.join(bad, F.col(f"`{id_col}`") == F.col(bad_id), "left_anti")

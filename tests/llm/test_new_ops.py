@@ -230,3 +230,68 @@ def test_routing_reaches_every_near_word():
     for w in words[::7]:
         to = set(ranges.of(w))
         assert all(where[o] in to for o in words if _one_edit(w, o) and spelling._front_half(w, o))
+
+
+# ---------------------------------------------------------------- stages on repeated ids, null ids, clashing names
+def test_near_copies_go_by_id_and_text(spark):
+    from epiframe.llm import near_dup
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (9, c), (9, c), (None, c + " end"), (None, "only null " * 9), (None, "only null " * 9), (7, ""), (7, "")]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, _gone int, _id int, _digest int")
+    kept = near_dup.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(
+        [(1, a), (5, b), (9, c), (None, "only null " * 9), (7, ""), (7, "")], key=str)
+
+
+def test_stages_bear_any_names(spark):
+    from epiframe.llm import decontaminate, line_dedup, toxicity
+
+    line = "a line that stands in every document"
+    rows = [(i, f"{line}\nown line of document number {i}, of its own") for i in range(6)]
+    names = ["_lines", "_id", "_digest", "_bad", "lines_in", "lines_out", "first_docs", "_new"]
+    df = spark.createDataFrame([(i, t, *range(8)) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    cut = line_dedup.dedup_lines(df, **line_dedup.EVERY_LINE)
+    assert sorted(cut.columns) == sorted(df.columns) and {r["lines_in"] for r in cut.collect()} == {2}
+    own = line_dedup.without_repeated_lines(df, **line_dedup.EVERY_LINE)
+    assert own.columns == df.columns and {r["lines_in"] for r in own.collect()} == {4}
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int")
+    assert toxicity.reject_toxic(df, labels).columns == df.columns
+    items = spark.createDataFrame([(1, rows[3][1])], "item_id long, text string")
+    assert decontaminate.drop_contaminated(df, items).columns == df.columns
+
+
+def test_stages_leave_only_their_result(spark):
+    import os
+
+    from epiframe.llm import near_dup
+    from epiframe.session import checkpoint_dir
+
+    def tables():
+        folder = os.path.dirname(checkpoint_dir(spark).removeprefix("file:"))
+        return {os.path.join(at, n) for at, names, _ in os.walk(folder) for n in names if n.startswith("llm-")}
+
+    docs = table(spark, SF001, "documents")
+    before = tables()
+    kept = near_dup.drop_near_duplicates(docs)
+    left = {"-".join(os.path.basename(n).split("-")[1:3]) for n in tables() - before}
+    assert left == {"near-gone", "near-repeated"}
+    assert kept.count() < docs.count()
+
+
+def test_a_thousand_token_files(spark, library, tmp_path):
+    from epiframe.llm import token_files
+
+    df = spark.createDataFrame([(i if i % 50 else None, f"text <|endoftext|> number {i}") for i in range(1000)], "doc_id long, text string")
+    path = f"{tmp_path}/tokens"
+    got = token_files.token_digest(df, path, docs_per_file=1).collect()
+    import os
+
+    assert len([n for n in os.listdir(f"{path}/blocks") if n.startswith("file=")]) > 900
+    assert sorted(r["n_tokens"] for r in got) == sorted(library(f"text <|endoftext|> number {i}") + 1 for i in range(1000))
+    files = {}
+    for r in spark.read.parquet(f"{path}/blocks").select("file", "doc_id").collect():
+        files.setdefault(r["file"], []).append(-1 if r["doc_id"] is None else r["doc_id"])
+    ordered = [files[f] for f in sorted(files)]
+    assert all(max(x) <= min(y) for x, y in zip(ordered, ordered[1:]))
