@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiframe.llm import decontaminate, line_dedup, near_dup, packing, toxicity
-from epiframe.llm.common import stored, table
+from epiframe.llm.common import discard, stored, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with repeated lines cut; those left without any line go, n_chars is renewed."""
-    out = line_dedup.dedup_lines(docs, **line_dedup.EVERY_LINE).filter((F.col("lines_out") > 0) | (F.col("lines_in") == 0))
+    out = line_dedup.without_repeated_lines(docs, **line_dedup.EVERY_LINE)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
@@ -55,7 +55,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for n, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES) - 1:
-            docs = stored(docs, name)
+        made = stage(spark, docs, sf_dir)
+        if n == len(STAGES) - 1:
+            return made
+        made = stored(made, name)
+        if n:
+            discard(docs)
+        docs = made
     return docs
