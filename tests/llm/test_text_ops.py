@@ -329,7 +329,7 @@ def test_registered_names():
     from __spark_entry__ import queries
 
     names = queries()
-    assert "pipeline" in names and sorted({int(m[1]) for m in map(re.compile(r"op(\d+)_").match, names) if m}) == list(range(1, 11))
+    assert "pipeline" in names and sorted({int(m[1]) for m in map(re.compile(r"op(\d+)_").match, names) if m}) == list(range(1, 14))
 
 
 def test_query_columns(spark):
