@@ -175,13 +175,13 @@ def q_bin_decode(spark, sf_dir):
 # ---------------------------------------------------------------- M7–M9, M26 robot scalars
 def _g(x: str) -> str:
     """SQL gripper linear → angular for expression x."""
-    v = f"({x} * ({d(0.058)} - {d(0.01844)}) + {d(0.01844)})"
-    ratio = f"(({d(0.022)} * {d(0.022)} + {v} * {v} - {d(0.036)} * {d(0.036)}) / ({d(2.0)} * {d(0.022)} * {v}))"
-    return f"((asin(greatest({d(-1)}, least({d(1)}, {ratio}))) - {d(0.5476)}) / ({d(1.6296)} - {d(0.5476)}))"
+    v = f"({x} * ({d(RB.PUPPET_GRIPPER_POSITION_OPEN)} - {d(RB.PUPPET_GRIPPER_POSITION_CLOSE)}) + {d(RB.PUPPET_GRIPPER_POSITION_CLOSE)})"
+    ratio = f"(({d(RB.HORN_RADIUS)} * {d(RB.HORN_RADIUS)} + {v} * {v} - {d(RB.ARM_LENGTH)} * {d(RB.ARM_LENGTH)}) / ({d(2.0)} * {d(RB.HORN_RADIUS)} * {v}))"
+    return f"((asin(greatest({d(-1)}, least({d(1)}, {ratio}))) - {d(RB.ANGULAR_LO)}) / ({d(RB.ANGULAR_HI)} - {d(RB.ANGULAR_LO)}))"
 
 
 def _from_ang(x: str) -> str:
-    return f"((({x}) + {d(0.5476)} - {d(-0.6213)}) / ({d(1.4910)} - {d(-0.6213)}))"
+    return f"((({x}) + {d(RB.ANGULAR_LO)} - {d(RB.PUPPET_GRIPPER_JOINT_CLOSE)}) / ({d(RB.PUPPET_GRIPPER_JOINT_OPEN)} - {d(RB.PUPPET_GRIPPER_JOINT_CLOSE)}))"
 
 
 @query("gripper_angular", f"""SELECT event_id, {r6(_g(f'value / {d(1000)}'))} AS value FROM events""")
@@ -191,7 +191,7 @@ def q_gripper_angular(spark, sf_dir):
 
 
 @query("gripper_roundtrip", f"""SELECT event_id, {r6(f'{_from_ang("value")}')} AS encoded,
-  {r6(f'{_from_ang("value")} * ({d(1.4910)} - {d(-0.6213)}) + {d(-0.6213)} - {d(0.5476)}')} AS decoded FROM events""")
+  {r6(f'{_from_ang("value")} * ({d(RB.PUPPET_GRIPPER_JOINT_OPEN)} - {d(RB.PUPPET_GRIPPER_JOINT_CLOSE)}) + {d(RB.PUPPET_GRIPPER_JOINT_CLOSE)} - {d(RB.ANGULAR_LO)}')} AS decoded FROM events""")
 def q_gripper_roundtrip(spark, sf_dir):
     ev = views.table(spark, sf_dir, "events")
     enc = RB.gripper_from_angular(F.col("value"))
@@ -199,7 +199,7 @@ def q_gripper_roundtrip(spark, sf_dir):
 
 
 @query("rescale", f"""SELECT event_id,
-  {r6(f'(value / {d(10000)} - {d(0.01244)}) / ({d(0.02417)} - {d(0.01244)}) * ({d(0.058)} - {d(0.01844)}) + {d(0.01844)}')} AS value
+  {r6(f'(value / {d(10000)} - {d(RB.MASTER_GRIPPER_POSITION_CLOSE)}) / ({d(RB.MASTER_GRIPPER_POSITION_OPEN)} - {d(RB.MASTER_GRIPPER_POSITION_CLOSE)}) * ({d(RB.PUPPET_GRIPPER_POSITION_OPEN)} - {d(RB.PUPPET_GRIPPER_POSITION_CLOSE)}) + {d(RB.PUPPET_GRIPPER_POSITION_CLOSE)}')} AS value
 FROM events""")
 def q_rescale(spark, sf_dir):
     ev = views.table(spark, sf_dir, "events")
@@ -221,9 +221,9 @@ def _arm_raw(spark, sf_dir):
 dims AS (SELECT unnest(range(0, 14)) AS dim),
 v AS (SELECT episode_id, t, dim,
         CASE WHEN dim < 6 THEN s0 / {d(1000)} + dim * {d(0.001)}
-             WHEN dim = 6 THEN ((s0 / {d(1000)} + 7 * {d(0.001)}) - {d(0.01844)}) / ({d(0.058)} - {d(0.01844)})
+             WHEN dim = 6 THEN ((s0 / {d(1000)} + 7 * {d(0.001)}) - {d(RB.PUPPET_GRIPPER_POSITION_CLOSE)}) / ({d(RB.PUPPET_GRIPPER_POSITION_OPEN)} - {d(RB.PUPPET_GRIPPER_POSITION_CLOSE)})
              WHEN dim < 13 THEN s1 / {d(1000)} + (dim - 7) * {d(0.001)}
-             ELSE ((s1 / {d(1000)} + 7 * {d(0.001)}) - {d(0.01844)}) / ({d(0.058)} - {d(0.01844)}) END AS x
+             ELSE ((s1 / {d(1000)} + 7 * {d(0.001)}) - {d(RB.PUPPET_GRIPPER_POSITION_CLOSE)}) / ({d(RB.PUPPET_GRIPPER_POSITION_OPEN)} - {d(RB.PUPPET_GRIPPER_POSITION_CLOSE)}) END AS x
       FROM frames_ev, dims)
 SELECT episode_id, t, CAST(dim AS BIGINT) AS dim, {r6('x')} AS value FROM v""")
 def q_assemble_dual_arm(spark, sf_dir):
