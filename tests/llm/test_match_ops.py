@@ -367,6 +367,68 @@ def test_toxicity_learns_and_keeps_to_the_folds(spark):
     assert all(again[i] == got[i].score for i in again)
 
 
+def test_toxicity_equals_brute_force(spark):
+    """Neighbours, cosines and votes against plain dictionaries; every term of the examples counts."""
+    import zlib
+
+    rng = np.random.default_rng(17)
+    rows = []
+    for i in range(240):
+        words = rng.choice([f"w{j}" for j in range(90)], rng.integers(1, 25)).tolist()
+        rows.append((i, " ".join(words + ["vile"] * (i % 5 == 0) + ["rot"] * (i % 7 == 0))))
+    labels = [(i, int(i % 5 == 0)) for i in range(0, 200)]
+    got = {r.doc_id: r for r in toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"),
+                                                        spark.createDataFrame(labels, "doc_id long, toxic int"), k=6).collect()}
+    texts = {i: Counter(t.split()) for i, t in rows}  # no word is longer than five bytes
+    learned = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 5}
+    terms = {t for i in learned for t in texts[i]}
+    df = Counter(t for c in texts.values() for t in c)
+
+    def ratio(t):
+        n, out = len(learned), 0.0
+        for y in (0, 1):
+            for has in (False, True):
+                cell = sum((t in texts[i]) == has and learned[i] == y for i in learned)
+                of = sum((t in texts[i]) == has for i in learned) * sum(learned[i] == y for i in learned) / n
+                out += cell * np.log(cell / of) if cell else 0.0
+        return 1 + np.sqrt(max(0, 2 * out - 2 * np.log(len(terms))))
+
+    weight = {t: (np.log((len(rows) + 1) / (df[t] + 1)) + 1) * ratio(t) for t in terms}
+    assert weight["vile"] > 5 * max(w for t, w in weight.items() if t != "vile")
+
+    def vector(i):
+        v = {t: (1 + np.log(c)) * weight[t] for t, c in texts[i].items() if t in terms}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    examples = {i: vector(i) for i in learned}
+    scores = []
+    for i, _ in rows:
+        v = vector(i)
+        cosine = {e: min(1.0, sum(x * u.get(t, 0) for t, x in v.items())) for e, u in examples.items()}
+        best = sorted((c for c in cosine.values() if c > 0), reverse=True)[:6]
+        assert np.allclose(got[i].cosines, best) and len(got[i].neighbours) == len(best)
+        assert all(abs(cosine[e] - c) < 1e-9 for e, c in zip(got[i].neighbours, got[i].cosines))
+        w = 1 / (1.05 - np.array(got[i].cosines))
+        prior = (sum(learned.values()) + 0.5) / (len(learned) + 2)
+        scores.append(((w @ [learned[e] for e in got[i].neighbours] + prior) / (w.sum() + 1), got[i].score))
+    raw, out = np.array(sorted(scores)).T
+    assert np.all(np.diff(out) >= -1e-9)  # the calibration keeps the votes' order
+    assert all(got[i].predicted == (i % 5 == 0) for i, _ in rows)
+
+
+def test_toxicity_of_few_rows_and_labels(spark):
+    """Two words mark ten of thirty texts: few examples are enough. No labels reject nothing."""
+    rng = np.random.default_rng(18)
+    rows = [(i, " ".join(rng.choice([f"plain{j}" for j in range(60)], 12).tolist() + ["vile", "scum"] * (i % 3 == 0))) for i in range(30)]
+    df = spark.createDataFrame(rows + [(3, "plain1 plain2")], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(df, lab).collect()
+    assert len(got) == 31 and all(len(r.neighbours) > 0 for r in got)
+    assert sum(r.predicted == (r.doc_id % 3 == 0) for r in got) >= 28
+    assert toxicity.reject_toxic(df, lab.limit(0)).count() == 31
+
+
 def test_toxicity_of_odd_tables(spark, odd, empty):
     lab = spark.createDataFrame([(1, 0), (5, 1)], "doc_id long, toxic int")
     assert toxicity.score_toxicity(empty, lab).count() == 0
