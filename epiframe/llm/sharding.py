@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import number_rows, stored, whole_text
+from .common import fresh_names, number_rows, stored, whole_text
 
 
 class _Ladder:
@@ -100,7 +100,7 @@ def minimax_cuts(ladder: _Ladder, shards: int) -> tuple[int, list[int]]:
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text",
-                    groups_per_bin: int = 65_536) -> DataFrame:
+                    groups_per_bin: int = 65_536, carry: bool = False) -> DataFrame:
     """Put documents into ``shards`` of near equal bytes; equal texts stay together.
 
     Size is the text's UTF-8 bytes plus 1. Equal texts (null as empty) are one atomic
@@ -108,12 +108,15 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     of groups. The largest shard is as small as any such cut allows.
 
     Returns doc_id, size, text_crc32, group_key, shard, slot (0.. in its shard, no
-    gaps) and capacity. Null ids and repeated rows are rows like others; an empty
-    table gives no rows; a group above the mean size has a shard as large as itself.
+    gaps) and capacity; with ``carry`` also the row itself, as the struct ``document``.
+    Null ids and repeated rows are rows like others; an empty table gives no rows; a
+    group above the mean size has a shard as large as itself. Other columns of
+    ``docs`` are not read without ``carry``, and never clash.
     """
     text = whole_text(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
-                       F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("group_key"))
+                       F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("group_key"),
+                       *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")] if carry else []))
     rows = stored(rows, "shard-rows")
     groups = rows.groupBy(F.col("group_key").alias("key")).agg(F.sum("size").alias("size"))
     n = rows.count()
@@ -129,10 +132,18 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     return number_rows(placed, ["shard"], ["doc_id", "group_key"], "slot").withColumn("capacity", F.lit(capacity))
 
 
-def write_shards(assigned: DataFrame, docs: DataFrame, path: str, id_col: str = "doc_id",
-                 rows_per_file: int = 1_000_000) -> None:
-    """Write whole documents below ``path/shard=<n>``, ordered by slot within each file."""
-    rows = docs.join(assigned.select(F.col("doc_id").alias("_id"), "shard", "slot"), F.col(id_col) == F.col("_id")).drop("_id")
-    part = (F.col("slot") / rows_per_file).cast("long")
-    (rows.withColumn("_part", part).repartition("shard", "_part").sortWithinPartitions("shard", "slot")
-     .drop("_part").write.partitionBy("shard").parquet(path))
+def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text",
+                 rows_per_file: int = 100_000) -> None:
+    """Shard documents and write them whole below ``path/shard=<n>``, ordered by slot within each file.
+
+    A row travels with its place and is never looked up by its id, so repeated rows and
+    ids and null ids are written as often as ``docs`` has them. Files hold the columns of
+    ``docs`` and slot; where ``docs`` has a column shard or slot itself, the new ones'
+    names end in an underscore. An empty table writes a folder without rows.
+    """
+    shard, slot, part = fresh_names(docs, "shard", "slot", "_part")
+    placed = shard_documents(docs, shards, id_col, text_col, carry=True)
+    rows = placed.select("document.*", F.col("shard").alias(shard), F.col("slot").alias(slot),
+                         F.floor(F.col("slot") / rows_per_file).alias(part))
+    (rows.repartition(shard, part).sortWithinPartitions(shard, slot).drop(part)
+     .write.partitionBy(shard).parquet(path))

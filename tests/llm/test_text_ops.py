@@ -212,6 +212,22 @@ def test_cuts_against_every_partition(sizes, shards, per_bin):
     assert all(p in edges for p in places) and all(0 <= b - a <= capacity for a, b in zip(places, places[1:]))
 
 
+def test_written_shards_hold_every_row_once(spark, odd, empty, tmp_path):
+    from collections import Counter
+
+    names = odd.columns
+    sharding.write_shards(odd, str(tmp_path / "odd"), 3, rows_per_file=2)
+    got = spark.read.parquet(str(tmp_path / "odd"))
+    assert set(got.columns) == {*names, "shard_", "slot"}  # odd has a column shard
+    rows = got.collect()
+    assert Counter(tuple(r[c] for c in names) for r in rows) == Counter(tuple(r) for r in odd.collect())
+    for n in range(3):
+        assert sorted(r.slot for r in rows if r.shard_ == n) == list(range(sum(r.shard_ == n for r in rows)))
+    want = {(r.doc_id, r.text_crc32): r.shard for r in sharding.shard_documents(odd, 3).collect()}
+    assert all(r.shard_ == want[r.doc_id, zlib.crc32((r.text or "").encode())] for r in rows)
+    sharding.write_shards(empty, str(tmp_path / "empty"), 3)
+
+
 def test_sharding_an_empty_table(empty):
     assert sharding.shard_documents(empty).count() == 0
 
