@@ -1,7 +1,7 @@
 """Evaluation and monitoring aggregates.
 
-Exact medians/percentiles are rank-based (``stats.exact_quantiles``: linear
-interpolation as numpy's default, no group held in one task);
+Exact medians/percentiles come from radix selection (``selection.select_quantiles``:
+linear interpolation as numpy's default, only counts are shuffled);
 ``percentile_approx`` is the one-pass approximate choice.
 """
 
@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epiframe.functions.vectors import l1_l2
+from epiframe.operators.selection import select_quantiles
 from epiframe.operators.windows import log_bucket, next_frame
-from epiframe.plans.ordered import neighbours
+from epiframe.plans.ordered import join_null_safe, neighbours
 
 # Latency percentiles reported per metric.
 LATENCY_PERCENTILES = (0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
@@ -42,19 +43,17 @@ def eval_samples(pairs: DataFrame, pred: str, target: str) -> DataFrame:
 
 
 def eval_summary(samples: DataFrame) -> DataFrame:
-    """A5: count, mean, population std, median and max of L1 and L2 (exact median, rank-based).
+    """A5: count, mean, population std, median and max of L1 and L2 (exact median by radix selection).
 
     L1 and L2 are stacked into ``(metric, value)`` rows, aggregated per
     metric, joined to their medians on the metric and pivoted to one row.
     """
-    from epiframe.operators.stats import exact_quantiles
-
     long = samples.select(F.explode(F.array(
         F.struct(F.lit("l1").alias("metric"), F.col("l1").alias("value")),
         F.struct(F.lit("l2").alias("metric"), F.col("l2").alias("value")))).alias("m")).select("m.*")
     agg = long.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"),
                                      F.stddev_pop("value").alias("std"), F.max("value").alias("max"))
-    med = exact_quantiles(long, ["metric"], "value", [0.5], prefix="median_")
+    med = select_quantiles(long, ["metric"], "value", [0.5], prefix="median_", few_groups=True)
     per = agg.join(med, "metric")
     wide = per.groupBy().pivot("metric", ["l1", "l2"]).agg(
         F.first("n").alias("n"), F.first("mean").alias("mean"), F.first("std").alias("std"),
@@ -74,12 +73,9 @@ def eval_per_dim(pairs: DataFrame, pred: str, target: str, labels: Sequence[str]
 
 def latency_summary(df: DataFrame, metric: str = "metric", ms: str = "ms",
                     percentiles: Sequence[float] = LATENCY_PERCENTILES) -> DataFrame:
-    """Per metric mean, population std and linearly interpolated percentiles (exact, rank-based)."""
-    from epiframe.operators.stats import exact_quantiles
-    from epiframe.plans.ordered import join_null_safe
-
+    """Per metric mean, population std and linearly interpolated percentiles (exact, by radix selection)."""
     g = df.groupBy(metric).agg(F.avg(ms).alias("mean"), F.stddev_pop(ms).alias("std"))
-    return join_null_safe(g, exact_quantiles(df, [metric], ms, percentiles), [metric], "left")
+    return join_null_safe(g, select_quantiles(df, [metric], ms, percentiles), [metric], "left")
 
 
 def success_rollup(df: DataFrame, task: str = "task", success: str = "success") -> DataFrame:
