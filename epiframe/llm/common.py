@@ -299,8 +299,20 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return key & _U((1 << HASH_BITS) - 1), bounds
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a Python worker outlives its stage, and what its
+    allocators keep would count against the executor in all later ones."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def row_runs(texts: pa.Array, limit: int = 1_000_000):
-    """Runs of rows of about ``limit`` bytes and at most ``MAX_ROWS`` rows: (first, past the last)."""
+    """Runs of rows of about ``limit`` bytes and at most ``MAX_ROWS`` rows: (first, past the last).
+    Behind the last one freed memory is given back."""
     import pyarrow.compute as pc
 
     size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -310,3 +322,4 @@ def row_runs(texts: pa.Array, limit: int = 1_000_000):
         end = min(max(at + 1, end), at + MAX_ROWS)
         yield at, end
         at = end
+    release_memory()
