@@ -156,7 +156,7 @@ FROM fl JOIN raw ON raw.dim = fl.dim AND raw.key = 'state'"""
 
 
 def _long_vec(df: DataFrame, col: str) -> DataFrame:
-    return df.select("episode_id", "t", F.posexplode(col).alias("dim", "value")).select(
+    return df.select("episode_id", "t", F.posexplode(V.listed(col)).alias("dim", "value")).select(
         "episode_id", "t", F.col("dim").cast("bigint"), R6("value").alias("value"))
 
 

@@ -70,3 +70,12 @@ def test_inverse_of_a_recipe_is_computed_once_a_row(spark):
     for r in rows:
         assert [r[f"d{j}"] for j in range(31)] == pytest.approx(want[r["episode_id"], min(r["t"] + r["i"], 4)], abs=2e-6)
     assert sorted(r["i"] for r in forward.collect()) == [-1] * 10 + [0] * 10 + [1] * 10
+
+
+def test_normalised_vectors_are_listed_without_a_second_computation(spark):
+    f = _frames(spark, 2).select("episode_id", "t", "state")
+    st = S.norm_stats(S.long_values(f, ["state"]))
+    both = S.apply_stats(S.apply_stats(f, st, {"state": "state"}, "quantile"), st, {"state": "state"}, "quantile", inverse=True)
+    out = _long_vec(both, "state")
+    assert not [x for x in _filters(out) if "transform(" in x]
+    assert out.count() == 20
