@@ -24,16 +24,19 @@ def modality_concat(tables: Mapping[str, DataFrame], keys: Sequence[str] = ("epi
                     layout=MODALITY_LAYOUT, out: str = "state") -> DataFrame:
     """Bring per-modality tables ``(episode_id, t, v)`` together and concatenate slices.
 
-    Frames that lack a modality are left out. The tables are stacked with a tag and
-    grouped once by the keys: one shuffle for all of them, no join.
+    Frames that lack a modality are left out. The tables are stacked with a tag, dealt
+    out by the keys as they are, and grouped where they lie: one shuffle for all of
+    them, no join and no sort before it (a tag's rows are one a key, so that adding up
+    before the shuffle would only widen them).
     """
     k = list(keys)
     names = list(dict.fromkeys(m for m, _, _ in layout))
     stacked = None
     for m in names:
-        df = tables[m].select(*k, F.lit(m).alias("_tag"), F.struct("v").alias("_v"))
+        df = tables[m].select(*k, F.lit(names.index(m)).cast("tinyint").alias("_tag"), "v")
         stacked = df if stacked is None else stacked.unionByName(df)
-    per = stacked.groupBy(*k).agg(*[F.first(F.when(F.col("_tag") == m, F.col("_v")), ignorenulls=True).alias(f"_{m}") for m in names])
+    per = stacked.repartition(*k).groupBy(*k).agg(*[
+        F.first(F.when(F.col("_tag") == n, F.struct("v")), ignorenulls=True).alias(f"_{m}") for n, m in enumerate(names)])
     for m in names:
         per = per.filter(F.col(f"_{m}").isNotNull())
     return per.select(*k, F.concat(*[F.slice(F.col(f"_{m}.v"), start + 1, size) for m, start, size in layout]).alias(out))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from epiframe.functions import vectors as V
 from epiframe.operators import episodes as E
 from epiframe.plans.catalog import query
 from epiframe.plans.sqlviews import FRAMES_LI, INSTRUCTIONS, MODALITIES, OBJECT_KEYS, r6
@@ -128,7 +129,7 @@ def _mod_dims() -> str:
 SELECT episode_id, t, CAST(dim AS BIGINT) AS dim, {r6('x')} AS value FROM dims""")
 def q_modality_concat(spark, sf_dir):
     st = E.modality_concat(views.modalities(spark, sf_dir))
-    return st.select("episode_id", "t", F.posexplode("state").alias("dim", "value")).select(
+    return st.select("episode_id", "t", F.posexplode(V.listed("state")).alias("dim", "value")).select(
         "episode_id", "t", F.col("dim").cast("bigint"), R6("value").alias("value"))
 
 

@@ -79,3 +79,32 @@ def test_normalised_vectors_are_listed_without_a_second_computation(spark):
     out = _long_vec(both, "state")
     assert not [x for x in _filters(out) if "transform(" in x]
     assert out.count() == 20
+
+
+def test_numbering_deals_whole_rows_out_once(spark):
+    rows = [(k, v, f"text {v}") for k in (1, None, 2) for v in range(0, 40_000, 1_000)]
+    df = spark.createDataFrame(rows, "k long, v long, s string")
+    with _conf(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__enabled="false"):
+        for out in (O.index_within(df, ["k"], ["v"], "n"), O.running_agg(df, F.lit(1), ["v"], "n", ["k"]),
+                    O.index_within(df, ["s"], ["v"], "n")):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            whole = [p for p in plan.split("\n") if "hashpartitioning(" in p and "_block#" in p and "_range#" not in p]
+            assert len(whole) == 2, plan  # the rows, and the small table of blocks to join
+        got = O.index_within(df, ["k"], ["v"], "n")
+        assert got.columns == ["k", "v", "s", "n"]
+        assert sorted((str(r["k"]), r["v"], r["n"]) for r in got.collect()) == sorted((str(k), v, v // 1_000) for k, v, _ in rows)
+
+
+def test_modalities_are_dealt_out_as_they_are(spark):
+    tables = {m: spark.createDataFrame([(1, t, [float(t + 10 * i)] * 9) for t in range(3 if m != "head" else 2)] + [(None, 0, [float(i)] * 9)],
+                                       "episode_id long, t long, v array<double>")
+              for i, m in enumerate(("eef_torso", "head", "eef_left", "gripper_cmd", "eef_right"))}
+    with _conf(spark, spark__sql__adaptive__enabled="false"):
+        out = E.modality_concat(tables)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+        below = plan.split("Exchange hashpartitioning")[1]
+        assert "Aggregate" not in below and "Sort" not in below
+    got = {(r["episode_id"], r["t"]): r["state"] for r in out.collect()}
+    assert set(got) == {(1, 0), (1, 1), (None, 0)}
+    assert got[None, 0] == [0.0] * 9 + [1.0] * 2 + [2.0] * 9 + [3.0] + [4.0] * 9 + [3.0]
