@@ -43,3 +43,45 @@ def test_sieve_makes_no_row_objects(spark, monkeypatch):
     assert sift(bits, held).all()
     assert (sift(bits, others) == wanted[others & ((1 << common.SIEVE_BITS) - 1)]).all()
     assert not sieve(df.limit(0), "h").any()
+
+
+_SIZES = "n long, size long"
+
+
+def _batch_sizes(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+
+def test_texts_reach_workers_in_batches_bounded_by_bytes(spark):
+    key, before = common._BATCH_CONF, spark.conf.get(common._BATCH_CONF, None)
+    spark.conf.unset(key)
+    try:
+        out = stored(spark.range(0, 9000, 1, 1).select("id", F.repeat(F.lit("x"), 2000).alias("text")), "batches")
+        got = out.mapInArrow(_batch_sizes, _SIZES).collect()
+        assert sum(r.n for r in got) == 9000
+        assert max(r.size for r in got) < common.BATCH_BYTES + 100_000
+        spark.conf.set(key, "1m")  # what the user sets holds
+        common.bound_batches(spark)
+        assert spark.conf.get(key) == "1m"
+        assert max(r.size for r in out.mapInArrow(_batch_sizes, _SIZES).collect()) < 1_200_000
+    finally:
+        spark.conf.unset(key)
+        if before is not None:
+            spark.conf.set(key, before)
+
+
+def test_stored_tables_have_small_row_groups(spark, monkeypatch):
+    from urllib.parse import unquote, urlparse
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(common, "GROUP_BYTES", 1 << 20)
+    text = F.concat(*[F.sha2(F.concat("id", F.lit(f"-{i}")), 512) for i in range(16)])
+    rows = spark.range(0, 4000, 1, 1).select("id", text.alias("text"))
+    out = stored(rows, "groups")
+    groups = [pq.ParquetFile(unquote(urlparse(f).path)).metadata.num_row_groups for f in out.inputFiles()]
+    assert max(groups) > 1
+    assert out.exceptAll(rows).isEmpty() and out.count() == 4000
