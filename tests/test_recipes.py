@@ -32,6 +32,21 @@ def test_inverse_returns_the_robots_chunks(spark, name, dims):
     assert all(np.allclose(got[k], want[k], atol=1e-9) and got[k].shape == (3, dims) for k in got)
 
 
+def test_arm31_query_goes_back_over_the_whole_horizon(spark, tmp_path):
+    """Every frame's answer has the preset's 50 rows, each the action so many frames on, the last one kept."""
+    import __spark_entry__ as entry
+
+    n = {1: 70, 2: 3}
+    rows = [(100 * u + t, f"2024-01-01 00:{t // 60:02d}:{t % 60:02d}", u, "view", 10.0 * u + t, f'{{"k": {t % 7}}}') for u in n for t in range(n[u])]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r["episode_id"], r["t"], r["i"]): r for r in entry.queries()["recipe_arm31_inverse"](spark, str(tmp_path)).collect()}
+    assert got.keys() == {(u, t, i) for u in n for t in range(n[u]) for i in range(50)}
+    for (u, t, i), r in got.items():
+        at = min(t + i, n[u] - 1)
+        assert r["d0"] == pytest.approx((10.0 * u + at) / 500 - 0.1, abs=1e-6) and r["d1"] == pytest.approx((at % 7 / 1000 - 0.01) * 2 - 0.1, abs=1e-6)
+
+
 def test_inference_rows_have_no_actions(spark):
     r = RC.recipe("arm7_delta", horizon=3, fields={"state": "state", "actions": "actions", "prompt": "prompt"})
     f = views.arm_frames(spark, SF001, 7).filter("episode_id < 4")
