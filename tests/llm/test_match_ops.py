@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from epiframe.llm import decontaminate, graph, licenses, line_dedup, near_dup, search, toxicity
@@ -329,6 +330,58 @@ def test_search_equals_brute_force(spark, corpus):
     assert all(abs(r.score - score[r.query_id, r.doc_id]) < 2e-3 for r in got)
 
 
+def test_search_tasks_pass_on_their_best_alone(spark, corpus, monkeypatch):
+    """However many shards a task takes, k answers a query leave it."""
+    rows, real = {}, search.stored
+
+    def counted(df, label, *more):
+        out = real(df, label, *more)
+        rows.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(search, "stored", counted)
+    df = spark.createDataFrame(corpus, "doc_id long, text string").repartition(40)
+    got = search.search(df.filter("doc_id % 20 = 0"), df, 2).collect()
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    assert rows["index"][0] > 2 * tasks and sum(rows["answers"]) <= tasks * 2 * rows["queries"][0]
+    want = brute_bm25(corpus, [k for k, (i, _) in enumerate(corpus) if i % 20 == 0], 2)
+    assert {(r.query_id, r.doc_id) for r in got} == {(q, d) for q, d, _ in want}
+
+
+@pytest.mark.parametrize("common,k", [(400, 5), (1, 5), (10 ** 9, 5), (400, 12)])
+def test_search_parts_give_the_exact_best(monkeypatch, common, k):
+    """Parts, blocks and floors leave out nothing: matrix for some terms, none, all; fewer blocks than k."""
+    for name, value in (("PART", 64), ("BLOCK", 8), ("SCORES", 1000), ("COMMON", common)):
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(3)
+    count = np.zeros((300, 200), dtype=np.int64)
+    for d in range(300):  # two kinds of documents, some of them twice
+        at = rng.zipf(1.3, 60)
+        np.add.at(count[d], at[at < 100] + 100 * (d % 3 == 0), 1)
+    count[20:30] = count[0]
+    ids, length = rng.permutation(300), count.sum(axis=1)
+    row, term = np.nonzero(count)
+    r = {c: v[0] for c, v in search._shard_row([(pa.array(ids), length, row, term.astype(np.uint64), count[row, term])]).to_pydict().items()}
+    idf = np.log(1 + (300 - (count > 0).sum(axis=0) + 0.5) / ((count > 0).sum(axis=0) + 0.5))
+    impact = count * 2.2 / (count + 1.2 * (0.25 + 0.75 * length / length.mean())[:, None])
+    asked = rng.choice(300, 40, replace=False)
+    q, t = np.nonzero(count[asked])
+    weights, floor, found = count[asked][q, t] * idf[t], np.zeros(40), []
+    for part, at in search.parts(r, length.mean(), np.arange(200, dtype=np.uint64), (count[asked] > 0).mean(axis=0)):
+        for lo in range(0, 40, step := part.at_once()):
+            own = (q >= lo) & (q < lo + step)
+            w, docs, scores = part.best_of(q[own] - lo, at[t[own]], weights[own], floor[lo:lo + step], k)
+            found.append((w + lo, part.ids[docs], part.nulls[docs], scores))
+    got = list(zip(*(x.tolist() for x in search._best_found(found, k))))
+    want = []
+    for n, a in enumerate(asked):
+        scores = np.round(impact @ (count[a] * idf), 6)
+        order = [d for d in np.lexsort((ids, -scores)) if scores[d] > 0][:k]
+        want += [(n, int(ids[d]), False, scores[d]) for d in order]
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert np.allclose([x[3] for x in got], [x[3] for x in want], atol=1.1e-6)
+
+
 def test_search_of_odd_tables(odd, empty):
     assert search.search(empty, empty).count() == 0
     got = search.search(odd.filter("doc_id = 1"), odd).collect()
